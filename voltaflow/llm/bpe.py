@@ -93,7 +93,8 @@ class ByteBpe:
             return None
         import tiktoken
 
-        ranks = {b: model["vocab"][piece] for piece, b in raw.items() if model["vocab"][piece] <= max(made)}
+        last = max(made)
+        ranks = {b: model["vocab"][piece] for piece, b in raw.items() if model["vocab"][piece] <= last}
         return getattr(tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}), "_core_bpe", None)
 
     def merge(self, word: bytes) -> bytes:
