@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .bpe import op1_query
 from .chat import OP9_SQL, op9_query
+from .html_extract import op10_query
+from .ngram_join import op6_query
 from .packing import op5_query
 from .quality import OP8_SQL, op8_query
 from .secrets import op4_query
@@ -15,9 +17,11 @@ QUERIES = {
     "op3_token_counts": op3_query,
     "op4_secret_scan": op4_query,
     "op5_packing": op5_query,
+    "op6_ngram_join": op6_query,
     "op7_fingerprints": op7_query,
     "op8_quality_rules": op8_query,
     "op9_chat_format": op9_query,
+    "op10_html_text": op10_query,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_quality_rules": OP8_SQL, "op9_chat_format": OP9_SQL}
