@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_arrow
+from .common import bounded_batches, map_arrow, materialize
 from .lexicon import Lexicon, compile_lexicon
 
 #: Split of the byte-level tokenizer (fixed value of that public tokenizer).
@@ -190,8 +190,11 @@ def loaded(key: str, definition, lexicon=None) -> ByteBpe:
     return _LOADED[key]
 
 
-def frequent_words(docs: DataFrame, text: str = "text", words: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of the split over all documents (ties: by code point), at most `words` of at most LEXICON_BYTES bytes."""
+def frequent_words(spark: SparkSession, docs: DataFrame, text: str = "text", words: int = LEXICON_WORDS) -> list[str]:
+    """The most frequent words of the split over all documents, of at most LEXICON_BYTES bytes and seen twice or more.
+
+    Words of one level of counts come all or not at all, so at most `words` reach the driver, without a sort.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, heads, tails = regex.compile(SPLIT), Counter(), Counter()
@@ -215,9 +218,17 @@ def frequent_words(docs: DataFrame, text: str = "text", words: int = LEXICON_WOR
                 yield flush()
         yield flush()
 
-    counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.col("word")).limit(words)
-    return [r.word for r in top.collect() if r.word]
+    counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n long").where("word <> ''")
+    counted = counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = materialize(spark, counted, "words").withColumn("level", F.floor(16 * F.log2("n")))
+    # the counts' levels (sixteenths of a power of two, so at most about a thousand) tell from which level up the words fit
+    least, total = None, 0
+    for level, n in sorted(((r.level, r.n) for r in counted.groupBy("level").agg(F.count("*").alias("n")).collect()), reverse=True):
+        total += n
+        if total > words:
+            break
+        least = level
+    return [] if least is None else [r.word for r in counted.where(F.col("level") >= least).select("word").collect()]
 
 
 def build_lexicon(definition: bytes, words: list[str]) -> bytes:
@@ -230,7 +241,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str,
     bounded_batches(spark)
     with open(tokenizer_path, "rb") as f:
         data = f.read()
-    lexicon = build_lexicon(data, frequent_words(docs, text, words))
+    lexicon = build_lexicon(data, frequent_words(spark, docs, text, words))
     definition, automaton = spark.sparkContext.broadcast(data), spark.sparkContext.broadcast(lexicon)
     name = f"{tokenizer_path}:{hash(lexicon)}"
     fields = [pa.field("ids", pa.binary()), *([pa.field("decoded", pa.string())] if decode else [])]

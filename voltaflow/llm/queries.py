@@ -10,10 +10,12 @@ from .packing import op5_query
 from .quality import OP8_SQL, op8_query
 from .secrets import op4_query
 from .simhash import op7_query
+from .substring_dedup import op2_query
 from .unigram import op3_query
 
 QUERIES = {
     "op1_bpe_round_trip": op1_query,
+    "op2_substring_dedup": op2_query,
     "op3_token_counts": op3_query,
     "op4_secret_scan": op4_query,
     "op5_packing": op5_query,
