@@ -1,17 +1,71 @@
-"""The corpus pipeline: stages applied one after the other to `documents`."""
+"""The corpus pipeline: five stages applied one after the other to `documents`.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents. Stages handle nulls, empty texts and repeated rows as their operators' docstrings say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from voltaflow.llm import ngram_join, packing, quality, secrets, substring_dedup
+from voltaflow.llm.common import materialize, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the current policy."""
+    return quality.ledger(docs, keep=True).where(quality.passes(2)).select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each class; repeated rows of it once; documents without an id stay."""
+    classes = ngram_join.jaccard_join(spark, docs)
+    first = classes.where("doc_id = class_id").select(F.col("doc_id").alias("first_id")).distinct()
+    kept = docs.join(first, docs["doc_id"] == first["first_id"], "left_semi")
+    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    kept = kept.withColumn("_once", F.row_number().over(once)).where("_once = 1").drop("_once")
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words that a document with a smaller id repeats; unchanged texts stay as they are."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    out = substring_dedup.dedup(spark, docs, carry=others)
+    out = out.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
+    if "n_chars" in others:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets replaced."""
+    return secrets.redact_documents(spark, docs)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens, packed into sequences."""
+    import public_tokenizers
+
+    return packing.pack(spark, packing.tokenized(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), "doc_id", "text"))
+
 
-from voltaflow.llm.common import table
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", substrings),
+    ("secret scans", secret_scans),
+    ("packing", sequence_packing),
+]
 
-STAGES: list = []
+#: The near-duplicate and packing stages are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents; what a stage returns is written and read again as the next one's input."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
