@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+from . import rei_plans
+
 FLAGSHIP = "rei_score"
+MODULES = [rei_plans]
+
+
+def _all() -> dict:
+    found: dict = {}
+    for module in MODULES:
+        for name, entry in module.QUERIES.items():
+            if name in found:
+                raise ValueError(f"{name} is registered twice")
+            found[name] = entry
+    return found
 
 
 def queries() -> dict:
-    return {}
+    return {name: fn for name, (fn, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql is not None}
