@@ -118,7 +118,7 @@ def preset_name(name: Column) -> Column:
 
 def band_label(preset: Column, low: Column, high: Column) -> Column:
     short = lambda x: F.regexp_replace(F.format_string("%.3f", x.cast("double")), r"\.?0+$", "")
-    return F.concat(preset, F.lit(" "), short(low), F.lit("-"), short(high), F.lit(" Hz"))
+    return F.when(low.isNotNull() & high.isNotNull(), F.concat(preset, F.lit(" "), short(low), F.lit("-"), short(high), F.lit(" Hz")))
 
 
 def trailing_number(event_id: Column) -> Column:
