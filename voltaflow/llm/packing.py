@@ -28,6 +28,8 @@ from .bpe import loaded
 from .common import bounded_batches, map_arrow, materialize, table
 
 CAPACITY, END_ID, SHARD_ROWS = 2048, 1, 500_000
+#: Cut pieces (about 100 bytes each) up to which they are sent to the tasks that hold the ids, not joined by a shuffle.
+BROADCAST_CUTS = 20_000
 
 
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -110,8 +112,25 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
     return rows, sequence
 
 
-def tokenized(spark: SparkSession, docs: DataFrame, tokenizer_path: str, key: str, text: str) -> DataFrame:
-    """key, ids (binary, little-endian unsigned 32-bit, end id included)."""
+def pieces_of(ids: list[bytes], capacity: int = CAPACITY, small_ids: bool = True) -> dict:
+    """For each document's ids (little-endian unsigned 32-bit): their number, checksums of full pieces and of the rest, and the rest's ids."""
+    n, crcs, rest, rest_ids = [], [], [], []
+    for raw in ids:
+        full = len(raw) // 4 // capacity
+        left = raw[4 * capacity * full :]
+        n.append(len(raw) // 4)
+        crcs.append([zlib.crc32(raw[4 * capacity * i : 4 * capacity * (i + 1)]) for i in range(full)])
+        rest.append(zlib.crc32(left))
+        rest_ids.append(np.frombuffer(left, "<u4").astype("<u2").tobytes() if small_ids else left)
+    return {"doc_tokens": n, "crcs": crcs, "rest": rest, "rest_ids": rest_ids}
+
+
+PIECES = "key long, doc_tokens long, crcs array<long>, rest long, rest_ids binary"
+PIECES_ARROW = pa.schema([("key", pa.int64()), ("doc_tokens", pa.int64()), ("crcs", pa.list_(pa.int64())), ("rest", pa.int64()), ("rest_ids", pa.binary())])
+
+
+def pack_texts(spark: SparkSession, docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    """Tokenize and pack: texts become ids, an end id behind each, and these pieces, in one pass of Python."""
     bounded_batches(spark)
     with open(tokenizer_path, "rb") as f:
         definition = spark.sparkContext.broadcast(f.read())
@@ -119,31 +138,28 @@ def tokenized(spark: SparkSession, docs: DataFrame, tokenizer_path: str, key: st
 
     def run(batch: dict) -> dict:
         bpe = loaded(tokenizer_path, definition)
-        return {"key": batch["key"], "ids": [bpe.encode(t) + end for t in batch["text"].to_pylist()]}
+        return {"key": batch["key"]} | pieces_of([bpe.encode(t) + end for t in batch["text"].to_pylist()], capacity)
 
     src = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return map_arrow(src, run, "key long, ids binary", pa.schema([("key", pa.int64()), ("ids", pa.binary())])).withColumnRenamed("key", key)
+    return pack_pieces(spark, map_arrow(src, run, PIECES, PIECES_ARROW), key, capacity)
 
 
 def pack(spark: SparkSession, ids: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, small_ids: bool = True) -> DataFrame:
-    """Pieces of the binary column `ids`: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """Pack documents whose ids are in the binary column `ids` (16 bits are kept of each with small_ids, for up to 65,536 ids)."""
+    bounded_batches(spark)
+
+    def run(batch: dict) -> dict:
+        return {"key": batch["key"]} | pieces_of(batch["ids"].to_pylist(), capacity, small_ids)
+
+    src = ids.select(F.col(key).cast("long").alias("key"), F.coalesce("ids", F.lit(b"")).alias("ids"))
+    return pack_pieces(spark, map_arrow(src, run, PIECES, PIECES_ARROW), key, capacity, small_ids)
 
-    A cut remainder's checksums need its ids, so each document keeps the ids of its remainder until the plan is made
-    (16 bits each with small_ids, for vocabularies of up to 65,536 ids).
-    """
 
-    def digests(batch: dict) -> dict:
-        n, crcs, rest = [], [], []
-        narrow = lambda raw: np.frombuffer(raw, "<u4").astype("<u2").tobytes()
-        for raw in batch["ids"].to_pylist():
-            full = len(raw) // 4 // capacity
-            n.append(len(raw) // 4)
-            crcs.append([zlib.crc32(raw[4 * capacity * i : 4 * capacity * (i + 1)]) for i in range(full)])
-            rest.append(raw[4 * capacity * full :])
-        return {"key": batch["key"], "doc_tokens": n, "crcs": crcs, "rest": [zlib.crc32(r) for r in rest], "rest_ids": [narrow(r) if small_ids else r for r in rest]}
-
-    schema = pa.schema([("key", pa.int64()), ("doc_tokens", pa.int64()), ("crcs", pa.list_(pa.int64())), ("rest", pa.int64()), ("rest_ids", pa.binary())])
-    pieces = map_arrow(ids.select(F.col(key).alias("key"), "ids"), digests, "key long, doc_tokens long, crcs array<long>, rest long, rest_ids binary", schema)
+def pack_pieces(spark: SparkSession, pieces: DataFrame, key: str, capacity: int = CAPACITY, small_ids: bool = True) -> DataFrame:
+    """key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    A cut remainder's checksums need its ids, so each document keeps the ids of its remainder until the plan is made.
+    """
     stored = materialize(spark, pieces, "pack")
     lens = stored.select("key", "doc_tokens", "crcs", "rest", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     lens = lens.withColumn("rem", (F.col("doc_tokens") % capacity).cast("int")).withColumn("full", F.col("doc_tokens").cast("long") / capacity)
@@ -183,9 +199,12 @@ def pack(spark: SparkSession, ids: DataFrame, key: str = "doc_id", capacity: int
     )
     cols = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     out = whole.unionByName(rest.where("not is_cut").withColumnRenamed("rest", "ids_crc32").select(*cols))
-    if any(r[4] != r[0] for r in rows):
+    n_cut = sum(r[2] - r[1] for r in rows if r[4] != r[0])
+    if n_cut:
         texts = stored.select("rest_ids", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-        bits = rest.where("is_cut").join(texts, ["file", "row"]).select(*(c for c in cols if c != "ids_crc32"), "rest_ids", "cut")
+        bits = rest.where("is_cut")
+        bits = F.broadcast(bits) if n_cut <= BROADCAST_CUTS else bits  # the plan knows how many there are
+        bits = texts.join(bits, ["file", "row"]).select(*(c for c in cols if c != "ids_crc32"), "rest_ids", "cut")
         fields = [(c, pa.int64()) for c in cols]
 
         def checksum(batch: dict) -> dict:
@@ -201,5 +220,4 @@ def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents, packed into sequences of at most 2048 tokens."""
     import public_tokenizers
 
-    ids = tokenized(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "doc_id", "text")
-    return pack(spark, ids)
+    return pack_texts(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
