@@ -48,7 +48,7 @@ def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Pieces of the documents' tokens, packed into sequences."""
     import public_tokenizers
 
-    return packing.pack(spark, packing.tokenized(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), "doc_id", "text"))
+    return packing.pack_texts(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
