@@ -19,7 +19,7 @@ def per_channel(signal: DataFrame, fn: Callable[[np.ndarray], list[tuple]], sche
     """
     names = [n for n, _ in fields]
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         order = np.argsort(table["sample"].to_numpy(), kind="stable")
         rows = fn(table["x"].to_numpy()[order].astype(float))
         cols = {k: pa.array([key[i].as_py()] * len(rows), table.schema.field(k).type) for i, k in enumerate(keys)}
