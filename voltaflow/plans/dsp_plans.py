@@ -13,6 +13,19 @@ def short(spark, sf):
     return A.signal(spark, sf).where("sample < 2000")
 
 
+def heavy(spark, sf):
+    """Heavy-tailed noise, by a hash of channel and sample, so that detectors have something to find."""
+    u = (F.crc32(F.concat_ws(":", "channel", "sample").cast("binary")) + 0.5) / 4294967296.0
+    return A.long_signal(spark, sf).withColumn("x", F.tan(3.141592653589793 * (u - 0.5)))
+
+
+def bursts(spark, sf):
+    """Noise with bursts of 150 Hz (at 1000 Hz) in some stretches of 64 samples."""
+    u = F.crc32(F.concat_ws(":", "channel", "sample").cast("binary")) / 4294967296.0 - 0.5
+    on = F.crc32(F.concat_ws("#", "channel", F.floor(F.col("sample") / 64)).cast("binary")) % 40 == 0
+    return A.long_signal(spark, sf).withColumn("x", u + F.when(on, 30 * F.sin(2 * 3.141592653589793 * 0.15 * F.col("sample"))).otherwise(0.0))
+
+
 def q(fn):
     def run(spark, sf):
         out = fn(short(spark, sf))
@@ -60,11 +73,11 @@ QUERIES = {
     "dsp14_spectrogram": (q(lambda s: S.spectrogram(s, A.FS)), None),
     "dsp15_tf_panel": (q(lambda s: S.spectrogram(s, A.FS, 64, 16)), None),
     "dsp16_gamma_tf_panel": (q(lambda s: S.spectrogram(s, A.FS, 64, 6)), None),
-    "dsp19_spike_detector": (lambda spark, sf: S.spikes(A.long_signal(spark, sf), A.FS), None),
+    "dsp19_spike_detector": (lambda spark, sf: S.spikes(heavy(spark, sf), A.FS), None),
     "dsp21_morse_power": (q(lambda s: S.wavelet_power(s, 500.0)), None),
-    "dsp23_gamma_events": (lambda spark, sf: S.gamma_events(A.long_signal(spark, sf), 500.0), None),
-    "dsp24_ste": (lambda spark, sf: S.candidates(A.long_signal(spark, sf), 1000.0, "STE", 80, 300), None),
-    "dsp24_mni": (lambda spark, sf: S.candidates(A.long_signal(spark, sf), 1000.0, "MNI", 80, 300), None),
-    "dsp24_hilbert": (lambda spark, sf: S.candidates(A.long_signal(spark, sf), 1000.0, "HIL", 80, 300), None),
+    "dsp23_gamma_events": (lambda spark, sf: S.gamma_events(heavy(spark, sf), 500.0), None),
+    "dsp24_ste": (lambda spark, sf: S.candidates(bursts(spark, sf), 1000.0, "STE", 80, 300), None),
+    "dsp24_mni": (lambda spark, sf: S.candidates(bursts(spark, sf), 1000.0, "MNI", 80, 300), None),
+    "dsp24_hilbert": (lambda spark, sf: S.candidates(bursts(spark, sf), 1000.0, "HIL", 80, 300), None),
     "stm01_chunked_envelope": (stm01, None),
 }
