@@ -50,7 +50,8 @@ def without_bursts(events: DataFrame, gap_s: float) -> DataFrame:
         state.update(last)
         yield pd.DataFrame(out, columns=["channel", "ord", "t"])
 
-    return events.groupBy("channel").applyInPandasWithState(run, "channel long, ord long, t double", "t double, ord long, burst boolean", "append", GroupStateTimeout.NoTimeout)
+    kind = dict(events.dtypes)["channel"]
+    return events.groupBy("channel").applyInPandasWithState(run, f"channel {kind}, ord long, t double", "t double, ord long, burst boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
