@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from ..operators import blocks as B
 from ..operators import dsp as S
+from ..operators import pipelines as R
 from . import adapters as A
 
 
@@ -61,7 +64,64 @@ def stm01(spark, sf):
     return out.where(F.floor(F.col("sample") / 512) == F.col("block_id")).select("channel", "sample", F.round("y", 6).alias("y"))
 
 
+def hfo_run(spark, sf):
+    found = R.hfo_events(bursts(spark, sf), 1000.0, max_ms=200.0, pad=10)
+    k = F.crc32(F.col("event_id").cast("binary")) / 4294967296.0
+    scores = found.select("event_id", k.alias("keep"), ((k * 7) % 1).alias("spike"), ((k * 13) % 1).alias("ehfo"))
+    channels = A.long_signal(spark, sf).select("channel").distinct()
+    out = R.hfo_summary(channels, R.label_hfo(found, scores), 1.0)
+    return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
+
+
+def spline(spark, sf):
+    def run(x):
+        at = list(range(0, len(x), 10))
+        return S._rows(K.spline(at, x[at], range(len(x))))
+
+    return S.per_channel(short(spark, sf), run, *S.SAMPLES).withColumn("y", F.round("y", 6))
+
+
+def boundary(spark, sf):
+    def run(x):
+        found = [K.spike_boundary(x, A.FS * 5, p) for p in K.find_peaks(x)[::20]]
+        return [f for f in found if f]
+
+    fields = [(n, pa.int64()) for n in ("p1", "n1", "n2")]
+    return S.per_channel(short(spark, sf), run, "p1 long, n1 long, n2 long", fields)
+
+
+def measure(spark, sf):
+    import numpy as np
+
+    def run(x):
+        power, freq, ms = K.gamma_measure(x, 500.0, len(x) // 2, len(x) // 2 + 30)
+        return [tuple(None if np.isnan(v) else round(v, 6) for v in (power, freq, ms))]
+
+    return S.per_channel(short(spark, sf), run, "power double, freq double, ms double", [(n, pa.float64()) for n in ("power", "freq", "ms")])
+
+
+def prepared(spark, sf):
+    bad = spark.createDataFrame([(3,)], "channel long")
+    out = R.prepared(A.long_signal(spark, sf), 50, 900, bad, "mean")
+    return out.withColumn("x", F.round("x", 0))
+
+
+PREPARED = f"""WITH {A.LONG_SIGNAL}, s AS (SELECT channel, sample - 50 AS sample, x * 1e6 AS x FROM long_signal WHERE sample >= 50 AND sample < 900 AND channel <> 3) SELECT channel, sample, round(x - avg(x) OVER (PARTITION BY sample), 0) AS x FROM s"""
+
 QUERIES = {
+    "dsp05_gamma_notch": (q(lambda s: S.per_channel(s, lambda x: S._rows(K.filtfilt(*K.notch(20.0, A.FS), x)), *S.SAMPLES)), None),
+    "dsp06_boundary_band": (q(lambda s: S.bandpass(s, 500.0, 10.0, 60.0)), None),
+    "dsp06_gamma_band": (q(lambda s: S.bandpass(s, 500.0, 30.0, 100.0)), None),
+    "dsp07_hum_filter": (q(lambda s: S.per_channel(s, lambda x: S._rows(K.filtfilt(*K.hum_filter(20.0, A.FS), x)), *S.SAMPLES)), None),
+    "dsp08_detector_band": (q(lambda s: S.prefiltered(s, 200.0, 10.0, 60.0)), None),
+    "dsp09_detector_resample": (q(lambda s: S.resampled(s, 500.0, 200.0)), None),
+    "dsp17_review_filter": (q(lambda s: S.display_filter(s, A.FS, 5.0, 45.0)), None),
+    "dsp18_threshold_spline": (spline, None),
+    "dsp20_spike_boundary": (boundary, None),
+    "dsp22_gamma_measure": (measure, None),
+    "dsp29_hfo_run": (hfo_run, None),
+    "dsp30_prepared_input": (prepared, PREPARED),
+    "gamma_spike_run": (lambda spark, sf: R.gamma_spikes(heavy(spark, sf), A.FS, 4000, 1000), None),
     "dsp01_rei_bandpass": (q(lambda s: S.bandpass(s, A.FS, 10.0, 40.0)), None),
     "dsp02_notch": (q(lambda s: S.notched(s, A.FS, 20.0)), None),
     "dsp03_display_filter": (q(lambda s: S.display_filter(s, A.FS, 1.0, 30.0)), None),

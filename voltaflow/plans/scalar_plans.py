@@ -401,7 +401,58 @@ def dml05(spark, sf):
     return known.join(saved, "channel", "left").select("channel", F.coalesce("grp", F.lit("macro")).alias("grp"))
 
 
+def fil07(spark, sf):
+    """Half-open centres, the last one closed."""
+    d = A.detections(spark, sf)
+    z = d.agg(F.max("t").alias("stop"))
+    t0 = 1704067200.0
+    keep = (F.col("t") >= t0) & ((F.col("t") < t0 + 864000.0) | ((F.col("t") == F.col("stop")) & (F.col("stop") <= t0 + 864000.0)))
+    return d.join(F.broadcast(z)).where(keep).select("ord", "t")
+
+
+def fil21(spark, sf):
+    p = A.table(spark, sf, "part").select("p_partkey", (F.col("p_size") * 12.0).alias("low"), (F.col("p_retailprice") / 3).alias("high"), (F.col("p_size") % 7 - 1).alias("min_ms"))
+    checks = F.array(
+        F.when((F.col("low") <= 0) | (F.col("high") <= F.col("low")), "band edges must rise from above zero"), F.when(F.col("low") >= 500.0, "the band starts above Nyquist"), F.when(F.col("min_ms") <= 0, "durations must rise from above zero")
+    )
+    return p.select("p_partkey", F.array_join(F.array_compact(checks), "; ").alias("wrong"))
+
+
+def srt03(spark, sf):
+    return O.top_rows(A.detections(spark, sf).select("t", "channel", "ord"), [F.col("t"), F.col("channel"), F.col("ord")], 500)
+
+
+def srt10(spark, sf):
+    h = A.oscillations(spark, sf).select((F.col("start") / 1000.0).alias("start"), (F.col("end") / 1000.0).alias("end"), F.col("detector").alias("source"), "channel", "event_id")
+    return O.top_rows(h, [F.col("start"), F.col("end"), F.col("source"), F.col("channel"), F.col("event_id")], 250)
+
+
+def dml03(spark, sf):
+    """Annotations from JSON with defaults for what is missing."""
+    e = A.table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.format_string('{"id":"a%d","kind":"Artifact","t_start":%d,"t_end":%d}', "event_id", "event_id", F.col("event_id") + 2)).otherwise(F.format_string('{"id":"a%d","t_start":%d}', "event_id", "event_id")).alias("j"))
+    a = F.from_json("j", "id string, kind string, t_start double, t_end double, note string")
+    e = e.select(a.alias("a")).select("a.*")
+    return e.select("id", F.coalesce("kind", F.lit("Other")).alias("kind"), "t_start", F.coalesce("t_end", "t_start").alias("t_end"), F.coalesce("note", F.lit("")).alias("note"))
+
+
+def snk06(spark, sf):
+    s = A.spikes(spark, sf)
+    return s.select("event_id", F.to_json(F.struct(C.finite(F.col("power")).isNotNull().alias("measured"), F.col("channel").alias("electrode"))).alias("meta"))
+
+
+def agg12(spark, sf):
+    o = A.table(spark, sf, "orders").select(F.element_at(F.array(*map(F.lit, ("ok", "skipped", "error"))), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("status"), (F.col("o_custkey") % 4).alias("excluded_channels"))
+    return o.groupBy("status").agg(F.count("*").alias("n"), F.sum("excluded_channels").alias("excluded"))
+
+
 QUERIES = {
+    "fil07_central_by_time": (fil07, f"WITH {D}, z AS (SELECT max(t) AS stop FROM detections) SELECT ord, t FROM detections, z WHERE t >= 1704067200.0 AND (t < 1704931200.0 OR (t = stop AND stop <= 1704931200.0))"),
+    "fil21_hfo_validation": (fil21, "SELECT p_partkey, concat_ws('; ', CASE WHEN p_size * 12.0 <= 0 OR p_retailprice / 3 <= p_size * 12.0 THEN 'band edges must rise from above zero' END, CASE WHEN p_size * 12.0 >= 500 THEN 'the band starts above Nyquist' END, CASE WHEN p_size % 7 - 1 <= 0 THEN 'durations must rise from above zero' END) AS wrong FROM part"),
+    "srt03_detector_order": (srt03, f"WITH {D} SELECT t, channel, ord FROM detections ORDER BY t, channel, ord LIMIT 500"),
+    "srt10_timeline_order": (srt10, f"WITH {OSC} SELECT start / 1000.0::DOUBLE AS start, \"end\" / 1000.0::DOUBLE AS \"end\", detector AS source, channel, event_id FROM oscillations o ORDER BY o.start, o.\"end\", detector, channel, event_id LIMIT 250"),
+    "dml03_restore_annotations": (dml03, "SELECT 'a' || event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'Artifact' ELSE 'Other' END AS kind, event_id::DOUBLE AS t_start, (CASE WHEN event_id % 3 = 0 THEN event_id + 2 ELSE event_id END)::DOUBLE AS t_end, '' AS note FROM events"),
+    "snk06_metadata": (snk06, f"WITH {SPK} SELECT event_id, '{{\"measured\":' || CASE WHEN isnan(power) THEN 'false' ELSE 'true' END || ',\"electrode\":' || channel || '}}' AS meta FROM spikes"),
+    "agg12_batch_tallies": (agg12, "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'skipped' ELSE 'error' END AS status, count(*) AS n, CAST(sum(o_custkey % 4) AS BIGINT) AS excluded FROM orders GROUP BY 1"),
     "fil01_time_window": (fil01, f"WITH {LSIG} SELECT * FROM long_signal WHERE sample >= floor(3.333 * 100) AND sample < ceil(9.001 * 100)"),
     "fil02_select_channels": (fil02, f"WITH {LSIG} SELECT s.*, ord FROM long_signal s JOIN (VALUES (5, 0), (2, 1), (11, 2)) v(channel, ord) USING (channel)"),
     "fil03_exclude_bad": (fil03, f"WITH {LSIG} SELECT * FROM long_signal WHERE channel NOT IN (3, 7)"),
