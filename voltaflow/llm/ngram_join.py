@@ -201,24 +201,26 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
     """key, class_id (least id of the documents connected by links and copies), text_id (least id with the same set), n_links (other sets linked)."""
     bounded_batches(spark)
     named = materialize(spark, signatures(spark, docs.where(F.col(key).isNotNull()), key, text), "signatures")
-    reps = named.groupBy("set_key").agg(F.min("key").alias("rep"))
+    # aggregates are written before they are joined back: a join of two plain shuffles can split a key with many rows
+    reps = materialize(spark, named.groupBy("set_key").agg(F.min("key").alias("rep")), "reps")
     members = named.select("key", "set_key").join(reps, "set_key").select("key", F.col("rep"))
     firsts = named.join(reps.where(F.col("rep").isNotNull()), [named.set_key == reps.set_key, named.key == reps.rep], "left_semi").where("n > 0")
     banded = firsts.select(F.col("key").alias("rep"), F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last")
+    shared = materialize(spark, banded.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last"), "bands")
     near = banded.join(shared, "band").where("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")).distinct()
     candidates = components(spark, materialize(spark, near, "near"))
-    sizes = candidates.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = materialize(spark, candidates.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
     placed = candidates.join(sizes, "comp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = placed.select(F.col("node").alias("rep"), "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
     pairs = pairs.select("rep", "comp", "own", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
-    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(pairs, "rep")
+    # the pairs grow with the corpus, so they are never broadcast to the texts, however few they are here
+    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(pairs.hint("merge"), "rep")
     partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = materialize(spark, block_links(texts, partitions, threshold, tolerance), "links")
     release(spark)
     counts = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
     classes = components(spark, found.where("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")).distinct())
-    known = counts.join(classes.withColumnRenamed("node", "rep"), "rep", "left")
+    known = materialize(spark, counts.join(classes.withColumnRenamed("node", "rep"), "rep", "left"), "classes")
     out = members.join(known, "rep", "left").select(
         F.col("key").alias(key), F.coalesce("comp", "rep").alias("class_id"), F.col("rep").alias("text_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
@@ -229,3 +231,22 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document."""
     return jaccard_join(spark, table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), k AS (SELECT doc_id, md5(coalesce(string_agg(g, chr(10) ORDER BY g), '')) AS h, count(g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+t AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY h) AS text_id FROM k),
+x AS (SELECT s.doc_id, g, n FROM s JOIN t USING (doc_id) WHERE doc_id = text_id),
+p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), e AS (SELECT u, v FROM p WHERE 5 * c >= 4 * (na + nb - c)),
+both_ways AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+reach AS (SELECT u, v FROM both_ways UNION SELECT r.u, b.v FROM reach r JOIN both_ways b ON r.v = b.u),
+c AS (SELECT u, min(v) AS least FROM reach GROUP BY u), l AS (SELECT u, count(*) AS n_links FROM both_ways GROUP BY u)
+SELECT doc_id, least(text_id, coalesce(c.least, text_id)) AS class_id, text_id, coalesce(n_links, 0) AS n_links
+FROM t LEFT JOIN c ON c.u = text_id LEFT JOIN l ON l.u = text_id
+"""

@@ -5,12 +5,12 @@ from __future__ import annotations
 from .bpe import op1_query
 from .chat import OP9_SQL, op9_query
 from .html_extract import op10_query
-from .ngram_join import op6_query
+from .ngram_join import OP6_SQL, op6_query
 from .packing import op5_query
 from .quality import OP8_SQL, op8_query
 from .secrets import op4_query
 from .simhash import op7_query
-from .substring_dedup import op2_query
+from .substring_dedup import OP2_SQL, op2_query
 from .unigram import op3_query
 
 QUERIES = {
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_html_text": op10_query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_quality_rules": OP8_SQL, "op9_chat_format": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op6_ngram_join": OP6_SQL, "op8_quality_rules": OP8_SQL, "op9_chat_format": OP9_SQL}
