@@ -27,7 +27,7 @@ from .lexicon import Lexicon, compile_lexicon
 #: Split of the byte-level tokenizer (fixed value of that public tokenizer).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words in the lexicon, their greatest length in bytes, entries in a worker's memo.
-LEXICON_WORDS, LEXICON_BYTES, MEMO = 50_000, 64, 150_000
+LEXICON_WORDS, LEXICON_BYTES, MEMO = 50_000, 64, 300_000
 _NONE = 1 << 60
 
 
