@@ -112,7 +112,8 @@ def loss_spans(parsed: Column) -> Column:
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and the contract's probe, formatted and read back from the output."""
     conv_id, turns, text = PROBE
-    probe = spark.createDataFrame([(conv_id, n, role, text) for n, role in turns], "conv_id long, turn long, role string, text string")
+    roles = F.array(*(F.lit(role) for _, role in turns))
+    probe = spark.range(len(turns)).select(F.lit(conv_id).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.element_at(roles, (F.col("id") + 1).cast("int")).alias("role"), F.lit(text).alias("text"))
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     out = format_conversations(rows.unionByName(probe)).withColumn("back", parse(F.col("formatted")))
 

@@ -119,11 +119,11 @@ def near(fps: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int =
         return df.withColumn("x", F.explode(rows)).select(F.col("fp").alias(name), "x.t", "x.k")
 
     asked = tables(queries, "q")
-    held = tables(fps, "fp").join(asked.select("t", "k").distinct(), ["t", "k"], "left_semi")
+    held = tables(fps, "fp").join(asked.select("t", "k").distinct().hint("merge"), ["t", "k"], "left_semi")
     sizes = held.groupBy("t", "k").agg(F.count("*").alias("n"))
     held = held.join(sizes, ["t", "k"]).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / CHUNK)))
     chunks = held.groupBy("t", "k", "chunk").agg(F.collect_list("fp").alias("fps"))
-    met = asked.join(chunks, ["t", "k"])
+    met = asked.hint("merge").join(chunks, ["t", "k"])  # both sides grow with the corpus: neither is broadcast
 
     def counts(x: Column) -> Column:
         diff = x.bitwiseXOR(F.col("q"))
