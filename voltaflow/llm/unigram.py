@@ -12,6 +12,9 @@ put in front; repeated rows count each; long texts count whole; other columns ar
 
 from __future__ import annotations
 
+import math
+import re
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, map_arrow, table
 
-MARK, UNKNOWN_PENALTY, MEMO = "▁", 10.0, 400_000
+MARK, UNKNOWN_PENALTY, MEMO = "▁", 10.0, 300_000
 
 
 class UnigramCounter(dict):
@@ -29,12 +32,17 @@ class UnigramCounter(dict):
         super().__init__()
         self.unk, self.bytes = pieces[unk_id][0], byte_fallback and all(f"<0x{b:02X}>" in {p for p, _ in pieces} for b in range(256))
         self.unk_score = min(s for _, s in pieces) - UNKNOWN_PENALTY
-        self.auto = ahocorasick.Automaton()
+        self.auto, self.plain, self.inner = ahocorasick.Automaton(), ahocorasick.Automaton(), {}
         self.chars = {p for p, _ in pieces if len(p) == 1}
         for p, s in pieces:
             if p:
                 self.auto.add_word(p, (len(p), s, p == self.unk))
+                self.plain.add_word(p, (len(p), s))
         self.auto.make_automaton()
+        self.plain.make_automaton()
+        # runs of characters that no piece holds cut a word; where runs count by bytes, the parts don't touch each other
+        held = {c for p, _ in pieces for c in p}
+        self.cut = re.compile("([^" + "".join(map(re.escape, sorted(held))) + "]+)") if self.bytes else None
 
     def run_length(self, run: str) -> int:
         """Pieces of a run of unknown characters."""
@@ -61,8 +69,39 @@ class UnigramCounter(dict):
                 count[end] = count[start] + self.run_length(run[start]) + 1
         return count[n] + self.run_length(run[n]), score[n]
 
+    def known(self, word: str) -> tuple[int, float]:
+        """The same for a word all of whose characters are pieces: matches come by end, of one end the longest first."""
+        n = len(word)
+        score, count = [0.0] + [-math.inf] * n, [0] * (n + 1)
+        for end, (length, s) in self.plain.iter(word):
+            value = score[end + 1 - length] + s
+            if value > score[end + 1]:
+                score[end + 1], count[end + 1] = value, count[end + 1 - length] + 1
+        return count[n], score[n]
+
+    def any_word(self, word: str) -> tuple[int, float]:
+        if self.unk in word:
+            return self.word(word)
+        if self.chars.issuperset(word):
+            return self.known(word)
+        if self.cut is None:
+            return self.word(word)
+        n, score = 0, 0.0
+        for i, part in enumerate(self.cut.split(word)):
+            if i % 2:  # unknown characters
+                n, score = n + len(part.encode()), score + len(part) * self.unk_score
+            elif part:
+                found = self.inner.get(part)
+                if found is None:
+                    found = self.known(part) if self.chars.issuperset(part) else self.word(part)
+                    if len(self.inner) >= MEMO:
+                        self.inner.clear()
+                    self.inner[part] = found
+                n, score = n + found[0], score + found[1]
+        return n, score
+
     def __missing__(self, part: str) -> tuple[int, float]:
-        out = self.word(MARK + part)
+        out = self.any_word(MARK + part)
         if len(part) <= 64:
             if len(self) >= MEMO:
                 self.clear()
