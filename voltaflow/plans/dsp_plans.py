@@ -12,10 +12,6 @@ from ..operators import pipelines as R
 from . import adapters as A
 
 
-def short(spark, sf):
-    return A.signal(spark, sf).where("sample < 2000")
-
-
 def heavy(spark, sf):
     """Heavy-tailed noise, by a hash of channel and sample, so that detectors have something to find."""
     u = (F.crc32(F.concat_ws(":", "channel", "sample").cast("binary")) + 0.5) / 4294967296.0
@@ -31,7 +27,7 @@ def bursts(spark, sf):
 
 def q(fn):
     def run(spark, sf):
-        out = fn(short(spark, sf))
+        out = fn(A.signal(spark, sf))
         return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
 
     return run
@@ -78,7 +74,7 @@ def spline(spark, sf):
         at = list(range(0, len(x), 10))
         return S._rows(K.spline(at, x[at], range(len(x))))
 
-    return S.per_channel(short(spark, sf), run, *S.SAMPLES).withColumn("y", F.round("y", 6))
+    return S.per_channel(A.signal(spark, sf), run, *S.SAMPLES).withColumn("y", F.round("y", 6))
 
 
 def boundary(spark, sf):
@@ -87,7 +83,7 @@ def boundary(spark, sf):
         return [f for f in found if f]
 
     fields = [(n, pa.int64()) for n in ("p1", "n1", "n2")]
-    return S.per_channel(short(spark, sf), run, "p1 long, n1 long, n2 long", fields)
+    return S.per_channel(A.signal(spark, sf), run, "p1 long, n1 long, n2 long", fields)
 
 
 def measure(spark, sf):
@@ -97,7 +93,7 @@ def measure(spark, sf):
         power, freq, ms = K.gamma_measure(x, 500.0, len(x) // 2, len(x) // 2 + 30)
         return [tuple(None if np.isnan(v) else round(v, 6) for v in (power, freq, ms))]
 
-    return S.per_channel(short(spark, sf), run, "power double, freq double, ms double", [(n, pa.float64()) for n in ("power", "freq", "ms")])
+    return S.per_channel(A.signal(spark, sf), run, "power double, freq double, ms double", [(n, pa.float64()) for n in ("power", "freq", "ms")])
 
 
 def prepared(spark, sf):
