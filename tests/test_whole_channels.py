@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voltaflow.functions import kernels as K
+from voltaflow.operators import dsp as S
 from voltaflow.plans import adapters as A
 from voltaflow.plans import registry
 
@@ -61,3 +62,31 @@ def test_long_splines_go_through_their_points():
     assert np.allclose(K.spline(x, cubic(x), at), cubic(at))
     y = rng.normal(size=700)
     assert np.allclose(K.spline(x, y, x), y)
+
+
+def test_every_peak_has_a_row(spark, channels):
+    peaks = {(c, p) for c, x in channels.items() for p in K.find_peaks(x).tolist()}
+    for name in ("dsp20_spike_boundary", "dsp22_gamma_measure"):
+        got = registry.queries()[name](spark, SF).collect()
+        assert len(got) == len(peaks) and {(r.channel, r.sample) for r in got} == peaks
+
+
+def test_every_peak_has_its_boundary_and_measurement(spark):
+    """On smooth noise, where most peaks have a boundary."""
+    fs, rng = 500.0, np.random.default_rng(5)
+    x = {c: np.convolve(rng.normal(size=2500), np.hanning(15), "same") for c in "ab"}
+    df = spark.createDataFrame([(c, i, float(v)) for c in x for i, v in enumerate(x[c])], "channel string, sample long, x double")
+    edges = {(c, p): K.spike_boundary(x[c], fs, p) for c in x for p in K.find_peaks(x[c]).tolist()}
+    assert sum(e is not None for e in edges.values()) > 100
+    got = S.spike_boundaries(df, fs, K.find_peaks).collect()
+    assert len(got) == len(edges) and {(r.channel, r.sample): None if r.p1 is None else (r.p1, r.n1, r.n2) for r in got} == edges
+    got = S.gamma_events(df, fs, K.find_peaks).collect()
+    assert len(got) == len(edges) and {(r.channel, r.sample) for r in got} == set(edges)
+    for r in got:
+        at = edges[r.channel, r.sample]
+        if at is None:
+            assert r.error == "no boundary" and r.power is None
+            continue
+        lo = max(0, at[1] - 500)
+        want = K.gamma_measure(x[r.channel][lo : at[1] + 500], fs, at[0] - lo, at[2] - lo)
+        assert np.allclose([np.nan if v is None else v for v in (r.power, r.freq, r.duration_ms)], want, equal_nan=True)

@@ -452,17 +452,21 @@ def spike_boundary(x: np.ndarray, fs: float, at: int) -> tuple[int, int, int] |
     tops, dips = find_peaks(part), find_peaks(-part)
     if not len(tops) or not len(dips):
         return None
-    depth = prominences(-part, dips)
+    i = np.searchsorted(tops, dips)
+    p1 = tops[np.maximum(i - 1, 0)]
+    p2 = np.where(i < len(tops), tops[np.minimum(i, len(tops) - 1)], np.minimum(len(part) - 1, p1 + round(0.15 * fs)))
+    ok = (i > 0) & (dips - p1 >= 0.01 * fs) & (0.02 * fs <= p2 - p1) & (p2 - p1 <= 0.07 * fs) & (p2 - dips >= 0.01 * fs)
+    at = np.flatnonzero(ok)
+    if not len(at):
+        return None
+    depth, sd = prominences(-part, dips[at]), part.std()
     for limit in range(20, 0, -2):
-        for n1 in dips[depth >= limit * part.std() / 10]:
-            before, after = tops[tops < n1], tops[tops > n1]
-            if len(before) and n1 - before[-1] >= 0.01 * fs:
-                p1 = int(before[-1])
-                p2 = int(after[0]) if len(after) else min(len(part) - 1, p1 + round(0.15 * fs))
-                if 0.02 * fs <= p2 - p1 <= 0.07 * fs and p2 - n1 >= 0.01 * fs:
-                    later = dips[dips > p2]
-                    n2 = int(later[0]) if len(later) else min(len(part) - 1, p1 + round(0.15 * fs))
-                    return lo + p1, lo + int(n1), lo + n2
+        deep = at[depth >= limit * sd / 10]
+        if len(deep):
+            k = deep[0]
+            later = dips[dips > p2[k]]
+            n2 = int(later[0]) if len(later) else min(len(part) - 1, int(p1[k]) + round(0.15 * fs))
+            return lo + int(p1[k]), lo + int(dips[k]), lo + n2
     return None
 
 

@@ -110,21 +110,28 @@ def spikes(signal: DataFrame, fs: float, keys: tuple[str, ...] = ("channel",)) -
     return per_channel(signal, lambda x: [(int(p), (p + 1) / fs) for p in K.spike_detector(x, fs)], "sample long, pos_s double", [("sample", pa.int64()), ("pos_s", pa.float64())], keys)
 
 
-def gamma_events(signal: DataFrame, fs: float) -> DataFrame:
-    """DSP19-23: spikes with boundaries and gamma measurements; what fails is told in `error`, not raised."""
+def spike_boundaries(signal: DataFrame, fs: float, find: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """DSP20: one row for each spike that `find` gives, with its P1, N1 and N2; nulls where it has no boundary."""
+    fields = [(n, pa.int64()) for n in ("sample", "p1", "n1", "n2")]
+    return per_channel(signal, lambda x: [(p, *(K.spike_boundary(x, fs, p) or (None,) * 3)) for p in find(x).tolist()], "sample long, p1 long, n1 long, n2 long", fields)
+
+
+def gamma_events(signal: DataFrame, fs: float, find: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """DSP19-23: spikes (of the detector, or of `find`) with boundaries and gamma measurements; what fails is told in `error`, not raised."""
 
     def run(x):
-        rows = []
-        for p in K.spike_detector(x, fs).tolist():
+        rows, measured = [], {}  # spikes side by side share boundaries
+        for p in (K.spike_detector(x, fs) if find is None else find(x)).tolist():
             edges = K.spike_boundary(x, fs, p)
             if edges is None:
                 rows.append((p, None, None, None, None, None, None, "no boundary"))
                 continue
-            p1, n1, n2 = edges
-            lo = max(0, n1 - round(fs))
-            power, freq, ms = K.gamma_measure(x[lo : n1 + round(fs)], fs, p1 - lo, n2 - lo)
-            bad = np.isnan(power)
-            rows.append((p, p1, n1, n2, *((None,) * 3 if bad else (power, freq, ms)), "not evaluable" if bad else None))
+            if edges not in measured:
+                p1, n1, n2 = edges
+                lo = max(0, n1 - round(fs))
+                measured[edges] = K.gamma_measure(x[lo : n1 + round(fs)], fs, p1 - lo, n2 - lo)
+            bad = np.isnan(measured[edges][0])
+            rows.append((p, *edges, *((None,) * 3 if bad else measured[edges]), "not evaluable" if bad else None))
         return rows
 
     ints = [(n, pa.int64()) for n in ("sample", "p1", "n1", "n2")]

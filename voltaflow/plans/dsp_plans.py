@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
@@ -77,25 +76,6 @@ def spline(spark, sf):
     return S.per_channel(A.signal(spark, sf), run, *S.SAMPLES).withColumn("y", F.round("y", 6))
 
 
-def boundary(spark, sf):
-    def run(x):
-        found = [K.spike_boundary(x, A.FS * 5, p) for p in K.find_peaks(x)[::20]]
-        return [f for f in found if f]
-
-    fields = [(n, pa.int64()) for n in ("p1", "n1", "n2")]
-    return S.per_channel(A.signal(spark, sf), run, "p1 long, n1 long, n2 long", fields)
-
-
-def measure(spark, sf):
-    import numpy as np
-
-    def run(x):
-        power, freq, ms = K.gamma_measure(x, 500.0, len(x) // 2, len(x) // 2 + 30)
-        return [tuple(None if np.isnan(v) else round(v, 6) for v in (power, freq, ms))]
-
-    return S.per_channel(A.signal(spark, sf), run, "power double, freq double, ms double", [(n, pa.float64()) for n in ("power", "freq", "ms")])
-
-
 def prepared(spark, sf):
     bad = spark.createDataFrame([(3,)], "channel long")
     out = R.prepared(A.long_signal(spark, sf), 50, 900, bad, "mean")
@@ -113,8 +93,8 @@ QUERIES = {
     "dsp09_detector_resample": (q(lambda s: S.resampled(s, 500.0, 200.0)), None),
     "dsp17_review_filter": (q(lambda s: S.display_filter(s, A.FS, 5.0, 45.0)), None),
     "dsp18_threshold_spline": (spline, None),
-    "dsp20_spike_boundary": (boundary, None),
-    "dsp22_gamma_measure": (measure, None),
+    "dsp20_spike_boundary": (q(lambda s: S.spike_boundaries(s, A.FS * 5, K.find_peaks)), None),
+    "dsp22_gamma_measure": (q(lambda s: S.gamma_events(s, 500.0, K.find_peaks).withColumnRenamed("duration_ms", "ms")), None),
     "dsp29_hfo_run": (hfo_run, None),
     "dsp30_prepared_input": (prepared, PREPARED),
     "gamma_spike_run": (lambda spark, sf: R.gamma_spikes(heavy(spark, sf), A.FS, 4000, 1000), None),
