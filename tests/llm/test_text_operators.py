@@ -407,6 +407,19 @@ def test_viterbi_is_the_best_path():
     assert tuple(crf.label(blocks)) == max(product((0, 1), repeat=len(blocks)), key=value)
 
 
+def test_missing_end_tags_cost_no_text():
+    crf = html_extract.model()
+    page = "<html><body><article><h1>Head line here</h1><p>First para, with some words in it.</p>{}<p>Second one is here, and it goes on too.</p></article><footer>&copy; x</footer></body></html>"
+    whole = "Head line here\nFirst para, with some words in it.\nSecond one is here, and it goes on too."
+    for mark in ("<svg width='9' />", "<math/>", "<button class=x>", "<video src=a>", "<object data=a>", "<canvas>", "<select>", "<template>", "<datalist><option value=a><option value=b></datalist>", "<div><button></div>"):
+        got = html_extract.main_text(page.format(mark), crf)
+        assert got == whole, mark
+        assert html_extract.main_text(page.format(mark) + "<div><button>Go</button><svg></svg><video></video></div>", crf) == whole, mark
+    for mark in ("<svg><title>t</title><text>in it</text><svg/></svg>", "<button>Go <b>on</b></button>", "<select><option>a<option>b</select>", "<object><p>No plugin</p></object>", "<video>None</video>", "<template><p>t</p></template>", "<!-- <svg> -->"):
+        assert html_extract.main_text(page.format(mark), crf) == whole, mark
+    assert [t for _, t, _ in html_extract.blocks_of("<p>a <button>x</button> b <svg><text>y</text></svg>c</p><p>d<option>e</p><p>f</p>")] == ["a b c", "d e", "f"]
+
+
 def test_pages(spark):
     crf = html_extract.model()
     page = "<html><head><title>t</title></head><body><nav><ul><li><a href='/x'>Home</a></li></ul></nav><article><h1>A &amp; B</h1><p>First   para,\n with <b>bold</b> words in it.<p>Second one is here too.</article><footer>&copy; x</footer>"

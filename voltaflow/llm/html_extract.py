@@ -15,6 +15,7 @@ from __future__ import annotations
 import html as _html
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ TRAIN_PAGES, TRAIN_STEPS, SEED = 400, 160, 7
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
-#: Elements whose text is never a block; void elements; elements that don't end a block.
-RAW = frozenset("script style noscript template textarea title iframe svg math select option button object audio video canvas".split())
+#: Elements that hold text up to their end tag only; elements whose content is no text of the page if their end tag closes them; void elements; elements that don't end a block.
+RAW = frozenset("script style noscript textarea title iframe".split())
+APART = frozenset("template svg math select datalist option button object audio video canvas".split())
+APART_TAG = re.compile(rf"<(?:{'|'.join(sorted(APART))})[\s/>]", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -47,9 +50,58 @@ def class_words(attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def raw_end(page: str, tag: str, attributes: str, at: int) -> int:
+    """Where the text of an element of RAW ends, whose tag ends at `at`."""
+    if tag == "title" and attributes.rstrip().endswith("/"):
+        return at
+    end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
+    return end.end() if end else len(page)
+
+
+def is_empty(tag: str, attributes: str) -> bool:
+    """Self-closed elements of APART: HTML honours the slash in svg and math only."""
+    return tag in ("svg", "math") and attributes.rstrip().endswith("/")
+
+
+def apart(page: str) -> dict[int, int]:
+    """End of the start tag to end of the end tag, for the elements of APART that their own end tag closes.
+
+    One that an outer end tag or the page's end closes isn't here, so nothing is lost behind it.
+    """
+    ends: dict[int, int] = {}
+    if not APART_TAG.search(page):
+        return ends
+    stack: list[tuple[str, int]] = []
+    n_open: Counter = Counter()
+    at = 0
+    while m := TOKEN.search(page, at):
+        at = m.end()
+        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        if not tag:
+            continue
+        tag = tag.lower()
+        if not closing:
+            if tag in RAW:
+                at = raw_end(page, tag, attributes, at)
+            elif tag not in VOID and not is_empty(tag, attributes) and (tag in APART or not attributes.endswith("/")):
+                stack.append((tag, at))
+                n_open[tag] += 1
+        elif n_open[tag]:
+            i = len(stack) - 1
+            while stack[i][0] != tag and not (tag in INLINE and stack[i][0] not in INLINE):
+                i -= 1
+            if stack[i][0] == tag:
+                if tag in APART:
+                    ends[stack[i][1]] = at
+                n_open.subtract(t for t, _ in stack[i:])
+                del stack[i:]
+    return ends
+
+
 def blocks_of(page: str | None) -> list[tuple[tuple, str, int]]:
     """Leaf blocks in page order: ancestors (tag, class words), text, characters inside links."""
     page = page or ""
+    ends = apart(page)
     out: list[tuple[tuple, str, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
@@ -88,6 +140,9 @@ def blocks_of(page: str | None) -> list[tuple[tuple, str, int]]:
         if closing:
             if tag in VOID:
                 continue
+            if tag in APART:  # its start tag is behind
+                parts.append(" ")
+                continue
             if tag not in INLINE:
                 flush()
             for i in range(len(stack) - 1, -1, -1):
@@ -97,10 +152,8 @@ def blocks_of(page: str | None) -> list[tuple[tuple, str, int]]:
                 if tag in INLINE and stack[i][0] not in INLINE:
                     break
             continue
-        if tag in RAW:
-            if tag != "title" or not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else n
+        if tag in RAW or tag in APART:
+            at = raw_end(page, tag, attributes, at) if tag in RAW else ends.get(at, at)
             parts.append(" ")
             continue
         if tag == "br":
