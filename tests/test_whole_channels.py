@@ -90,3 +90,15 @@ def test_every_peak_has_its_boundary_and_measurement(spark):
         lo = max(0, at[1] - 500)
         want = K.gamma_measure(x[r.channel][lo : at[1] + 500], fs, at[0] - lo, at[2] - lo)
         assert np.allclose([np.nan if v is None else v for v in (r.power, r.freq, r.duration_ms)], want, equal_nan=True)
+
+
+def test_whole_queries_have_no_row_filter(spark):
+    """Counted on tables where the filters of the queries of the same name without _all drop rows."""
+    sql, run = registry.oracle_sql(), registry.queries()
+    assert "% 7" not in sql["src14_hfo_import_export_all"] and "WHERE sample" not in sql["src17_heatmap_all"] and "% 10" not in sql["jon08_candidate_waveform_all"]
+    s = A.signal(spark, SF)
+    assert run["src14_hfo_import_export_all"](spark, SF).agg(F.sum("n")).first()[0] == A.oscillations(spark, SF).count()
+    assert run["src17_heatmap_all"](spark, SF).count() == s.count()
+    assert run["jon08_candidate_waveform_all"](spark, SF).count() == s.where("x > 400").count() > 0
+    assert run["win22_best_prespike_z_all"](spark, SF).count() == s.where("x > 200 and sample > 0").count() > 0
+    assert run["win23_gamma_masks_all"](spark, SF).count() == s.where("x > 200").count()

@@ -192,6 +192,39 @@ def win23(spark, sf):
     return out.withColumn("evaluable", (F.col("baseline_n") >= int(0.25 * A.FS)) & (F.col("search_n") > 0))
 
 
+def spike_windows(spark, sf, before, after):
+    """Every sample above 200 as a spike's p1, with n2 30 samples later and the bounds of a window around it."""
+    e = A.signal(spark, sf).where("x > 200").select("channel", F.col("sample").alias("p1"), (F.col("sample") + 30).alias("n2"))
+    return e.withColumns({"lo": F.greatest(F.col("p1") - before, F.lit(0)), "hi": F.col("p1") + after})
+
+
+def win22_all(spark, sf):
+    """The best z in the search window (half a second) of every spike."""
+    s = A.signal(spark, sf)
+    z = s.groupBy("channel").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("sd"))
+    near = E.event_samples(spike_windows(spark, sf, 50, 0), s, 256).join(z, "channel")
+    zs = near.withColumn("z", F.round((F.col("x") - F.col("m")) / F.col("sd"), 9))
+    best = F.min(F.struct((-F.col("z")).alias("a"), F.col("sample").alias("sample")))
+    return zs.groupBy("channel", "p1").agg(best.alias("b")).select("channel", "p1", F.col("b.sample").alias("sample"), F.round(-F.col("b.a"), 6).alias("z"))
+
+
+WIN22_ALL = f"""WITH {SIG}, m AS (SELECT channel, avg(x) AS m, stddev_samp(x) AS sd FROM signal GROUP BY channel), e AS (SELECT channel, sample AS p1 FROM signal WHERE x > 200),
+z AS (SELECT s.channel, p1, sample, round((x - m) / sd, 9) AS z FROM e JOIN signal s ON s.channel = e.channel AND sample >= p1 - 50 AND sample < p1 JOIN m ON m.channel = s.channel)
+SELECT channel, p1, arg_max(sample, (z, -sample)) AS sample, round(max(z), 6) AS z FROM z GROUP BY channel, p1"""
+
+
+def win23_all(spark, sf):
+    """Masks of every spike over its own stretch, from 400 samples before p1 to 600 after."""
+    s = E.event_samples(spike_windows(spark, sf, 400, 600), A.signal(spark, sf), 256)
+    out = W.gamma_masks(s, A.FS).groupBy("channel", "p1").agg(F.count_if("search").alias("search_n"), F.count_if("baseline").alias("baseline_n"))
+    return out.withColumn("evaluable", (F.col("baseline_n") >= int(0.25 * A.FS)) & (F.col("search_n") > 0))
+
+
+WIN23_ALL = f"""WITH {SIG}, e AS (SELECT channel, sample AS p1 FROM signal WHERE x > 200),
+m AS (SELECT e.channel, p1, count(*) FILTER (sample BETWEEN p1 - 50 AND p1 - 1) AS search_n, count(*) FILTER (sample < p1 - 50 OR sample > p1 + 80) AS baseline_n FROM e JOIN signal s ON s.channel = e.channel AND sample >= p1 - 400 AND sample < p1 + 600 GROUP BY e.channel, p1)
+SELECT *, baseline_n >= 25 AND search_n > 0 AS evaluable FROM m"""
+
+
 def win24(spark, sf):
     r = A.long_signal(spark, sf).groupBy(F.col("channel").alias("recording")).agg(F.count("*").alias("n_samples"))
     return B.chunk_plan(r, 600, 10).withColumn("chunk_id", F.col("chunk_id").cast("long"))
@@ -254,10 +287,10 @@ JON07 = f"""WITH {SIG}, e AS (SELECT channel, sample AS event, greatest(sample -
 SELECT e.channel, event, count(*) AS n, round(sum(x), 6) AS total, round(arg_min(x, sample), 6) AS "first" FROM e JOIN signal s ON s.channel = e.channel AND sample >= lo AND sample < hi GROUP BY e.channel, event"""
 
 
-def jon08(spark, sf):
+def jon08(spark, sf, of="x > 400 and (sample < 60 or sample % 10 = 0)"):
     s = A.signal(spark, sf)
     n = s.groupBy("channel").agg(F.count("*").alias("n"))
-    e = s.where("x > 400 and (sample < 60 or sample % 10 = 0)").join(n, "channel")
+    e = s.where(of).join(n, "channel")
     lo, hi = E.fixed_window(F.col("sample"), 101, F.col("n"))
     e = e.select("channel", F.col("sample").alias("event"), lo.alias("lo"), hi.alias("hi"))
     out = E.waveforms(e, s, 256).withColumn("waveform", E.padded(F.col("waveform"), 101))
@@ -482,3 +515,8 @@ QUERIES = {
     "agg20_score_normalise": (agg20, "SELECT c_nationkey AS recording, c_custkey AS channel, c_acctbal AS score, round(least(greatest(c_acctbal / CASE WHEN max(c_acctbal) OVER w > 0 THEN max(c_acctbal) OVER w ELSE 1.0 END, 0.0), 1.0), 6) AS level FROM customer WINDOW w AS (PARTITION BY c_nationkey)"),
     "agg21_runtime_estimate": (agg21, AGG21),
 }
+
+# The three queries above that hold part of the rows, whole.
+QUERIES["jon08_candidate_waveform_all"] = (lambda spark, sf: jon08(spark, sf, "x > 400"), JON08.replace(" AND (sample < 60 OR sample % 10 = 0)", ""))
+QUERIES["win22_best_prespike_z_all"] = (win22_all, WIN22_ALL)
+QUERIES["win23_gamma_masks_all"] = (win23_all, WIN23_ALL)

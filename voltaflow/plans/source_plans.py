@@ -42,8 +42,8 @@ SRC07 = """WITH r AS (SELECT 'sub-' || o_custkey AS subject, o_custkey, o_orderk
 SELECT CASE WHEN n_nationkey IS NOT NULL THEN 'skipped' WHEN NOT valid THEN 'invalid' WHEN broken THEN 'error' ELSE 'ready' END AS status, subject, count(*) AS n FROM r LEFT JOIN nation ON n_nationkey = o_custkey GROUP BY ALL"""
 
 
-def src14(spark, sf):
-    o = A.oscillations(spark, sf).where("start % 7 = 0")
+def src14(spark, sf, only="start % 7 = 0"):
+    o = A.oscillations(spark, sf).where(only)
     raw = o.select(F.when(F.col("start") % 2 == 0, F.col("event_id")).alias("event_id"), "channel", (F.col("start") / 1000.0).alias("start_time_s"), (F.col("end") / 1000.0).alias("end_time_s"), F.col("low_hz").alias("low_freq_hz"), "manual_class", F.col("model_class").alias("final_model_class"))
     path = scratch(spark, "hfo")
     results.write_csv(raw, path)
@@ -66,6 +66,20 @@ def src17(spark, sf):
     return results.heatmap_display(back, -5.0, 0.0).select("channel", F.round("t", 6).alias("t"), F.round("level", 6).alias("level"))
 
 
+def src17_all(spark, sf, width=20):
+    """Whole channels in stretches of `width` samples, one row of the wide table each, so that the columns stay few."""
+    s = A.signal(spark, sf)
+    part, start = F.floor(F.col("sample") / width), F.split_part("channel", F.lit("@"), F.lit(-1)).cast("long") * width
+    rows = s.select(F.concat_ws("@", "channel", part.cast("string")).alias("channel"), ((F.col("sample") % width) / A.FS).alias("t_s"), F.col("x").alias("hfer"))
+    path = scratch(spark, "heat")
+    results.write_csv(results.heatmap_wide(rows, [i / A.FS for i in range(width)]), path)
+    back = results.heatmap_long(results.read_csv(spark, path)).withColumn("sample", start + F.round(F.col("t_s") * A.FS).cast("long"))
+    back = back.select(F.regexp_replace("channel", "@[0-9]+$", "").alias("channel"), "sample", (F.col("sample") / A.FS).alias("t_s"), "hfer")
+    n = s.groupBy("channel").agg(F.count("*").alias("n"))  # the last stretch of a channel has empty cells
+    back = back.join(n, "channel").where(F.col("sample") < F.col("n"))
+    return results.heatmap_display(back, -5.0, 0.0).select("channel", F.round("t", 6).alias("t"), F.round("level", 6).alias("level"))
+
+
 def src01(spark, sf):
     """Write a small EDF file with Spark-readable bytes, read it back, and summarise its channels."""
     n = A.table(spark, sf, "nation").count()  # the file's channels: one a nation
@@ -94,3 +108,7 @@ QUERIES = {
     "src15_gamma_round_trip": (src15, f"WITH {A.SPIKES} SELECT channel, event_id AS sample0, round((event_id + 1) / 100.0, 6)::DOUBLE AS time_s, CASE WHEN NOT isnan(power) THEN power END AS power, CASE WHEN NOT isnan(duration) THEN duration END AS duration FROM spikes"),
     "src17_heatmap": (src17, f"WITH {A.SIGNAL} SELECT channel, round(sample / 100.0 - 5.0, 6)::DOUBLE AS t, round(log10(greatest(x, 1e-6)), 6) AS level FROM signal WHERE sample < 20"),
 }
+
+# The two queries above that hold part of the rows, whole.
+QUERIES["src14_hfo_import_export_all"] = (lambda spark, sf: src14(spark, sf, "true"), QUERIES["src14_hfo_import_export"][1].replace(" WHERE start % 7 = 0", ""))
+QUERIES["src17_heatmap_all"] = (src17_all, QUERIES["src17_heatmap"][1].replace(" WHERE sample < 20", ""))
