@@ -340,6 +340,34 @@ def test_block_tables_find_all(spark):
         assert got[signed(v)] == sum(0 < (v ^ u).bit_count() <= 3 for u in fps)
 
 
+def test_matches_are_all_pairs_within_the_radius(spark):
+    rng = random.Random(6)
+    centre = [rng.getrandbits(64) for _ in range(12)]
+    fps = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for c in centre for _ in range(40)}
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    df = spark.createDataFrame([(signed(v),) for v in fps], "fp long")
+    got = {r.fp: r.near for r in simhash.matches(df, df).collect()}
+    for v in fps:
+        assert got.get(signed(v), []) == sorted(signed(u) for u in fps if 0 < (v ^ u).bit_count() <= 11)
+
+
+def test_copies_and_near_copies_come_back(spark, tmp_path):
+    rng = random.Random(8)
+    rows = []
+    for i in range(0, 2000, 20):  # a queried document, its copy, and a near copy with 4 of 200 words changed
+        words = [f"w{rng.randrange(50000)}" for _ in range(200)]
+        near = list(words)
+        for at in rng.sample(range(200), 4):
+            near[at] = f"w{rng.randrange(50000)}"
+        rows += [(i, " ".join(words)), (i + 1, " ".join(words)), (i + 2, " ".join(near))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in simhash.op7_query(spark, str(tmp_path)).collect()}
+    asked = [r for r in got.values() if r.doc_id % 20 == 0]
+    assert len(asked) == 100 and all(got[r.doc_id + 1].fingerprint == r.fingerprint and r.n_same >= 1 for r in asked)
+    found = [got[r.doc_id + 2].fingerprint in (r.fingerprint, *r.near_fingerprints) for r in asked]
+    assert sum(found) >= 95
+
+
 # ---- 8
 
 

@@ -6,6 +6,9 @@ occur. Each term's 64-bit hash votes on every bit; two counters share one long,
 blocks; one table per choice of so many blocks, keyed by them, finds every such fingerprint, and a pair
 counts in the first table that holds it.
 
+The query's search has a wider radius, chosen by its recall on near copies at five-word Jaccard 0.8, and
+gives the matches themselves; documents of equal fingerprints are one class, named by the fingerprint.
+
 Defined results: null text counts as empty; a text without words has fingerprint 0; documents without
 an id come last, ties are ordered by text; the only document is its own next one; an empty table gives
 no rows; long texts count whole; other columns aren't read.
@@ -23,6 +26,8 @@ from .chat import let
 from .common import materialize, table, words_of
 
 RADIUS, BLOCKS, CHUNK, QUERY_STEP = 3, 6, 1024, 20
+#: Radius of the query's search, and its blocks: one of them differs in at most radius // blocks bits.
+WIDE, WIDE_BLOCKS = 11, 4
 LANES = 0x0000000100000001
 
 
@@ -133,8 +138,40 @@ def near(fps: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int =
     return met.select("q", F.size(F.filter("fps", counts)).cast("long").alias("n")).groupBy(F.col("q").alias("fp")).agg(F.sum("n").alias("n_near"))
 
 
+def matches(fps: DataFrame, queries: DataFrame, radius: int = WIDE, blocks: int = WIDE_BLOCKS) -> DataFrame:
+    """fp (of queries), near: array of all other fingerprints of fps within the radius.
+
+    Both hold distinct 64-bit fingerprints. Fingerprints are kept by each of their blocks; a query asks for
+    each block with up to radius // blocks bits changed. A pair comes from the first block that gives it.
+    """
+    ends, flips = [64 * i // blocks for i in range(blocks + 1)], radius // blocks
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    masks = [signed(((1 << hi) - 1) ^ ((1 << lo) - 1)) for lo, hi in zip(ends, ends[1:])]
+    changes = [[signed(sum(1 << b for b in c)) for n in range(flips + 1) for c in combinations(range(lo, hi), n)] for lo, hi in zip(ends, ends[1:])]
+    longs = lambda v: F.lit(v).cast("array<bigint>")
+    own = F.transform(longs(masks), lambda m, t: F.struct(t.alias("t"), F.col("fp").bitwiseAND(m).alias("k")))
+    held = fps.select("fp", F.explode(own).alias("x")).select("fp", "x.t", "x.k")
+    sizes = held.groupBy("t", "k").agg(F.count("*").alias("n"))
+    held = held.join(sizes, ["t", "k"]).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / CHUNK)))
+    chunks = held.groupBy("t", "k", "chunk").agg(F.collect_list("fp").alias("fps"))
+
+    def keys(t: int) -> Column:
+        return F.transform(longs(changes[t]), lambda c: F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(masks[t])).bitwiseXOR(c).alias("k")))
+
+    asked = queries.select(F.col("fp").alias("q"), F.explode(F.flatten(F.array(*map(keys, range(blocks))))).alias("x")).select("q", "x.t", "x.k")
+    met = asked.hint("merge").join(chunks, ["t", "k"])
+
+    def close(x: Column) -> Column:
+        diff = x.bitwiseXOR(F.col("q"))
+        earlier = F.exists(F.slice(longs(masks), F.lit(1), F.col("t")), lambda m: F.bit_count(diff.bitwiseAND(m)) <= flips)
+        return (F.bit_count(diff) <= radius) & (diff != 0) & ~earlier
+
+    found = met.select("q", F.filter("fps", close).alias("some")).where(F.size("some") > 0)
+    return found.groupBy(F.col("q").alias("fp")).agg(F.array_sort(F.flatten(F.collect_list("some"))).alias("near"))
+
+
 def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every text and its edited text, likenesses, and near fingerprints for ids divisible by 20."""
+    """Fingerprints of every text and its edited text, likenesses; for ids divisible by 20 the near fingerprints (and how many lie within RADIUS) and how many other documents have the same one."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(spark, docs).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
@@ -155,11 +192,14 @@ def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = one.withColumn("next_fp", F.coalesce(F.lead("fp").over(order), F.first("fp").over(order))).where("not halo")
     one = materialize(spark, one.select("doc_id", "n_chars", "sha", "fp", "edited_fp", "next_fp"), "simhash")
     asked = one.where(F.col("doc_id") % QUERY_STEP == 0)
-    found = near(one.select("fp").distinct(), asked.select("fp").distinct())
+    held = materialize(spark, one.groupBy("fp").agg((F.count("*") - 1).alias("n_same"), F.max(F.col("doc_id") % QUERY_STEP == 0).alias("asked")), "simhash_held")
+    found = matches(held.select("fp"), held.where("asked").select("fp"))
+    found = held.where("asked").join(found, "fp", "left").select("fp", "n_same", F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
+    n_near = F.size(F.filter("near", lambda x: F.bit_count(x.bitwiseXOR(F.col("fp"))) <= RADIUS)).cast("long")
     cols = ["doc_id", "n_chars", "sha", "fp", "edited_fp", "next_fp"]
-    out = asked.join(found, "fp", "left").select(*cols, F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
-    rest = one.where((F.col("doc_id") % QUERY_STEP != 0) | F.col("doc_id").isNull()).select(*cols, F.lit(None).cast("long").alias("n_near"))
+    out = asked.hint("merge").join(found, "fp").select(*cols, n_near.alias("n_near"), "n_same", F.transform("near", spell).alias("near_fingerprints"))
+    rest = one.where((F.col("doc_id") % QUERY_STEP != 0) | F.col("doc_id").isNull()).select(*cols, F.lit(None).cast("long").alias("n_near"), F.lit(None).cast("long").alias("n_same"), F.lit(None).cast("array<string>").alias("near_fingerprints"))
     return out.unionByName(rest).select(
         "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), spell(F.col("fp")).alias("fingerprint"), spell(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_near",
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_near", "n_same", "near_fingerprints",
     )
