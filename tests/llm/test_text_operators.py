@@ -163,6 +163,12 @@ def test_secret_spans():
     assert secrets.scan(None) == ([], []) and secrets.redact(None) is None
 
 
+@pytest.mark.parametrize("line", ['password: str = "Zx81qPlm44"', "const apiToken: string = 'Zx81qPlm44';", 'let api_token: &\'static str = "Zx81qPlm44";', 'val password: String? = "Zx81qPlm44"', 'secret: Optional[str] = "Zx81qPlm44"', 'token: str | None = "Zx81qPlm44"'])
+def test_typed_assignments(line):
+    assert [line[s:e] for s, e, k in secrets.scan(line)[1] if k == "named"] == ["Zx81qPlm44"]
+    assert "Zx81qPlm44" not in secrets.redact(line)
+
+
 def test_base_spans_are_the_contract():
     pattern = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     rng = random.Random(3)

@@ -36,6 +36,8 @@ REACH = 160
 STRING = re.compile(r"""[rbfuRBFU]{0,2}(?:'((?:[^'\\\n]|\\.)*)'|"((?:[^"\\\n]|\\.)*)"|`((?:[^`\\]|\\.)*)`)""")
 REFERENCE = re.compile(r"\$\{([A-Za-z_]\w*)\}|\$?([A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)*)(?=[ \t]*(?:[+.;,)\]}\n]|\|\||$))")
 BARE = re.compile(r"""[^\s"'`,;()\[\]{}<>]+""")
+#: A type between a name's colon and the sign before its literal.
+TYPE = re.compile(r"""[ \t]*(?:&[ \t]*(?:'\w+[ \t]+)?)?[A-Za-z_][\w.:]*(?:\[[^\]\n]{0,64}\]|<[^>\n]{0,64}>)?[?!]?(?:[ \t]*\|[ \t]*[A-Za-z_]\w*){0,4}[ \t]*=[ \t]*(?=[rbfuRBFU]{0,2}["'`])""")
 JOINER = re.compile(r"[ \t]*(?:\+|\.\.|&|\|\||\bor\b)[ \t]*\n?[ \t]*")
 
 #: Parts of names and how sensitive they are.
@@ -88,6 +90,8 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int, str]]]]:
         if not name:
             continue
         at, literals, first = i + 1 + (text[i + 1 : i + 2] == ">"), [], True
+        if text[i] == ":" and (typed := TYPE.match(text, at)):  # the literal goes to the name before its type
+            at = typed.end()
         while at < len(text) and text[at] in " \t":
             at += 1
         while at < len(text):
