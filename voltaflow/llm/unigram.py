@@ -8,6 +8,9 @@ of its start; unknown characters in a row are one piece, spelled in bytes if byt
 
 Defined results: null and empty texts have 0 pieces and score 0; spaces become the word mark, one is
 put in front; repeated rows count each; long texts count whole; other columns aren't read.
+
+Texts are split at each space, as Metaspace(split=True) of the tokenizers library does, and each part is
+counted alone: pieces that are runs of marks are never used, so a run of spaces counts one by one.
 """
 
 from __future__ import annotations
