@@ -245,26 +245,32 @@ def test_plan_is_small_and_tight():
 
 
 def brute_links(rows):
+    """By sets, not by ids: one id may have several texts."""
     sets = [(k, frozenset(ngram_join.shingles(t).tolist())) for k, t in rows if k is not None]
     rep = {}
     for k, s in sorted(sets, key=lambda x: x[0]):
         rep.setdefault(s, k)
-    texts = [(k, s) for s, k in rep.items()]
-    parent, links = {k: k for k, _ in texts}, Counter()
+    texts = list(rep)
+    parent, links = {s: s for s in texts}, Counter()
 
     def find(x):
-        while parent[x] != x:
+        while parent[x] is not x:
             x = parent[x]
         return x
 
-    for i, (a, s) in enumerate(texts):
-        for b, t in texts[:i]:
+    for i, s in enumerate(texts):
+        for t in texts[:i]:
             if s and t and 5 * len(s & t) >= 4 * len(s | t):
-                links[a] += 1
-                links[b] += 1
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    return Counter((k, find(rep[s]), rep[s], links[rep[s]]) for k, s in sets)
+                links[s] += 1
+                links[t] += 1
+                x, y = find(s), find(t)
+                if x is not y:
+                    parent[x] = y
+    least = {}
+    for s in texts:
+        least[find(s)] = min(rep[s], least.get(find(s), rep[s]))
+    same = {s: s for s in texts}
+    return Counter((k, least[find(same[s])], rep[s], links[s]) for k, s in sets)
 
 
 def test_jaccard_join(spark):
@@ -291,6 +297,52 @@ def test_dense_groups_and_blocks(spark, monkeypatch):
     assert Counter((r.doc_id, r.class_id, r.text_id, r.n_links) for r in out) == brute_links(rows)
 
 
+def test_one_id_on_several_texts_and_loose_bands(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "w%d" % rng.randrange(10**6)
+    frame = [word() for _ in range(100)]
+    rows = []
+    for i in range(150):  # half of each text is a frame that all share: many bands meet texts that aren't linked
+        own = [word() for _ in range(70)]
+        rows.append((4 * i, " ".join(frame + own)))
+        if i % 3 == 0:
+            own[5] = word()
+            rows.append((4 * i + 1, " ".join(frame + own)))
+            own[60] = word()
+            rows.append((4 * i + 2, " ".join(frame + own)))
+    rows += [(4, rows[40][1]), (4, " ".join(word() for _ in range(60))), (5, rows[40][1]), (4, rows[40][1])]
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    want = None
+    for order in (rows, rows[::-1]):
+        docs, _ = fixture_docs(spark, order)
+        out = ngram_join.jaccard_join(spark, docs).collect()
+        want = want or brute_links(rows)
+        assert Counter((r.doc_id, r.class_id, r.text_id, r.n_links) for r in out) == want
+    assert sum(n for (_, _, _, links), n in want.items() if links) > 100
+
+
+def test_collapse_keeps_components(spark):
+    from voltaflow.llm import graph
+
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(260)]
+    edges = [(max(e), min(e)) for e in edges] + [(999, 5), (999, 7), (998, 7)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    plain = {r.node: r.comp for r in graph.components(spark, df).collect()}
+    assert plain == {r.node: r.comp for r in graph.components(spark, graph.collapse(df)).collect()}
+
+
+def test_no_shared_folder_on_a_cluster_raises(monkeypatch):
+    from types import SimpleNamespace
+
+    from voltaflow.llm import common
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    fake = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077", applicationId="a"))
+    with pytest.raises(RuntimeError):
+        common.shared_dir(fake)
+
+
 def test_posterior_bounds():
     for n, least in ngram_join.least_matches():
         draws = np.random.default_rng(0).binomial(n, 0.8, 200_000)

@@ -31,10 +31,15 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one only where none is set."""
+    """The folder that the driver and all executors share; one of its own only where none is set and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = _OWN_DIR.setdefault("dir", tempfile.mkdtemp(prefix="voltaflow-"))
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"spark.checkpoint.dir isn't set: executors of {master} share no local folder")
+        if "dir" not in _OWN_DIR:
+            _OWN_DIR["dir"] = tempfile.mkdtemp(prefix="voltaflow-")
+        base = _OWN_DIR["dir"]
     return f"{base.rstrip('/')}/voltaflow-{spark.sparkContext.applicationId}"
 
 
@@ -56,6 +61,23 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """Intermediate tables of one job in the shared folder, removed by name once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, name)
+        self.paths.setdefault(name, []).append(path)
+        return materialize(self.spark, df, name, path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            for path in self.paths.pop(name, ()):
+                remove(self.spark, path)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[dict], dict], schema: str, arrow_schema: pa.Schema) -> DataFrame:
     """Apply fn (column name -> Python list, both ways) to every Arrow batch of df."""
 

@@ -1,23 +1,29 @@
 """N-gram Jaccard join with Bayesian candidate pruning (operator 6).
 
 Documents are sets of five-word shingles; two are linked at a Jaccard similarity of at least 0.8. Equal
-sets are one class of copies and are joined once, by the copy with the least id. MinHash bands (32 of 5)
-connect the distinct sets that may be similar into candidate components; a pair at exactly 0.8 shares no
-band with probability 3e-6. Within a component, blocks of sets meet block by block: MinHash values are
-compared 32 at a time, a pair is dropped as soon as the posterior probability of reaching the threshold
-(uniform prior) falls below the tolerance, and what is left is verified exactly on the shingles. Blocks
-hand back counts and a spanning forest, never pairs, so a group of n near copies costs rows in proportion
-to n for each block.
+sets are one class of copies and are joined once, under a number of their own. MinHash bands (32 of 5)
+bring together the distinct sets that may be similar; a pair at exactly 0.8 shares no band with
+probability 3e-6. In each band, sets meet their leader: MinHash values are compared 32 at a time, and a
+pair is dropped as soon as the posterior probability of reaching the threshold (uniform prior) falls
+below the tolerance. Bands with a dropped pair are compared throughout, block by block, but for sets
+that are in one component already. What may be linked is thus in one component of surviving pairs, and
+these are verified exactly: a set is kept as its difference from the component's pivot, which cancels out
+between any two, and blocks of differences meet. Tasks hand back counts and spanning forests, never pairs.
+
+In a component of n different texts, n * n comparisons of short differences are made (they are what the
+exact number of links asks for), but texts are shipped twice whatever n is, and each difference once for
+every BLOCK sets; components, bands and links give rows in proportion to n.
 
 Defined results: texts of fewer than five words are one shingle of all their words; texts without words
-are copies of each other; null text counts as empty; a null doc_id has no class and no links; repeated
-rows are copies; an empty table gives no rows; long texts count whole; other columns aren't read.
+are copies of each other; null text counts as empty; a null id has no class and no links; repeated
+rows are copies; one id on several different texts gives one row for each of them, by its own set; an
+empty table gives no rows; long texts count whole; other columns aren't read.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -26,10 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_arrow, materialize, table
-from .graph import components, release
+from .common import Scratch, bounded_batches, map_arrow, table
+from .graph import collapse, components, release
 
-SHINGLE, THRESHOLD, BANDS, BAND_ROWS, STEP, TOLERANCE, BLOCK = 5, 0.8, 32, 5, 32, 1e-9, 512
+SHINGLE, THRESHOLD, BANDS, BAND_ROWS, STEP, TOLERANCE = 5, 0.8, 32, 5, 32, 1e-9
+#: Sets in a block, bytes of their differences in a block; pairs compared and columns multiplied at once.
+BLOCK, BLOCK_BYTES, PAIRS, COLUMNS = 2048, 16 << 20, 1 << 16, 4096
 HASHES = BANDS * BAND_ROWS
 _RNG = np.random.default_rng(20240229)
 MULTIPLY = _RNG.integers(1, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -87,144 +95,284 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return out
 
 
-def linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> np.ndarray:
-    """Boolean matrix of links between the sets of two blocks (or within one, without the diagonal)."""
-    own = sets_b is None
-    other = sets_a if own else sets_b
-    sig_a = np.stack([minhash(s) for s in sets_a])
-    sig_b = sig_a if own else np.stack([minhash(s) for s in other])
-    size_a, size_b = (np.array([len(s) for s in x], np.int64) for x in (sets_a, other))
-    limit = Fraction(str(threshold))
-    num, den = limit.numerator, limit.denominator
-    alive = (size_a[:, None] * den >= num * size_b) & (size_b * den >= num * size_a[:, None])
-    if own:
-        alive &= np.triu(np.ones_like(alive), 1)
-    at_a, at_b = np.nonzero(alive)
-    matches = np.zeros(len(at_a), np.int16)
+def survivors(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> np.ndarray:
+    """Indices of the pairs (rows of signatures a and b) that may still reach the threshold when all values are compared."""
+    num, den = ratio(threshold)
+    left = np.flatnonzero((size_a * den >= num * size_b) & (size_b * den >= num * size_a))
+    matches = np.zeros(len(left), np.int16)
     for n, least in least_matches(threshold, tolerance):
-        for lo in range(0, len(at_a), 1 << 16):
-            part = slice(lo, lo + (1 << 16))
-            matches[part] += (sig_a[at_a[part], n - STEP : n] == sig_b[at_b[part], n - STEP : n]).sum(1, dtype=np.int16)
+        matches += (a[left, n - STEP : n] == b[left, n - STEP : n]).sum(1, dtype=np.int16)
         stay = matches >= least
-        at_a, at_b, matches = at_a[stay], at_b[stay], matches[stay]
-    out = np.zeros_like(alive)
-    if not len(at_a):
-        return out
-    if len(at_a) <= 2 * (len(sets_a) + len(other)):
-        inter = np.array([len(np.intersect1d(sets_a[i], other[j], assume_unique=True)) for i, j in zip(at_a, at_b)], np.int64)
-    else:  # many pairs: count common shingles for all of them by matrix products over shingles that two sets have
-        rows_a, rows_b = np.unique(at_a), np.unique(at_b)
-        pool = [sets_a[i] for i in rows_a] + ([] if own else [other[j] for j in rows_b])
-        value, times = np.unique(np.concatenate(pool if not own else [*pool, *[sets_a[i] for i in rows_b]]), return_counts=True)
+        left, matches = left[stay], matches[stay]
+    return left
+
+
+def ratio(threshold: float) -> tuple[int, int]:
+    limit = Fraction(str(threshold))
+    return limit.numerator, limit.denominator
+
+
+def common_counts(rows_a: list[np.ndarray], rows_b: list[np.ndarray]) -> np.ndarray:
+    """How many values each of rows_a shares with each of rows_b (distinct values in a row): matrix products over values that occur on both sides."""
+    own = rows_a is rows_b
+    all_a = np.concatenate(rows_a)
+    all_b = all_a if own else np.concatenate(rows_b)
+    if own:
+        value, times = np.unique(all_a, return_counts=True)
         value = value[times > 1]
-        common = np.zeros((len(rows_a), len(rows_b)), np.int64)
-        for lo in range(0, len(value), 4096):
-            part = value[lo : lo + 4096]
-            have = [np.stack([np.isin(part, s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], "right")], assume_unique=True) for s in x]).astype(np.float32) for x in ([sets_a[i] for i in rows_a], [other[j] for j in rows_b])]
-            common += (have[0] @ have[1].T).astype(np.int64)
-        inter = common[np.searchsorted(rows_a, at_a), np.searchsorted(rows_b, at_b)]
-    good = inter * den >= num * (size_a[at_a] + size_b[at_b] - inter)
-    out[at_a[good], at_b[good]] = True
-    return out | out.T if own else out
-
-
-def forest(links: np.ndarray) -> np.ndarray:
-    """The least index of each row's component in a symmetric boolean matrix."""
-    n = len(links)
-    label = np.arange(n)
-    near = links | np.eye(n, dtype=bool)
+    else:
+        value = np.intersect1d(all_a, all_b)
+    out = np.zeros((len(rows_a), len(rows_b)), np.float32)
+    if not len(value):
+        return out
+
+    def placed(rows: list[np.ndarray], every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(value, every), len(value) - 1)
+        hit = value[at] == every
+        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[hit]
+        order = np.argsort(at[hit], kind="stable")
+        return row[order], at[hit][order]
+
+    (row_a, col_a), (row_b, col_b) = placed(rows_a, all_a), placed(rows_b, all_b)
+    for lo in range(0, len(value), COLUMNS):
+        width = min(COLUMNS, len(value) - lo)
+        have = []
+        for n, row, col in ((len(rows_a), row_a, col_a), (len(rows_b), row_b, col_b)):
+            part = slice(*np.searchsorted(col, [lo, lo + width]))
+            m = np.zeros((n, width), np.float32)
+            m[row[part], col[part] - lo] = 1
+            have.append(m)
+        out += have[0] @ have[1].T
+    return out
+
+
+def linked(diff_a: list[np.ndarray], size_a: np.ndarray, diff_b: list[np.ndarray], size_b: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """Boolean matrix: which sets of a and b reach the threshold, from their sizes and their differences to one pivot set.
+
+    The pivot cancels out: sets differ from each other where exactly one of them differs from it. With s the
+    sum of two sizes and d the size of their difference, the similarity is (s - d) / (s + d).
+    """
+    num, den = ratio(threshold)
+    len_a, len_b = (np.array([len(d) for d in x], np.int64) for x in (diff_a, diff_b))
+    d = len_a[:, None] + len_b - 2 * common_counts(diff_a, diff_b).astype(np.int64)
+    out = (den - num) * (size_a[:, None] + size_b) >= (den + num) * d
+    if diff_a is diff_b:
+        np.fill_diagonal(out, False)
+    return out
+
+
+def leads(links: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The least index in each row's component, of rows a (0 ..) and rows b (behind them; the same as a with own)."""
+    na, nb = links.shape
+    none = na + nb
+    a, b = np.arange(na), np.arange(nb) if own else np.arange(na, none)
     while True:
-        new = np.where(near, label[None, :], n).min(1)
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            return label
-        label = new
+        new_a = np.minimum(a, np.where(links, b[None, :], none).min(1, initial=none))
+        new_b = new_a if own else np.minimum(b, np.where(links, new_a[:, None], none).min(0, initial=none))
+        if (new_a == a).all() and (new_b == b).all():
+            return a, b
+        a, b = new_a, new_b
+
+
+def blockwise(rows: DataFrame, key: str, columns: list[str], blocks: DataFrame, solve: Callable, schema: str, partitions: int) -> DataFrame:
+    """solve(own block's columns, other block's columns or None) for each pair of blocks of each key.
 
+    rows are dealt into their key's number of blocks (key, blocks) by their first column; each pair of blocks is one
+    group, so a task holds two blocks at a time however many rows the key has. Columns come as lists.
+    """
+    placed = rows.join(blocks, key).withColumn("own", F.pmod(F.xxhash64(columns[0]), F.col("blocks")).cast("int"))
+    placed = placed.select(key, *columns, "own", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("x"))
+    placed = placed.select(key, F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", *columns)
+    names, width = [part.split()[0] for part in schema.split(", ")], len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, sides = None, ([], [])
+
+        def solved() -> Iterator[pa.RecordBatch]:
+            one, other = sides
+            if group is not None and len(one) + len(other) > 1 and (group[1] == group[2] or one and other):
+                out = solve([list(c) for c in zip(*one)], [list(c) for c in zip(*other)] if group[1] != group[2] else None)
+                if len(out[0]):
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, out)), names=names)
+
+        for batch in batches:
+            k, i, j, own = (batch.column(c).to_pylist() for c in range(4))
+            values = zip(*(batch.column(4 + c).to_pylist() for c in range(width)))
+            for at, o, row in zip(zip(k, i, j), own, values):
+                if at != group:
+                    yield from solved()
+                    group, sides = at, ([], [])
+                sides[o != at[1]].append(row)
+        yield from solved()
 
-def signatures(spark: SparkSession, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, n (shingles), set_key (128-bit digest of the set), bands."""
+    keys = [key, "i", "j"]
+    return placed.repartition(partitions, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """key, th, n (shingles), set_key (128-bit digest of the set), sig (16 bits of each MinHash value), bands of docs (key, text)."""
 
     def run(batch: dict) -> dict:
         sets = [shingles(t) for t in batch["text"].to_pylist()]
-        return {"key": batch["key"], "n": [len(s) for s in sets], "set_key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "bands": [band_keys(minhash(s)) if len(s) else [] for s in sets]}
+        hashed = [minhash(s) if len(s) else None for s in sets]
+        return {
+            "key": batch["key"], "th": batch["th"], "n": [len(s) for s in sets], "set_key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
+            "sig": [None if h is None else h.astype("<u2").tobytes() for h in hashed], "bands": [[] if h is None else band_keys(h) for h in hashed],
+        }
 
-    src = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
-    return map_arrow(src, run, "key long, n int, set_key binary, bands array<long>", schema)
+    schema = pa.schema([("key", pa.int64()), ("th", pa.int64()), ("n", pa.int32()), ("set_key", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    return map_arrow(docs.select("key", "th", "text"), run, "key long, th long, n int, set_key binary, sig binary, bands array<long>", schema)
 
 
-def block_links(texts: DataFrame, partitions: int, threshold: float, tolerance: float) -> DataFrame:
-    """rep, links, lead from rows (comp, i, j, own, rep, text): one task at a time holds two blocks at most."""
+def pruned(pairs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """u, v, strong: whether the pair (u, v, n_u, n_v, sig_u, sig_v) survives the pruning."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows = None, []
-
-        def solve() -> pa.RecordBatch:
-            seen, sides = set(), ([], [])
-            for rep, own, text in rows:
-                if rep not in seen:  # repeated rows of a document
-                    seen.add(rep)
-                    sides[own != group[1]].append((rep, shingles(text)))
-            a, b = sides
-            na = len(a)
-            if group[1] == group[2]:
-                links = linked([s for _, s in a], None, threshold, tolerance)
-            else:
-                links = np.zeros((na + len(b),) * 2, bool)
-                if a and b:
-                    links[:na, na:] = linked([s for _, s in a], [s for _, s in b], threshold, tolerance)
-                    links |= links.T
-            reps = np.array([r for r, _ in [*a, *b]], np.int64)
-            order = np.argsort(reps)  # the least index is the least id
-            reps, links = reps[order], links[np.ix_(order, order)]
-            count, lead = links.sum(1), reps[forest(links)] if len(reps) else reps
-            kept = count > 0
-            return pa.RecordBatch.from_arrays([pa.array(reps[kept]), pa.array(count[kept].astype(np.int64)), pa.array(lead[kept])], names=["rep", "links", "lead"])
+    def run(batch: dict) -> dict:
+        sig_u, sig_v = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u2").reshape(-1, HASHES) for c in ("sig_u", "sig_v"))
+        n_u, n_v = (batch[c].to_numpy().astype(np.int64) for c in ("n_u", "n_v"))
+        strong = np.zeros(len(n_u), bool)
+        strong[survivors(sig_u, sig_v, n_u, n_v, threshold, tolerance)] = True
+        return {"u": batch["u"], "v": batch["v"], "strong": strong}
+
+    return map_arrow(pairs, run, "u long, v long, strong boolean", pa.schema([("u", pa.int64()), ("v", pa.int64()), ("strong", pa.bool_())]))
+
+
+def strangers(threshold: float, tolerance: float) -> Callable:
+    """solve() of blockwise for (sid, comp, n, sig): a forest over the pairs of different components that survive the pruning."""
+
+    def solve(one: list[list], other: list[list] | None) -> tuple:
+        own = other is None
+        (sid_a, comp_a, n_a, sig_a), (sid_b, comp_b, n_b, sig_b) = one, one if own else other
+        sig_a, sig_b = (np.frombuffer(b"".join(s), "<u2").reshape(-1, HASHES) for s in (sig_a, sig_b))
+        n_a, n_b, comp_a, comp_b = (np.array(x, np.int64) for x in (n_a, n_b, comp_a, comp_b))
+        links = np.zeros((len(n_a), len(n_b)), bool)
+        for lo in range(0, len(n_a), max(1, PAIRS // len(n_b))):
+            part = slice(lo, lo + max(1, PAIRS // len(n_b)))
+            at_a, at_b = np.nonzero(comp_a[part, None] != comp_b)
+            at_a += lo
+            if own:
+                at_a, at_b = at_a[at_a < at_b], at_b[at_a < at_b]
+            good = survivors(sig_a[at_a], sig_b[at_b], n_a[at_a], n_b[at_b], threshold, tolerance)
+            links[at_a[good], at_b[good]] = True
+        if own:
+            links |= links.T
+        lead_a, lead_b = leads(links, own)
+        sids = np.array([*sid_a, *([] if own else sid_b)], np.int64)
+        lead = lead_a if own else np.concatenate([lead_a, lead_b])
+        kept = lead != np.arange(len(sids))
+        return sids[kept], sids[lead[kept]]
+
+    return solve
+
+
+def exact(threshold: float) -> Callable:
+    """solve() of blockwise for (sid, n, diff): exact links of every set, counted, and a forest over them."""
+
+    def solve(one: list[list], other: list[list] | None) -> tuple:
+        own = other is None
+        (sid_a, n_a, diff_a), (sid_b, n_b, diff_b) = one, one if own else other
+        diff_a = [np.frombuffer(d, np.uint64) for d in diff_a]
+        diff_b = diff_a if own else [np.frombuffer(d, np.uint64) for d in diff_b]
+        links = linked(diff_a, np.array(n_a, np.int64), diff_b, np.array(n_b, np.int64), threshold)
+        lead_a, lead_b = leads(links, own)
+        sids = np.array([*sid_a, *([] if own else sid_b)], np.int64)
+        count = links.sum(1) if own else np.concatenate([links.sum(1), links.sum(0)])
+        lead = lead_a if own else np.concatenate([lead_a, lead_b])
+        kept = count > 0
+        return sids[kept], count[kept].astype(np.int64), sids[lead[kept]]
+
+    return solve
+
+
+def differences(joined: DataFrame) -> DataFrame:
+    """comp, sid, n, diff: the shingles in which a text differs from its component's pivot; from rows (comp, sid, text, pivot)."""
+
+    def run(batch: dict) -> dict:
+        n, diff, last, pivot = [], [], None, None
+        for comp, text, other in zip(batch["comp"].to_pylist(), batch["text"], batch["pivot"]):
+            if comp != last:  # rows of one component come together
+                last, pivot = comp, shingles(other.as_py())
+            own = shingles(text.as_py())
+            n.append(len(own))
+            diff.append(np.setxor1d(own, pivot, assume_unique=True).tobytes())
+        return {"comp": batch["comp"], "sid": batch["sid"], "n": n, "diff": diff}
+
+    schema = pa.schema([("comp", pa.int64()), ("sid", pa.int64()), ("n", pa.int32()), ("diff", pa.binary())])
+    return map_arrow(joined.select("comp", "sid", "text", "pivot"), run, "comp long, sid long, n int, diff binary", schema)
+
+
+def distinct_sets(scratch: Scratch, named: DataFrame) -> DataFrame:
+    """sid (a number of its own), set_key, first_doc and th (the text with the least id), n, sig, bands of every distinct set.
+
+    Copies are combined before the shuffle. Numbers are given while the table is written and read back from there.
+    """
+    first = named.groupBy("set_key").agg(F.min(F.struct("key", "th")).alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    first = first.select(F.monotonically_increasing_id().alias("sid"), "set_key", F.col("doc.key").alias("first_doc"), F.col("doc.th").alias("th"), "n", "sig", "bands")
+    return scratch.write(first, "sets")
 
-        for batch in batches:
-            comp, i, j, own, rep, text = (batch.column(k).to_pylist() for k in range(6))
-            for x in zip(zip(comp, i, j), zip(rep, own, text)):
-                if x[0] != group:
-                    if len(rows) > 1:
-                        yield solve()
-                    group, rows = x[0], []
-                rows.append(x[1])
-        if len(rows) > 1:
-            yield solve()
 
-    keys = ["comp", "i", "j"]
-    placed = texts.select(*keys, "own", "rep", "text").repartition(partitions, *keys).sortWithinPartitions(*keys)
-    return placed.mapInArrow(run, "rep long, links long, lead long")
+def candidate_groups(spark: SparkSession, scratch: Scratch, sets: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """node, comp: components of the distinct sets whose MinHash values leave a link possible.
+
+    Each set first meets the leader (least number) of each of its bands. Where a leader's pair is dropped, the band's sets
+    may still be linked to each other: those bands' sets meet block by block, unless one leader links them already.
+    """
+    banded = sets.where("n > 0").select("sid", F.explode("bands").alias("band"))
+    shared = scratch.write(banded.groupBy("band").agg(F.min("sid").alias("lead"), F.max("sid").alias("last")).where("lead < last"), "bands")
+    star = scratch.write(banded.join(shared, "band").where("sid <> lead").select("band", "sid", "lead"), "star")
+    pairs = star.select(F.col("sid").alias("u"), F.col("lead").alias("v")).distinct()
+    ends = [sets.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "uv"]
+    # both sides grow with the corpus: neither is broadcast, however small it is here
+    met = scratch.write(pruned(pairs.join(ends[0].hint("merge"), "u").join(ends[1].hint("merge"), "v"), threshold, tolerance), "met")
+    strong = scratch.write(collapse(met.where("strong").select("u", "v")), "strong")
+    known = strong.groupBy(F.col("u").alias("sid")).agg(F.min("v").alias("comp"))  # sets of one label are in one component
+    weak = star.join(met.where("not strong").select(F.col("u").alias("sid"), F.col("v").alias("lead")), ["sid", "lead"], "left_semi").select("band").distinct()
+    loose = star.join(weak.hint("merge"), "band", "left_semi")
+    loose = loose.select("band", "sid").unionByName(loose.select("band", F.col("lead").alias("sid")).distinct())
+    loose = loose.join(known.hint("merge"), "sid", "left").select("band", "sid", F.coalesce("comp", "sid").alias("comp"))
+    loose = scratch.write(loose, "loose")
+    blocks = loose.groupBy("band").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    blocks = scratch.write(blocks.select("band", F.ceil(F.col("m") / BLOCK).alias("blocks")), "loose_blocks")
+    rows = loose.join(sets.select("sid", "n", "sig").hint("merge"), "sid")
+    found = blockwise(rows, "band", ["sid", "comp", "n", "sig"], blocks, strangers(threshold, tolerance), "u long, v long", tasks(spark))
+    more = scratch.write(found, "more")
+    return components(spark, collapse(strong.unionByName(more)))
+
+
+def tasks(spark: SparkSession) -> int:
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """key, class_id (least id of the documents connected by links and copies), text_id (least id with the same set), n_links (other sets linked)."""
     bounded_batches(spark)
-    named = materialize(spark, signatures(spark, docs.where(F.col(key).isNotNull()), key, text), "signatures")
-    # aggregates are written before they are joined back: a join of two plain shuffles can split a key with many rows
-    reps = materialize(spark, named.groupBy("set_key").agg(F.min("key").alias("rep")), "reps")
-    members = named.select("key", "set_key").join(reps, "set_key").select("key", F.col("rep"))
-    firsts = named.join(reps.where(F.col("rep").isNotNull()), [named.set_key == reps.set_key, named.key == reps.rep], "left_semi").where("n > 0")
-    banded = firsts.select(F.col("key").alias("rep"), F.explode("bands").alias("band"))
-    shared = materialize(spark, banded.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead < last"), "bands")
-    near = banded.join(shared, "band").where("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")).distinct()
-    candidates = components(spark, materialize(spark, near, "near"))
-    sizes = materialize(spark, candidates.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
-    placed = candidates.join(sizes, "comp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = placed.select(F.col("node").alias("rep"), "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
-    pairs = pairs.select("rep", "comp", "own", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
-    # the pairs grow with the corpus, so they are never broadcast to the texts, however few they are here
-    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(pairs.hint("merge"), "rep")
-    partitions = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = materialize(spark, block_links(texts, partitions, threshold, tolerance), "links")
+    scratch = Scratch(spark)
+    src = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), F.col(text).alias("text"))
+    named = scratch.write(signatures(src.where("key is not null")), "signatures")
+    sets = distinct_sets(scratch, named)
+    release(spark)
+    groups = candidate_groups(spark, scratch, sets, threshold, tolerance).withColumnRenamed("node", "sid")
+    scratch.drop("bands", "star", "met", "strong", "loose", "loose_blocks", "more")
+    wanted = groups.join(sets.select("sid", F.col("first_doc").alias("key"), "th").hint("merge"), "sid")
+    texts = scratch.write(src.join(wanted.hint("merge"), ["key", "th"]).select("comp", "sid", "text"), "texts")
     release(spark)
-    counts = found.groupBy("rep").agg(F.sum("links").alias("n_links"))
-    classes = components(spark, found.where("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")).distinct())
-    known = materialize(spark, counts.join(classes.withColumnRenamed("node", "rep"), "rep", "left"), "classes")
-    out = members.join(known, "rep", "left").select(
-        F.col("key").alias(key), F.coalesce("comp", "rep").alias("class_id"), F.col("rep").alias("text_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
-    nulls = docs.where(F.col(key).isNull()).select(F.lit(None).cast("long").alias(key), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("text_id"), F.lit(0).cast("long").alias("n_links"))
+    pivots = texts.where("sid = comp").groupBy("comp").agg(F.first("text").alias("pivot"))
+    diffs = differences(texts.join(pivots.hint("merge"), "comp"))
+    diffs = scratch.write(diffs.groupBy("comp", "sid").agg(F.first("n").alias("n"), F.first("diff").alias("diff")), "diffs")  # repeated rows come once
+    sizes = diffs.groupBy("comp").agg(F.count("*").alias("m"), F.sum(F.octet_length("diff")).alias("bytes"))
+    sizes = scratch.write(sizes.select("comp", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).alias("blocks")), "sizes")
+    found = scratch.write(blockwise(diffs, "comp", ["sid", "n", "diff"], sizes, exact(threshold), "sid long, links long, lead long", tasks(spark)), "found")
+    classes = components(spark, collapse(found.select(F.col("sid").alias("u"), F.col("lead").alias("v")))).withColumnRenamed("node", "sid")
+    counts = found.groupBy("sid").agg(F.sum("links").alias("n_links"))
+    named_sets = scratch.write(sets.select("sid", "set_key", "first_doc").join(classes.join(counts, "sid").hint("merge"), "sid", "left"), "named_sets")
+    firsts = named_sets.where("comp is not null").groupBy("comp").agg(F.min("first_doc").alias("class_id"))
+    # written before it is joined with all documents: a join of two plain shuffles can split a set with many copies
+    known = named_sets.join(firsts.hint("merge"), "comp", "left").select("set_key", F.col("first_doc").alias("text_id"), F.coalesce("class_id", "first_doc").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    known = scratch.write(known, "known")
+    scratch.drop("sets", "texts", "diffs", "sizes", "found", "named_sets")
+    out = named.select("key", "set_key").join(known.hint("merge"), "set_key").select(F.col("key").alias(key), "class_id", "text_id", "n_links")
+    none = F.lit(None).cast("long")
+    nulls = docs.where(F.col(key).isNull()).select(none.alias(key), none.alias("class_id"), none.alias("text_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(nulls)
 
 
