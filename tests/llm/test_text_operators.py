@@ -181,6 +181,51 @@ def test_base_spans_are_the_contract():
         assert secrets.base_spans(t) == sorted(want, key=lambda s: (s[0], ("assign", "access", "hex").index(s[2])))
 
 
+def test_chained_constants_cost_no_more_than_the_text():
+    import time
+
+    start = time.perf_counter()
+    for grow in ("token = token + token\n", 'token = token + "abcDEF123"\n', "a = token + b\nb = token + a\n"):
+        text = "token = 'Zx81qPlm44'\nb = 'q'\n" + grow * 3000
+        named = secrets.scan(text)[1]
+        assert "Zx81qPlm44" in {text[s:e] for s, e, _ in named}
+    assert time.perf_counter() - start < 20
+    start = time.perf_counter()
+    assert secrets.scan("token = 'xy'\n" + "token = token + token\n" * 28)[0] == []
+    assert time.perf_counter() - start < 1
+
+
+def test_spelling_of_a_chain_is_that_of_its_value():
+    rng = random.Random(4)
+    for _ in range(50):
+        parts = ["".join(rng.choice("abAB01-_ \u00e9") for _ in range(rng.randint(1, 300))) for _ in range(rng.randint(1, 5))]
+        total = secrets.Spelling(parts[0])
+        for part in parts[1:]:
+            total = total + secrets.Spelling(part)
+        assert abs(secrets.strength(total) - secrets.strength("".join(parts))) < 1e-9
+
+
+def test_op4_query_against_brute_force(spark, tmp_path):
+    docs, rows = fixture_docs(spark)
+    extra = [(70, 'DB_PASSWORD: "abcdefghijklmnop"\nkey = AKIA' + "Q" * 16 + "\n" + "deadbeef" * 3), (71, 'p = "Zx81qPlm44"\npassword = p'), (72, "x " * 50_000 + "token=" + "a" * 20), (72, "x " * 50_000 + "token=" + "a" * 20)]
+    docs, rows = fixture_docs(spark, rows + extra)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assign = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    want = Counter()
+    for k, t in rows:
+        t = t or ""
+        base = [(m.start(), "assign", m.end()) for m in assign.finditer(t) if len(m[1]) >= 12]
+        base += [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 18]
+        base += [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if m.end() - m.start() >= 16]
+        base.sort(key=lambda x: (x[0], ("assign", "access", "hex").index(x[1])))
+        n = Counter(kind for _, kind, _ in base)
+        want[k, n["assign"], n["access"], n["hex"], hashlib.sha256(",".join(f"{c}:{s}:{e}" for s, c, e in base).encode()).hexdigest()] += 1
+    out = secrets.op4_query(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in out) == want
+    at = {r.doc_id: r.spans for r in out}
+    assert at[71] == "named:5:15" and at[70].startswith("assign:3:") and at[53] == ""
+
+
 def test_secret_query_columns(spark):
     docs, rows = fixture_docs(spark)
     out = secrets.find_secrets(spark, docs)
@@ -233,6 +278,28 @@ def test_packing(spark, capacity):
     assert packing.pack_texts(spark, docs.limit(0), PATH).count() == 0
 
 
+def test_ids_beyond_16_bits(spark):
+    ids = [np.arange(69_000, 69_000 + n, dtype="<u4") for n in (5, 70, 33, 64)]
+    rows = [(i, x.tobytes()) for i, x in enumerate(ids)]
+    out = packing.pack(spark, spark.createDataFrame(rows, "doc_id long, ids binary"), capacity=64).collect()
+    check_packing(out, {i: [x] for i, x in enumerate(ids)}, 64)
+    with pytest.raises(ValueError):
+        packing.pieces_of([rows[0][1]], 64, small_ids=True)
+    assert bpe.greatest_id(open(PATH, "rb").read()) < 65_536
+
+
+def test_op5_query_gives_every_id_once(spark, tmp_path):
+    docs, rows = fixture_docs(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    plain = bpe.ByteBpe(open(PATH, "rb").read())
+    ids_of = {}
+    for k, t in rows:
+        ids_of.setdefault(k, []).append(np.append(np.frombuffer(plain.encode(t), "<u4"), 1))
+    out = packing.op5_query(spark, str(tmp_path)).collect()
+    assert sum(r.length for r in out) == sum(len(i) for v in ids_of.values() for i in v)
+    check_packing(out, ids_of, 2048)
+
+
 def test_plan_is_small_and_tight():
     for histogram in ({1100: 100_000}, {2047: 70_000, 1: 3}, {i: 50 for i in range(1, 2048)}):
         rows, n = packing.plan(histogram)

@@ -179,6 +179,11 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", errors="replace")
 
 
+def greatest_id(definition: bytes) -> int:
+    d = json.loads(definition)
+    return max([*d["model"]["vocab"].values(), *(t["id"] for t in d.get("added_tokens", ()))])
+
+
 _LOADED: dict[str, ByteBpe] = {}
 
 

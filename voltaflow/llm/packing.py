@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import loaded
+from .bpe import greatest_id, loaded
 from .common import bounded_batches, map_arrow, materialize, table
 
 CAPACITY, END_ID, SHARD_ROWS = 2048, 1, 500_000
@@ -112,7 +112,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
     return rows, sequence
 
 
-def pieces_of(ids: list[bytes], capacity: int = CAPACITY, small_ids: bool = True) -> dict:
+def pieces_of(ids: list[bytes], capacity: int = CAPACITY, small_ids: bool = False) -> dict:
     """For each document's ids (little-endian unsigned 32-bit): their number, checksums of full pieces and of the rest, and the rest's ids."""
     n, crcs, rest, rest_ids = [], [], [], []
     for raw in ids:
@@ -121,7 +121,10 @@ def pieces_of(ids: list[bytes], capacity: int = CAPACITY, small_ids: bool = True
         n.append(len(raw) // 4)
         crcs.append([zlib.crc32(raw[4 * capacity * i : 4 * capacity * (i + 1)]) for i in range(full)])
         rest.append(zlib.crc32(left))
-        rest_ids.append(np.frombuffer(left, "<u4").astype("<u2").tobytes() if small_ids else left)
+        values = np.frombuffer(left, "<u4")
+        if small_ids and len(values) and values.max() > 0xFFFF:
+            raise ValueError(f"id {values.max()} doesn't fit 16 bits: small_ids is for up to 65,536 ids")
+        rest_ids.append(values.astype("<u2").tobytes() if small_ids else left)
     return {"doc_tokens": n, "crcs": crcs, "rest": rest, "rest_ids": rest_ids}
 
 
@@ -134,18 +137,18 @@ def pack_texts(spark: SparkSession, docs: DataFrame, tokenizer_path: str, key: s
     bounded_batches(spark)
     with open(tokenizer_path, "rb") as f:
         definition = spark.sparkContext.broadcast(f.read())
-    end = np.array([END_ID], "<u4").tobytes()
+    end, small_ids = np.array([END_ID], "<u4").tobytes(), greatest_id(definition.value) <= 0xFFFF
 
     def run(batch: dict) -> dict:
         bpe = loaded(tokenizer_path, definition)
-        return {"key": batch["key"]} | pieces_of([bpe.encode(t) + end for t in batch["text"].to_pylist()], capacity)
+        return {"key": batch["key"]} | pieces_of([bpe.encode(t) + end for t in batch["text"].to_pylist()], capacity, small_ids)
 
     src = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return pack_pieces(spark, map_arrow(src, run, PIECES, PIECES_ARROW), key, capacity)
+    return pack_pieces(spark, map_arrow(src, run, PIECES, PIECES_ARROW), key, capacity, small_ids)
 
 
-def pack(spark: SparkSession, ids: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, small_ids: bool = True) -> DataFrame:
-    """Pack documents whose ids are in the binary column `ids` (16 bits are kept of each with small_ids, for up to 65,536 ids)."""
+def pack(spark: SparkSession, ids: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, small_ids: bool = False) -> DataFrame:
+    """Pack documents whose ids are in the binary column `ids`; with small_ids, 16 bits are kept of each, and a greater id is an error."""
     bounded_batches(spark)
 
     def run(batch: dict) -> dict:
@@ -155,7 +158,7 @@ def pack(spark: SparkSession, ids: DataFrame, key: str = "doc_id", capacity: int
     return pack_pieces(spark, map_arrow(src, run, PIECES, PIECES_ARROW), key, capacity, small_ids)
 
 
-def pack_pieces(spark: SparkSession, pieces: DataFrame, key: str, capacity: int = CAPACITY, small_ids: bool = True) -> DataFrame:
+def pack_pieces(spark: SparkSession, pieces: DataFrame, key: str, capacity: int = CAPACITY, small_ids: bool = False) -> DataFrame:
     """key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A cut remainder's checksums need its ids, so each document keeps the ids of its remainder until the plan is made.

@@ -6,6 +6,11 @@ value, where a value is a chain of literals and of names; names known from earli
 for their literals, so constants are carried to the names they end up in. A literal is scored by the
 most sensitive name it reaches and by its own look; high scores add `named` spans at the literal.
 
+A pair's value is never built: the spelling of a chain (length and shares of its characters) is added up
+from its parts', and scores go back from names to literals once, so work grows with the text, however
+constants are chained. A name is a word of at most 128 characters right before its sign (quotes, a bracket
+and blanks may stand between); a value ends where no joint follows.
+
 Defined results: null text counts as empty; a document without secrets has zeros and empty strings;
 long texts are scanned whole; repeated rows give repeated results; other columns aren't read.
 """
@@ -59,9 +64,32 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def entropy(value: str) -> float:
-    n = len(value)
-    return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
+class Spelling:
+    """What strength() needs of a value: its length (a float, so that sums never overflow), shares of its characters, and the value itself where it is short.
+
+    Two spellings make that of their concatenation in the size of the alphabet, however long the values are.
+    """
+
+    __slots__ = ("size", "shares", "value")
+    SHORT = 256
+
+    def __init__(self, value: str) -> None:
+        self.size, self.value = float(len(value)), value if len(value) <= self.SHORT else None
+        self.shares = {c: k / len(value) for c, k in Counter(value).items()}
+
+    def __add__(self, other: "Spelling") -> "Spelling":
+        out = Spelling.__new__(Spelling)
+        out.size = min(self.size + other.size, 1e300)
+        out.value = None if self.value is None or other.value is None or out.size > self.SHORT else self.value + other.value
+        out.shares = {}
+        for part in (self, other):
+            for c, share in part.shares.items():
+                out.shares[c] = out.shares.get(c, 0.0) + share * (part.size / out.size)
+        return out
+
+
+def entropy(shares) -> float:
+    return -sum(p * math.log2(p) for p in shares if p > 0)
 
 
 def sensitivity(name: str) -> float:
@@ -70,17 +98,41 @@ def sensitivity(name: str) -> float:
     return 1.0 if joined & STRONG else 0.5 if joined & WEAK else 0.0
 
 
-def strength(value: str) -> float:
+def strength(value: "str | Spelling") -> float:
     """0 for placeholders and plain words, up to 1 for long strings of many kinds of characters."""
-    if len(value) < 6 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
+    x = value if isinstance(value, Spelling) else Spelling(value)
+    if x.size < 6 or len(x.shares) < 2 or (x.value is not None and PLACEHOLDER.match(x.value)) or any(c.isspace() for c in x.shares):
         return 0.0
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return min(1.0, 0.2 * kinds + 0.1 * entropy(value) + 0.01 * min(len(value), 40))
+    kinds = sum(any(map(f, x.shares)) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    return min(1.0, 0.2 * kinds + 0.1 * entropy(x.shares.values()) + 0.01 * min(x.size, 40))
+
 
+class Pair:
+    """A name and its value: literals of its own, references to earlier pairs, and the spelling of all of it."""
 
-def pairs(text: str) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """Name-literal pairs in order: name, literals (start, end, value) that its value is made of, constants propagated."""
-    known: dict[str, list[tuple[int, int, str]]] = {}
+    __slots__ = ("name", "literals", "references", "count", "spelling")
+
+    def __init__(self, name: str) -> None:
+        self.name, self.literals, self.references, self.count, self.spelling = name, [], [], 0.0, None
+
+    def literal(self, start: int, end: int, value: str) -> None:
+        self.literals.append((start, end, value))
+        self._join(1.0, Spelling(value) if value else None)
+
+    def reference(self, other: "Pair") -> None:
+        if not self.references or self.references[-1] is not other:
+            self.references.append(other)
+        self._join(other.count, other.spelling)
+
+    def _join(self, count: float, spelling: Spelling | None) -> None:
+        self.count = min(self.count + count, 1e300)
+        if spelling is not None:
+            self.spelling = spelling if self.spelling is None else self.spelling + spelling
+
+
+def pairs(text: str) -> list[Pair]:
+    """Name-literal pairs in order; a value that names an earlier pair refers to it, so that no literal is copied."""
+    known: dict[str, Pair] = {}
     out, after = [], 0
     for m in OPERATOR.finditer(text):
         i = m.start()
@@ -89,7 +141,8 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int, str]]]]:
         name = NAME_BEFORE.search(text, max(0, i - REACH), i)
         if not name:
             continue
-        at, literals, first = i + 1 + (text[i + 1 : i + 2] == ">"), [], True
+        at, first = i + 1 + (text[i + 1 : i + 2] == ">"), True
+        pair = Pair(name[1])
         if text[i] == ":" and (typed := TYPE.match(text, at)):  # the literal goes to the name before its type
             at = typed.end()
         while at < len(text) and text[at] in " \t":
@@ -98,11 +151,11 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int, str]]]]:
             if s := STRING.match(text, at):
                 g = s.lastindex
                 if g:
-                    literals.append((s.start(g), s.end(g), s[g]))
+                    pair.literal(s.start(g), s.end(g), s[g])
             elif (s := REFERENCE.match(text, at)) and (ref := (s[1] or s[2])) in known:
-                literals += known[ref]
+                pair.reference(known[ref])
             elif first and (s := BARE.match(text, at)):
-                literals.append((s.start(), s.end(), s[0]))
+                pair.literal(s.start(), s.end(), s[0])
             else:
                 break
             at, first = s.end(), False
@@ -110,27 +163,46 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int, str]]]]:
             if not joint:
                 break
             at = joint.end()
-        if literals:
-            known[name[1]] = literals
-            known.setdefault(name[1].rpartition(".")[2], literals)
-            out.append((name[1], literals))
+        if pair.count:
+            known[pair.name] = pair
+            known.setdefault(pair.name.rpartition(".")[2], pair)
+            out.append(pair)
             after = at if not first and at > i else 0
     return out
 
 
 def named_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Literals that reach a sensitive name, unless a base span covers them already."""
+    """Literals that reach a sensitive name, unless a base span covers them already.
+
+    Names are scored from the last pair to the first: a pair hands the best score of its whole value (of several
+    literals), or the weight of its name (of one), on to the pairs that its value names. So each pair is seen once.
+    """
     if "=" not in text and ":" not in text:
         return []
     best: dict[tuple[int, int], float] = {}
-    for name, literals in pairs(text):
-        weight = sensitivity(name)
-        if weight:
-            whole = strength("".join(v for _, _, v in literals))
-            for start, end, value in literals:
-                score = weight * 2 * (whole if len(literals) > 1 and value else strength(value))
+    whole: dict[int, float] = {}
+    alone: dict[int, float] = {}
+    for pair in reversed(pairs(text)):
+        of_whole, of_one, weight = whole.pop(id(pair), 0.0), alone.pop(id(pair), 0.0), sensitivity(pair.name)
+        if weight and pair.count > 1 and pair.spelling is not None:
+            of_whole = max(of_whole, weight * 2 * strength(pair.spelling))
+        elif weight:
+            of_one = max(of_one, weight)
+        for other in pair.references:
+            whole[id(other)] = max(whole.get(id(other), 0.0), of_whole)
+            alone[id(other)] = max(alone.get(id(other), 0.0), of_one)
+        if of_whole or of_one:
+            for start, end, value in pair.literals:
+                score = max(of_whole if value else 0.0, of_one * 2 * strength(value) if value and of_one else 0.0)
                 best[start, end] = max(best.get((start, end), 0.0), score)
-    return [(s, e, "named") for (s, e), score in sorted(best.items()) if score >= THRESHOLD and e > s and not any(a <= s and e <= b for a, b, _ in base)]
+    out, covered = [], 0
+    spans, at = sorted((s, e) for s, e, _ in base), 0
+    for (s, e), score in sorted(best.items()):
+        while at < len(spans) and spans[at][0] <= s:  # the furthest end of the base spans that begin before this one does
+            covered, at = max(covered, spans[at][1]), at + 1
+        if score >= THRESHOLD and e > s and e > covered:
+            out.append((s, e, "named"))
+    return out
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
