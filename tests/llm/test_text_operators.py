@@ -119,7 +119,7 @@ def brute_substrings(rows, window=50):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 2, 7])
+@pytest.mark.parametrize("batches", [1, 6])
 def test_substring_dedup(spark, batches):
     docs, rows = fixture_docs(spark)
     out = substring_dedup.dedup(spark, docs, batches=batches).collect()
@@ -130,17 +130,41 @@ def test_substring_dedup(spark, batches):
 def test_index_compacts(spark):
     docs, rows = fixture_docs(spark)
     part = docs.where("doc_id is not null").select(F.col("doc_id").alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    index, marks = substring_dedup.FingerprintIndex(spark, runs=2), None
-    for lo in range(0, 62, 12):
-        found = index.add(part.where(f"key >= {lo} and key < {lo + 12}"), part.where(f"key < {lo + 12}").select("key", "text"))
-        marks = found if marks is None else marks.unionByName(found)
-        assert len(index.runs) <= 2
+    marks = None
+    with substring_dedup.FingerprintIndex(spark, runs=2) as index:
+        for lo in range(0, 62, 12):
+            found = index.add(part.where(f"key >= {lo} and key < {lo + 12}"), part.where(f"key < {lo + 12}").select("key", "text"))
+            marks = found if marks is None else marks.unionByName(found)
+            assert len(index.runs) <= 2
+        assert index.compactions == 2
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("voltaflow_run")]
     out = substring_dedup.apply_marks(part, marks).collect()
     want = [r for r in brute_substrings(rows) if r[0] is not None]
     assert Counter((r.key, r.n_words, r.n_removed, r.kept) for r in out) == Counter(want)
     assert substring_dedup.dedup(spark, docs.limit(0)).count() == 0
 
 
+def test_history_is_joined_without_a_shuffle(spark):
+    docs, _ = fixture_docs(spark)
+    part = docs.where("doc_id is not null").select(F.col("doc_id").alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    with substring_dedup.FingerprintIndex(spark, runs=9) as index:
+        for lo in (0, 12, 24):
+            index.add(part.where(f"key >= {lo} and key < {lo + 12}"), part.where(f"key < {lo + 12}").select("key", "text"))
+        own = index._write(substring_dedup.fingerprint(part.where("key >= 36")).select("anchor", "digest", F.col("key").alias("first_doc")))
+        with substring_dedup.settings(spark, **index.SORTED):
+            plan = index.history(own)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and "Exchange" not in plan and "Sort [" not in plan
+
+
+def test_repeated_rows_mark_once(spark):
+    rng = random.Random(3)
+    text = " ".join("w%d" % rng.randrange(10**5) for _ in range(120))
+    rows = [(1, text)] + [(2, text)] * 5000
+    docs, _ = fixture_docs(spark, rows)
+    out = substring_dedup.dedup(spark, docs, batches=3)
+    assert {(r.doc_id, r.n_removed): r["count"] for r in out.groupBy("doc_id", "n_removed").count().collect()} == {(1, 0): 1, (2, 120): 5000}
+
+
 def test_kept_words_marks():
     text = " ".join(map(str, range(120)))
     n, kept = substring_dedup.kept_words(text, [(0, 0b101), (60, 1)])

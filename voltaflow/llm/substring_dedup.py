@@ -3,13 +3,16 @@
 A word is removed if a window of 50 words over it also starts in a document with a smaller id. Windows
 are indexed in chunks: the 12-word shingles of a window have a least hash, its anchor; neighbouring
 windows with the same anchor are one chunk, so about one row stands for twenty windows, and equal
-windows always have equal anchors. The index is a list of immutable runs, each sorted by (anchor,
-digest of the chunk's words) and holding the chunks that earlier runs don't have, with the first
+windows always have equal anchors. The index is a list of immutable runs, each bucketed and sorted by
+(anchor, digest of the chunk's words), holding the chunks that earlier runs don't have, with the first
 document of each. A batch (documents with larger ids than all before) is merge-joined with the runs.
-Equal chunks hold equal windows; where one anchor has several chunks (the borders of shared passages)
-their windows are read from the first document's text, hashed whole in 128 bits and compared. Runs
-are compacted into one when there are too many. Matches are verified by an independent digest of the
-words: anchor and digest come from different hashes.
+Equal chunks hold equal windows; where an anchor of the batch has several chunks (the borders of shared
+passages) their windows are read from the first documents' texts, hashed whole in 128 bits and compared.
+Beyond RUNS runs they are compacted into one; the query adds BATCHES batches, so it compacts once.
+
+Verification is by digest: an anchor (64 bits over 12 words) is never trusted alone, the chunk's digest
+(64 bits over all of its words, from another lane of word hashes) or, for windows, both lanes must agree.
+Words themselves aren't compared: that would ship each repeated passage once for each of its copies.
 
 Defined results: null text has no words; texts of fewer than 50 words stay; null ids neither match nor
 remove; repeated rows and ids don't remove each other (their id isn't smaller); windows are judged on
@@ -18,6 +21,7 @@ the input; an empty table gives no rows; long texts count whole; other columns a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +31,11 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_arrow, materialize, remove, shared_path, table
+from .common import Scratch, bounded_batches, map_arrow, materialize, remove, settings, shared_path, table
 from .graph import release
 from .ngram_join import mix
 
-WINDOW, SHINGLE, BATCHES, RUNS = 50, 12, 2, 4
+WINDOW, SHINGLE, BATCHES, RUNS = 50, 12, 6, 4
 SPAN = WINDOW - SHINGLE + 1
 ROOTS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POWERS: dict[int, np.ndarray] = {}
@@ -144,76 +148,103 @@ def chunk_windows(wanted: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of chunk fingerprints in the shared folder."""
+    """Sorted immutable runs of chunk fingerprints: tables bucketed by anchor, one sorted file a bucket, in the shared folder.
 
-    def __init__(self, spark: SparkSession, runs: int = RUNS) -> None:
-        self.spark, self.limit, self.runs = spark, runs, []
+    Use it in a with statement, or close() it: its tables go then. A batch's own classes are bucketed alike, so a merge
+    join with a run shuffles neither side; what a batch costs beyond reading the runs' keys is in proportion to the batch
+    and to the chunks that share an anchor with it.
+    """
 
-    def rows(self) -> DataFrame | None:
-        out = None
-        for path in self.runs:
-            run = self.spark.read.schema("anchor long, digest long, first_doc long").parquet(path)
-            out = run if out is None else out.unionByName(run)
-        return out
+    SORTED = {"spark__sql__legacy__bucketedTableScan__outputOrdering": "true"}
+    #: Texts of history are read by key through a Bloom filter that Spark bounds at 8 MB, whatever the number of keys.
+    FILTERED = {"spark__sql__optimizer__runtime__bloomFilter__enabled": "true", "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0", "spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold": "1TB"}
+
+    def __init__(self, spark: SparkSession, runs: int = RUNS, buckets: int | None = None) -> None:
+        self.spark, self.limit, self.runs, self.compactions = spark, runs, [], 0
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.paths: dict[str, str] = {}
+
+    def __enter__(self) -> "FingerprintIndex":
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
 
     def _write(self, rows: DataFrame) -> str:
-        path = shared_path(self.spark, "run")
-        rows.select("anchor", "digest", "first_doc").sortWithinPartitions("anchor", "digest").write.parquet(path)
-        return path
+        name, path = f"voltaflow_run_{uuid.uuid4().hex}", shared_path(self.spark, "run")
+        placed = rows.repartition(self.buckets, "anchor")
+        placed.write.format("parquet").bucketBy(self.buckets, "anchor").sortBy("anchor", "digest").option("path", path).saveAsTable(name)
+        self.paths[name] = path
+        return name
+
+    def _drop(self, *names: str) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, self.paths.pop(name))
+
+    def close(self) -> None:
+        self._drop(*self.paths)
+        self.runs = []
 
     def compact(self) -> None:
         """One run instead of many; the old ones go when the new one is written."""
         if len(self.runs) > 1:
-            old, merged = self.runs, self._write(self.rows().repartition("anchor", "digest"))
-            self.runs = [merged]
-            for path in old:
-                remove(self.spark, path)
+            old, rows = self.runs, None
+            for name in old:
+                rows = self.spark.table(name) if rows is None else rows.unionByName(self.spark.table(name))
+            self.runs = [self._write(rows)]
+            self.compactions += 1
+            self._drop(*old)
+
+    def history(self, own: str) -> DataFrame | None:
+        """Rows (anchor, digest, first_doc) of all runs with an anchor of the bucketed table `own`."""
+        out = None
+        for name in self.runs:
+            found = self.spark.table(name).join(self.spark.table(own).select("anchor").hint("merge"), "anchor", "left_semi")
+            out = found if out is None else out.unionByName(found)
+        return out
 
     def add(self, batch: DataFrame, documents: DataFrame) -> DataFrame:
         """Marks (key, th, first, bits) of the batch's windows that start in a document with a smaller id, then the batch's run is added.
 
         batch: key, th, text, ids larger than those of all earlier batches; documents: key and text of all batches so far.
         """
-        spark, used = self.spark, []
-
-        def stored(df: DataFrame, name: str) -> DataFrame:
-            used.append(shared_path(spark, name))
-            return materialize(spark, df, name, used[-1])
-
-        chunks = stored(fingerprint(batch), "chunks")
-        own = chunks.groupBy("anchor", "digest").agg(F.min("key").alias("own_first"), F.max("key").alias("own_last"))
-        earlier = self.rows()
-        if earlier is None:
-            joined = own.withColumn("first_doc", F.col("own_first")).withColumn("known", F.lit(False))
-        else:
-            joined = own.join(earlier.hint("merge"), ["anchor", "digest"], "left")
-            joined = joined.withColumn("known", F.col("first_doc").isNotNull()).withColumn("first_doc", F.coalesce("first_doc", "own_first"))
-        classes = stored(joined.select("anchor", "digest", "first_doc", "own_last", "known"), "classes")
-        self.runs.append(self._write(classes.where("not known")))
+        spark, scratch = self.spark, Scratch(self.spark)
+        chunks = scratch.write(fingerprint(batch), "chunks")
+        own = self._write(chunks.groupBy("anchor", "digest").agg(F.min("key").alias("own_first"), F.max("key").alias("own_last")))
+        none = F.lit(None).cast("long")
+        classes = spark.table(own).select("anchor", "digest", "own_first", "own_last", none.alias("old_first"))
+        with settings(spark, **self.SORTED):
+            old = self.history(own)
+            if old is not None:
+                old = old.select("anchor", "digest", none.alias("own_first"), none.alias("own_last"), F.col("first_doc").alias("old_first"))
+                classes = classes.unionByName(old).groupBy("anchor", "digest").agg(F.min("own_first").alias("own_first"), F.max("own_last").alias("own_last"), F.min("old_first").alias("old_first"))
+            # digests of the batch, and digests of history for the batch's anchors (own_first is null)
+            classes = scratch.write(classes.withColumn("first_doc", F.coalesce("old_first", "own_first")), "classes")
+        self.runs.append(self._write(classes.where("own_first is not null and old_first is null").select("anchor", "digest", "first_doc")))
+        self._drop(own)
         release(spark)
-        index = self.rows()
-        several = index.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-        several = several.join(classes.select("anchor"), "anchor", "left_semi") if earlier is not None else several
-        several = stored(several, "several")
-        todo = classes.join(several.withColumn("several", F.lit(True)), "anchor", "left")
+        several = scratch.write(classes.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "several")
+        todo = classes.where("own_first is not null").join(several.withColumn("several", F.lit(True)).hint("merge"), "anchor", "left")
         todo = todo.where("several or own_last > first_doc").select("anchor", "digest", "first_doc")
-        wanted = index.join(several, "anchor", "left_semi").groupBy("first_doc").agg(F.collect_list(F.struct("anchor", "digest")).alias("chunks"))
-        texts = documents.join(wanted.hint("merge"), documents.key == wanted.first_doc).select("first_doc", "text", "chunks")
-        windows = stored(chunk_windows(texts), "windows")
+        wanted = classes.join(several.hint("merge"), "anchor", "left_semi").groupBy("first_doc").agg(F.collect_list(F.struct("anchor", "digest")).alias("chunks"))
+        wanted = scratch.write(wanted, "wanted").where(F.col("first_doc") >= -(1 << 63))  # a predicate makes Spark plan the filter
+        with settings(spark, **self.FILTERED):
+            texts = documents.join(wanted.hint("merge"), documents.key == wanted.first_doc).select("first_doc", "text", "chunks")
+            windows = scratch.write(chunk_windows(texts), "windows")
         release(spark)
         least = windows.groupBy("w0", "w1").agg(F.min("first_doc").alias("least"), F.max("first_doc").alias("most")).where("least < most")
         late = windows.join(least, ["w0", "w1"]).where("least < first_doc")
         bits = late.select("anchor", "digest", "j").distinct().groupBy("anchor", "digest").agg(F.sum(F.expr("shiftleft(1L, j)")).alias("bits"))
         verdict = todo.join(bits, ["anchor", "digest"], "left").select("anchor", "digest", "first_doc", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
         # written first, so that both sides of the join are plain shuffles, whose skewed partitions Spark can split
-        verdict = stored(verdict, "verdict")
+        verdict = scratch.write(verdict, "verdict")
         whole = F.expr("shiftleft(1L, size) - 1")
         marks = chunks.join(verdict, ["anchor", "digest"]).where("key > first_doc or bits <> 0")
         marks = marks.select("key", "th", "first", F.when(F.col("key") > F.col("first_doc"), whole).otherwise(F.col("bits")).alias("bits"))
         out = materialize(spark, marks, "marks")
+        scratch.drop(*scratch.paths)
         release(spark)
-        for path in used:
-            remove(spark, path)
         if len(self.runs) > self.limit:
             self.compact()
         return out
@@ -221,7 +252,9 @@ class FingerprintIndex:
 
 def apply_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """docs (key, th, text and others) with n_words, n_removed and kept (the words left, joined by one space)."""
-    per_doc = marks.groupBy("key", "th").agg(F.collect_list(F.struct("first", "bits")).alias("marks"))
+    # repeated rows mark the same words: a document's marks come once, and no more than its windows
+    per_doc = marks.distinct().groupBy("key", "th").agg(F.collect_list(F.struct("first", "bits")).alias("marks"))
+    per_doc = materialize(docs.sparkSession, per_doc, "marks_of")
     joined = docs.join(per_doc.hint("merge"), ["key", "th"], "left")
 
     def run(batch: dict) -> dict:
@@ -241,22 +274,21 @@ def apply_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
     return map_arrow(src, run, schema, to_arrow_schema(schema)).select("row.*", "n_words", "n_removed", "kept")
 
 
-def dedup(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = BATCHES, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = BATCHES, carry: tuple[str, ...] = (), runs: int = RUNS) -> DataFrame:
     """key, the carried columns, text, n_words, n_removed, kept; documents are indexed in batches of rising ids."""
     bounded_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), F.col(text).alias("text"), *(F.col(f"`{c}`").alias(f"c_{c}") for c in carry))
     cuts = rows.agg(F.percentile_approx("key", [(i + 1) / batches for i in range(batches - 1)] or [1.0], 10_000)).collect()[0][0]
     ends = sorted(set(cuts or [])) if batches > 1 else []
-    index, marks, low = FingerprintIndex(spark), None, None
-    for high in [*ends, None]:
-        part = rows.select("key", "th", "text").where(F.col("key").isNotNull())
-        so_far = part.select("key", "text") if high is None else part.select("key", "text").where(F.col("key") <= high)
-        part = part if low is None else part.where(F.col("key") > low)
-        part = part if high is None else part.where(F.col("key") <= high)
-        found = index.add(part, so_far)
-        marks, low = found if marks is None else marks.unionByName(found), high
-    for path in index.runs:
-        remove(spark, path)
+    marks, low = None, None
+    with FingerprintIndex(spark, runs) as index:
+        for high in [*ends, None]:
+            part = rows.select("key", "th", "text").where(F.col("key").isNotNull())
+            so_far = part.select("key", "text") if high is None else part.select("key", "text").where(F.col("key") <= high)
+            part = part if low is None else part.where(F.col("key") > low)
+            part = part if high is None else part.where(F.col("key") <= high)
+            found = index.add(part, so_far)
+            marks, low = found if marks is None else marks.unionByName(found), high
     out = apply_marks(rows, marks)
     return out.select(F.col("key").alias(key), *(F.col(f"c_{c}").alias(c) for c in carry), F.col("text").alias(text), "n_words", "n_removed", "kept")
 
