@@ -49,22 +49,32 @@ def true_runs(samples: DataFrame, keys: tuple[str, ...] = ("channel",), flag: st
 
 
 def run_peaks(samples: DataFrame, keys: tuple[str, ...] = ("channel",), flag: str = "flag") -> DataFrame:
-    """Maxima of runs: in runs of more than three samples every turn from rising to falling, else the first greatest sample."""
+    """Maxima of runs. Up to three samples: the first greatest one. More: every sample behind which the slope's sign gets less.
+
+    Before the run the slope counts as 0, so a run that only falls has its first sample, and both ends of a top plateau count.
+    The last sample never does.
+    """
     w = Window.partitionBy(*keys).orderBy("sample")
     isle = samples.where(flag).withColumn("island", F.col("sample") - F.row_number().over(w))
     r = Window.partitionBy(*keys, "island").orderBy("sample")
     whole = Window.partitionBy(*keys, "island")
     seen = isle.withColumns({"prev": F.lag("x").over(r), "next": F.lead("x").over(r), "len": F.count("*").over(whole), "best": F.min(F.struct(-F.col("x"), F.col("sample"))).over(whole)["sample"]})
-    turn = (F.col("len") > 3) & (F.col("x") > F.col("prev")) & (F.col("x") >= F.col("next"))
+    turn = (F.col("len") > 3) & (F.signum(F.col("next") - F.col("x")) < F.coalesce(F.signum(F.col("x") - F.col("prev")), F.lit(0.0)))
     return seen.where(turn | ((F.col("len") <= 3) & (F.col("sample") == F.col("best")))).select(*keys, "sample", "x")
 
 
 def poly_groups(peaks: DataFrame, reach: int, keys: tuple[str, ...] = ("channel",)) -> DataFrame:
-    """Groups of peaks whose next one is at most `reach` away; of each group its greatest peak (first on ties)."""
+    """Groups of peaks whose next one is at most `reach` away: the peaks that stay (sample) and how many the group had (n).
+
+    A single peak stays. Of several, those stay that are no lower than the one before and higher than the one behind; the
+    sequence has a 0 in front and at its end.
+    """
     w = Window.partitionBy(*keys).orderBy("sample")
     new = F.coalesce((F.col("sample") - F.lag("sample").over(w) > reach).cast("int"), F.lit(1))
-    grouped = peaks.withColumn("_new", new).withColumn("grp", F.sum("_new").over(w)).groupBy(*keys, "grp")
-    return grouped.agg(F.min(F.struct((-F.col("x")).alias("v"), F.col("sample").alias("s")))["s"].alias("sample"), F.count("*").alias("n")).drop("grp")
+    grouped = peaks.withColumn("_new", new).withColumn("grp", F.sum("_new").over(w))
+    g = Window.partitionBy(*keys, "grp").orderBy("sample")
+    seen = grouped.withColumns({"prev": F.lag("x", 1, 0.0).over(g), "next": F.lead("x", 1, 0.0).over(g), "n": F.count("*").over(Window.partitionBy(*keys, "grp"))})
+    return seen.where("n = 1 or (x >= prev and next < x)").select(*keys, "sample", "n")
 
 
 def closing(samples: DataFrame, width: int, keys: tuple[str, ...] = ("channel",)) -> DataFrame:

@@ -40,7 +40,7 @@ PEAKS = (
     ISLES
     + """, seen AS (SELECT *, lag(x) OVER r AS prev, lead(x) OVER r AS nxt, count(*) OVER (PARTITION BY channel, island) AS len, row_number() OVER (PARTITION BY channel, island ORDER BY x DESC, sample) AS best
  FROM isles WINDOW r AS (PARTITION BY channel, island ORDER BY sample)),
-peaks AS (SELECT channel, sample, x FROM seen WHERE (len > 3 AND x > prev AND x >= nxt) OR (len <= 3 AND best = 1))"""
+peaks AS (SELECT channel, sample, x FROM seen WHERE (len > 3 AND sign(nxt - x) < coalesce(sign(x - prev), 0)) OR (len <= 3 AND best = 1))"""
 )
 
 
@@ -465,7 +465,7 @@ SELECT kind, round(sum(CASE WHEN i = 1 THEN v * pow(0.65, n - 1) ELSE 0.35 * v *
 QUERIES = {
     "win06_true_runs": (win06, f"WITH {ISLES} SELECT channel, min(sample) AS start, max(sample) AS stop, count(*) AS length FROM isles GROUP BY channel, island"),
     "win07_run_peaks": (win07, f"WITH {PEAKS} SELECT * FROM peaks"),
-    "win08_poly_groups": (win08, f"WITH {PEAKS}, g AS (SELECT *, sum(nw) OVER (PARTITION BY channel ORDER BY sample) AS grp FROM (SELECT *, CASE WHEN sample - lag(sample) OVER (PARTITION BY channel ORDER BY sample) <= 3 THEN 0 ELSE 1 END AS nw FROM peaks)) SELECT channel, arg_max(sample, (x, -sample)) AS sample, count(*) AS n FROM g GROUP BY channel, grp"),
+    "win08_poly_groups": (win08, f"WITH {PEAKS}, g AS (SELECT *, sum(nw) OVER (PARTITION BY channel ORDER BY sample) AS grp FROM (SELECT *, CASE WHEN sample - lag(sample) OVER (PARTITION BY channel ORDER BY sample) <= 3 THEN 0 ELSE 1 END AS nw FROM peaks)), h AS (SELECT *, lag(x, 1, 0) OVER r AS prev, lead(x, 1, 0) OVER r AS nxt, count(*) OVER (PARTITION BY channel, grp) AS n FROM g WINDOW r AS (PARTITION BY channel, grp ORDER BY sample)) SELECT channel, sample, n FROM h WHERE n = 1 OR (x >= prev AND nxt < x)"),
     "win09_detection_union": (win09, f"WITH {LSIG}, f AS (SELECT *, max(CASE WHEN x > 45 THEN 1 ELSE 0 END) OVER w AS wide FROM long_signal WINDOW w AS (PARTITION BY channel ORDER BY sample ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)), c AS (SELECT *, min(wide) OVER w AS closed FROM f WINDOW w AS (PARTITION BY channel ORDER BY sample ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)), i AS (SELECT *, sample - row_number() OVER (PARTITION BY channel ORDER BY sample) AS k FROM c WHERE closed = 1) SELECT channel, arg_max(sample, (x, -sample)) AS sample FROM i GROUP BY channel, k"),
     "win10_sliding_windows": (win10, f"WITH {LSIG}, n AS (SELECT channel, count(*) AS n FROM long_signal GROUP BY channel), w AS (SELECT channel, n, unnest(range(0, (n - 500) // 100 + 1)) AS window_id FROM n WHERE n >= 500) SELECT channel, window_id, window_id * 100 AS start, window_id * 100 + 500 AS stop FROM w"),
     "agg09_lognormal": (agg09, AGG09 + " SELECT channel, window_id, round(mu, 6) AS mu, round(sigma, 6) AS sigma FROM p"),

@@ -167,11 +167,8 @@ def str04(spark, sf):
     return labels(spark, sf).select("label", L.looks_bipolar(F.col("label")).alias("bipolar"))
 
 
-def parsable(e):
-    return A.PREFIX.format(e) + " IS NOT NULL"
-
-
-BIPOLAR = f"len(p) = 2 AND coalesce({parsable('p[1]')} AND {parsable('p[-1]')}, false) AND NOT regexp_matches(upper(regexp_replace(trim(label), '\\s+', ' ', 'g')), '-\\s*G\\d+$')"
+BARE = "regexp_replace(upper(regexp_replace(trim(label), '\\s+', ' ', 'g')), '^EEG ', '')"
+BIPOLAR = f"len(p) = 2 AND len(list_filter(p, lambda q: {A.PREFIX.format('q')} IS NOT NULL)) = 2 AND NOT regexp_matches({BARE}, '[-\\s]*G\\d+\\s*$')"
 
 
 def str05(spark, sf):
@@ -478,7 +475,7 @@ QUERIES = {
     "fil25_context_windows": (fil25, f"WITH {SIG}, c AS (SELECT channel, sample, sample / 100.0::DOUBLE AS c FROM signal) SELECT channel, sample, round(greatest(c - 0.25, 0), 6) AS narrow_start, round(greatest(c - 0.25, 0) + 0.5, 6) AS narrow_end, round(greatest(c - 2.5, 0), 6) AS wide_start, round(c + 2.5, 6) AS wide_end FROM c"),
     "fil26_marker_cleaning": (fil26, f"WITH {SPK} SELECT event_id, least(power, coalesce(duration, 50)) AS t0, greatest(power, coalesce(duration, 50)) AS t1 FROM spikes WHERE NOT isnan(power)"),
     "str01_labels": (str02, f"WITH {LABELS} SELECT label, upper(regexp_replace(trim(label), '\\s+', ' ', 'g')) AS normalized, {P} || {K} AS core, {P} AS prefix, {K} AS contact, lower(regexp_replace(regexp_replace(trim(label), '(?i)^EEG\\s+', ''), '\\s+', '', 'g')) AS match_key FROM labels"),
-    "str04_looks_bipolar": (str04, f"WITH {LABELS} SELECT label, {BIPOLAR} AS bipolar FROM (SELECT label, regexp_split_to_array(label, '[-–—]') AS p FROM labels)"),
+    "str04_looks_bipolar": (str04, f"WITH {LABELS} SELECT label, {BIPOLAR} AS bipolar FROM (SELECT label, list_filter(list_transform(regexp_split_to_array({BARE}, '[-–—]'), lambda q: trim(q)), lambda q: q <> '') AS p FROM labels)"),
     "str05_pair_name": (str05, "SELECT s_suppkey AS k, '(EEG RA' || s_suppkey || ')-(C' || s_suppkey || '-C' || (s_suppkey + 1) || ')' AS ab, 'RA' || s_suppkey || '-RA' || s_suppkey AS aa FROM supplier"),
     "str07_class_normalise": (str07, CLASS_SQL),
     "str08_gamma_class": (str08, f"WITH {SPK}, o AS (SELECT event_id, coalesce(CASE WHEN trim(manual_class) <> '' THEN manual_class END, CASE WHEN trim(model_class) <> '' THEN model_class END, '') AS o FROM spikes) SELECT event_id, CASE lower(replace(o, '_', '-')) WHEN 'gamma' THEN 'gamma' WHEN 'non-gamma' THEN 'non-gamma' WHEN '' THEN 'unclassified' ELSE o END AS official FROM o"),
