@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 from functools import lru_cache
-from math import ceil, gcd, log10, pi
+from math import ceil, floor, gcd, log10, pi
 
 import numpy as np
 
@@ -266,19 +266,23 @@ def stft_power(x: np.ndarray, fs: float, nperseg: int | None = None, hop: int |
     return np.fft.rfftfreq(n, 1 / fs), (starts + n / 2) / fs, p.T
 
 
+#: Gain of the wavelets for each Hz of their frequency at the reference sampling rate.
+MORSE_GAIN, MORSE_RATE = 0.055219397200513345, 2000.0
+
+
 def morse(x: np.ndarray, fs: float, freqs: np.ndarray, gamma: float = 3.0, bandwidth: float = 60.0) -> np.ndarray:
-    """Generalised Morse wavelet transform, peak gain 2, by FFT (DSP21)."""
-    beta = bandwidth / gamma
-    n = len(x)
+    """Generalised Morse wavelet transform by FFT (DSP21): unit-energy spectra, times sqrt(scale), frequency and a fixed gain."""
+    beta, n = bandwidth / gamma, len(x)
     omega = 2 * pi * np.fft.fftfreq(n)
-    peak = (beta / gamma) ** (1 / gamma)
-    spectrum = np.fft.fft(x - x.mean())
+    pos = np.flatnonzero(omega > 0)
+    spectrum = np.fft.fft(x)
     out = np.empty((len(freqs), n), complex)
-    pos = omega > 0
     for i, f in enumerate(freqs):
-        s = omega[pos] * peak / (2 * pi * f / fs)
+        scale = (beta / gamma) ** (1 / gamma) * fs / (2 * pi * f)
+        shape = np.exp(beta * np.log(scale * omega[pos]) - (scale * omega[pos]) ** gamma)
+        energy = np.sqrt((shape**2).sum())
         h = np.zeros(n)
-        h[pos] = 2 * np.exp(beta * np.log(s / peak) - s**gamma + peak**gamma)
+        h[pos] = shape * (np.sqrt(scale * MORSE_RATE / fs) * f * MORSE_GAIN / (energy or 1.0))
         out[i] = np.fft.ifft(spectrum * h)
     return out
 
@@ -418,72 +422,213 @@ def mni_detector(x: np.ndarray, fs: float, percentile: float = 0.999999, base_s:
     return found[found[:, 1] - found[:, 0] >= min_s * fs] if len(found) else found
 
 
-def spike_detector(x: np.ndarray, fs: float, low: float = 10.0, high: float = 60.0, k1: float = 3.65, win_s: float = 5.0, step_s: float = 1.0, union_s: float = 0.12) -> np.ndarray:
-    """Envelope detector of one channel: samples of spikes.
-
-    Band-pass, envelope, lognormal thresholds in sliding windows joined by a spline, maxima of the runs
-    above it, merged over union_s, and none in the first and last two seconds.
-    """
-    sos = to_sos(*design(2, (low, min(high, 0.95 * fs / 2)), fs, "bandpass"))
-    e = envelope(sosfiltfilt(sos, x))
-    size, step = round(win_s * fs), round(step_s * fs)
-    if len(e) < size:
-        return np.empty(0, int)
-    starts = np.arange(0, len(e) - size + 1, step)
-    mu, sigma = np.empty(len(starts)), np.empty(len(starts))
+def cheby2_order(passed: float, stopped: float, ripple: float = 6.0, attenuation: float = 60.0) -> int:
+    """Least order of a Chebyshev II filter that loses at most `ripple` dB at one edge and `attenuation` dB at the other (shares of Nyquist)."""
+    ratio = np.tan(pi * max(passed, stopped) / 2) / np.tan(pi * min(passed, stopped) / 2)
+    return ceil(np.arccosh(np.sqrt((10 ** (attenuation / 10) - 1) / (10 ** (ripple / 10) - 1))) / np.arccosh(ratio))
+
+
+def butter_order(passed: float, stopped: float, ripple: float = 6.0, attenuation: float = 60.0) -> tuple[int, float]:
+    """The same for a Butterworth filter, and the -3 dB edge (share of Nyquist) that meets the ripple at the passed edge."""
+    w = np.tan(pi * np.array([passed, stopped]) / 2)
+    lose, stop = 10 ** (ripple / 10) - 1, 10 ** (attenuation / 10) - 1
+    order = ceil(np.log10(stop / lose) / (2 * np.log10(max(w) / min(w))))
+    shift = lose ** (-1 / (2 * order))
+    edge = w[0] * shift if passed < stopped else w[0] / shift
+    return order, float(2 * np.arctan(edge) / pi)
+
+
+def prefilter(low: float, high: float, fs: float, transition: float = 0.5) -> np.ndarray:
+    """DSP12: sections of a Chebyshev II band-pass, 0.5 dB at the band's edges and 93 dB a transition outside of them."""
+    top = fs / 2 - 2 * transition
+    passed = np.tan(pi * np.array([low, min(high, top)]) / fs)
+    stopped = np.tan(pi * np.array([max(low - transition, 1e-3), min(high, top) + transition]) / fs)
+    ratio = np.abs((stopped**2 - passed[0] * passed[1]) / (stopped * (passed[0] - passed[1]))).min()
+    need = np.arccosh(np.sqrt((10**9.3 - 1) / (10**0.05 - 1)))
+    order = ceil(need / np.arccosh(ratio))
+    # the stop edges at which this order loses 0.5 dB exactly at the band's edges
+    spread = np.cosh(need / order) * (passed[1] - passed[0]) / 2
+    low_edge = np.sqrt(spread**2 + passed[0] * passed[1]) - spread
+    edges = np.arctan([low_edge, passed[0] * passed[1] / low_edge]) * fs / pi
+    return to_sos(*design(order, tuple(edges), fs, "bandpass", "cheby2", 93.0))
+
+
+def detector_band(x: np.ndarray, fs: float, low: float = 10.0, high: float = 60.0, chebyshev: bool = True) -> np.ndarray:
+    """DSP08: high-pass, then low-pass (none at Nyquist), zero phase, orders from 6 dB and 60 dB at edges 0.05 and 0.1 of Nyquist apart."""
+    for edge, wide, kind in ((2 * low / fs, -0.05, "highpass"), (2 * high / fs, 0.1, "lowpass")):
+        if kind == "lowpass" and high >= fs / 2:
+            continue
+        if chebyshev:
+            stopped = min(1 - 1e-9, edge + wide) if wide > 0 else max(1e-5, edge + wide)
+            order, at = cheby2_order(edge, stopped), stopped
+            b, a = to_ba(*design(order, at * fs / 2, fs, kind, "cheby2", 60.0))
+        else:
+            order, at = butter_order(edge, min(1 - 1e-9, edge + wide) if wide > 0 else max(0.1, edge + wide))
+            b, a = to_ba(*design(order, at * fs / 2, fs, kind))
+        x = filtfilt(b, a, x, 3 * (max(len(a), len(b)) - 1))
+    return x
+
+
+def hum_free(x: np.ndarray, fs: float, hum: float = 50.0, high: float = 60.0) -> np.ndarray:
+    """DSP07: all harmonics of the hum up to 1.1 times the band's upper edge and Nyquist."""
+    for k in range(1, int((min(fs / 2, 1.1 * high) + 1e-9) // hum) + 1):
+        b, a = hum_filter(k * hum, fs)
+        x = filtfilt(b, a, x, 3 * (len(a) - 1))
+    return x
+
+
+def detector_rate(x: np.ndarray, fs: float, rate: float = 200.0) -> np.ndarray:
+    """DSP09: to the detector's rate, in one stage for each decade of the ratio, by long Kaiser filters."""
+    stages = max(1, ceil(np.log10(fs / rate)))
+    share = (fs / rate) ** (1 / stages)
+    for i in range(stages if fs != rate else 0):
+        to = rate if i == stages - 1 else float(round(fs / share))
+        exact = Fraction(to).limit_denominator(10**6) / Fraction(fs).limit_denominator(10**6)
+        x, fs = resample(x, exact.numerator, exact.denominator, half=100), to
+    return x
+
+
+def lognormal_windows(e: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the windows, mean and deviation of the logarithms of their positive values (zeros where there are none)."""
+    starts = np.arange(0, max(1, len(e) - size + 1), step)
+    out = np.zeros((len(starts), 2))
     for i, s in enumerate(starts):
         v = e[s : s + size]
         v = np.log(v[v > 0])
-        mu[i], sigma[i] = (v.mean(), v.std(ddof=1)) if len(v) > 1 else (0.0, 0.0)
+        if len(v):
+            out[i] = v.mean(), v.std(ddof=1) if len(v) > 1 else 0.0
+    smooth = round(size * len(starts) / max(1, len(e)))
+    if smooth > 1 and len(starts) > 3 * smooth:
+        out = filtfilt(np.full(smooth, 1 / smooth), [1.0], out.T).T
+    return starts, out[:, 0], out[:, 1]
+
+
+def run_maxima(x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """WIN07 on arrays: the greatest sample of runs of up to three, else where the slope's sign gets less (0 in front)."""
+    out = []
+    for a, b in runs(mask).tolist():
+        if b - a > 3:
+            slope = np.sign(np.diff(x[a:b]))
+            out += (a + np.flatnonzero(slope < np.r_[0, slope[:-1]])).tolist()
+        else:
+            out.append(a + int(np.argmax(x[a:b])))
+    return np.array(out, int)
+
+
+def polyspikes(x: np.ndarray, peaks: np.ndarray, reach: int) -> np.ndarray:
+    """WIN08 on arrays: of peaks in a chain of gaps up to reach, those no lower than the one before and higher than the one behind."""
+    out: list[int] = []
+    for group in np.split(peaks, np.flatnonzero(np.diff(peaks) > reach) + 1):
+        v = np.r_[0, x[group], 0]
+        out += (group if len(group) == 1 else group[(v[1:-1] >= v[:-2]) & (v[2:] < v[1:-1])]).tolist()
+    return np.array(out, int)
+
+
+def spike_times(x: np.ndarray, fs: float, low: float = 10.0, high: float = 60.0, hum: float = 50.0, k1: float = 3.65, win_s: float = 5.0, step_s: float = 1.0, union_s: float = 0.12, rate: float = 200.0) -> np.ndarray:
+    """DSP19: seconds of the spikes of one channel (the first sample is one sample's length after 0).
+
+    Resampled, freed of hum and band-passed; envelope; thresholds from lognormal windows, joined by a spline; maxima of
+    the runs above them, polyspikes reduced, neighbours united, edges of a second and the recording's two seconds cleared.
+    """
+    y = detector_rate(np.asarray(x, float), fs, rate)
+    if len(y) < 40 or not np.any(y):
+        return np.empty(0)
+    e = envelope(detector_band(hum_free(y, rate, hum, high), rate, low, high, rate == 200.0))
+    size, step = round(win_s * rate), round(step_s * rate)
+    starts, mu, sigma = lognormal_windows(e, min(size, len(e)), step)
     at = np.arange(len(e))
-    mu, sigma = spline(starts + size / 2, mu, at), spline(starts + size / 2, sigma, at)
+    mu, sigma = (spline(starts + round(size / 2), v, at) if len(starts) > 1 else np.full(len(e), v[0]) for v in (mu, sigma))
+    sigma = np.maximum(sigma, np.finfo(float).eps)
     limit = k1 * (np.exp(mu - sigma**2) + np.exp(mu))
-    reach = ceil(union_s * fs) | 1
-    mask = np.convolve(e > limit, np.ones(reach), "same") > 0
-    mask = np.convolve(~mask, np.ones(reach), "same") <= 0
-    peaks = np.array([a + int(np.argmax(e[a:b])) for a, b in runs(mask)], int)
-    return peaks[(peaks / fs > 2) & (peaks / fs < len(x) / fs - 2)] if len(peaks) else peaks
+    peaks = polyspikes(e, run_maxima(e, e > limit), ceil(union_s * rate))
+    mark = np.zeros(len(e))
+    mark[peaks] = 1
+    reach = np.ones(ceil(union_s * rate) | 1)
+    united = np.convolve(np.convolve(mark, reach, "same") < 0.5, reach, "same") < 0.5
+    found = np.array([a + int(np.argmax(e[a:b])) for a, b in runs(united)], int)
+    edge = round(rate) if len(e) > 2 * round(rate) else 0
+    found = found[(found >= edge) & (found < len(e) - max(edge, ceil(0.005 * rate + 1)))]
+    seconds = (found + 1) / rate
+    return seconds[(seconds > 2) & (seconds < len(x) / fs - 2)]
+
+
+def spike_detector(x: np.ndarray, fs: float, **settings) -> np.ndarray:
+    """Samples of x nearest to the detector's spikes."""
+    return np.clip(np.round(spike_times(x, fs, **settings) * fs).astype(int) - 1, 0, max(0, len(x) - 1))
 
 
 def spike_boundary(x: np.ndarray, fs: float, at: int) -> tuple[int, int, int] | None:
-    """P1, N1, N2 around a spike: the most prominent trough between two peaks 20 to 70 ms apart, 10 ms a side at least."""
-    lo, hi = max(0, at - round(0.075 * fs)), min(len(x), at + round(0.225 * fs))
-    part = x[lo:hi]
-    tops, dips = find_peaks(part), find_peaks(-part)
-    if not len(tops) or not len(dips):
+    """DSP20: P1 (onset), N1 (peak) and N2 (end) of the spike near sample `at`, or None.
+
+    A stretch of 0.3 s begins a quarter before the spike. The peak is its greatest magnitude near there. P1 and P2 are the
+    nearest extrema of the other sign whose prominence reaches a level: 20, then less by 2 down to 0, until they are 20 to
+    70 ms apart and 10 ms from the peak each; levels jump to 30, 40 and 50 the first three times that one is too near.
+    N2 is an extremum of the opposite kind behind P2, counted from the peak, 10 ms behind P2 and within 150 ms of P1, at
+    levels 4 to 50; if the last level gives none, it is 150 ms behind P1.
+    """
+    lo = at - floor(0.3 * fs / 4 + 0.5)
+    hi, lo = min(len(x), lo + round(0.3 * fs)), max(0, lo)
+    part, reach = x[lo:hi], 2 * floor(fs / 200 + 0.5)
+    first = max(0, at - lo - reach)
+    if not len(part[first : at - lo + reach]):
         return None
-    i = np.searchsorted(tops, dips)
-    p1 = tops[np.maximum(i - 1, 0)]
-    p2 = np.where(i < len(tops), tops[np.minimum(i, len(tops) - 1)], np.minimum(len(part) - 1, p1 + round(0.15 * fs)))
-    ok = (i > 0) & (dips - p1 >= 0.01 * fs) & (0.02 * fs <= p2 - p1) & (p2 - p1 <= 0.07 * fs) & (p2 - dips >= 0.01 * fs)
-    at = np.flatnonzero(ok)
-    if not len(at):
+    peak = first + int(np.argmax(np.abs(part[first : at - lo + reach])))
+    value = part[peak]
+    kinds = {}
+    for sign in (1, -1):
+        found = find_peaks(sign * part)
+        kinds[sign] = found, prominences(sign * part, found)
+    found, depth = kinds[-1 if value > 0 else 1]
+    left = right = None
+    level, jumps = 20, [50, 40, 30]
+    while True:
+        strong = found[depth >= level]
+        before, behind = strong[strong < peak], strong[strong > peak]
+        left, right = (int(before[-1]) if len(before) else None), (int(behind[0]) if len(behind) else None)
+        close = False
+        if left is not None and right is not None:
+            close = min(right - peak, peak - left) / fs < 0.01
+            if not close and 0.02 <= (right - left) / fs <= 0.07:
+                break
+        if close and jumps:
+            level = jumps.pop()
+        elif level == 0:
+            break
+        else:
+            level -= 2
+    if left is None or right is None:
         return None
-    depth, sd = prominences(-part, dips[at]), part.std()
-    for limit in range(20, 0, -2):
-        deep = at[depth >= limit * sd / 10]
-        if len(deep):
-            k = deep[0]
-            later = dips[dips > p2[k]]
-            n2 = int(later[0]) if len(later) else min(len(part) - 1, int(p1[k]) + round(0.15 * fs))
-            return lo + int(p1[k]), lo + int(dips[k]), lo + n2
-    return None
+    found, depth = kinds[-1 if value < 0 else 1]
+    end = None
+    for level in range(4, 52, 2):
+        behind = found[(depth >= level) & (found > right)]
+        end = peak + int(behind[0]) - right if len(behind) else None
+        if end is not None and (end - right) / fs >= 0.01 and (end - left) / fs <= 0.15:
+            break
+    return lo + left, lo + peak, lo + (end if end is not None else left + round(0.15 * fs))
 
 
 def gamma_measure(x: np.ndarray, fs: float, p1: int, n2: int) -> tuple[float, float, float]:
-    """Power, frequency and duration (ms) of pre-spike gamma: zeros if there is none, NaN if it can't be measured."""
+    """DSP22: power, frequency and duration (ms) of pre-spike gamma: zeros if there is none, NaN if it can't be measured.
+
+    The half seconds before P1 and behind N2 are the baseline; runs above its mean by two deviations are looked for before
+    P1. A run's power is the mean magnitude over its stretch one sample later, as published results have it.
+    """
+    x = x[:-1]
+    if len(x) < 2:
+        return 0.0, 0.0, 0.0
+    n, half = np.arange(len(x)), fs / 2
+    search = (n < p1) & (n >= ceil(p1 + 1 - half))
+    base = search | ((n > n2) & (n < floor(n2 + 1 + half)))
+    if 1000 * base.sum() / fs < 250 or not search.any():
+        return (float("nan"),) * 3
     freqs = 100 / 2 ** (np.arange(70) / 40)
     mag = np.abs(morse(x, fs, freqs))
-    n = np.arange(len(x))
-    search = (n < p1) & (n >= p1 - 0.5 * fs)
-    base = ~search & ~((n >= p1) & (n <= n2 + 0.5 * fs))
-    if base.sum() < 0.25 * fs or not search.any():
-        return (float("nan"),) * 3
     limit = mag[:, base].mean(1) + 2 * mag[:, base].std(1, ddof=1)
     best = (0.0, 0.0, 0.0)
     for i, f in enumerate(freqs):
-        for a, b in runs((mag[i] > limit[i]) & search):
-            if b - a >= 3 * ceil(fs / f) and (p1 - b) / fs <= 0.19 and (power := float(mag[i, a:b].max())) > best[0]:
+        for a, b in runs((mag[i] > limit[i]) & search).tolist():
+            if b - a >= 3 * ceil(fs / f) and p1 - b <= 0.19 * fs and (power := float(mag[i, a + 1 : b + 1].mean())) > best[0]:
                 best = (power, float(f), 1000.0 * (b - a) / fs)
     return best
 

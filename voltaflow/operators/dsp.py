@@ -58,11 +58,26 @@ def display_filter(signal: DataFrame, fs: float, high_pass: float | None, low_pa
 
 
 def prefiltered(signal: DataFrame, fs: float, low: float, high: float) -> DataFrame:
-    """DSP12: Chebyshev II sections forward and reverse from rest."""
-    sos = K.to_sos(*K.design(6, (low, min(high, 0.95 * fs / 2)), fs, "bandpass", "cheby2", 60.0))
+    """DSP12: Chebyshev II sections forward and reverse from rest: 0.5 dB in the band, 93 dB half a hertz outside of it."""
+    sos = K.prefilter(low, high, fs)
     return per_channel(signal, lambda x: _rows(K.forward_reverse(sos, x)), *SAMPLES)
 
 
+def detector_band(signal: DataFrame, fs: float, low: float = 10.0, high: float = 60.0, chebyshev: bool = True) -> DataFrame:
+    """DSP08: the detector's band."""
+    return per_channel(signal, lambda x: _rows(K.detector_band(x, fs, low, high, chebyshev)), *SAMPLES)
+
+
+def detector_rate(signal: DataFrame, fs: float, rate: float = 200.0) -> DataFrame:
+    """DSP09: the detector's sampling rate."""
+    return per_channel(signal, lambda x: _rows(K.detector_rate(x, fs, rate)), *SAMPLES)
+
+
+def hum_free(signal: DataFrame, fs: float, hum: float = 50.0, high: float = 60.0) -> DataFrame:
+    """DSP07: without hum."""
+    return per_channel(signal, lambda x: _rows(K.hum_free(x, fs, hum, high)), *SAMPLES)
+
+
 def envelope(signal: DataFrame) -> DataFrame:
     return per_channel(signal, lambda x: _rows(K.envelope(x)), *SAMPLES)
 
@@ -107,7 +122,7 @@ def candidates(signal: DataFrame, fs: float, detector: str, low: float, high: fl
 
 def spikes(signal: DataFrame, fs: float, keys: tuple[str, ...] = ("channel",)) -> DataFrame:
     """DSP19: spike samples of each channel or chunk."""
-    return per_channel(signal, lambda x: [(int(p), (p + 1) / fs) for p in K.spike_detector(x, fs)], "sample long, pos_s double", [("sample", pa.int64()), ("pos_s", pa.float64())], keys)
+    return per_channel(signal, lambda x: [(min(len(x), max(1, round(t * fs))) - 1, t) for t in K.spike_times(x, fs).tolist()], "sample long, pos_s double", [("sample", pa.int64()), ("pos_s", pa.float64())], keys)
 
 
 def spike_boundaries(signal: DataFrame, fs: float, find: Callable[[np.ndarray], np.ndarray]) -> DataFrame:

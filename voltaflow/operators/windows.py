@@ -138,11 +138,10 @@ def centred(samples: DataFrame, keys: tuple[str, ...] = ("channel",)) -> DataFra
 
 
 def gamma_masks(samples: DataFrame, fs: float, pre: float = 0.5, post: float = 0.5) -> DataFrame:
-    """Baseline and search masks around p1 and n2 (samples), and whether they allow a measurement (WIN23)."""
-    before = (F.col("sample") < F.col("p1")) & (F.col("sample") >= F.col("p1") - F.lit(int(pre * fs)))
+    """Search mask (the stretch before p1) and baseline mask (that and the stretch behind n2), p1 and n2 being samples (WIN23)."""
+    before = (F.col("sample") < F.col("p1")) & (F.col("sample") > F.col("p1") - F.lit(int(pre * fs)))
     after = (F.col("sample") > F.col("n2")) & (F.col("sample") <= F.col("n2") + F.lit(int(post * fs)))
-    out = samples.withColumns({"search": before, "baseline": ~before & ~after & ~F.col("sample").between(F.col("p1"), F.col("n2"))})
-    return out
+    return samples.withColumns({"search": before, "baseline": before | after})
 
 
 def best_candidate(candidates: DataFrame, keys: tuple[str, ...] = ("event_id",)) -> DataFrame:

@@ -88,9 +88,9 @@ QUERIES = {
     "dsp05_gamma_notch": (q(lambda s: S.per_channel(s, lambda x: S._rows(K.filtfilt(*K.notch(20.0, A.FS), x)), *S.SAMPLES)), None),
     "dsp06_boundary_band": (q(lambda s: S.bandpass(s, 500.0, 10.0, 60.0)), None),
     "dsp06_gamma_band": (q(lambda s: S.bandpass(s, 500.0, 30.0, 100.0)), None),
-    "dsp07_hum_filter": (q(lambda s: S.per_channel(s, lambda x: S._rows(K.filtfilt(*K.hum_filter(20.0, A.FS), x)), *S.SAMPLES)), None),
-    "dsp08_detector_band": (q(lambda s: S.prefiltered(s, 200.0, 10.0, 60.0)), None),
-    "dsp09_detector_resample": (q(lambda s: S.resampled(s, 500.0, 200.0)), None),
+    "dsp07_hum_filter": (q(lambda s: S.hum_free(s, 200.0)), None),
+    "dsp08_detector_band": (q(lambda s: S.detector_band(s, 200.0)), None),
+    "dsp09_detector_resample": (q(lambda s: S.detector_rate(s, 500.0)), None),
     "dsp17_review_filter": (q(lambda s: S.display_filter(s, A.FS, 5.0, 45.0)), None),
     "dsp18_threshold_spline": (spline, None),
     "dsp20_spike_boundary": (q(lambda s: S.spike_boundaries(s, A.FS * 5, K.find_peaks)), None),

@@ -221,7 +221,7 @@ def win23_all(spark, sf):
 
 
 WIN23_ALL = f"""WITH {SIG}, e AS (SELECT channel, sample AS p1 FROM signal WHERE x > 200),
-m AS (SELECT e.channel, p1, count(*) FILTER (sample BETWEEN p1 - 50 AND p1 - 1) AS search_n, count(*) FILTER (sample < p1 - 50 OR sample > p1 + 80) AS baseline_n FROM e JOIN signal s ON s.channel = e.channel AND sample >= p1 - 400 AND sample < p1 + 600 GROUP BY e.channel, p1)
+m AS (SELECT e.channel, p1, count(*) FILTER (sample BETWEEN p1 - 49 AND p1 - 1) AS search_n, count(*) FILTER (sample BETWEEN p1 - 49 AND p1 - 1 OR sample BETWEEN p1 + 31 AND p1 + 80) AS baseline_n FROM e JOIN signal s ON s.channel = e.channel AND sample >= p1 - 400 AND sample < p1 + 600 GROUP BY e.channel, p1)
 SELECT *, baseline_n >= 25 AND search_n > 0 AS evaluable FROM m"""
 
 
@@ -484,7 +484,7 @@ QUERIES = {
     "win20_threshold_runs": (win20, f"WITH {LSIG}, m AS (SELECT channel, avg(x) + stddev_samp(x) AS lim FROM long_signal GROUP BY channel), i AS (SELECT channel, sample, sample - row_number() OVER (PARTITION BY channel ORDER BY sample) AS k FROM long_signal JOIN m USING (channel) WHERE x > lim) SELECT channel, min(sample) AS start, max(sample) AS stop, count(*) AS length FROM i GROUP BY channel, k HAVING count(*) >= 3"),
     "win21_max_power": (win21, f"WITH {SPK}, r AS (SELECT channel, power, event_id, row_number() OVER (PARTITION BY channel ORDER BY power DESC, event_id) AS k FROM spikes WHERE NOT isnan(power)) SELECT channel AS event_id, power, event_id AS ord FROM r WHERE k = 1"),
     "win22_best_prespike_z": (win22, f"WITH {SIG}, m AS (SELECT channel, avg(x) AS m, stddev_samp(x) AS sd FROM signal GROUP BY channel), z AS (SELECT channel, sample, round((x - m) / sd, 9) AS z FROM signal JOIN m USING (channel) WHERE sample < 400) SELECT channel, arg_max(sample, (z, -sample)) AS sample, round(max(z), 6) AS z FROM z GROUP BY channel"),
-    "win23_gamma_masks": (win23, f"WITH {SIG}, m AS (SELECT channel, count(*) FILTER (sample BETWEEN 350 AND 399) AS search_n, count(*) FILTER (sample < 350 OR sample > 480) AS baseline_n FROM signal WHERE sample < 1000 GROUP BY channel) SELECT *, baseline_n >= 25 AND search_n > 0 AS evaluable FROM m"),
+    "win23_gamma_masks": (win23, f"WITH {SIG}, m AS (SELECT channel, count(*) FILTER (sample BETWEEN 351 AND 399) AS search_n, count(*) FILTER (sample BETWEEN 351 AND 399 OR sample BETWEEN 431 AND 480) AS baseline_n FROM signal WHERE sample < 1000 GROUP BY channel) SELECT *, baseline_n >= 25 AND search_n > 0 AS evaluable FROM m"),
     "win24_chunk_plan": (win24, f"WITH {LSIG}, n AS (SELECT channel AS recording, count(*) AS n_samples FROM long_signal GROUP BY channel), c AS (SELECT *, unnest(range(0, (n_samples + 599) // 600)) AS chunk_id FROM n) SELECT recording, n_samples, chunk_id, chunk_id * 600 AS start, least(chunk_id * 600 + 600, n_samples) AS stop, greatest(chunk_id * 600 - 10, 0) AS ext_start, least(least(chunk_id * 600 + 600, n_samples) + 10, n_samples) AS ext_stop FROM c"),
     "jon01_bipolar": (jon01, f"WITH {LSIG}, p AS (SELECT * FROM (VALUES ('0-1', 0, 1), ('1-2', 1, 2), ('2-99', 2, 99)) v(name, ch1, ch2)) SELECT name, a.sample, a.x - b.x AS x FROM p JOIN long_signal a ON a.channel = ch1 JOIN long_signal b ON b.channel = ch2 AND a.sample = b.sample"),
     "jon02_common_average": (jon02("mean"), jon02_sql("avg")),
