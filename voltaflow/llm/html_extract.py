@@ -25,17 +25,18 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, map_arrow, table
 
 #: Pages that the model is fitted on, and passes over them.
-TRAIN_PAGES, TRAIN_STEPS, SEED = 400, 160, 7
+TRAIN_PAGES, TRAIN_STEPS, SEED = 800, 160, 7
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Elements that hold text up to their end tag only; elements whose content is no text of the page if their end tag closes them; void elements; elements that don't end a block.
 RAW = frozenset("script style noscript textarea title iframe".split())
-APART = frozenset("template svg math select datalist option button object audio video canvas".split())
+APART = frozenset("template svg select datalist option button object audio video canvas".split())
 APART_TAG = re.compile(rf"<(?:{'|'.join(sorted(APART))})[\s/>]", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+MATH = "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mspace semantics"
+INLINE = frozenset(f"{MATH} a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table article section div aside nav main header footer form body".split())
@@ -59,8 +60,8 @@ def raw_end(page: str, tag: str, attributes: str, at: int) -> int:
 
 
 def is_empty(tag: str, attributes: str) -> bool:
-    """Self-closed elements of APART: HTML honours the slash in svg and math only."""
-    return tag in ("svg", "math") and attributes.rstrip().endswith("/")
+    """Self-closed elements of APART: HTML honours the slash in svg only."""
+    return tag == "svg" and attributes.rstrip().endswith("/")
 
 
 def apart(page: str) -> dict[int, int]:
@@ -98,37 +99,66 @@ def apart(page: str) -> dict[int, int]:
     return ends
 
 
-def blocks_of(page: str | None) -> list[tuple[tuple, str, int]]:
-    """Leaf blocks in page order: ancestors (tag, class words), text, characters inside links."""
+class Open:
+    """An open element: whether it lies in a link, and the features of its chain of block elements, made from its parent's."""
+
+    __slots__ = ("tag", "link", "chain", "article", "leaf", "outer", "known")
+
+    def __init__(self, parent: "Open | None", tag: str, words: tuple[str, ...]) -> None:
+        self.tag, self.link, self.known = tag, tag == "a" or (parent is not None and parent.link), None
+        if parent is None:
+            self.chain, self.article, self.leaf, self.outer = frozenset(), False, "-", "-"
+        else:
+            self.chain, self.article, self.leaf, self.outer = parent.chain, parent.article, parent.leaf, parent.outer
+        if tag and tag not in INLINE:
+            new = {f"in={tag}", *(f"class={w}" for w in words)}
+            if self.article and tag in ("header", "footer", "section", "aside", "div", "form", "nav"):
+                new.add(f"article>{tag}")
+            if not new <= self.chain:
+                self.chain = self.chain | new
+            self.article = self.article or tag in ("article", "main")
+            self.leaf, self.outer = tag, self.leaf
+
+    def features(self) -> frozenset:
+        if self.known is None:
+            more = ("bias", f"leaf={self.leaf}", f"parent={self.outer}", f"article={self.article}&leaf={self.leaf}", *(() if self.article else ("no-article",)))
+            self.known = self.chain.union(more)
+        return self.known
+
+
+def blocks_of(page: str | None) -> list[tuple[frozenset, str, int]]:
+    """Leaf blocks in page order: features of the ancestors, text, characters inside links."""
     page = page or ""
     ends = apart(page)
-    out: list[tuple[tuple, str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    out: list[tuple[frozenset, str, int]] = []
+    root = Open(None, "", ())
+    stack: list[Open] = []
+    n_open: Counter = Counter()
     parts: list[str] = []
-    links, in_link, at, n = 0, 0, 0, len(page)
-    path: tuple = ()
+    links, at, n = 0, 0, len(page)
+    block = root
 
     def flush() -> None:
         nonlocal links
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
             if text:
-                out.append((path, text, min(links, len(text))))
+                out.append((block.features(), text, min(links, len(text))))
             parts.clear()
         links = 0
 
     def pop_to(i: int) -> None:
-        nonlocal in_link, path
+        nonlocal block
+        n_open.subtract(x.tag for x in stack[i:])
         del stack[i:]
-        in_link = any(t == "a" for t, _ in stack)
-        path = tuple(x for x in stack if x[0] not in INLINE)
+        block = stack[-1] if stack else root
 
     while at < n:
         m = TOKEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
         if text:
             parts.append(text)
-            if in_link:
+            if stack and stack[-1].link:
                 links += len(text)
         if not m:
             break
@@ -145,12 +175,13 @@ def blocks_of(page: str | None) -> list[tuple[tuple, str, int]]:
                 continue
             if tag not in INLINE:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break
+            if n_open[tag]:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i].tag == tag:
+                        pop_to(i)
+                        break
+                    if tag in INLINE and stack[i].tag not in INLINE:
+                        break
             continue
         if tag in RAW or tag in APART:
             at = raw_end(page, tag, attributes, at) if tag in RAW else ends.get(at, at)
@@ -160,46 +191,32 @@ def blocks_of(page: str | None) -> list[tuple[tuple, str, int]]:
             parts.append(" ")
         if tag not in INLINE:
             flush()
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and n_open["p"]:
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
+                    if stack[i].tag == "p":
                         pop_to(i)
                         break
-                    if stack[i][0] in SCOPE:
+                    if stack[i].tag in SCOPE:
                         break
-            if tag == "body" and any(t == "head" for t, _ in stack):
-                pop_to(next(i for i, x in enumerate(stack) if x[0] == "head"))
+            if tag == "body" and n_open["head"]:
+                pop_to(next(i for i, x in enumerate(stack) if x.tag == "head"))
             for i in range(len(stack) - 1, -1, -1) if tag in SIBLINGS else ():
-                if stack[i][0] in SIBLINGS[tag]:
+                if stack[i].tag in SIBLINGS[tag]:
                     pop_to(i)
-                elif stack[i][0] in SCOPE:
+                elif stack[i].tag in SCOPE:
                     break
         if tag in VOID or attributes.endswith("/"):
             continue
-        stack.append((tag, class_words(attributes)))
-        if tag == "a":
-            in_link = 1
-        elif tag not in INLINE:
-            path = tuple(x for x in stack if x[0] not in INLINE)
+        stack.append(Open(stack[-1] if stack else root, tag, class_words(attributes) if tag not in INLINE else ()))
+        n_open[tag] += 1
+        if tag not in INLINE:
+            block = stack[-1]
     flush()
     return out
 
 
-def path_features(path: tuple) -> list[str]:
-    out = {"bias"}
-    inner = [t for t, _ in path]
-    out.add(f"leaf={inner[-1] if inner else '-'}")
-    out.add(f"parent={inner[-2] if len(inner) > 1 else '-'}")
-    article = False
-    for tag, words in path:
-        out.add(f"in={tag}")
-        if article and tag in ("header", "footer", "section", "aside", "div", "form", "nav"):
-            out.add(f"article>{tag}")
-        article = article or tag in ("article", "main")
-        out.update(f"class={w}" for w in words)
-    if not article:
-        out.add("no-article")
-    return sorted(out)
+def path_features(path: frozenset) -> list[str]:
+    return sorted(path)
 
 
 def text_features(text: str, links: int, at: int, n: int) -> list[str]:
@@ -210,9 +227,10 @@ def text_features(text: str, links: int, at: int, n: int) -> list[str]:
         f"links={0 if not links else 1 + int(2.99 * links / size)}",
         f"stop={text[-1] in '.!?…。'}",
         f"commas={min(3, text.count(','))}",
-        f"mark={'©' in text or '|' in text or '»' in text}",
+        f"mark={'|' in text or '»' in text}",
+        f"copyright={'©' in text or 'rights reserved' in text or text.startswith('Copyright')}",
         f"first={at == 0}",
-        f"last={at == n - 1}",
+        f"only={n == 1}",
     ]
 
 
@@ -221,12 +239,12 @@ class Crf:
 
     def __init__(self, weights: dict[str, float], start: np.ndarray, step: np.ndarray) -> None:
         self.weights, self.start, self.step = weights, start.tolist(), step.tolist()
-        self.paths: dict[tuple, float] = {}
+        self.paths: dict[frozenset, float] = {}
 
     def score(self, features) -> float:
         return sum(self.weights.get(f, 0.0) for f in features)
 
-    def label(self, blocks: list[tuple[tuple, str, int]]) -> list[int]:
+    def label(self, blocks: list[tuple[frozenset, str, int]]) -> list[int]:
         """Viterbi: the likeliest labels of all blocks of a page together (ties: label 0)."""
         n, back = len(blocks), []
         if not n:
@@ -331,23 +349,37 @@ def training_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[str, li
             return "<ul>" + "".join(items) + "</ul>"
 
         def junk(kind: str) -> str:
-            if kind in ("nav", "menu", "breadcrumb", "related", "tags", "share", "social", "pagination"):
-                body = linked(rng.randint(2, 8))
-            elif kind in ("comments", "comment", "reader", "replies"):
+            if kind in ("nav", "menu", "breadcrumb", "tags", "share", "social", "pagination") and rng.random() < 0.3:  # links in a row
+                names = [" ".join(word().capitalize() for _ in range(rng.randint(1, 2))) for _ in range(rng.randint(1, 6))]
+                body = " ".join(f'<a href="/{word()}">{t}</a>' for t in names)
+                truth.append((" ".join(names), 0))
+            elif kind in ("nav", "menu", "breadcrumb", "related", "tags", "share", "social", "pagination") or kind in ("sidebar", "aside") and rng.random() < 0.6:
+                body = put(rng.choice(["h2", "h3", "h4"]), " ".join(word() for _ in range(rng.randint(1, 3))).capitalize(), 0) if kind in ("related", "sidebar", "aside") and rng.random() < 0.7 else ""
+                body += linked(rng.randint(1, 8))
+            elif kind in ("comment", "reply") and rng.random() < 0.7:  # a single one
+                body = put("p", " ".join(sentence(2, 16) for _ in range(rng.randint(1, 3))), 0)
+            elif kind in ("comments", "comment", "reader", "replies", "reply"):
                 body = put(rng.choice(["h2", "h3"]), word().capitalize(), 0) if rng.random() < 0.5 else ""
                 body += "".join(f'<div class="{rng.choice(["comment", "reply", "comment-body"])}">' + put("p", sentence(3, 25), 0) + "</div>" for _ in range(rng.randint(1, 4)))
             elif kind in ("form", "newsletter", "subscribe", "search", "login"):
                 body = "<form>" + put("p", sentence(2, 8), 0) + '<input type="text"><button>Go</button></form>'
+            elif kind in ("footer", "copyright") and rng.random() < 0.8:
+                body = rng.choice([f"© {word()}.example · {sentence(3, 14)}", f"© {rng.randint(1990, 2030)} {word().capitalize()}. All rights reserved.", f"Copyright {word()} | {sentence(2, 6)}"])
+                if rng.random() < 0.4:
+                    body = put("p", body, 0)
+                else:
+                    truth.append((body, 0))
             elif rng.random() < 0.5:  # text straight in the container
                 body = sentence(3, 14)
-                if kind in ("footer", "copyright"):
-                    body = f"© {word()}.example · {body}"
                 truth.append((body, 0))
             else:
                 body = "".join(put(rng.choice(["p", "div", "p"]), sentence(2, 14), 0) for _ in range(rng.randint(1, 3)))
             return body
 
         def wrap(kind: str) -> str:
+            if kind in ("nav", "menu", "breadcrumb", "related", "pagination", "login", "copyright") and rng.random() < 0.15:  # names that say nothing
+                tag = rng.choice(["div", "td", "section"])
+                return f'<{tag} class="{word()}">{junk(kind)}</{tag}>'
             semantic = {"nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "sidebar": "aside", "aside": "aside", "form": "form"}
             if kind in semantic and rng.random() < 0.6:
                 tag, extra = semantic[kind], ""
@@ -364,7 +396,7 @@ def training_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[str, li
                 out.append(f"<header>{heading}</header>" if rng.random() < 0.2 else heading)
             for _ in range(rng.randint(1, 12)):
                 kind = rng.random()
-                if kind < 0.72:
+                if kind < 0.66:
                     t = " ".join(sentence(1, 20) for _ in range(rng.randint(1, 5)))
                     if rng.random() < 0.15:
                         out.append(put("p", t, 1, f"<b>{t}<br>"))
@@ -373,18 +405,18 @@ def training_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[str, li
                         out.append(put("p", t, 1, f'<a href="/{word()}">{first}</a> {rest}'))
                     else:
                         out.append(put("p", t, 1))
-                elif kind < 0.78:
+                elif kind < 0.72:
                     out.append(put(rng.choice(["h2", "h3", "h4"]), sentence(2, 6).rstrip("."), 1))
-                elif kind < 0.85:
+                elif kind < 0.78:
                     out.append("<ul>" + "".join(put("li", sentence(2, 10), 1) for _ in range(rng.randint(2, 4))) + "</ul>")
-                elif kind < 0.89:
+                elif kind < 0.82:
                     out.append("<blockquote>" + put("p", sentence(), 1) + "</blockquote>")
-                elif kind < 0.92:
+                elif kind < 0.85:
                     out.append(put("pre", word() + " = " + word(), 1))
-                elif kind < 0.94:
+                elif kind < 0.87:
                     out.append("<table><tr>" + put("td", word(), 1) + put("td", sentence(1, 4), 1) + "</tr></table>")
                 elif kind < 0.97:
-                    out.append(wrap(rng.choice(["ad", "advert", "promo", "related", "share", "newsletter", "sponsored"])))
+                    out.append(wrap(rng.choice(["ad", "advert", "promo", "related", "share", "newsletter", "sponsored", "comments", "comment", "comment", "comment", "comment", "reply", "notice"])))
                 else:
                     out.append("<figure>" + put("figcaption", sentence(2, 8), 1) + "</figure>")
             if rng.random() < 0.2:
@@ -392,13 +424,22 @@ def training_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[str, li
             return "".join(out)
 
         outer = rng.choice(['<article>{}</article>', '<main>{}</main>', '<main><article>{}</article></main>', '<div class="content">{}</div>', '<div id="content"><article>{}</article></div>', '<div class="post">{}</div>', '<div class="entry-content">{}</div>', '<div class="article-body">{}</div>', '<section class="story">{}</section>', '<article>{}</article>'])
+        if rng.random() < 0.5:  # frames that say nothing
+            outer = rng.choice(["{}", "{}", "<div>{}</div>", '<div class="' + word() + '">{}</div>', '<div class="' + word() + '"><div class="' + word() + "-" + str(rng.randint(1, 12)) + '">{}</div></div>', '<div id="' + word() + '"><section>{}</section></div>', '<table><tr><td class="' + word() + '">{}</td></tr></table>'])
         before = [k for k in ("header", "nav", "menu", "breadcrumb", "ad", "banner", "notice", "cookie", "consent", "search", "login") if rng.random() < 0.3]
         after = [k for k in ("sidebar", "aside", "related", "comments", "form", "newsletter", "share", "social", "advert", "pagination", "promo", "footer", "copyright", "disclaimer") if rng.random() < 0.3]
         if rng.random() < 0.7 and "footer" not in after:
             after.append("footer")
         pieces = [f"<!DOCTYPE html><html><head><title>{word()}</title><style>p{{margin:0}}</style><script>var a='</p>';</script></head><body>"]
         pieces += [wrap(k) for k in before]
-        pieces.append(outer.format(article()))
+        if rng.random() < 0.06:  # nothing but words
+            words = " ".join(sentence(2, 20) for _ in range(rng.randint(1, 4)))
+            truth.append((words, 1))
+            pieces, outer, after = pieces[:1], "", []
+            truth[:] = truth[-1:]
+            pieces.append(words)
+        if outer:
+            pieces.append(outer.format(article()))
         pieces += [wrap(k) for k in after]
         pieces.append("</body></html>" if rng.random() < 0.9 else "")
         pages.append(("".join(pieces), truth))
