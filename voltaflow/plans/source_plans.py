@@ -9,12 +9,18 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import blocks as B
-from ..sources import recordings, results
+from ..functions import classes as C
+from ..operators import summaries as S
+from ..sources import folders, recordings, results
 from . import adapters as A
 
 
 def scratch(spark, name):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir isn't set: executors share no local folder")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/voltaflow-io/{name}-{uuid.uuid4().hex}"
 
 
@@ -99,7 +105,86 @@ def src06(spark, sf):
     return recordings.native_rates(p).select("p_partkey", "native_fs")
 
 
+def scores(spark, sf):
+    """Suppliers as channels with a score, a rank and an onset (NaN for some), lineitem as their heatmap of 7 columns."""
+    s = A.table(spark, sf, "supplier")
+    onset = F.when(F.col("s_suppkey") % 4 == 0, float("nan")).otherwise(F.col("s_suppkey") / 8.0)
+    rows = s.select(F.col("s_name").alias("channel"), F.when(F.col("s_nationkey") % 3 != 0, F.concat(F.lit("g"), F.col("s_nationkey").cast("string"))).alias("grp"), F.col("s_acctbal").alias("ei"), F.col("s_suppkey").cast("long").alias("rank"), onset.alias("onset"))
+    li = A.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey"), F.col("l_linenumber").alias("k")).agg(F.sum("l_quantity").alias("v"))
+    value = F.when((F.col("s_suppkey") + F.col("k")) % 5 == 0, float("nan")).otherwise(F.col("v"))
+    return rows, li.join(s.select("s_suppkey", "s_name"), "s_suppkey").select(F.col("s_name").alias("channel"), (F.col("k") / 4.0).alias("t_s"), value.alias("hfer"))
+
+
+def rei_folder(spark, sf):
+    rows, heat = scores(spark, sf)
+    path = scratch(spark, "rei")
+    folders.export_rei(spark, path, rows, heat, [k / 4 for k in range(1, 8)], {"sampling_frequency_hz": 100.0, "threshold_sigma": float("nan")})
+    return folders.open_folder(spark, path)
+
+
+def snk01(spark, sf):
+    return folders.rei_summary(*scores(spark, sf))
+
+
+def src16(spark, sf):
+    """Written to a folder and read back: the summary with its heatmap's sum and number of finite cells."""
+    kind, tables, meta = rei_folder(spark, sf)
+    cells = tables["heatmap"].where("not isnan(hfer)").groupBy("channel").agg(F.count("hfer").alias("cells"), F.round(F.sum("hfer"), 3).alias("total"))
+    return tables["summary"].join(cells, "channel", "left").withColumns({"kind": F.lit(kind), "sigma": F.lit(meta["threshold_sigma"]).cast("double")})
+
+
+SCORES = """scores AS (SELECT s_suppkey, s_name AS channel, CASE WHEN s_nationkey % 3 <> 0 THEN 'g' || s_nationkey ELSE '' END AS grp, s_acctbal AS ei, CAST(s_suppkey AS BIGINT) AS rank, CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey / 8.0::DOUBLE END AS onset FROM supplier),
+heat AS (SELECT l_suppkey AS s_suppkey, l_linenumber AS k, CASE WHEN (l_suppkey + l_linenumber) % 5 <> 0 THEN sum(l_quantity) END AS v FROM lineitem GROUP BY 1, 2)"""
+SNK01 = f"""WITH {SCORES} SELECT channel, any_value(grp) AS "group", any_value(ei) AS ei_score, any_value(rank) AS rank, any_value(onset) AS onset_sec_from_seizure_onset, max(v) AS peak_hfer_activity FROM scores LEFT JOIN heat USING (s_suppkey) GROUP BY channel"""
+SRC16 = f"""WITH {SCORES}, c AS (SELECT s_suppkey, count(v) AS cells, round(sum(v), 3) AS total FROM heat WHERE v IS NOT NULL GROUP BY s_suppkey)
+SELECT channel, grp, ei, rank, CAST(round_even(coalesce(onset, 0) * 100, 0) AS BIGINT) AS onset_sample, coalesce(onset, 0) AS onset, cells, total, 'rei' AS kind, NULL::DOUBLE AS sigma FROM scores LEFT JOIN c USING (s_suppkey)"""
+
+
+def spike_rows(spark, sf):
+    s = A.spikes(spark, sf)
+    at = F.col("event_id")
+    return s.select(
+        F.concat(F.lit("c"), F.col("channel").cast("string")).alias("channel"), at.alias("sample0"), F.when(at % 3 != 0, at - 20).alias("p1"), F.when(at % 3 != 0, at).alias("n1"), F.when(at % 3 == 1, at + 40).alias("n2"),
+        "power", (at % 70 + 30.0).alias("freq"), "duration", "manual_class", F.lit(None).cast("string").alias("status"), F.when(at % 3 == 0, "no boundary").alias("error"),
+    )
+
+
+def snk04(spark, sf):
+    out = folders.gamma_export(spike_rows(spark, sf), A.FS, 2.0)
+    return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
+
+
+SNK04 = f"""WITH {A.SPIKES}, e AS (SELECT 'c' || channel AS channel, event_id AS s, CASE WHEN event_id % 3 <> 0 THEN event_id - 20 END AS p1, CASE WHEN event_id % 3 <> 0 THEN event_id END AS n1, CASE WHEN event_id % 3 = 1 THEN event_id + 40 END AS n2,
+  CASE WHEN NOT isnan(power) THEN power END AS power, duration, manual_class, event_id % 70 + 30.0::DOUBLE AS freq FROM spikes),
+g AS (SELECT *, coalesce(power IS NOT NULL AND duration IS NOT NULL AND (power > 0 OR duration > 0), false) AS is_gamma FROM e)
+SELECT channel, row_number() OVER (PARTITION BY channel ORDER BY s) AS event_number, s + 1 AS sample, round(2.0 + (s + 1) / 100.0, 6)::DOUBLE AS time_s, is_gamma, CASE WHEN is_gamma THEN 'gamma' ELSE 'non-gamma' END AS model_class,
+  coalesce(nullif(trim(manual_class), ''), CASE WHEN is_gamma THEN 'gamma' ELSE 'non-gamma' END) AS official_class, p1 + 1 AS boundary_p1_sample, n1 + 1 AS boundary_n1_sample, n2 + 1 AS boundary_n2_sample,
+  round(2.0 + (p1 + 1) / 100.0, 6)::DOUBLE AS boundary_p1_time_s, round(2.0 + (n1 + 1) / 100.0, 6)::DOUBLE AS boundary_n1_time_s, round(2.0 + (n2 + 1) / 100.0, 6)::DOUBLE AS boundary_n2_time_s,
+  round(power, 6) AS gamma_power, freq AS gamma_frequency_hz, round(duration, 6) AS gamma_duration_ms, manual_class, 'unreviewed' AS manual_review_status, CASE WHEN s % 3 = 0 THEN 'no boundary' END AS error FROM g"""
+
+
+def src15_summary(spark, sf):
+    """Spikes and a summary of some channels written to a folder and read back: counts from the summary where it has the channel."""
+    rows = spike_rows(spark, sf)
+    path = scratch(spark, "gamma-folder")
+    results.write_csv(folders.gamma_export(rows, A.FS, 2.0), f"{path}/{folders.FILES['gamma'][0]}")
+    official = rows.withColumn("official", C.gamma_class(C.official_class(F.col("manual_class"), F.when(C.is_gamma(F.col("power"), F.col("duration")), "gamma").otherwise("non-gamma"))))
+    channels = rows.groupBy("channel").agg((F.count("*") + 3).alias("spike_count")).where("spike_count % 2 = 0").unionByName(spark.createDataFrame([("silent", 0)], "channel string, spike_count long"))
+    results.write_csv(folders.gamma_summary_export(S.gamma_summary(channels, official)), f"{path}/{folders.FILES['gamma'][1]}")
+    folders.write_metadata(spark, path, "gamma", {"fs": A.FS, "data_start_s": 2.0})
+    _, tables, _ = folders.open_folder(spark, path)
+    ends = tables["events"].groupBy("channel").agg(F.sum("sample0").cast("long").alias("samples"), F.round(F.sum("time_s"), 3).alias("seconds"), F.sum("n2").cast("long").alias("n2"))
+    return tables["channels"].join(ends, "channel", "left")
+
+
+SRC15 = f"""WITH {A.SPIKES}, c AS (SELECT 'c' || channel AS channel, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS samples, round(sum(2.0 + (event_id + 1) / 100.0), 3)::DOUBLE AS seconds, CAST(sum(CASE WHEN event_id % 3 = 1 THEN event_id + 40 END) AS BIGINT) AS n2 FROM spikes GROUP BY channel)
+SELECT channel, CASE WHEN (n + 3) % 2 = 0 THEN n + 3 ELSE n END AS spike_count, n AS n_events, samples, seconds, n2 FROM c UNION ALL SELECT 'silent', 0, 0, NULL, NULL, NULL"""
+
 QUERIES = {
+    "src15_gamma_folder": (src15_summary, SRC15),
+    "src16_rei_folder": (src16, SRC16),
+    "snk01_rei_summary": (snk01, SNK01),
+    "snk04_gamma_events": (snk04, SNK04),
     "src01_edf": (src01, None),
     "src05_block_range": (src05, f"WITH {A.LONG_SIGNAL} SELECT channel, sample, x FROM long_signal WHERE sample >= 300 AND sample < 900"),
     "src06_native_rate": (src06, "SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN p_size * 5.0 ELSE 512.0 END::DOUBLE AS native_fs FROM part"),
