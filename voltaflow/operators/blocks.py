@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 BLOCK = 1 << 16
 
@@ -53,3 +54,19 @@ def windows_of(sample: Column, size: int, step: int) -> Column:
     """Ids of the sliding windows over a sample, without a range join."""
     first = F.greatest(F.ceil((sample - size + 1) / step), F.lit(0)).cast("long")
     return F.sequence(first, F.floor(sample / step).cast("long"))
+
+
+def numbered(rows: DataFrame, key: str, span: Column, order: list, name: str = "sample") -> DataFrame:
+    """rows with their place (from 0) in each key's order, without one task for each key.
+
+    span is a value that grows with the order (a day, a month): places are ranks within (key, span), shifted by the rows
+    of the spans before, which are counted map-side. Null spans come first, as null order values do.
+    """
+    spanned = rows.withColumn("_span", span)
+    before = Window.partitionBy(key).orderBy(F.col("_span").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = spanned.groupBy(key, "_span").agg(F.count("*").alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    shifts = shifts.select(F.col(key).alias("_key"), F.col("_span").alias("_of"), "_shift")
+    within = Window.partitionBy(key, "_span").orderBy(*order)
+    ranked = spanned.withColumn("_rank", F.row_number().over(within) - 1)
+    out = ranked.join(shifts, F.col(key).eqNullSafe(F.col("_key")) & F.col("_span").eqNullSafe(F.col("_of")))
+    return out.withColumn(name, (F.col("_rank") + F.col("_shift")).cast("long")).drop("_span", "_key", "_of", "_shift", "_rank")

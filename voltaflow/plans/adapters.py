@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..operators.blocks import numbered
 
 FS = 100.0
 
@@ -19,9 +20,8 @@ def seconds(ts):
 
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """channel, sample, x from events: one channel for each event type."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_type").alias("channel"), (F.row_number().over(w) - 1).cast("long").alias("sample"), F.col("value").alias("x"))
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("channel"), "ts", "event_id", F.col("value").alias("x"))
+    return numbered(e, "channel", F.to_date("ts"), ["ts", "event_id"]).select("channel", "sample", "x")
 
 
 SIGNAL = "signal AS (SELECT event_type AS channel, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS sample, value AS x FROM events)"
@@ -31,8 +31,7 @@ def long_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """channel, sample, x from lineitem: sixteen channels."""
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 16).alias("channel"), F.col("l_quantity").alias("x"), *order)
-    w = Window.partitionBy("channel").orderBy(*order)
-    return rows.select("channel", (F.row_number().over(w) - 1).cast("long").alias("sample"), "x")
+    return numbered(rows, "channel", F.trunc("l_shipdate", "month"), order).select("channel", "sample", "x")
 
 
 LONG_SIGNAL = """long_signal AS (SELECT l_suppkey % 16 AS channel, row_number() OVER (PARTITION BY l_suppkey % 16 ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS sample, l_quantity AS x FROM lineitem)"""

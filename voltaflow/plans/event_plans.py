@@ -28,6 +28,10 @@ FLAGS = LSIG + ", flags AS (SELECT *, x > 20 AS flag FROM long_signal)"
 ISLES = FLAGS + ", isles AS (SELECT *, sample - row_number() OVER (PARTITION BY channel ORDER BY sample) AS island FROM flags WHERE flag)"
 
 
+#: The same, made once where a query reads it several times.
+LSIG_KEPT = LSIG.replace(" AS (", " AS MATERIALIZED (", 1)
+
+
 def win06(spark, sf):
     return W.true_runs(flags(spark, sf))
 
@@ -486,10 +490,10 @@ QUERIES = {
     "win22_best_prespike_z": (win22, f"WITH {SIG}, m AS (SELECT channel, avg(x) AS m, stddev_samp(x) AS sd FROM signal GROUP BY channel), z AS (SELECT channel, sample, round((x - m) / sd, 9) AS z FROM signal JOIN m USING (channel) WHERE sample < 400) SELECT channel, arg_max(sample, (z, -sample)) AS sample, round(max(z), 6) AS z FROM z GROUP BY channel"),
     "win23_gamma_masks": (win23, f"WITH {SIG}, m AS (SELECT channel, count(*) FILTER (sample BETWEEN 351 AND 399) AS search_n, count(*) FILTER (sample BETWEEN 351 AND 399 OR sample BETWEEN 431 AND 480) AS baseline_n FROM signal WHERE sample < 1000 GROUP BY channel) SELECT *, baseline_n >= 25 AND search_n > 0 AS evaluable FROM m"),
     "win24_chunk_plan": (win24, f"WITH {LSIG}, n AS (SELECT channel AS recording, count(*) AS n_samples FROM long_signal GROUP BY channel), c AS (SELECT *, unnest(range(0, (n_samples + 599) // 600)) AS chunk_id FROM n) SELECT recording, n_samples, chunk_id, chunk_id * 600 AS start, least(chunk_id * 600 + 600, n_samples) AS stop, greatest(chunk_id * 600 - 10, 0) AS ext_start, least(least(chunk_id * 600 + 600, n_samples) + 10, n_samples) AS ext_stop FROM c"),
-    "jon01_bipolar": (jon01, f"WITH {LSIG}, p AS (SELECT * FROM (VALUES ('0-1', 0, 1), ('1-2', 1, 2), ('2-99', 2, 99)) v(name, ch1, ch2)) SELECT name, a.sample, a.x - b.x AS x FROM p JOIN long_signal a ON a.channel = ch1 JOIN long_signal b ON b.channel = ch2 AND a.sample = b.sample"),
+    "jon01_bipolar": (jon01, f"WITH {LSIG_KEPT}, p AS (SELECT * FROM (VALUES ('0-1', 0, 1), ('1-2', 1, 2), ('2-99', 2, 99)) v(name, ch1, ch2)), a AS MATERIALIZED (SELECT name, sample, x FROM long_signal JOIN p ON channel = ch1), b AS MATERIALIZED (SELECT name, sample, x FROM long_signal JOIN p ON channel = ch2) SELECT name, sample, a.x - b.x AS x FROM a JOIN b USING (name, sample)"),
     "jon02_common_average": (jon02("mean"), jon02_sql("avg")),
     "jon02_common_median": (jon02("median"), jon02_sql("median")),
-    "jon03_single_reference": (jon03, f"WITH {LSIG} SELECT s.channel, s.sample, s.x - r.x AS x FROM long_signal s JOIN long_signal r ON r.channel = 5 AND r.sample = s.sample"),
+    "jon03_single_reference": (jon03, f"WITH {LSIG_KEPT}, r AS MATERIALIZED (SELECT sample, x FROM long_signal WHERE channel = 5) SELECT s.channel, sample, s.x - r.x AS x FROM long_signal s JOIN r USING (sample)"),
     "jon04_bad_segment_mask": (jon04, JON04),
     "jon05_group_notch": (jon05, f"WITH {GROUPS} SELECT s_suppkey AS channel, coalesce(grp, 'macro') AS grp, '50 Hz + harmonics' AS notch FROM supplier LEFT JOIN groups ON channel = s_suppkey"),
     "jon06_psd_group": (jon06, f"WITH {GROUPS} SELECT s_suppkey AS ch1, s_suppkey + 1 AS ch2, CASE WHEN a.grp = 'micro' AND b.grp = 'micro' THEN 'micro' ELSE 'macro' END AS grp_both, coalesce(a.grp, 'macro') AS grp_first FROM supplier LEFT JOIN groups a ON a.channel = s_suppkey LEFT JOIN groups b ON b.channel = s_suppkey + 1"),
