@@ -35,7 +35,7 @@ from .common import Scratch, bounded_batches, map_arrow, materialize, remove, se
 from .graph import release
 from .ngram_join import mix
 
-WINDOW, SHINGLE, BATCHES, RUNS = 50, 12, 5, 3
+WINDOW, SHINGLE, BATCHES, RUNS = 50, 12, 4, 2
 SPAN = WINDOW - SHINGLE + 1
 ROOTS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POWERS: dict[int, np.ndarray] = {}
