@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import labels as L
+from .blocks import numbered
 
 
 def label_order(label: Column) -> list[Column]:
@@ -19,6 +20,14 @@ def top_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(max(1, n))
 
 
+def placed(df: DataFrame, order: list[Column], span: Column) -> DataFrame:
+    """Every row with its place (from 0) in a whole order (SRT02-SRT04, SRT07, SRT10).
+
+    span grows with the order, as in `numbered`: rows are sorted within their span only, never all in one task.
+    """
+    return numbered(df.withColumn("_whole", F.lit(0)), "_whole", span, order, "place").drop("_whole")
+
+
 def page_of(df: DataFrame, order: list[Column], keys: list[str], size: int = 24) -> DataFrame:
     """Page and slot of every row within its key (SRT06)."""
     w = Window.partitionBy(*keys).orderBy(*order)

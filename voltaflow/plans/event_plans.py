@@ -182,27 +182,13 @@ def win21(spark, sf):
     return W.best_candidate(c).select("event_id", "power", "ord")
 
 
-def win22(spark, sf):
-    s = A.signal(spark, sf)
-    z = s.groupBy("channel").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("sd"))
-    zs = s.join(z, "channel").where("sample < 400").withColumn("z", F.round((F.col("x") - F.col("m")) / F.col("sd"), 9))
-    best = F.min(F.struct((-F.col("z")).alias("a"), F.col("sample").alias("sample")))
-    return zs.groupBy("channel").agg(best.alias("b")).select("channel", F.col("b.sample").alias("sample"), F.round(-F.col("b.a"), 6).alias("z"))
-
-
-def win23(spark, sf):
-    s = A.signal(spark, sf).where("sample < 1000").withColumns({"p1": F.lit(400), "n2": F.lit(430)})
-    out = W.gamma_masks(s, A.FS).groupBy("channel").agg(F.count_if("search").alias("search_n"), F.count_if("baseline").alias("baseline_n"))
-    return out.withColumn("evaluable", (F.col("baseline_n") >= int(0.25 * A.FS)) & (F.col("search_n") > 0))
-
-
 def spike_windows(spark, sf, before, after):
     """Every sample above 200 as a spike's p1, with n2 30 samples later and the bounds of a window around it."""
     e = A.signal(spark, sf).where("x > 200").select("channel", F.col("sample").alias("p1"), (F.col("sample") + 30).alias("n2"))
     return e.withColumns({"lo": F.greatest(F.col("p1") - before, F.lit(0)), "hi": F.col("p1") + after})
 
 
-def win22_all(spark, sf):
+def win22(spark, sf):
     """The best z in the search window (half a second) of every spike."""
     s = A.signal(spark, sf)
     z = s.groupBy("channel").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("sd"))
@@ -212,19 +198,19 @@ def win22_all(spark, sf):
     return zs.groupBy("channel", "p1").agg(best.alias("b")).select("channel", "p1", F.col("b.sample").alias("sample"), F.round(-F.col("b.a"), 6).alias("z"))
 
 
-WIN22_ALL = f"""WITH {SIG}, m AS (SELECT channel, avg(x) AS m, stddev_samp(x) AS sd FROM signal GROUP BY channel), e AS (SELECT channel, sample AS p1 FROM signal WHERE x > 200),
+WIN22 = f"""WITH {SIG}, m AS (SELECT channel, avg(x) AS m, stddev_samp(x) AS sd FROM signal GROUP BY channel), e AS (SELECT channel, sample AS p1 FROM signal WHERE x > 200),
 z AS (SELECT s.channel, p1, sample, round((x - m) / sd, 9) AS z FROM e JOIN signal s ON s.channel = e.channel AND sample >= p1 - 50 AND sample < p1 JOIN m ON m.channel = s.channel)
 SELECT channel, p1, arg_max(sample, (z, -sample)) AS sample, round(max(z), 6) AS z FROM z GROUP BY channel, p1"""
 
 
-def win23_all(spark, sf):
+def win23(spark, sf):
     """Masks of every spike over its own stretch, from 400 samples before p1 to 600 after."""
     s = E.event_samples(spike_windows(spark, sf, 400, 600), A.signal(spark, sf), 256)
     out = W.gamma_masks(s, A.FS).groupBy("channel", "p1").agg(F.count_if("search").alias("search_n"), F.count_if("baseline").alias("baseline_n"))
     return out.withColumn("evaluable", (F.col("baseline_n") >= int(0.25 * A.FS)) & (F.col("search_n") > 0))
 
 
-WIN23_ALL = f"""WITH {SIG}, e AS (SELECT channel, sample AS p1 FROM signal WHERE x > 200),
+WIN23 = f"""WITH {SIG}, e AS (SELECT channel, sample AS p1 FROM signal WHERE x > 200),
 m AS (SELECT e.channel, p1, count(*) FILTER (sample BETWEEN p1 - 49 AND p1 - 1) AS search_n, count(*) FILTER (sample BETWEEN p1 - 49 AND p1 - 1 OR sample BETWEEN p1 + 31 AND p1 + 80) AS baseline_n FROM e JOIN signal s ON s.channel = e.channel AND sample >= p1 - 400 AND sample < p1 + 600 GROUP BY e.channel, p1)
 SELECT *, baseline_n >= 25 AND search_n > 0 AS evaluable FROM m"""
 
@@ -291,17 +277,17 @@ JON07 = f"""WITH {SIG}, e AS (SELECT channel, sample AS event, greatest(sample -
 SELECT e.channel, event, count(*) AS n, round(sum(x), 6) AS total, round(arg_min(x, sample), 6) AS "first" FROM e JOIN signal s ON s.channel = e.channel AND sample >= lo AND sample < hi GROUP BY e.channel, event"""
 
 
-def jon08(spark, sf, of="x > 400 and (sample < 60 or sample % 10 = 0)"):
+def jon08(spark, sf):
     s = A.signal(spark, sf)
     n = s.groupBy("channel").agg(F.count("*").alias("n"))
-    e = s.where(of).join(n, "channel")
+    e = s.where("x > 400").join(n, "channel")
     lo, hi = E.fixed_window(F.col("sample"), 101, F.col("n"))
     e = e.select("channel", F.col("sample").alias("event"), lo.alias("lo"), hi.alias("hi"))
     out = E.waveforms(e, s, 256).withColumn("waveform", E.padded(F.col("waveform"), 101))
     return out.select("channel", "event", "lo", F.size("waveform").cast("long").alias("n"), F.round(F.aggregate("waveform", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-JON08 = f"""WITH {SIG}, n AS (SELECT channel, count(*) AS n FROM signal GROUP BY channel), e AS (SELECT channel, sample AS event, greatest(least(sample - 50, n - 101), 0) AS lo, n FROM signal JOIN n USING (channel) WHERE x > 400 AND (sample < 60 OR sample % 10 = 0))
+JON08 = f"""WITH {SIG}, n AS (SELECT channel, count(*) AS n FROM signal GROUP BY channel), e AS (SELECT channel, sample AS event, greatest(least(sample - 50, n - 101), 0) AS lo, n FROM signal JOIN n USING (channel) WHERE x > 400)
 SELECT e.channel, event, lo, 101::BIGINT AS n, round(sum(x), 6) AS total FROM e JOIN signal s ON s.channel = e.channel AND sample >= lo AND sample < least(lo + 101, n) GROUP BY e.channel, event, lo"""
 
 
@@ -487,8 +473,8 @@ QUERIES = {
     "win19_trace_centring": (win19, f"WITH {SIG} SELECT channel, sample, round(x - median(x) OVER (PARTITION BY channel), 6) AS x FROM signal"),
     "win20_threshold_runs": (win20, f"WITH {LSIG}, m AS (SELECT channel, avg(x) + stddev_samp(x) AS lim FROM long_signal GROUP BY channel), i AS (SELECT channel, sample, sample - row_number() OVER (PARTITION BY channel ORDER BY sample) AS k FROM long_signal JOIN m USING (channel) WHERE x > lim) SELECT channel, min(sample) AS start, max(sample) AS stop, count(*) AS length FROM i GROUP BY channel, k HAVING count(*) >= 3"),
     "win21_max_power": (win21, f"WITH {SPK}, r AS (SELECT channel, power, event_id, row_number() OVER (PARTITION BY channel ORDER BY power DESC, event_id) AS k FROM spikes WHERE NOT isnan(power)) SELECT channel AS event_id, power, event_id AS ord FROM r WHERE k = 1"),
-    "win22_best_prespike_z": (win22, f"WITH {SIG}, m AS (SELECT channel, avg(x) AS m, stddev_samp(x) AS sd FROM signal GROUP BY channel), z AS (SELECT channel, sample, round((x - m) / sd, 9) AS z FROM signal JOIN m USING (channel) WHERE sample < 400) SELECT channel, arg_max(sample, (z, -sample)) AS sample, round(max(z), 6) AS z FROM z GROUP BY channel"),
-    "win23_gamma_masks": (win23, f"WITH {SIG}, m AS (SELECT channel, count(*) FILTER (sample BETWEEN 351 AND 399) AS search_n, count(*) FILTER (sample BETWEEN 351 AND 399 OR sample BETWEEN 431 AND 480) AS baseline_n FROM signal WHERE sample < 1000 GROUP BY channel) SELECT *, baseline_n >= 25 AND search_n > 0 AS evaluable FROM m"),
+    "win22_best_prespike_z": (win22, WIN22),
+    "win23_gamma_masks": (win23, WIN23),
     "win24_chunk_plan": (win24, f"WITH {LSIG}, n AS (SELECT channel AS recording, count(*) AS n_samples FROM long_signal GROUP BY channel), c AS (SELECT *, unnest(range(0, (n_samples + 599) // 600)) AS chunk_id FROM n) SELECT recording, n_samples, chunk_id, chunk_id * 600 AS start, least(chunk_id * 600 + 600, n_samples) AS stop, greatest(chunk_id * 600 - 10, 0) AS ext_start, least(least(chunk_id * 600 + 600, n_samples) + 10, n_samples) AS ext_stop FROM c"),
     "jon01_bipolar": (jon01, f"WITH {LSIG_KEPT}, p AS (SELECT * FROM (VALUES ('0-1', 0, 1), ('1-2', 1, 2), ('2-99', 2, 99)) v(name, ch1, ch2)), a AS MATERIALIZED (SELECT name, sample, x FROM long_signal JOIN p ON channel = ch1), b AS MATERIALIZED (SELECT name, sample, x FROM long_signal JOIN p ON channel = ch2) SELECT name, sample, a.x - b.x AS x FROM a JOIN b USING (name, sample)"),
     "jon02_common_average": (jon02("mean"), jon02_sql("avg")),
@@ -519,8 +505,3 @@ QUERIES = {
     "agg20_score_normalise": (agg20, "SELECT c_nationkey AS recording, c_custkey AS channel, c_acctbal AS score, round(least(greatest(c_acctbal / CASE WHEN max(c_acctbal) OVER w > 0 THEN max(c_acctbal) OVER w ELSE 1.0 END, 0.0), 1.0), 6) AS level FROM customer WINDOW w AS (PARTITION BY c_nationkey)"),
     "agg21_runtime_estimate": (agg21, AGG21),
 }
-
-# The three queries above that hold part of the rows, whole.
-QUERIES["jon08_candidate_waveform_all"] = (lambda spark, sf: jon08(spark, sf, "x > 400"), JON08.replace(" AND (sample < 60 OR sample % 10 = 0)", ""))
-QUERIES["win22_best_prespike_z_all"] = (win22_all, WIN22_ALL)
-QUERIES["win23_gamma_masks_all"] = (win23_all, WIN23_ALL)

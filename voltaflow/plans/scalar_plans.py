@@ -303,12 +303,12 @@ def prs01(spark, sf):
 
 def srt01(spark, sf):
     o = A.oscillations(spark, sf).select("event_id", F.lower("channel").alias("channel"), "start", "end", "detector")
-    return O.top_rows(o, [F.col("channel"), F.col("start"), F.col("end"), F.col("detector"), F.col("event_id")], 100)
+    return O.placed(o, [F.col("channel"), F.col("start"), F.col("end"), F.col("detector"), F.col("event_id")], F.struct("channel", F.floor(F.col("start") / 60_000)))
 
 
 def srt04(spark, sf):
     s = A.spikes(spark, sf).withColumn("power", C.finite(F.col("power")))
-    return O.top_rows(s.select("event_id", "power"), [F.col("power").asc_nulls_first(), F.col("event_id")], 200)
+    return O.placed(s.select("event_id", "power"), [F.col("power").asc_nulls_first(), F.col("event_id")], F.floor("power"))
 
 
 def srt05(spark, sf):
@@ -321,8 +321,8 @@ def srt06(spark, sf):
 
 
 def srt07(spark, sf):
-    d = A.detections(spark, sf).select("channel", "ord", "t", F.col("ord").cast("string").alias("num"))
-    return O.top_rows(d, [F.col("channel"), F.col("num")], 300).select("channel", "num")
+    d = A.detections(spark, sf).select("channel", F.col("ord").cast("string").alias("num"))
+    return O.placed(d, [F.col("channel"), F.col("num")], F.struct("channel", F.substring("num", 1, 3)))
 
 
 def srt08(spark, sf):
@@ -416,12 +416,12 @@ def fil21(spark, sf):
 
 
 def srt03(spark, sf):
-    return O.top_rows(A.detections(spark, sf).select("t", "channel", "ord"), [F.col("t"), F.col("channel"), F.col("ord")], 500)
+    return O.placed(A.detections(spark, sf).select("t", "channel", "ord"), [F.col("t"), F.col("channel"), F.col("ord")], F.floor(F.col("t") / 3600))
 
 
 def srt10(spark, sf):
     h = A.oscillations(spark, sf).select((F.col("start") / 1000.0).alias("start"), (F.col("end") / 1000.0).alias("end"), F.col("detector").alias("source"), "channel", "event_id")
-    return O.top_rows(h, [F.col("start"), F.col("end"), F.col("source"), F.col("channel"), F.col("event_id")], 250)
+    return O.placed(h, [F.col("start"), F.col("end"), F.col("source"), F.col("channel"), F.col("event_id")], F.floor(F.col("start") / 60))
 
 
 def dml03(spark, sf):
@@ -445,8 +445,8 @@ def agg12(spark, sf):
 QUERIES = {
     "fil07_central_by_time": (fil07, f"WITH {D}, z AS (SELECT max(t) AS stop FROM detections) SELECT ord, t FROM detections, z WHERE t >= 1704067200.0 AND (t < 1704931200.0 OR (t = stop AND stop <= 1704931200.0))"),
     "fil21_hfo_validation": (fil21, "SELECT p_partkey, concat_ws('; ', CASE WHEN p_size * 12.0 <= 0 OR p_retailprice / 3 <= p_size * 12.0 THEN 'band edges must rise from above zero' END, CASE WHEN p_size * 12.0 >= 500 THEN 'the band starts above Nyquist' END, CASE WHEN p_size % 7 - 1 <= 0 THEN 'durations must rise from above zero' END) AS wrong FROM part"),
-    "srt03_detector_order": (srt03, f"WITH {D} SELECT t, channel, ord FROM detections ORDER BY t, channel, ord LIMIT 500"),
-    "srt10_timeline_order": (srt10, f"WITH {OSC} SELECT start / 1000.0::DOUBLE AS start, \"end\" / 1000.0::DOUBLE AS \"end\", detector AS source, channel, event_id FROM oscillations o ORDER BY o.start, o.\"end\", detector, channel, event_id LIMIT 250"),
+    "srt03_detector_order": (srt03, f"WITH {D} SELECT t, channel, ord, row_number() OVER (ORDER BY t NULLS FIRST, channel NULLS FIRST, ord NULLS FIRST) - 1 AS place FROM detections"),
+    "srt10_timeline_order": (srt10, f"WITH {OSC} SELECT start / 1000.0::DOUBLE AS start, \"end\" / 1000.0::DOUBLE AS \"end\", detector AS source, channel, event_id, row_number() OVER (ORDER BY o.start, o.\"end\", detector, channel, event_id) - 1 AS place FROM oscillations o"),
     "dml03_restore_annotations": (dml03, "SELECT 'a' || event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'Artifact' ELSE 'Other' END AS kind, event_id::DOUBLE AS t_start, (CASE WHEN event_id % 3 = 0 THEN event_id + 2 ELSE event_id END)::DOUBLE AS t_end, '' AS note FROM events"),
     "snk06_metadata": (snk06, f"WITH {SPK} SELECT event_id, '{{\"measured\":' || CASE WHEN isnan(power) THEN 'false' ELSE 'true' END || ',\"electrode\":' || channel || '}}' AS meta FROM spikes"),
     "agg12_batch_tallies": (agg12, "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'skipped' ELSE 'error' END AS status, count(*) AS n, CAST(sum(o_custkey % 4) AS BIGINT) AS excluded FROM orders GROUP BY 1"),
@@ -497,11 +497,11 @@ QUERIES = {
     "jsn01_json": (jsn01, "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{\"k\":' || json_extract_string(props, '$.k') || ',\"kind\":\"' || event_type || '\"}' AS json FROM events"),
     "snk07_finite": (snk07, f"WITH {SPK} SELECT event_id, CASE WHEN NOT isnan(power) THEN power END AS power FROM spikes"),
     "prs01_settings": (prs01, "SELECT event_id, CAST(event_id AS DOUBLE) AS k1, 10.0::DOUBLE AS low, CAST(event_id % 90 AS DOUBLE) AS high, 3.65::DOUBLE AS k2 FROM events"),
-    "srt02_candidate_order": (srt01, f"WITH {OSC} SELECT event_id, lower(channel) AS channel, start, \"end\", detector FROM oscillations ORDER BY lower(channel), start, \"end\", detector, event_id LIMIT 100"),
-    "srt04_summary_sort": (srt04, f"WITH {SPK} SELECT event_id, CASE WHEN NOT isnan(power) THEN power END AS power FROM spikes ORDER BY CASE WHEN NOT isnan(power) THEN power END NULLS FIRST, event_id LIMIT 200"),
+    "srt02_candidate_order": (srt01, f"WITH {OSC} SELECT event_id, lower(channel) AS channel, start, \"end\", detector, row_number() OVER (ORDER BY lower(channel), start, \"end\", detector, event_id) - 1 AS place FROM oscillations"),
+    "srt04_summary_sort": (srt04, f"WITH {SPK} SELECT event_id, CASE WHEN NOT isnan(power) THEN power END AS power, row_number() OVER (ORDER BY CASE WHEN NOT isnan(power) THEN power END NULLS FIRST, event_id) - 1 AS place FROM spikes"),
     "srt05_heatmap_top": (srt05, f"WITH {SIG} SELECT channel, max(x) AS peak FROM signal GROUP BY channel ORDER BY peak DESC, channel LIMIT 3"),
     "srt06_grid_paging": (srt06, f"WITH {D}, r AS (SELECT channel, ord, row_number() OVER (PARTITION BY channel ORDER BY t, ord) - 1 AS r FROM detections) SELECT channel, ord, r // 24 AS page, r % 24 AS slot FROM r"),
-    "srt07_review_order": (srt07, f"WITH {D} SELECT channel, CAST(ord AS VARCHAR) AS num FROM detections ORDER BY channel, num LIMIT 300"),
+    "srt07_review_order": (srt07, f"WITH {D} SELECT channel, CAST(ord AS VARCHAR) AS num, row_number() OVER (ORDER BY channel NULLS FIRST, CAST(ord AS VARCHAR) NULLS FIRST) - 1 AS place FROM detections"),
     "srt08_display_order": (srt08, "SELECT n_name AS channel, n_nationkey % 4 = 1 AS listed, CAST(CASE WHEN n_nationkey % 4 = 1 THEN 100 - n_nationkey ELSE n_nationkey END AS BIGINT) AS key FROM nation"),
     "srt09_label_order": (srt09, f"WITH {A.CONTACTS} SELECT label, row_number() OVER (ORDER BY {P} IS NULL, {P} NULLS FIRST, {K} NULLS FIRST, label) AS place FROM contacts"),
     "set01_detector_union": (set01, f"WITH {D} SELECT channel, detector, count(*) AS n FROM detections WHERE detector IN ('click', 'view', 'error') GROUP BY ALL"),

@@ -48,8 +48,8 @@ SRC07 = """WITH r AS (SELECT 'sub-' || o_custkey AS subject, o_custkey, o_orderk
 SELECT CASE WHEN n_nationkey IS NOT NULL THEN 'skipped' WHEN NOT valid THEN 'invalid' WHEN broken THEN 'error' ELSE 'ready' END AS status, subject, count(*) AS n FROM r LEFT JOIN nation ON n_nationkey = o_custkey GROUP BY ALL"""
 
 
-def src14(spark, sf, only="start % 7 = 0"):
-    o = A.oscillations(spark, sf).where(only)
+def src14(spark, sf):
+    o = A.oscillations(spark, sf)
     raw = o.select(F.when(F.col("start") % 2 == 0, F.col("event_id")).alias("event_id"), "channel", (F.col("start") / 1000.0).alias("start_time_s"), (F.col("end") / 1000.0).alias("end_time_s"), F.col("low_hz").alias("low_freq_hz"), "manual_class", F.col("model_class").alias("final_model_class"))
     path = scratch(spark, "hfo")
     results.write_csv(raw, path)
@@ -64,15 +64,7 @@ def src15(spark, sf):
     return results.gamma_events(results.read_csv(spark, path)).select(F.col("channel").cast("long").alias("channel"), "sample0", F.round("time_s", 6).alias("time_s"), "power", "duration")
 
 
-def src17(spark, sf):
-    s = A.signal(spark, sf).where("sample < 20").select("channel", (F.col("sample") / A.FS).alias("t_s"), F.col("x").alias("hfer"))
-    path = scratch(spark, "heat")
-    results.write_csv(results.heatmap_wide(s, [i / A.FS for i in range(20)]), path)
-    back = results.heatmap_long(results.read_csv(spark, path))
-    return results.heatmap_display(back, -5.0, 0.0).select("channel", F.round("t", 6).alias("t"), F.round("level", 6).alias("level"))
-
-
-def src17_all(spark, sf, width=20):
+def src17(spark, sf, width=20):
     """Whole channels in stretches of `width` samples, one row of the wide table each, so that the columns stay few."""
     s = A.signal(spark, sf)
     part, start = F.floor(F.col("sample") / width), F.split_part("channel", F.lit("@"), F.lit(-1)).cast("long") * width
@@ -189,11 +181,7 @@ QUERIES = {
     "src05_block_range": (src05, f"WITH {A.LONG_SIGNAL} SELECT channel, sample, x FROM long_signal WHERE sample >= 300 AND sample < 900"),
     "src06_native_rate": (src06, "SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN p_size * 5.0 ELSE 512.0 END::DOUBLE AS native_fs FROM part"),
     "src07_segments_batch": (src07, SRC07),
-    "src14_hfo_import_export": (src14, f"WITH {A.OSCILLATIONS}, o AS (SELECT *, coalesce(nullif(trim(manual_class), ''), nullif(model_class, '')) AS c, CASE WHEN manual_class IS NULL THEN 'unreviewed' WHEN manual_class = 'deleted' THEN 'deleted' ELSE 'reviewed' END AS manual_review_status FROM oscillations WHERE start % 7 = 0), k AS (SELECT *, replace(lower(coalesce(c, '')), '_', '-') AS k FROM o) SELECT channel, CASE WHEN k IN ('hfo', 'real-hfo', 'non-spike hfo') THEN 'HFO' WHEN k IN ('spike-hfo', 'spkhfo') THEN 'spike-HFO' WHEN k = 'ehfo' THEN 'eHFO' WHEN k = 'spike-ehfo' THEN 'spike-eHFO' WHEN contains(k, 'artifact') THEN 'artifact' WHEN k IN ('deleted', 'excluded') THEN 'deleted' ELSE 'candidate' END AS official_class, manual_review_status, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts, round(sum(\"end\" - start), 3)::DOUBLE AS ms, sum(coalesce(low_hz, 80.0)) AS low FROM k GROUP BY ALL"),
+    "src14_hfo_import_export": (src14, f"WITH {A.OSCILLATIONS}, o AS (SELECT *, coalesce(nullif(trim(manual_class), ''), nullif(model_class, '')) AS c, CASE WHEN manual_class IS NULL THEN 'unreviewed' WHEN manual_class = 'deleted' THEN 'deleted' ELSE 'reviewed' END AS manual_review_status FROM oscillations), k AS (SELECT *, replace(lower(coalesce(c, '')), '_', '-') AS k FROM o) SELECT channel, CASE WHEN k IN ('hfo', 'real-hfo', 'non-spike hfo') THEN 'HFO' WHEN k IN ('spike-hfo', 'spkhfo') THEN 'spike-HFO' WHEN k = 'ehfo' THEN 'eHFO' WHEN k = 'spike-ehfo' THEN 'spike-eHFO' WHEN contains(k, 'artifact') THEN 'artifact' WHEN k IN ('deleted', 'excluded') THEN 'deleted' ELSE 'candidate' END AS official_class, manual_review_status, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts, round(sum(\"end\" - start), 3)::DOUBLE AS ms, sum(coalesce(low_hz, 80.0)) AS low FROM k GROUP BY ALL"),
     "src15_gamma_round_trip": (src15, f"WITH {A.SPIKES} SELECT channel, event_id AS sample0, round((event_id + 1) / 100.0, 6)::DOUBLE AS time_s, CASE WHEN NOT isnan(power) THEN power END AS power, CASE WHEN NOT isnan(duration) THEN duration END AS duration FROM spikes"),
-    "src17_heatmap": (src17, f"WITH {A.SIGNAL} SELECT channel, round(sample / 100.0 - 5.0, 6)::DOUBLE AS t, round(log10(greatest(x, 1e-6)), 6) AS level FROM signal WHERE sample < 20"),
+    "src17_heatmap": (src17, f"WITH {A.SIGNAL} SELECT channel, round(sample / 100.0 - 5.0, 6)::DOUBLE AS t, round(log10(greatest(x, 1e-6)), 6) AS level FROM signal"),
 }
-
-# The two queries above that hold part of the rows, whole.
-QUERIES["src14_hfo_import_export_all"] = (lambda spark, sf: src14(spark, sf, "true"), QUERIES["src14_hfo_import_export"][1].replace(" WHERE start % 7 = 0", ""))
-QUERIES["src17_heatmap_all"] = (src17_all, QUERIES["src17_heatmap"][1].replace(" WHERE sample < 20", ""))
