@@ -329,7 +329,7 @@ SELECT event_id, m AS manual_class, CASE WHEN m IS NULL THEN 'unreviewed' WHEN m
 
 def jon12(spark, sf):
     shown = A.table(spark, sf, "customer").select(F.col("c_nationkey").alias("channel")).where("channel % 4 <> 1")
-    return A.table(spark, sf, "nation").select(F.col("n_nationkey").alias("channel"), F.col("n_name").alias("name")).join(shown, "channel", "left_anti")
+    return M.without_channels(A.table(spark, sf, "nation").select(F.col("n_nationkey").alias("channel"), F.col("n_name").alias("name")), shown)
 
 
 def jon13(spark, sf):

@@ -48,6 +48,15 @@ SRC07 = """WITH r AS (SELECT 'sub-' || o_custkey AS subject, o_custkey, o_orderk
 SELECT CASE WHEN n_nationkey IS NOT NULL THEN 'skipped' WHEN NOT valid THEN 'invalid' WHEN broken THEN 'error' ELSE 'ready' END AS status, subject, count(*) AS n FROM r LEFT JOIN nation ON n_nationkey = o_custkey GROUP BY ALL"""
 
 
+def src08(spark, sf):
+    """Several reasons for a patient, some rows without an id: the last reason by order key counts."""
+    patient = F.when(F.col("o_orderkey") % 10 == 0, " ").otherwise(F.concat(F.lit("sub-"), F.col("o_custkey").cast("string")))
+    raw = A.table(spark, sf, "orders").select(patient.alias("patient_id"), F.col("o_orderpriority").alias("reason"), F.col("o_orderkey").cast("string").alias("line"))
+    path = scratch(spark, "exclusions")
+    results.write_csv(raw, path)
+    return results.exclusions(results.read_csv(spark, path), F.col("line").cast("long"))
+
+
 def src14(spark, sf):
     o = A.oscillations(spark, sf)
     raw = o.select(F.when(F.col("start") % 2 == 0, F.col("event_id")).alias("event_id"), "channel", (F.col("start") / 1000.0).alias("start_time_s"), (F.col("end") / 1000.0).alias("end_time_s"), F.col("low_hz").alias("low_freq_hz"), "manual_class", F.col("model_class").alias("final_model_class"))
@@ -181,6 +190,7 @@ QUERIES = {
     "src05_block_range": (src05, f"WITH {A.LONG_SIGNAL} SELECT channel, sample, x FROM long_signal WHERE sample >= 300 AND sample < 900"),
     "src06_native_rate": (src06, "SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN p_size * 5.0 ELSE 512.0 END::DOUBLE AS native_fs FROM part"),
     "src07_segments_batch": (src07, SRC07),
+    "src08_exclusions": (src08, "SELECT 'sub-' || o_custkey AS patient_id, arg_max(o_orderpriority, o_orderkey) AS reason FROM orders WHERE o_orderkey % 10 <> 0 GROUP BY 1"),
     "src14_hfo_import_export": (src14, f"WITH {A.OSCILLATIONS}, o AS (SELECT *, coalesce(nullif(trim(manual_class), ''), nullif(model_class, '')) AS c, CASE WHEN manual_class IS NULL THEN 'unreviewed' WHEN manual_class = 'deleted' THEN 'deleted' ELSE 'reviewed' END AS manual_review_status FROM oscillations), k AS (SELECT *, replace(lower(coalesce(c, '')), '_', '-') AS k FROM o) SELECT channel, CASE WHEN k IN ('hfo', 'real-hfo', 'non-spike hfo') THEN 'HFO' WHEN k IN ('spike-hfo', 'spkhfo') THEN 'spike-HFO' WHEN k = 'ehfo' THEN 'eHFO' WHEN k = 'spike-ehfo' THEN 'spike-eHFO' WHEN contains(k, 'artifact') THEN 'artifact' WHEN k IN ('deleted', 'excluded') THEN 'deleted' ELSE 'candidate' END AS official_class, manual_review_status, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts, round(sum(\"end\" - start), 3)::DOUBLE AS ms, sum(coalesce(low_hz, 80.0)) AS low FROM k GROUP BY ALL"),
     "src15_gamma_round_trip": (src15, f"WITH {A.SPIKES} SELECT channel, event_id AS sample0, round((event_id + 1) / 100.0, 6)::DOUBLE AS time_s, CASE WHEN NOT isnan(power) THEN power END AS power, CASE WHEN NOT isnan(duration) THEN duration END AS duration FROM spikes"),
     "src17_heatmap": (src17, f"WITH {A.SIGNAL} SELECT channel, round(sample / 100.0 - 5.0, 6)::DOUBLE AS t, round(log10(greatest(x, 1e-6)), 6) AS level FROM signal"),
