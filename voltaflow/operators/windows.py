@@ -20,18 +20,18 @@ def moving_energy(signal: DataFrame, width: int, keys: tuple[str, ...] = ("chann
     return near.withColumn("energy", F.sum(F.col("x") * F.col("x")).over(w)).where("own").drop("own", "block_id")
 
 
-def baseline_stats(energy: DataFrame) -> DataFrame:
+def baseline_stats(energy: DataFrame, keys: tuple[str, ...] = ("channel",)) -> DataFrame:
     """Per channel of the baseline: mean (a tiny value if not positive), maximum and deviation of energy over mean."""
     eps = 2.220446049250313e-16
-    raw = energy.groupBy("channel").agg(F.avg("energy").alias("m"), F.max("energy").alias("top"), F.stddev_samp("energy").alias("sd"))
+    raw = energy.groupBy(*keys).agg(F.avg("energy").alias("m"), F.max("energy").alias("top"), F.stddev_samp("energy").alias("sd"))
     mean = F.when(F.col("m") > 0, F.col("m")).otherwise(eps)
-    return raw.select("channel", mean.alias("mean_energy"), (F.col("top") / mean).alias("max_base"), (F.col("sd") / mean).alias("sd_base"))
+    return raw.select(*keys, mean.alias("mean_energy"), (F.col("top") / mean).alias("max_base"), (F.col("sd") / mean).alias("sd_base"))
 
 
-def onsets(hfer: DataFrame, stats: DataFrame, sigmas: float) -> DataFrame:
+def onsets(hfer: DataFrame, stats: DataFrame, sigmas: float, keys: tuple[str, ...] = ("channel",)) -> DataFrame:
     """First sample whose value is strictly above max + sigmas * sd of the baseline, else the segment's length."""
     hot = F.col("hfer") > F.col("max_base") + sigmas * F.col("sd_base")
-    return hfer.join(stats, "channel").groupBy("channel").agg(F.coalesce(F.min(F.when(hot, F.col("n"))), F.max("n") + 1).alias("onset"), (F.max("n") + 1).alias("length"))
+    return hfer.join(stats, list(keys)).groupBy(*keys).agg(F.coalesce(F.min(F.when(hot, F.col("n"))), F.max("n") + 1).alias("onset"), (F.max("n") + 1).alias("length"))
 
 
 def timing_rank(onset: DataFrame, recording: str = "recording") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.blocks import BLOCK, read_range
+from .edf_source import parse_header
 
 #: Suffixes that are read here; other formats need a converter to the block table (Parquet).
 READABLE = (".edf", ".bdf")
@@ -25,18 +26,6 @@ def suffix_reader(path: str) -> str:
     raise ValueError(f"no reader for {path!r}")
 
 
-def parse_header(data: bytes) -> dict:
-    """Fields of an EDF or BDF header: record count and length, and per channel label, ranges and samples a record."""
-    n = int(data[252:256])
-    fields, at = {}, 256
-    for name, width in (("label", 16), ("transducer", 80), ("dimension", 8), ("phys_min", 8), ("phys_max", 8), ("dig_min", 8), ("dig_max", 8), ("prefilter", 80), ("samples", 8), ("reserved", 32)):
-        fields[name] = [data[at + i * width : at + (i + 1) * width].decode("latin-1").strip() for i in range(n)]
-        at += n * width
-    out = {"n_channels": n, "header_bytes": int(data[184:192]), "n_records": int(data[236:244]), "record_s": float(data[244:252]), "wide": data[:1] == b"\xff"}
-    out |= {k: list(map(float, fields[k])) for k in ("phys_min", "phys_max", "dig_min", "dig_max")}
-    return out | {"label": fields["label"], "samples": list(map(int, fields["samples"]))}
-
-
 def decode(data: bytes) -> Iterator[tuple[str, int, float, np.ndarray]]:
     """label, index, rate and physical values of every channel."""
     h = parse_header(data)
