@@ -64,19 +64,25 @@ class StateStore:
         return version
 
     def save(self, tables: dict[str, DataFrame], parameters: dict | None = None) -> int:
-        """Write all tables, then the manifest; the number of the version."""
-        version, written = self._claimed(), []
-        for name, df in tables.items():
-            path = f"{self.root}/data/version={version:06d}/{name}-{uuid.uuid4().hex}"
-            seen = Observation()
-            df.observe(seen, *_digest(df)).write.parquet(path)
-            empty = self.spark.read.schema(df.schema).parquet(path).isEmpty()  # what is left of a plan without rows may observe nothing
-            got = {"rows": 0, "digest": "0"} if empty else seen.get
-            written.append((name, path, df.schema.json(), got["rows"], got["digest"]))
-        row = self.spark.createDataFrame([(json.dumps(parameters or {}, sort_keys=True), written)], MANIFEST)
-        row.coalesce(1).write.mode("error").json(f"{self.root}/manifests/version={version:06d}")
+        """Write all tables, then the manifest; the number of the version. A version that fails leaves no files behind."""
+        version = self._claimed()
+        folder = f"{self.root}/data/version={version:06d}"
+        try:
+            written = [self._written(df, name, f"{folder}/{name}-{uuid.uuid4().hex}") for name, df in tables.items()]
+            row = self.spark.createDataFrame([(json.dumps(parameters or {}, sort_keys=True), written)], MANIFEST)
+            row.coalesce(1).write.mode("error").json(f"{self.root}/manifests/version={version:06d}")
+        except BaseException:
+            storage.remove(self.spark, folder)
+            raise
         return version
 
+    def _written(self, df: DataFrame, name: str, path: str) -> tuple:
+        seen = Observation()
+        df.observe(seen, *_digest(df)).write.parquet(path)
+        empty = self.spark.read.schema(df.schema).parquet(path).isEmpty()  # what is left of a plan without rows may observe nothing
+        got = {"rows": 0, "digest": "0"} if empty else seen.get
+        return name, path, df.schema.json(), got["rows"], got["digest"]
+
     def manifests(self) -> DataFrame:
         """version, parameters, tables of every whole version."""
         if not storage.exists(self.spark, f"{self.root}/manifests"):
