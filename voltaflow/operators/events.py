@@ -2,44 +2,74 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def burst_members(events: DataFrame, gap: float, channel: str = "channel") -> DataFrame:
-    """events with `burst`: a neighbour on the channel is strictly closer than the gap."""
-    w = Window.partitionBy(channel).orderBy("t", "ord")
+#: Seconds of a bucket in which events are put in order.
+SPAN = 3600.0
+
+
+def burst_members(events: DataFrame, gap: float, channel: str = "channel", span: float = SPAN) -> DataFrame:
+    """events with `burst`: a neighbour on the channel is strictly closer than the gap.
+
+    Neighbours that close lie in the same bucket of time or within a gap of it, so a channel is many tasks.
+    """
+    width = max(span, gap)
+    own = F.floor(F.col("t") / width)
+    buckets = F.explode(F.sequence(F.floor((F.col("t") - gap) / width), F.floor((F.col("t") + gap) / width)))
+    near = events.withColumn("_own", own).withColumn("_bucket", buckets)
+    w = Window.partitionBy(channel, "_bucket").orderBy("t", "ord")
     before, after = F.col("t") - F.lag("t").over(w), F.lead("t").over(w) - F.col("t")
-    return events.withColumn("burst", F.coalesce(before < gap, F.lit(False)) | F.coalesce(after < gap, F.lit(False)))
+    marked = near.withColumn("burst", F.coalesce(before < gap, F.lit(False)) | F.coalesce(after < gap, F.lit(False)))
+    return marked.where("_bucket = _own").drop("_bucket", "_own")
 
 
-def anchors(events: DataFrame, tolerance: float, recording: str = "recording") -> DataFrame:
-    """Anchor times of greedy clusters: an event later than its anchor by more than the tolerance is the next anchor.
+def stretches(events: DataFrame, tolerance: float, recording: str = "recording", span: float = SPAN) -> DataFrame:
+    """events with `_stretch`: the number of the recording's stretch without a gap wider than the tolerance.
 
-    Anchoring is a scan in time order, but an event that comes more than the tolerance after the one before
-    it must be an anchor, whatever came earlier. So the scan restarts there: each stretch between such gaps
-    is folded on its own, and only a stretch, not a recording, has to fit one row.
+    Gaps are counted within buckets of time; what lies before a bucket, its last event and its gaps, comes from one row
+    a bucket. So a recording is many tasks.
+    """
+    placed = events.withColumn("_bucket", F.floor(F.col("t") / span))
+    w = Window.partitionBy(recording, "_bucket").orderBy("t", "ord")
+    apart = F.coalesce((F.col("t") - F.lag("t").over(w) > tolerance).cast("long"), F.lit(0))
+    counted = placed.withColumn("_gap", apart).withColumn("_within", F.sum("_gap").over(w))
+    ends = counted.groupBy(recording, "_bucket").agg(F.min("t").alias("_first"), F.max("t").alias("_last"), F.max("_within").alias("_gaps"))
+    b = Window.partitionBy(recording).orderBy("_bucket")
+    new = F.coalesce((F.col("_first") - F.lag("_last").over(b) > tolerance).cast("long"), F.lit(1))
+    shifts = ends.withColumn("_new", new).withColumn("_shift", F.sum(F.col("_new") + F.col("_gaps")).over(b) - F.col("_gaps"))
+    out = counted.join(shifts.select(recording, "_bucket", "_shift"), [recording, "_bucket"])
+    return out.withColumn("_stretch", F.col("_within") + F.col("_shift")).drop("_bucket", "_gap", "_within", "_shift")
+
+
+def anchored_clusters(events: DataFrame, tolerance: float, recording: str = "recording", span: float = SPAN) -> DataFrame:
+    """events with the anchor of their cluster: an event later than its anchor by more than the tolerance is the next anchor.
+
+    Anchoring is a scan in time order, but an event that comes more than the tolerance after the one before it must be an
+    anchor, whatever came earlier. So each stretch between such gaps is scanned on its own, row by row, and a task
+    holds the last anchor only.
     """
-    w = Window.partitionBy(recording).orderBy("t", "ord")
-    # a gap wider than the tolerance always starts a new anchor
-    gap = F.coalesce((F.col("t") - F.lag("t").over(w) > tolerance).cast("long"), F.lit(1))
-    stretched = events.withColumn("_gap", gap).withColumn("_stretch", F.sum("_gap").over(w))
-    times = stretched.groupBy(recording, "_stretch").agg(F.sort_array(F.collect_list("t")).alias("times"))
-    folded = F.aggregate(
-        "times", F.array().cast("array<double>"),
-        lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) > tolerance), F.concat(acc, F.array(t))).otherwise(acc),
-    )
-    return times.select(recording, F.explode(folded).alias("anchor"))
-
-
-def anchored_clusters(events: DataFrame, tolerance: float, recording: str = "recording") -> DataFrame:
-    """events with the anchor of their cluster: the last anchor that isn't later."""
-    marks = anchors(events, tolerance, recording).select(recording, F.col("anchor").alias("t"), F.lit(-1).cast("long").alias("ord"), F.lit(True).alias("_mark"))
-    both = events.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy(recording).orderBy("t", F.desc("_mark"), "ord")
-    last = F.last(F.when(F.col("_mark"), F.col("t")), ignorenulls=True).over(w)
-    return both.withColumn("anchor", last).where("not _mark").drop("_mark")
+    placed = stretches(events, tolerance, recording, span).withColumn("anchor", F.col("t"))
+    schema = placed.schema
+    group, at = [placed.columns.index(c) for c in (recording, "_stretch")], placed.columns.index("t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, anchor = None, 0.0
+        for batch in batches:
+            keys = zip(*(batch.column(i).to_pylist() for i in group))
+            out = []
+            for key, t in zip(keys, batch.column(at).to_pylist()):
+                if key != last or t - anchor > tolerance:
+                    last, anchor = key, t
+                out.append(anchor)
+            yield batch.set_column(batch.num_columns - 1, "anchor", pa.array(out, pa.float64()))
+
+    return placed.repartition(recording, "_stretch").sortWithinPartitions(recording, "_stretch", "t", "ord").mapInArrow(run, schema).drop("_stretch")
 
 
 def common_mode(clusters: DataFrame, n_channels: int, recording: str = "recording", channel: str = "channel") -> DataFrame:

@@ -41,56 +41,81 @@ def timing_rank(onset: DataFrame, recording: str = "recording") -> DataFrame:
     return out.withColumn("reciprocal", (F.lit(1.0).cast("float") / F.col("timing_rank").cast("float")).cast("float"))
 
 
-def true_runs(samples: DataFrame, keys: tuple[str, ...] = ("channel",), flag: str = "flag") -> DataFrame:
+def _block_runs(samples: DataFrame, keys: tuple[str, ...], flag: str, block: int, best: bool = False) -> DataFrame:
+    """keys, start, stop, length (and best: the sample of the first greatest x) of the maximal runs of true.
+
+    Runs are found within blocks; only those that touch a block's edge, two a block at most, are then joined along the
+    channel. So no channel's samples are one task.
+    """
+    placed = samples.where(flag).withColumn("_block", F.floor(F.col("sample") / block))
+    island = F.col("sample") - F.row_number().over(Window.partitionBy(*keys, "_block").orderBy("sample"))
+    top = [F.min(F.struct((-F.col("x")).alias("less"), F.col("sample").alias("at"))).alias("top")] if best else []
+    runs = placed.withColumn("_isle", island).groupBy(*keys, "_block", "_isle").agg(F.min("sample").alias("start"), F.max("sample").alias("stop"), F.count("*").alias("length"), *top).drop("_block", "_isle")
+    edge = (F.col("start") % block == 0) | ((F.col("stop") + 1) % block == 0)
+    w = Window.partitionBy(*keys).orderBy("start")
+    apart = F.coalesce((F.col("start") != F.lag("stop").over(w) + 1).cast("int"), F.lit(1))
+    joined = runs.where(edge).withColumn("_new", apart).withColumn("_run", F.sum("_new").over(w))
+    joined = joined.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("length").alias("length"), *([F.min("top").alias("top")] if best else [])).drop("_run")
+    return runs.where(~edge).unionByName(joined)
+
+
+def true_runs(samples: DataFrame, keys: tuple[str, ...] = ("channel",), flag: str = "flag", block: int = BLOCK) -> DataFrame:
     """Maximal runs of true: keys, start, stop (inclusive), length."""
-    w = Window.partitionBy(*keys).orderBy("sample")
-    marked = samples.where(flag).withColumn("island", F.col("sample") - F.row_number().over(w))
-    return marked.groupBy(*keys, "island").agg(F.min("sample").alias("start"), F.max("sample").alias("stop"), F.count("*").alias("length")).drop("island")
+    return _block_runs(samples, keys, flag, block)
 
 
-def run_peaks(samples: DataFrame, keys: tuple[str, ...] = ("channel",), flag: str = "flag") -> DataFrame:
+def run_peaks(samples: DataFrame, keys: tuple[str, ...] = ("channel",), flag: str = "flag", block: int = BLOCK) -> DataFrame:
     """Maxima of runs. Up to three samples: the first greatest one. More: every sample behind which the slope's sign gets less.
 
     Before the run the slope counts as 0, so a run that only falls has its first sample, and both ends of a top plateau count.
-    The last sample never does.
+    The last sample never does. Three samples around a block tell whether a run is longer than three, so blocks are tasks.
     """
-    w = Window.partitionBy(*keys).orderBy("sample")
-    isle = samples.where(flag).withColumn("island", F.col("sample") - F.row_number().over(w))
-    r = Window.partitionBy(*keys, "island").orderBy("sample")
-    whole = Window.partitionBy(*keys, "island")
-    seen = isle.withColumns({"prev": F.lag("x").over(r), "next": F.lead("x").over(r), "len": F.count("*").over(whole), "best": F.min(F.struct(-F.col("x"), F.col("sample"))).over(whole)["sample"]})
+    near = with_halo(samples.where(flag), 3, 3, block)
+    isle = near.withColumn("island", F.col("sample") - F.row_number().over(Window.partitionBy(*keys, "block_id").orderBy("sample")))
+    r = Window.partitionBy(*keys, "block_id", "island").orderBy("sample")
+    whole = Window.partitionBy(*keys, "block_id", "island")
+    seen = isle.withColumns({"prev": F.lag("x").over(r), "next": F.lead("x").over(r), "len": F.count("*").over(whole), "best": F.min(F.struct(-F.col("x"), F.col("sample"))).over(whole)["sample"]}).where("own")
     turn = (F.col("len") > 3) & (F.signum(F.col("next") - F.col("x")) < F.coalesce(F.signum(F.col("x") - F.col("prev")), F.lit(0.0)))
     return seen.where(turn | ((F.col("len") <= 3) & (F.col("sample") == F.col("best")))).select(*keys, "sample", "x")
 
 
-def poly_groups(peaks: DataFrame, reach: int, keys: tuple[str, ...] = ("channel",)) -> DataFrame:
+def poly_groups(peaks: DataFrame, reach: int, keys: tuple[str, ...] = ("channel",), block: int = BLOCK) -> DataFrame:
     """Groups of peaks whose next one is at most `reach` away: the peaks that stay (sample) and how many the group had (n).
 
     A single peak stays. Of several, those stay that are no lower than the one before and higher than the one behind; the
-    sequence has a 0 in front and at its end.
+    sequence has a 0 in front and at its end. Neighbours come from a halo; a group's size is added up from its parts in
+    blocks, of which only a block's first and last can go on in another.
     """
-    w = Window.partitionBy(*keys).orderBy("sample")
-    new = F.coalesce((F.col("sample") - F.lag("sample").over(w) > reach).cast("int"), F.lit(1))
-    grouped = peaks.withColumn("_new", new).withColumn("grp", F.sum("_new").over(w))
-    g = Window.partitionBy(*keys, "grp").orderBy("sample")
-    seen = grouped.withColumns({"prev": F.lag("x", 1, 0.0).over(g), "next": F.lead("x", 1, 0.0).over(g), "n": F.count("*").over(Window.partitionBy(*keys, "grp"))})
-    return seen.where("n = 1 or (x >= prev and next < x)").select(*keys, "sample", "n")
-
-
-def closing(samples: DataFrame, width: int, keys: tuple[str, ...] = ("channel",)) -> DataFrame:
-    """Dilate, then erode a boolean column with an odd kernel; samples outside the signal are false."""
+    span = max(block, reach)
+    near = with_halo(peaks, reach, reach, span)
+    g = Window.partitionBy(*keys, "block_id").orderBy("sample")
+    close = lambda other, value: F.coalesce(F.when(F.abs(F.col("sample") - other) <= reach, value), F.lit(0.0))
+    seen = near.withColumns({"prev": close(F.lag("sample").over(g), F.lag("x").over(g)), "next": close(F.lead("sample").over(g), F.lead("x").over(g))}).where("own")
+    new = F.coalesce((F.col("sample") - F.lag("sample").over(g) > reach).cast("int"), F.lit(1))
+    parts = seen.withColumn("_new", new).withColumn("part", F.sum("_new").over(g))
+    sizes = parts.groupBy(*keys, "block_id", "part").agg(F.min("sample").alias("first"), F.max("sample").alias("last"), F.count("*").alias("k"))
+    both = Window.partitionBy(*keys, "block_id")
+    sizes = sizes.withColumn("_edge", (F.col("part") == F.min("part").over(both)) | (F.col("part") == F.max("part").over(both)))
+    w = Window.partitionBy(*keys).orderBy("first")
+    apart = F.coalesce((F.col("first") - F.lag("last").over(w) > reach).cast("int"), F.lit(1))
+    # between a block's first and last group there may be others: the two are never one
+    chain = sizes.where("_edge").withColumn("_new", apart).withColumn("_chain", F.sum("_new").over(w))
+    chain = chain.withColumn("n", F.sum("k").over(Window.partitionBy(*keys, "_chain"))).select(*keys, "block_id", "part", "n")
+    known = sizes.where("not _edge").select(*keys, "block_id", "part", F.col("k").alias("n")).unionByName(chain)
+    return parts.join(known, [*keys, "block_id", "part"]).where("n = 1 or (x >= prev and next < x)").select(*keys, "sample", "n")
+
+
+def closing(samples: DataFrame, width: int, keys: tuple[str, ...] = ("channel",), block: int = BLOCK) -> DataFrame:
+    """Dilate, then erode a boolean column with an odd kernel; samples outside the signal are false. Windows are by block with a halo of two kernels."""
     k = width // 2
-    w = Window.partitionBy(*keys).orderBy("sample").rowsBetween(-k, k)
-    wide = samples.withColumn("_wide", F.max(F.col("flag").cast("int")).over(w))
-    return wide.withColumn("closed", F.min("_wide").over(w) == 1).drop("_wide")
+    w = Window.partitionBy(*keys, "block_id").orderBy("sample").rowsBetween(-k, k)
+    wide = with_halo(samples, 2 * k, 2 * k, block).withColumn("_wide", F.max(F.col("flag").cast("int")).over(w))
+    return wide.withColumn("closed", F.min("_wide").over(w) == 1).where("own").drop("_wide", "own", "block_id")
 
 
-def local_maximum_of_runs(samples: DataFrame, keys: tuple[str, ...] = ("channel",), flag: str = "closed") -> DataFrame:
+def local_maximum_of_runs(samples: DataFrame, keys: tuple[str, ...] = ("channel",), flag: str = "closed", block: int = BLOCK) -> DataFrame:
     """The first greatest sample of every run (WIN09's last step)."""
-    w = Window.partitionBy(*keys).orderBy("sample")
-    isle = samples.where(flag).withColumn("island", F.col("sample") - F.row_number().over(w))
-    best = F.min(F.struct((-F.col("x")).alias("v"), F.col("sample").alias("s")))["s"]
-    return isle.groupBy(*keys, "island").agg(best.alias("sample")).drop("island")
+    return _block_runs(samples, keys, flag, block, best=True).select(*keys, F.col("top.at").alias("sample"))
 
 
 def lognormal_parameters(samples: DataFrame, size: int, step: int, keys: tuple[str, ...] = ("channel",)) -> DataFrame:
