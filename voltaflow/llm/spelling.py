@@ -1,10 +1,11 @@
-"""Spelling variant grouping by letter-parity bitmask bands (operator 13); DataFrame functions only.
+"""Spelling variant grouping by letter-parity bitmask bands (operator 13).
 
 A word's mask has one bit for each letter, set where the letter occurs an odd number of times. Replacing a
 letter flips two bits, inserting or deleting one flips one. The mask is cut into three bands, so words of
 one length that are near agree on one band at least, and words whose lengths differ by one on two of them.
-Words meet by equal bands and length; masks are compared first, then the words. A pair comes from its
-first table only.
+Words of one length meet by one equal band, in blocks of a bounded size: masks are compared first, then halves
+of the words (one replaced letter leaves one half), then the words. Words whose lengths differ by one meet by two
+equal bands in a join. A pair comes from its first table only.
 
 Forms are followed by pointer jumping: a form occurs twice as often at least, so chains are short.
 
@@ -17,12 +18,18 @@ from __future__ import annotations
 
 import string
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, bounded_batches, table
+from .ngram_join import blockwise, tasks
 
 RUN, LEAST_CHARS, LEAST_COUNT, STEP, BANDS = r"[A-Za-zÀ-ÿ]+", 5, 3, 97, 3
+#: Letters from common to rare, dealt to the bands in turn, so that each splits words about as well; bits of a band.
+LETTERS, WIDTH = "eaisnrtolucdmphgbvfyqxjkzw", 30
+#: Words of a block, and those compared with a block at once.
+HELD, ROWS = 8192, 128
 #: A form occurs at least so many times as often as the word.
 TIMES = 2
 
@@ -44,37 +51,71 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def band(word: Column, number: int) -> Column:
-    """Parity bits of every third letter of the alphabet, from the number-th."""
-    code = lambda c: F.when(F.ascii(c) < 128, F.ascii(c) - 97).otherwise(F.ascii(c) - 192 + 26)
-    own = F.filter(F.transform(F.split(word, ""), code), lambda s: s % BANDS == number)
+    """Parity bits of every third letter of the alphabet as it is ordered by LETTERS, from the number-th."""
+    place = lambda c: F.when(F.ascii(c) < 128, F.position(c, F.lit(LETTERS)) - 1).otherwise(F.ascii(c) - 192 + len(LETTERS))
+    own = F.filter(F.transform(F.split(word, ""), place), lambda s: s % BANDS == number)
     return F.aggregate(own, F.lit(0).cast("long"), lambda m, s: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.floor(s / BANDS).cast("int"))))
 
 
+def replaced(one: list[list], other: list[list] | None) -> tuple:
+    """solve() of blockwise for (word, n, t, rest, halves) of one band and length: pairs that may differ in one letter.
+
+    The masks of the other two bands (rest: the next band's low, the one's after that high) differ in two bits, and one half
+    of the words is equal. A pair that an earlier table has too is left to it.
+    """
+    own = other is None
+    (word_a, n_a, t, rest_a, half_a), (word_b, n_b, _, rest_b, half_b) = one, one if own else other
+    rest_a, half_a, rest_b, half_b = (np.array(c, np.int64) for c in (rest_a, half_a, rest_b, half_b))
+    low = np.int64((1 << WIDTH) - 1)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for lo in range(0, len(rest_a), ROWS):
+        start = lo if own else 0
+        x = rest_a[lo : lo + ROWS, None] ^ rest_b[start:]
+        i, j = np.nonzero(np.bitwise_count(x) == 2)
+        x = x[i, j]
+        i, j = i + lo, j + start
+        h = half_a[i] ^ half_b[j]
+        good = ((h >> np.int64(32)) == 0) | ((h & np.int64(0xFFFFFFFF)) == 0)
+        # of table 1, band 0 is the one after the next; of table 2, bands 0 and 1 are the next ones
+        if t[0] == 1:
+            good &= (x >> np.int64(WIDTH)) != 0
+        elif t[0] == 2:
+            good &= ((x >> np.int64(WIDTH)) != 0) & ((x & low) != 0)
+        if own:
+            good &= i < j
+        found.append((i[good], j[good]))
+    i, j = (np.concatenate(c).tolist() for c in zip(*found))
+    return [word_a[k] for k in i], [n_a[k] for k in i], [word_b[k] for k in j], [n_b[k] for k in j]
+
+
 def near_pairs(spark: SparkSession, scratch: Scratch, words: DataFrame) -> DataFrame:
     """a, n_a, b, n_b: every pair of words (word, n) one edit apart, once."""
-    masked = words.select("word", "n", F.char_length("word").alias("l"), *[band(F.col("word"), i).alias(f"m{i}") for i in range(BANDS)])
+    length = F.char_length("word")
+    middle = F.floor(length / 2).cast("int")
+    part = lambda c: F.xxhash64(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    halves = F.shiftleft(part(F.substring("word", F.lit(1), middle)), 32).bitwiseOR(part(F.substring("word", middle + 1, length)))
+    masked = words.select("word", "n", length.alias("l"), halves.alias("halves"), *[band(F.col("word"), i).alias(f"m{i}") for i in range(BANDS)])
     masked = scratch.write(masked, "masks")
-    none = F.lit(-1).cast("long")
+    m = [F.col(f"m{i}") for i in range(BANDS)]
 
-    def entries(shift: int) -> Column:
-        """Tables 0 to 2: one band, equal lengths; 3 to 5: two bands, lengths that differ by one (shift: the longer's)."""
-        m = [F.col(f"m{i}") for i in range(BANDS)]
-        one = [F.struct(F.lit(i).alias("t"), m[i].alias("k"), none.alias("k2"), F.col("l").alias("at")) for i in range(BANDS)]
-        two = [F.struct(F.lit(BANDS + i).alias("t"), m[i].alias("k"), m[(i + 1) % BANDS].alias("k2"), (F.col("l") - shift).alias("at")) for i in range(BANDS)]
-        return F.explode(F.array(*one, *two))
+    # equal lengths: words of one band meet in blocks
+    rest = lambda i: m[(i + 1) % BANDS].bitwiseOR(F.shiftleft(m[(i + 2) % BANDS], WIDTH))
+    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.xxhash64(F.lit(i), m[i], F.col("l")).alias("key"), rest(i).alias("rest")) for i in range(BANDS)])
+    held = masked.select("word", "n", "halves", F.explode(tables).alias("x")).select("x.key", "word", "n", "x.t", "x.rest", "halves")
+    sizes = scratch.write(held.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key", F.ceil(F.col("k") / HELD).alias("blocks")), "band_sizes")
+    same = blockwise(held, "key", ["word", "n", "t", "rest", "halves"], sizes, replaced, "a string, n_a long, b string, n_b long", tasks(spark))
 
+    # lengths that differ by one: two bands are equal, which leaves few words a key
     def side(name: str, shift: int) -> DataFrame:
-        columns = [F.col(c).alias(f"{c}_{name}") for c in ("word", "n", "m0", "m1", "m2")]
-        return masked.select(*columns, entries(shift).alias("x")).select(*[f"{c}_{name}" for c in ("word", "n", "m0", "m1", "m2")], "x.t", "x.k", "x.k2", "x.at")
+        """Entries by two bands and the shorter's length (shift: the longer's)."""
+        two = [F.struct(F.lit(i).alias("t"), m[i].alias("k"), m[(i + 1) % BANDS].alias("k2"), (F.col("l") - shift).alias("at"), m[(i + 2) % BANDS].alias("third")) for i in range(BANDS)]
+        out = masked.select(F.col("word").alias(name), F.col("n").alias(f"n_{name}"), F.explode(F.array(*two)).alias("x"))
+        return out.select(name, f"n_{name}", "x.t", "x.k", "x.k2", "x.at", F.col("x.third").alias(f"third_{name}"))
 
-    diff = [F.col(f"m{i}_a").bitwiseXOR(F.col(f"m{i}_b")) for i in range(BANDS)]
-    flips = sum((F.bit_count(d) for d in diff[1:]), F.bit_count(diff[0]))
-    first = (F.col("t") == 0) | ((F.col("t") == 1) & (diff[0] != 0)) | ((F.col("t") == 2) & (diff[0] != 0) & (diff[1] != 0))
-    same = (F.col("t") < BANDS) & (flips == 2) & (F.col("word_a") < F.col("word_b")) & first
-    longer = (F.col("t") >= BANDS) & (flips == 1)
-    # both sides grow with the vocabulary: neither is broadcast
-    met = side("a", 0).hint("merge").join(side("b", 1), ["t", "k", "k2", "at"]).where((same | longer) & (F.levenshtein("word_a", "word_b", 1) == 1))
-    return met.select(F.col("word_a").alias("a"), F.col("n_a"), F.col("word_b").alias("b"), F.col("n_b"))
+    # both sides grow with the vocabulary: neither is broadcast; one letter more flips one bit of the third band
+    met = side("a", 0).hint("merge").join(side("b", 1), ["t", "k", "k2", "at"]).where(F.bit_count(F.col("third_a").bitwiseXOR(F.col("third_b"))) == 1)
+    every = same.unionByName(met.select("a", "n_a", "b", "n_b"))
+    return every.where(F.levenshtein("a", "b", 1) == 1)
 
 
 def roots(spark: SparkSession, scratch: Scratch, forms: DataFrame) -> DataFrame:
@@ -90,6 +131,7 @@ def roots(spark: SparkSession, scratch: Scratch, forms: DataFrame) -> DataFrame:
 
 def variants(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """word, form, root, n, n_near, form_n of every word of docs (doc_id, text)."""
+    bounded_batches(spark)
     scratch = Scratch(spark)
     words = scratch.write(counted(docs), "words")
     pairs = scratch.write(near_pairs(spark, scratch, words), "pairs")
