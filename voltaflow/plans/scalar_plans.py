@@ -407,14 +407,6 @@ def fil07(spark, sf):
     return d.join(F.broadcast(z)).where(keep).select("ord", "t")
 
 
-def fil21(spark, sf):
-    p = A.table(spark, sf, "part").select("p_partkey", (F.col("p_size") * 12.0).alias("low"), (F.col("p_retailprice") / 3).alias("high"), (F.col("p_size") % 7 - 1).alias("min_ms"))
-    checks = F.array(
-        F.when((F.col("low") <= 0) | (F.col("high") <= F.col("low")), "band edges must rise from above zero"), F.when(F.col("low") >= 500.0, "the band starts above Nyquist"), F.when(F.col("min_ms") <= 0, "durations must rise from above zero")
-    )
-    return p.select("p_partkey", F.array_join(F.array_compact(checks), "; ").alias("wrong"))
-
-
 def srt03(spark, sf):
     return O.placed(A.detections(spark, sf).select("t", "channel", "ord"), [F.col("t"), F.col("channel"), F.col("ord")], F.floor(F.col("t") / 3600))
 
@@ -444,7 +436,6 @@ def agg12(spark, sf):
 
 QUERIES = {
     "fil07_central_by_time": (fil07, f"WITH {D}, z AS (SELECT max(t) AS stop FROM detections) SELECT ord, t FROM detections, z WHERE t >= 1704067200.0 AND (t < 1704931200.0 OR (t = stop AND stop <= 1704931200.0))"),
-    "fil21_hfo_validation": (fil21, "SELECT p_partkey, concat_ws('; ', CASE WHEN p_size * 12.0 <= 0 OR p_retailprice / 3 <= p_size * 12.0 THEN 'band edges must rise from above zero' END, CASE WHEN p_size * 12.0 >= 500 THEN 'the band starts above Nyquist' END, CASE WHEN p_size % 7 - 1 <= 0 THEN 'durations must rise from above zero' END) AS wrong FROM part"),
     "srt03_detector_order": (srt03, f"WITH {D} SELECT t, channel, ord, row_number() OVER (ORDER BY t NULLS FIRST, channel NULLS FIRST, ord NULLS FIRST) - 1 AS place FROM detections"),
     "srt10_timeline_order": (srt10, f"WITH {OSC} SELECT start / 1000.0::DOUBLE AS start, \"end\" / 1000.0::DOUBLE AS \"end\", detector AS source, channel, event_id, row_number() OVER (ORDER BY o.start, o.\"end\", detector, channel, event_id) - 1 AS place FROM oscillations o"),
     "dml03_restore_annotations": (dml03, "SELECT 'a' || event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'Artifact' ELSE 'Other' END AS kind, event_id::DOUBLE AS t_start, (CASE WHEN event_id % 3 = 0 THEN event_id + 2 ELSE event_id END)::DOUBLE AS t_end, '' AS note FROM events"),
