@@ -714,6 +714,6 @@ def test_registered_queries_have_unique_numbers():
     from voltaflow.llm import queries
 
     numbers = [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
     assert json.dumps(sorted(queries.QUERIES))

@@ -29,7 +29,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_batches, map_arrow, table
@@ -343,11 +343,21 @@ def tasks(spark: SparkSession) -> int:
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_hash(text: str) -> Column:
+    """What tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def jaccard_join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """key, class_id (least id of the documents connected by links and copies), text_id (least id with the same set), n_links (other sets linked)."""
+    return classes(spark, docs, key, text, threshold, tolerance).select(F.col("key").alias(key), "class_id", "text_id", "n_links")
+
+
+def classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """key, th (text_hash), class_id, text_id, n_links as jaccard_join gives them, and class_th: class_id and class_th together name one text of the class."""
     bounded_batches(spark)
     scratch = Scratch(spark)
-    src = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), F.col(text).alias("text"))
+    src = docs.select(F.col(key).cast("long").alias("key"), text_hash(text).alias("th"), F.col(text).alias("text"))
     named = scratch.write(signatures(src.where("key is not null")), "signatures")
     sets = distinct_sets(scratch, named)
     release(spark)
@@ -356,23 +366,24 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
     wanted = groups.join(sets.select("sid", F.col("first_doc").alias("key"), "th").hint("merge"), "sid")
     texts = scratch.write(src.join(wanted.hint("merge"), ["key", "th"]).select("comp", "sid", "text"), "texts")
     release(spark)
-    pivots = texts.where("sid = comp").groupBy("comp").agg(F.first("text").alias("pivot"))
+    # written before it is joined: a join of two plain shuffles can split a component of many texts
+    pivots = scratch.write(texts.where("sid = comp").groupBy("comp").agg(F.first("text").alias("pivot")), "pivots")
     diffs = differences(texts.join(pivots.hint("merge"), "comp"))
     diffs = scratch.write(diffs.groupBy("comp", "sid").agg(F.first("n").alias("n"), F.first("diff").alias("diff")), "diffs")  # repeated rows come once
     sizes = diffs.groupBy("comp").agg(F.count("*").alias("m"), F.sum(F.octet_length("diff")).alias("bytes"))
     sizes = scratch.write(sizes.select("comp", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).alias("blocks")), "sizes")
     found = scratch.write(blockwise(diffs, "comp", ["sid", "n", "diff"], sizes, exact(threshold), "sid long, links long, lead long", tasks(spark)), "found")
-    classes = components(spark, collapse(found.select(F.col("sid").alias("u"), F.col("lead").alias("v")))).withColumnRenamed("node", "sid")
+    labels = components(spark, collapse(found.select(F.col("sid").alias("u"), F.col("lead").alias("v")))).withColumnRenamed("node", "sid")
     counts = found.groupBy("sid").agg(F.sum("links").alias("n_links"))
-    named_sets = scratch.write(sets.select("sid", "set_key", "first_doc").join(classes.join(counts, "sid").hint("merge"), "sid", "left"), "named_sets")
-    firsts = named_sets.where("comp is not null").groupBy("comp").agg(F.min("first_doc").alias("class_id"))
+    named_sets = scratch.write(sets.select("sid", "set_key", "first_doc", "th").join(labels.join(counts, "sid").hint("merge"), "sid", "left"), "named_sets")
+    firsts = named_sets.where("comp is not null").groupBy("comp").agg(F.min(F.struct("first_doc", "th")).alias("least"))
     # written before it is joined with all documents: a join of two plain shuffles can split a set with many copies
-    known = named_sets.join(firsts.hint("merge"), "comp", "left").select("set_key", F.col("first_doc").alias("text_id"), F.coalesce("class_id", "first_doc").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    known = named_sets.join(firsts.hint("merge"), "comp", "left").select("set_key", F.col("first_doc").alias("text_id"), F.coalesce("least.first_doc", "first_doc").alias("class_id"), F.coalesce("least.th", "th").alias("class_th"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     known = scratch.write(known, "known")
-    scratch.drop("sets", "texts", "diffs", "sizes", "found", "named_sets")
-    out = named.select("key", "set_key").join(known.hint("merge"), "set_key").select(F.col("key").alias(key), "class_id", "text_id", "n_links")
+    scratch.drop("sets", "texts", "pivots", "diffs", "sizes", "found", "named_sets")
+    out = named.select("key", "th", "set_key").join(known.hint("merge"), "set_key").select("key", "th", "class_id", "class_th", "text_id", "n_links")
     none = F.lit(None).cast("long")
-    nulls = docs.where(F.col(key).isNull()).select(none.alias(key), none.alias("class_id"), none.alias("text_id"), F.lit(0).cast("long").alias("n_links"))
+    nulls = docs.where(F.col(key).isNull()).select(none.alias("key"), text_hash(text).alias("th"), none.alias("class_id"), none.alias("class_th"), none.alias("text_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(nulls)
 
 
