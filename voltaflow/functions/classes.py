@@ -21,11 +21,12 @@ def _cases(key: Column, cases: list[tuple[tuple[str, ...], str]]) -> Column:
 
 
 def export_class(label: Column, with_ehfo: bool = True) -> Column:
+    # fixed values: the spellings of each written class
     cases = [
-        (("hfo", "real-hfo", "non-spike hfo", "non-spike-hfo"), "HFO"),
-        (("spike-hfo", "spkhfo"), "spike-HFO"),
-        (("ehfo",), "eHFO" if with_ehfo else "HFO"),
-        (("spike-ehfo",), "spike-eHFO" if with_ehfo else "spike-HFO"),
+        (("hfo", "real-hfo", "real hfo", "non-spike hfo", "non-spike-hfo", "non-spkhfo", "non-spk hfo"), "HFO"),
+        (("spike-hfo", "spike hfo", "spkhfo", "spk-hfo", "spk hfo"), "spike-HFO"),
+        (("ehfo", "e-hfo"), "eHFO" if with_ehfo else "HFO"),
+        (("spike-ehfo", "spike ehfo", "spkehfo", "spk-ehfo", "spk ehfo"), "spike-eHFO" if with_ehfo else "spike-HFO"),
     ]
     return _cases(_key(label), cases).otherwise("candidate")
 

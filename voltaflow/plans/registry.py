@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import control_plans, dsp_plans, event_plans, path_plans, rei_plans, run_plans, scalar_plans, source_plans
+from . import control_plans, dsp_plans, event_plans, folder_plans, path_plans, rei_plans, run_plans, scalar_plans, source_plans
 
 FLAGSHIP = "rei_score"
-MODULES = [rei_plans, event_plans, scalar_plans, dsp_plans, source_plans, run_plans, path_plans, control_plans]
+MODULES = [rei_plans, event_plans, scalar_plans, dsp_plans, source_plans, run_plans, path_plans, control_plans, folder_plans]
 
 
 def _all() -> dict:

@@ -9,6 +9,7 @@ from ..functions import labels as L
 from ..functions import mathx as X
 from ..operators import events as E
 from ..operators import montage as M
+from ..operators import batch
 from ..operators import sorting as O
 from . import adapters as A
 
@@ -424,23 +425,21 @@ def dml03(spark, sf):
     return e.select("id", F.coalesce("kind", F.lit("Other")).alias("kind"), "t_start", F.coalesce("t_end", "t_start").alias("t_end"), F.coalesce("note", F.lit("")).alias("note"))
 
 
-def snk06(spark, sf):
-    s = A.spikes(spark, sf)
-    return s.select("event_id", F.to_json(F.struct(C.finite(F.col("power")).isNotNull().alias("measured"), F.col("channel").alias("electrode"))).alias("meta"))
-
-
 def agg12(spark, sf):
-    o = A.table(spark, sf, "orders").select(F.element_at(F.array(*map(F.lit, ("ok", "skipped", "error"))), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("status"), (F.col("o_custkey") % 4).alias("excluded_channels"))
-    return o.groupBy("status").agg(F.count("*").alias("n"), F.sum("excluded_channels").alias("excluded"))
+    """Orders as entries of a batch's log, some of them logged twice: the last entry counts."""
+    k = F.col("o_orderkey")
+    o = A.table(spark, sf, "orders").select(F.explode(F.when(k % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2))).cast("array<bigint>")).alias("attempt"), k.alias("row"), F.col("o_custkey").alias("c"))
+    status = F.when(F.col("attempt") == 1, "error").otherwise(F.element_at(F.array(*map(F.lit, ("ok", "skipped", "error"))), (F.col("row") % 3 + 1).cast("int")))
+    log = o.select("attempt", "row", status.alias("status"), F.when(status == "ok", F.col("c") % 4).alias("excluded_channel_count"))
+    return batch.tally(log)
 
 
 QUERIES = {
+    "agg12_batch_tallies": (agg12, "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'skipped' ELSE 'error' END AS status, count(*) AS n_rows, CAST(sum(CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 4 ELSE 0 END) AS BIGINT) AS excluded_channels FROM orders GROUP BY 1"),
     "fil07_central_by_time": (fil07, f"WITH {D}, z AS (SELECT max(t) AS stop FROM detections) SELECT ord, t FROM detections, z WHERE t >= 1704067200.0 AND (t < 1704931200.0 OR (t = stop AND stop <= 1704931200.0))"),
     "srt03_detector_order": (srt03, f"WITH {D} SELECT t, channel, ord, row_number() OVER (ORDER BY t NULLS FIRST, channel NULLS FIRST, ord NULLS FIRST) - 1 AS place FROM detections"),
     "srt10_timeline_order": (srt10, f"WITH {OSC} SELECT start / 1000.0::DOUBLE AS start, \"end\" / 1000.0::DOUBLE AS \"end\", detector AS source, channel, event_id, row_number() OVER (ORDER BY o.start, o.\"end\", detector, channel, event_id) - 1 AS place FROM oscillations o"),
     "dml03_restore_annotations": (dml03, "SELECT 'a' || event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'Artifact' ELSE 'Other' END AS kind, event_id::DOUBLE AS t_start, (CASE WHEN event_id % 3 = 0 THEN event_id + 2 ELSE event_id END)::DOUBLE AS t_end, '' AS note FROM events"),
-    "snk06_metadata": (snk06, f"WITH {SPK} SELECT event_id, '{{\"measured\":' || CASE WHEN isnan(power) THEN 'false' ELSE 'true' END || ',\"electrode\":' || channel || '}}' AS meta FROM spikes"),
-    "agg12_batch_tallies": (agg12, "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'skipped' ELSE 'error' END AS status, count(*) AS n, CAST(sum(o_custkey % 4) AS BIGINT) AS excluded FROM orders GROUP BY 1"),
     "fil01_time_window": (fil01, f"WITH {LSIG} SELECT * FROM long_signal WHERE sample >= floor(3.333 * 100) AND sample < ceil(9.001 * 100)"),
     "fil02_select_channels": (fil02, f"WITH {LSIG} SELECT s.*, ord FROM long_signal s JOIN (VALUES (5, 0), (2, 1), (11, 2)) v(channel, ord) USING (channel)"),
     "fil03_exclude_bad": (fil03, f"WITH {LSIG} SELECT * FROM long_signal WHERE channel NOT IN (3, 7)"),

@@ -10,12 +10,14 @@ from pyspark.sql.window import Window
 
 from ..functions import classes as C
 from ..functions import mathx as X
-from . import results
+from . import metadata, results
 
 #: Columns of the written tables, in order (fixed values of the file formats).
 REI_SUMMARY = "channel group ei_score rank onset_sec_from_seizure_onset peak_hfer_activity".split()
 GAMMA_SUMMARY = "channel total_spikes gamma_spikes non_gamma_spikes spike_gamma_rate mean_gamma_power mean_gamma_duration_ms".split()
 GAMMA_EVENTS = "channel event_number sample time_s is_gamma model_class official_class boundary_p1_sample boundary_n1_sample boundary_n2_sample boundary_p1_time_s boundary_n1_time_s boundary_n2_time_s gamma_power gamma_frequency_hz gamma_duration_ms manual_class manual_review_status error".split()
+HFO_EVENTS = "event_id channel start_time_s end_time_s duration_ms detector boundary_warning real_hfo_probability artifact_probability spike_hfo_probability final_model_class manual_class official_class manual_review_status start_sample end_sample peak_time_s band_label low_freq_hz high_freq_hz effective_high_freq_hz input_sampling_frequency_hz detection_sampling_frequency_hz legacy_artifact_score legacy_spike_score legacy_hfo_score legacy_classification_label error".split()
+HFO_SUMMARY = "channel candidate_count accepted_hfo_count non_spike_hfo_count spike_hfo_count ehfo_count spike_ehfo_count artifact_count candidate_rate_per_min accepted_hfo_rate_per_min non_spike_hfo_rate_per_min spike_hfo_rate_per_min ehfo_rate_per_min spike_ehfo_rate_per_min artifact_percentage deleted_event_count boundary_event_count".split()
 #: Files of each kind of folder, the first of which names the kind.
 FILES = {"hfo": ("hfo_events.csv", "hfo_channel_summary.csv"), "gamma": ("gamma_spike_events.csv", "gamma_channel_summary.csv"), "rei": ("rei_summary.csv", "rei_heatmap.csv")}
 METADATA = {"hfo": "hfo_metadata.json", "gamma": "gamma_metadata.json", "rei": "rei_metadata.json"}
@@ -150,8 +152,51 @@ def gamma_channels(events: DataFrame, summary: DataFrame | None) -> DataFrame:
 # ---- oscillations
 
 
-def hfo_summary_export(summary: DataFrame) -> DataFrame:
-    """A channel summary (operators.summaries.hfo_summary) under the written names (SNK05)."""
-    renamed = {c: c.replace("_rate", "_rate_per_min").replace("deleted_count", "deleted_event_count").replace("boundary_count", "boundary_event_count") for c in summary.columns}
-    renamed |= {"accepted_count": "accepted_hfo_count", "non_spike_count": "non_spike_hfo_count", "spike_count": "spike_hfo_count", "accepted_rate": "accepted_hfo_rate_per_min", "non_spike_rate": "non_spike_hfo_rate_per_min", "spike_rate": "spike_hfo_rate_per_min"}
-    return summary.select(*(F.col(c).alias(renamed[c]) for c in summary.columns))
+def hfo_event_table(events: DataFrame, with_ehfo: bool, effective_high_hz: float | None = None, input_fs: float | None = None, detection_fs: float | None = None) -> DataFrame:
+    """All written columns of oscillations, of those that a saved state has (SNK05, SNK07).
+
+    An event without an id gets one from its place (ord, from 1); scores stand in for probabilities, and the older label
+    for the model's class, where these are missing.
+    """
+    have = lambda c, t="double": F.col(c) if c in events.columns else F.lit(None).cast(t)
+    number = lambda *cs: F.coalesce(*(C.finite(have(c)) for c in cs))
+    text = lambda c: have(c, "string")
+    model = F.coalesce(F.when(text("final_model_class") != "", text("final_model_class")), text("classification_label"))
+    known = lambda v: F.lit(v).cast("double")
+    cols = {
+        "event_id": F.coalesce(F.when(text("event_id") != "", text("event_id")), F.format_string("hfo_%06d", "ord")), "channel": F.col("channel"), "start_time_s": number("start_time_s"), "end_time_s": number("end_time_s"),
+        "duration_ms": number("duration_ms"), "detector": text("detector"), "boundary_warning": F.coalesce(have("boundary_warning", "boolean"), have("is_boundary", "boolean"), F.lit(False)),
+        "real_hfo_probability": number("real_hfo_probability"), "artifact_probability": number("artifact_probability", "artifact_score"), "spike_hfo_probability": number("spike_hfo_probability", "spike_score"),
+        "final_model_class": model, "manual_class": text("manual_class"), "official_class": C.export_class(C.official_class(text("manual_class"), text("final_model_class"), text("classification_label")), with_ehfo),
+        "manual_review_status": F.coalesce(text("manual_review_status"), F.lit("unreviewed")), "start_sample": have("start_sample", "long"), "end_sample": have("end_sample", "long"), "peak_time_s": number("peak_time_s"),
+        "band_label": text("band_label"), "low_freq_hz": number("low_freq_hz"), "high_freq_hz": number("high_freq_hz"), "effective_high_freq_hz": known(effective_high_hz), "input_sampling_frequency_hz": known(input_fs),
+        "detection_sampling_frequency_hz": known(detection_fs), "legacy_artifact_score": number("artifact_score"), "legacy_spike_score": number("spike_score"), "legacy_hfo_score": number("hfo_score"),
+        "legacy_classification_label": text("classification_label"), "error": text("error"),
+    }
+    return events.select(*(cols[c].alias(c) for c in HFO_EVENTS))
+
+
+def hfo_channel_table(channels: DataFrame, table: DataFrame, minutes: float, with_ehfo: bool) -> DataFrame:
+    """The written channel summary of an event table (hfo_event_table): channels without events too; deleted events count only as such (SNK05)."""
+    n = lambda *classes: F.count_if(F.col("official_class").isin(*classes))
+    counted = table.groupBy("channel").agg(
+        F.count_if(F.col("official_class") != "deleted").alias("candidate_count"), n("HFO", "spike-HFO", "eHFO", "spike-eHFO").alias("accepted_hfo_count"), n("HFO").alias("non_spike_hfo_count"), n("spike-HFO").alias("spike_hfo_count"),
+        n("eHFO").alias("ehfo_count"), n("spike-eHFO").alias("spike_ehfo_count"), n("artifact").alias("artifact_count"), n("deleted").alias("deleted_event_count"), F.count_if(F.col("boundary_warning") & (F.col("official_class") != "deleted")).alias("boundary_event_count"),
+    )
+    out = channels.select("channel").distinct().join(counted, "channel", "left").na.fill(0)
+    rate = lambda c: ((F.col(c) / minutes) if minutes > 0 else F.lit(0.0)).cast("double")
+    rates = {f"{c}_rate_per_min": rate(f"{c}_count") for c in ("candidate", "accepted_hfo", "non_spike_hfo", "spike_hfo", "ehfo", "spike_ehfo")}
+    out = out.withColumns(rates | {"artifact_percentage": F.when(F.col("candidate_count") > 0, 100.0 * F.col("artifact_count") / F.col("candidate_count")).otherwise(0.0)})
+    return out.select(*(c for c in HFO_SUMMARY if with_ehfo or "ehfo" not in c))
+
+
+def export_hfo_folder(spark: SparkSession, folder: str, channels: DataFrame, events: DataFrame, document: str) -> None:
+    """Summary, events, metadata and description of a run's oscillations, from its events and its metadata document."""
+    row = spark.createDataFrame([(document,)], "d string")
+    value = lambda name: F.try_variant_get(F.try_parse_json(metadata.finite_json(F.col("d"))), f"$.{name}", "double")
+    facts = row.select(F.lower(F.trim(F.get_json_object(metadata.finite_json(F.col("d")), "$.detector_version"))).alias("route"), metadata.analysis_minutes(F.col("d")).alias("minutes"), *(value(n).alias(n) for n in ("effective_high_freq_hz", "input_fs", "detection_fs"))).collect()[0]
+    with_ehfo = facts.route == "ehfo"
+    table = hfo_event_table(events, with_ehfo, facts.effective_high_freq_hz, facts.input_fs, facts.detection_fs)
+    results.write_csv(table, f"{folder}/{FILES['hfo'][0]}")
+    results.write_csv(hfo_channel_table(channels, table, facts.minutes, with_ehfo), f"{folder}/{FILES['hfo'][1]}")
+    metadata.write_folder_text(spark, folder, "hfo", document)

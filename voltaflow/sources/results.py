@@ -12,7 +12,6 @@ from ..functions import mathx as X
 
 SEGMENT_SCHEMA = "edf_full_path string, edf_relative_path string, baseline_start_sec string, baseline_end_sec string, ictal_start_sec string, ictal_end_sec string, usable_for_EI string, segment_status string, subject string, run string, qc_note string, duration_sec string, seizure_onset_relative_sec string, seizure_offset_relative_sec string, seizure_duration_sec string"
 REQUIRED = ("baseline_start_sec", "baseline_end_sec", "ictal_start_sec", "ictal_end_sec")
-HFO_COLUMNS = "event_id channel start_time_s end_time_s duration_ms detector boundary_warning real_hfo_probability artifact_probability spike_hfo_probability final_model_class manual_class official_class manual_review_status start_sample end_sample peak_time_s low_freq_hz high_freq_hz error".split()
 PROJECT_FORMAT, PROJECT_VERSION = "voltaflow-project", 8
 
 
