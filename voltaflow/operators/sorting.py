@@ -20,6 +20,41 @@ def top_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(max(1, n))
 
 
+#: Orders of a heatmap's rows: a mode's column, and whether the greatest comes first; any other mode is the recording's order.
+HEATMAP_MODES = {"ei_score": ("ei", True), "recruitment_delay": ("delay", False), "peak_hfer": ("peak", True), "mean_hfer": ("mean", True), "channel_name": ("lower(channel)", False)}
+
+
+def heatmap_order(mode: str) -> list[Column]:
+    """Order of rows (channel, ord, ei, delay, peak, mean) in a mode; ties and what has no value keep the recording's order (SRT05)."""
+    if mode not in HEATMAP_MODES:
+        return [F.col("ord")]
+    name, down = HEATMAP_MODES[mode]
+    value = F.expr(name)
+    return [value.desc_nulls_last() if down else value.asc_nulls_last(), F.col("ord")]
+
+
+#: Columns by which a summary is sorted: whether the first click puts the greatest first, and whether a missing value counts as the least (else the greatest).
+SUMMARY_COLUMNS = {"ei": (True, True), "rank": (False, False), "hfer": (True, True), "power": (False, True), "delay": (False, False)}
+
+
+def summary_order(column: str, clicks: int = 1, display: str = "ord", name: str = "channel") -> list[Column]:
+    """Order of a summary after so many clicks on a column; each click on it turns it round, on the channel it goes between display order and name (SRT04)."""
+    if column == name:
+        return [F.col(display)] if clicks % 2 == 0 else [F.lower(name), F.col(display)]
+    down, least = SUMMARY_COLUMNS.get(column, (False, False))
+    down = down == (clicks % 2 == 1)
+    value = F.col(column)
+    first = least != down  # missing values are the least or the greatest, whichever way the column runs
+    key = (value.desc_nulls_first() if first else value.desc_nulls_last()) if down else (value.asc_nulls_first() if first else value.asc_nulls_last())
+    return [key, F.col(display)]
+
+
+def review_order(by_time: bool) -> list[Column]:
+    """Order of reviewed events (channel, start, num): by time, or by channel; numbers compare as text (SRT07)."""
+    num = F.col("num").cast("string")
+    return [F.col("start"), F.col("channel"), num] if by_time else [F.col("channel"), F.col("start"), num]
+
+
 def placed(df: DataFrame, order: list[Column], span: Column) -> DataFrame:
     """Every row with its place (from 0) in a whole order (SRT02-SRT04, SRT07, SRT10).
 

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import classes as C
 from ..operators import blocks as B
+from ..operators import batch
 from ..operators import events as E
 from ..operators import montage as M
 from ..operators import summaries as S
@@ -339,10 +340,13 @@ def jon13(spark, sf):
 
 
 def jon14(spark, sf):
-    c = A.table(spark, sf, "customer").select(F.col("c_custkey").alias("row"), F.concat(F.lit("sub-"), (F.col("c_custkey") % 50).cast("string")).alias("subject"))
+    """Customers as segments of subjects, some of whom are excluded: what the batch makes of them."""
+    k, s = F.col("c_custkey"), F.concat(F.lit("sub-"), (F.col("c_custkey") % 50).cast("string"))
+    edge = lambda v: F.lit(v).alias
+    raw = A.table(spark, sf, "customer").select(k.alias("row"), s.alias("subject"), F.concat(F.lit("r"), (k % 3).cast("string")).alias("edf_relative_path"), F.lit("ok").alias("segment_status"), edge("0")("baseline_start_sec"), edge("1")("baseline_end_sec"), edge("1")("ictal_start_sec"), edge("2")("ictal_end_sec"))
     reasons = A.table(spark, sf, "nation").select(F.concat(F.lit("sub-"), F.col("n_nationkey").cast("string")).alias("patient_id"), F.col("n_name").alias("reason"))
-    out = c.join(reasons, c.subject == reasons.patient_id, "left")
-    return out.select("row", "subject", F.when(F.col("reason").isNotNull(), "skipped").otherwise("ok").alias("status"), "reason")
+    recordings = A.table(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("path"), F.lit(100.0).alias("native_fs"), F.lit(100.0).alias("fs"), F.lit(500).cast("long").alias("n_samples")).where("path <> 'r1'")
+    return batch.assess(raw, reasons, recordings).select("row", "subject", "status", "reason")
 
 
 def jon15(spark, sf):
@@ -479,7 +483,7 @@ QUERIES = {
     "jon01_bipolar": (jon01, f"WITH {LSIG_KEPT}, p AS (SELECT * FROM (VALUES ('0-1', 0, 1), ('1-2', 1, 2), ('2-99', 2, 99)) v(name, ch1, ch2)), a AS MATERIALIZED (SELECT name, sample, x FROM long_signal JOIN p ON channel = ch1), b AS MATERIALIZED (SELECT name, sample, x FROM long_signal JOIN p ON channel = ch2) SELECT name, sample, a.x - b.x AS x FROM a JOIN b USING (name, sample)"),
     "jon02_common_average": (jon02("mean"), jon02_sql("avg")),
     "jon02_common_median": (jon02("median"), jon02_sql("median")),
-    "jon03_single_reference": (jon03, f"WITH {LSIG_KEPT}, r AS MATERIALIZED (SELECT sample, x FROM long_signal WHERE channel = 5) SELECT s.channel, sample, s.x - r.x AS x FROM long_signal s JOIN r USING (sample)"),
+    "jon03_single_reference": (jon03, f"WITH {LSIG}, r AS (SELECT *, max(CASE WHEN channel = 5 THEN x END) OVER (PARTITION BY sample) AS ref FROM long_signal) SELECT channel, sample, x - ref AS x FROM r WHERE ref IS NOT NULL"),
     "jon04_bad_segment_mask": (jon04, JON04),
     "jon05_group_notch": (jon05, f"WITH {GROUPS} SELECT s_suppkey AS channel, coalesce(grp, 'macro') AS grp, '50 Hz + harmonics' AS notch FROM supplier LEFT JOIN groups ON channel = s_suppkey"),
     "jon06_psd_group": (jon06, f"WITH {GROUPS} SELECT s_suppkey AS ch1, s_suppkey + 1 AS ch2, CASE WHEN a.grp = 'micro' AND b.grp = 'micro' THEN 'micro' ELSE 'macro' END AS grp_both, coalesce(a.grp, 'macro') AS grp_first FROM supplier LEFT JOIN groups a ON a.channel = s_suppkey LEFT JOIN groups b ON b.channel = s_suppkey + 1"),
@@ -490,7 +494,7 @@ QUERIES = {
     "jon11_review_match": (jon11, JON11),
     "jon12_missing_channels": (jon12, "SELECT n_nationkey AS channel, n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_nationkey % 4 <> 1)"),
     "jon13_left_default": (jon13, "SELECT c_custkey AS channel, round(coalesce(s, 0.0), 2) AS score FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS s FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON o_custkey = c_custkey"),
-    "jon14_exclusion": (jon14, "SELECT c_custkey AS row, 'sub-' || (c_custkey % 50) AS subject, CASE WHEN n_name IS NOT NULL THEN 'skipped' ELSE 'ok' END AS status, n_name AS reason FROM customer LEFT JOIN nation ON n_nationkey = c_custkey % 50"),
+    "jon14_exclusion": (jon14, "SELECT c_custkey AS row, 'sub-' || (c_custkey % 50) AS subject, CASE WHEN n_name IS NOT NULL THEN 'skipped' WHEN c_custkey % 3 = 1 THEN 'error' ELSE 'ready' END AS status, coalesce('patient excluded from the index | ' || n_name, CASE WHEN c_custkey % 3 = 1 THEN 'missing recording: r1' ELSE '' END) AS reason FROM customer LEFT JOIN nation ON n_nationkey = c_custkey % 50"),
     "jon15_chunk_assign": (jon15, JON15),
     "agg02_hfo_summary": (agg02, AGG02),
     "agg03_gamma_summary": (agg03, AGG03),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import classes as C
 from ..functions import labels as L
@@ -307,14 +308,31 @@ def srt01(spark, sf):
     return O.placed(o, [F.col("channel"), F.col("start"), F.col("end"), F.col("detector"), F.col("event_id")], F.struct("channel", F.floor(F.col("start") / 60_000)))
 
 
+SUMMARY_CLICKS = (("power", 1), ("power", 2), ("delay", 1), ("delay", 2), ("ei", 1), ("rank", 2), ("channel", 1), ("channel", 2))
+
+
 def srt04(spark, sf):
-    s = A.spikes(spark, sf).withColumn("power", C.finite(F.col("power")))
-    return O.placed(s.select("event_id", "power"), [F.col("power").asc_nulls_first(), F.col("event_id")], F.floor("power"))
+    """Suppliers as a summary's rows: places of all of them after several clicks."""
+    k = F.col("s_suppkey")
+    rows = A.table(spark, sf, "supplier").select("s_name", (k % 7).alias("parity"), k)
+    rows = rows.select(k.alias("ord"), F.when(F.col("parity") == 0, F.lower("s_name")).otherwise(F.col("s_name")).alias("channel"), F.when(k % 5 != 0, k * 37 % 101).alias("power"), F.when(k % 4 != 0, k * 53 % 97).alias("delay"), (k * 11 % 13).alias("ei"), (k * 29 % 31).alias("rank"))
+    out = None
+    for c, n in SUMMARY_CLICKS:
+        w = Window.partitionBy("sorted_by").orderBy(*O.summary_order(c, n))  # a summary has a row a channel
+        part = rows.withColumn("sorted_by", F.lit(f"{c} {n}")).select("sorted_by", "ord", F.row_number().over(w).cast("long").alias("place"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def srt05(spark, sf):
-    s = A.signal(spark, sf).groupBy("channel").agg(F.max("x").alias("peak"))
-    return O.top_rows(s, [F.desc("peak"), F.col("channel")], 3)
+    """The first three rows of a heatmap in each of its six orders."""
+    s = A.signal(spark, sf).groupBy("channel").agg(F.max("x").alias("peak"), F.avg("x").alias("mean"), F.count("*").alias("n"))
+    rows = s.withColumns({"ord": F.length("channel") * 100 + F.ascii("channel"), "ei": F.col("n") % 97, "delay": F.col("n") % 89})
+    out = None
+    for mode in (*O.HEATMAP_MODES, "original"):
+        part = O.top_rows(rows, O.heatmap_order(mode), 3).select(F.lit(mode).alias("mode"), "channel", F.round("peak", 6).alias("peak"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def srt06(spark, sf):
@@ -322,8 +340,10 @@ def srt06(spark, sf):
 
 
 def srt07(spark, sf):
-    d = A.detections(spark, sf).select("channel", F.col("ord").cast("string").alias("num"))
-    return O.placed(d, [F.col("channel"), F.col("num")], F.struct("channel", F.substring("num", 1, 3)))
+    """Every event's place by time and by channel."""
+    d = A.detections(spark, sf).select("channel", F.floor("t").alias("start"), F.col("ord").cast("string").alias("num"))
+    by_time = O.placed(d, O.review_order(True), F.floor(F.col("start") / 3600)).withColumnRenamed("place", "by_time")
+    return O.placed(by_time, O.review_order(False), F.struct("channel", F.floor(F.col("start") / 86400))).withColumnRenamed("place", "by_channel")
 
 
 def srt08(spark, sf):
@@ -434,6 +454,16 @@ def agg12(spark, sf):
     return batch.tally(log)
 
 
+SRT04 = """WITH s AS (SELECT s_suppkey AS ord, CASE WHEN s_suppkey % 7 = 0 THEN lower(s_name) ELSE s_name END AS channel, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey * 37 % 101 END AS power, CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey * 53 % 97 END AS delay, s_suppkey * 11 % 13 AS ei, s_suppkey * 29 % 31 AS rank FROM supplier)
+SELECT 'power 1' AS sorted_by, ord, row_number() OVER (ORDER BY power NULLS FIRST, ord) AS place FROM s UNION ALL SELECT 'power 2', ord, row_number() OVER (ORDER BY power DESC NULLS LAST, ord) FROM s
+UNION ALL SELECT 'delay 1', ord, row_number() OVER (ORDER BY delay NULLS LAST, ord) FROM s UNION ALL SELECT 'delay 2', ord, row_number() OVER (ORDER BY delay DESC NULLS FIRST, ord) FROM s
+UNION ALL SELECT 'ei 1', ord, row_number() OVER (ORDER BY ei DESC, ord) FROM s UNION ALL SELECT 'rank 2', ord, row_number() OVER (ORDER BY rank DESC, ord) FROM s
+UNION ALL SELECT 'channel 1', ord, row_number() OVER (ORDER BY lower(channel), ord) FROM s UNION ALL SELECT 'channel 2', ord, row_number() OVER (ORDER BY ord) FROM s"""
+SRT05 = f"""WITH {SIG}, c AS (SELECT channel, max(x) AS peak, avg(x) AS mean, count(*) AS n, length(channel) * 100 + ascii(channel) AS ord FROM signal GROUP BY channel),
+r AS (SELECT unnest(['ei_score', 'recruitment_delay', 'peak_hfer', 'mean_hfer', 'channel_name', 'original']) AS mode, unnest([
+  row_number() OVER (ORDER BY n % 97 DESC, ord), row_number() OVER (ORDER BY n % 89, ord), row_number() OVER (ORDER BY peak DESC, ord), row_number() OVER (ORDER BY mean DESC, ord), row_number() OVER (ORDER BY lower(channel), ord), row_number() OVER (ORDER BY ord)]) AS place, channel, peak FROM c)
+SELECT mode, channel, round(peak, 6) AS peak FROM r WHERE place <= 3"""
+
 QUERIES = {
     "agg12_batch_tallies": (agg12, "SELECT CASE o_orderkey % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'skipped' ELSE 'error' END AS status, count(*) AS n_rows, CAST(sum(CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 4 ELSE 0 END) AS BIGINT) AS excluded_channels FROM orders GROUP BY 1"),
     "fil07_central_by_time": (fil07, f"WITH {D}, z AS (SELECT max(t) AS stop FROM detections) SELECT ord, t FROM detections, z WHERE t >= 1704067200.0 AND (t < 1704931200.0 OR (t = stop AND stop <= 1704931200.0))"),
@@ -488,10 +518,10 @@ QUERIES = {
     "snk07_finite": (snk07, f"WITH {SPK} SELECT event_id, CASE WHEN NOT isnan(power) THEN power END AS power FROM spikes"),
     "prs01_settings": (prs01, "SELECT event_id, CAST(event_id AS DOUBLE) AS k1, 10.0::DOUBLE AS low, CAST(event_id % 90 AS DOUBLE) AS high, 3.65::DOUBLE AS k2 FROM events"),
     "srt02_candidate_order": (srt01, f"WITH {OSC} SELECT event_id, lower(channel) AS channel, start, \"end\", detector, row_number() OVER (ORDER BY lower(channel), start, \"end\", detector, event_id) - 1 AS place FROM oscillations"),
-    "srt04_summary_sort": (srt04, f"WITH {SPK} SELECT event_id, CASE WHEN NOT isnan(power) THEN power END AS power, row_number() OVER (ORDER BY CASE WHEN NOT isnan(power) THEN power END NULLS FIRST, event_id) - 1 AS place FROM spikes"),
-    "srt05_heatmap_top": (srt05, f"WITH {SIG} SELECT channel, max(x) AS peak FROM signal GROUP BY channel ORDER BY peak DESC, channel LIMIT 3"),
+    "srt04_summary_sort": (srt04, SRT04),
+    "srt05_heatmap_top": (srt05, SRT05),
     "srt06_grid_paging": (srt06, f"WITH {D}, r AS (SELECT channel, ord, row_number() OVER (PARTITION BY channel ORDER BY t, ord) - 1 AS r FROM detections) SELECT channel, ord, r // 24 AS page, r % 24 AS slot FROM r"),
-    "srt07_review_order": (srt07, f"WITH {D} SELECT channel, CAST(ord AS VARCHAR) AS num, row_number() OVER (ORDER BY channel NULLS FIRST, CAST(ord AS VARCHAR) NULLS FIRST) - 1 AS place FROM detections"),
+    "srt07_review_order": (srt07, f"WITH {D} SELECT channel, CAST(floor(t) AS BIGINT) AS start, CAST(ord AS VARCHAR) AS num, row_number() OVER (ORDER BY floor(t), channel, CAST(ord AS VARCHAR)) - 1 AS by_time, row_number() OVER (ORDER BY channel, floor(t), CAST(ord AS VARCHAR)) - 1 AS by_channel FROM detections"),
     "srt08_display_order": (srt08, "SELECT n_name AS channel, n_nationkey % 4 = 1 AS listed, CAST(CASE WHEN n_nationkey % 4 = 1 THEN 100 - n_nationkey ELSE n_nationkey END AS BIGINT) AS key FROM nation"),
     "srt09_label_order": (srt09, f"WITH {A.CONTACTS} SELECT label, row_number() OVER (ORDER BY {P} IS NULL, {P} NULLS FIRST, {K} NULLS FIRST, label) AS place FROM contacts"),
     "set01_detector_union": (set01, f"WITH {D} SELECT channel, detector, count(*) AS n FROM detections WHERE detector IN ('click', 'view', 'error') GROUP BY ALL"),
