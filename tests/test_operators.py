@@ -134,6 +134,19 @@ def test_streams(spark, tmp_path):
     assert sorted(r.n for r in out.collect()) == [5, 5]
     s = streams.run_to_table(streams.sessions(src, "0 seconds", "5 minutes"), "s1", "append", str(tmp_path / "c2"))
     assert s.count() >= 0
-    keyed = src.select(F.lit("a").alias("channel"), F.col("event_id").alias("ord"), F.unix_micros("ts").alias("us")).select("channel", "ord", (F.col("us") / 1e6).alias("t"))
-    kept = streams.run_to_table(streams.without_bursts(keyed, 100.0), "b1", "append", str(tmp_path / "c3"))
-    assert kept.count() == 9  # the last event waits for its next one
+
+
+def test_bursts_in_a_stream(spark, tmp_path):
+    """Files out of order, a late row, and a channel that is told by another's watermark."""
+    batches = [
+        [("a", 1, 100.0), ("a", 3, 300.0), ("b", 1, 120.0)], [("a", 2, 100.2), ("a", 4, 301.0), ("a", 5, 320.0)], [("b", 2, 900.0)], [("a", 6, 50.0), ("a", 7, 320.5), ("b", 3, 1000.0)], [("b", 4, 5000.0)], [("b", 5, 9000.0)],
+    ]
+    for i, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "channel string, ord long, t double").select("channel", "ord", F.timestamp_micros((F.col("t") * 1000000).cast("long")).alias("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streams.event_stream(spark, str(tmp_path / "in"), "channel string, ord long, ts timestamp")
+    out = streams.run_to_table(streams.without_bursts(stream, 1.0, "1000 seconds"), "bursts", "append", str(tmp_path / "c"))
+    got = {(r.channel, r.ord, r.t) for r in out.collect()}
+    # 1 and 2 of channel a are 0.2 s apart, 5 and 7 half a second; 3 and 4 are just the gap apart
+    assert {("a", 3, 300.0), ("a", 4, 301.0), ("b", 1, 120.0)} <= got and not {o for c, o, _ in got if c == "a"} & {1, 2, 5, 7}
+    assert len(got) == out.count()

@@ -1,6 +1,6 @@
 """Structured Streaming over event tables: an extension, the reference works in batches only.
 
-Windowed counts and sessions use watermarks; burst removal keeps one small state per channel.
+Windowed counts, sessions and burst removal use watermarks; burst removal keeps a channel's events of the watermark's delay.
 """
 
 from __future__ import annotations
@@ -32,26 +32,42 @@ def sessions(events: DataFrame, late: str = "10 minutes", gap: str = "1 hour") -
     return out.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def without_bursts(events: DataFrame, gap_s: float) -> DataFrame:
-    """channel, ord, t of events without a neighbour closer than the gap; rows of a channel come in time order.
+def without_bursts(events: DataFrame, gap_s: float, late: str = "10 minutes") -> DataFrame:
+    """channel, ord, t of events (channel, ord, ts) without a neighbour closer than the gap, whatever order they come in.
 
-    The state is the last event and whether it is in a burst, so it doesn't grow with the stream. An event
-    is told when its next one arrives.
+    An event is told once the watermark has passed it by the gap: nothing that counts can come near it any more. The
+    state is a channel's events of the last watermark delay and gap, and the time of the last one told before them; rows
+    that come behind the watermark don't count, neither as events nor as neighbours. A timer tells a channel's last
+    events when other channels move the watermark on.
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, out = (state.get if state.exists else None), []
-        rows = pd.concat(list(parts)).sort_values(["t", "ord"])
-        for t, ord_ in zip(rows["t"], rows["ord"]):
-            near = last is not None and t - last[0] < gap_s
-            if last is not None and not near and not last[2]:
-                out.append((key[0], int(last[1]), float(last[0])))
-            last = (float(t), int(ord_), bool(near))
-        state.update(last)
+        before, times, ords = state.get if state.exists else (None, [], [])
+        mark = state.getCurrentWatermarkMs() / 1000.0
+        waiting = list(zip(times, ords))
+        for rows in parts:
+            seconds = rows["ts"].to_numpy("datetime64[us]").astype("int64") / 1e6
+            waiting += [(float(t), int(o)) for t, o in zip(seconds, rows["ord"]) if t >= mark]
+        waiting.sort()
+        done = [i for i, (t, _) in enumerate(waiting) if t + gap_s < mark]
+        out = []
+        for i in done:
+            t = waiting[i][0]
+            left = waiting[i - 1][0] if i else before
+            right = waiting[i + 1][0] if i + 1 < len(waiting) else None
+            if (left is None or t - left >= gap_s) and (right is None or right - t >= gap_s):
+                out.append((key[0], waiting[i][1], t))
+        if done:
+            before, waiting = waiting[done[-1]][0], waiting[done[-1] + 1 :]
+        state.update((before, [t for t, _ in waiting], [o for _, o in waiting]))
+        if waiting:
+            state.setTimeoutTimestamp(int(max(mark, waiting[0][0] + gap_s) * 1000) + 1)
         yield pd.DataFrame(out, columns=["channel", "ord", "t"])
 
     kind = dict(events.dtypes)["channel"]
-    return events.groupBy("channel").applyInPandasWithState(run, f"channel {kind}, ord long, t double", "t double, ord long, burst boolean", "append", GroupStateTimeout.NoTimeout)
+    placed = events.select("channel", "ord", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    schema = "before double, times array<double>, ords array<long>"
+    return placed.groupBy("channel").applyInPandasWithState(run, f"channel {kind}, ord long, t double", schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
