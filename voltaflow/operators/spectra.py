@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import kernels as K
 from .blocks import windows_of
 
 #: Samples of a segment at most, and of a channel at least.
@@ -96,3 +97,52 @@ def shown_lists(channels: DataFrame, previous: DataFrame, keys: tuple[str, ...]
     out = out.withColumn("displayed", shown)
     w = Window.partitionBy(*keys, "displayed").orderBy("ordinal", "channel")
     return out.select(*keys, "channel", "ordinal", "displayed", (F.row_number().over(w) - 1).cast("long").alias("place"))
+
+
+def beta_flags(signal: DataFrame, fs: float, beta_hz: float, window_s: float = 20.0, ratio: float = 1.0, low_pass_hz: float = 30.0) -> DataFrame:
+    """channel, window, flag of half-overlapping windows (FIL27): whether the greatest power between beta and 25 Hz is above so many times the median power.
+
+    A window is filtered with zero phase below 30 Hz; its spectrum is the mean of half-overlapping pieces of at most
+    512 samples under a periodic Hann window. Windows of one channel are many groups.
+    """
+    size = int(round(window_s * fs))
+    step = max(1, size - int(round(0.5 * size)))
+    ends = signal.groupBy("channel").agg((F.max("sample") + 1).alias("n"))
+    each = signal.join(ends, "channel").select("channel", "sample", "x", "n", F.explode(windows_of(F.col("sample"), size, step)).alias("window"))
+    whole = each.where(F.col("window") * step + size <= F.col("n")).groupBy("channel", "window").agg(F.array_sort(F.collect_list(F.struct("sample", "x"))).alias("v")).select("channel", "window", F.col("v.x").alias("x"))
+    b, a = K.to_ba(*K.design(4, low_pass_hz, fs, "lowpass"))
+
+    def flagged(x: np.ndarray) -> bool:
+        y = K.filtfilt(b, a, x, 3 * (max(len(a), len(b)) - 1))
+        piece = min(len(y), 512)
+        hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(piece) / piece)
+        parts = np.stack([y[s : s + piece] for s in range(0, len(y) - piece + 1, piece - piece // 2)])
+        p = (np.abs(np.fft.rfft((parts - parts.mean(1, keepdims=True)) * hann, axis=1)) ** 2).mean(0)
+        p[1 : (piece + 1) // 2] *= 2  # one-sided; a common scale changes nothing
+        freqs = np.fft.rfftfreq(piece, 1 / fs)
+        band = (freqs > beta_hz) & (freqs < 25)
+        return bool(band.any() and p[band].max() > np.median(p) * ratio)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags = [flagged(np.asarray(x.values, float)) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(flags, pa.bool_())], names=["channel", "window", "flag"])
+
+    return whole.mapInArrow(run, f"channel {dict(signal.dtypes)['channel']}, window long, flag boolean")
+
+
+def beta_mask(signal: DataFrame, fs: float, beta_hz: float = float("inf"), window_s: float = 20.0, ratio: float = 1.0) -> DataFrame:
+    """signal (channel, sample, x) with `beta`: the flag of the window whose start is nearest, the earlier one on ties; off without a finite beta.
+
+    Samples behind the last window's start have its flag; a channel without a whole window has none.
+    """
+    if beta_hz == float("inf"):
+        return signal.withColumn("beta", F.lit(False))
+    size = int(round(window_s * fs))
+    step = max(1, size - int(round(0.5 * size)))
+    flags = beta_flags(signal, fs, beta_hz, window_s, ratio)
+    ends = signal.groupBy("channel").agg((F.max("sample") + 1).alias("_n"))
+    last = F.floor((F.col("_n") - size) / step)
+    near = F.greatest(F.lit(0), F.least(F.ceil(F.col("sample") / step - 0.5), last)).cast("long")
+    placed = signal.join(ends, "channel").withColumn("window", near)
+    return placed.join(flags, ["channel", "window"], "left").select(*signal.columns, F.coalesce("flag", F.lit(False)).alias("beta"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from .. import runs
-from ..operators import validation
+from ..operators import inference, spectra, validation
 from ..operators import windows as W
 from ..sources import states, storage
 from . import adapters as A
@@ -77,6 +78,27 @@ SELECT k AS p_partkey, CASE WHEN low <= 0 OR high <= low THEN 'band edges must r
   WHEN hil AND k % 11 = 0 THEN 'hilbert sd_threshold must be positive' WHEN hil AND k % 60 = 0 THEN 'hilbert min_window_s must be positive' WHEN a <= 0 THEN 'the interval must be positive' WHEN k % 31 / 1000.0 >= a THEN 'the least duration isn''t shorter than the interval'
   WHEN (k % 37 + 20) / 1000.0 >= a THEN 'the greatest duration isn''t shorter than the interval' WHEN 2 * (k % 41 - 1) >= a THEN 'the padding leaves nothing of the interval' WHEN two AND 1.0 >= a THEN 'ste min_window_s isn''t shorter than the interval' WHEN hil AND k % 60 >= a THEN 'hilbert min_window_s isn''t shorter than the interval' END AS problem FROM p"""
 
+def fil27(spark, sf):
+    """Where the power between 12 and 25 Hz stands out, in windows of two seconds."""
+    return spectra.beta_mask(A.long_signal(spark, sf), A.FS, 12.0, 2.0, 3.0).select("channel", "sample", "beta")
+
+
+def order_model():
+    """A model for a test of the hook: mean, greatest value and length of an order's quantities."""
+    return lambda x: {"keep": x.mean(1) / 50, "spike": x.max(1) / 50, "ehfo": np.full(len(x), x.shape[1] / 7)}
+
+
+def dsp26(spark, sf):
+    """Orders with their quantities as features; orders without lines aren't scored, but told."""
+    li = A.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("event_id")).agg(F.array_sort(F.collect_list("l_quantity")).alias("waveform"))
+    found = inference.scored(li, order_model)
+    out = inference.complete(A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("event_id")), found)
+    return out.select("event_id", *(F.round(c, 6).alias(c) for c in inference.SCORES), "status")
+
+
+DSP26 = """SELECT o_orderkey AS event_id, round(avg(l_quantity) / 50, 6) AS keep, round(max(l_quantity) / 50, 6) AS spike, round(nullif(count(l_quantity), 0) / 7, 6) AS ehfo, CASE WHEN count(l_quantity) > 0 THEN 'ok' ELSE 'not scored' END AS status
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey"""
+
 COUNTED = " UNION ALL ".join(f"SELECT 'tables' AS file_path, '{A.FS}' AS sfreq, '{t}' AS step, 'rows=' || count(*) AS notes, true AS timed FROM {t}" for t in ("orders", "lineitem", "events"))
 
 QUERIES = {
@@ -84,4 +106,6 @@ QUERIES = {
     "snk12_performance_log": (snk12, COUNTED),
     "stm04_cached_views": (stm04, STM04),
     "fil21_hfo_validation": (fil21, FIL21),
+    "fil27_beta_mask": (fil27, None),
+    "dsp26_model_scores": (dsp26, DSP26),
 }
