@@ -312,6 +312,11 @@ SUMMARY_CLICKS = (("power", 1), ("power", 2), ("delay", 1), ("delay", 2), ("ei",
 
 
 def srt04(spark, sf):
+    s = A.spikes(spark, sf).withColumn("power", C.finite(F.col("power")))
+    return O.placed(s.select("event_id", "power"), [F.col("power").asc_nulls_first(), F.col("event_id")], F.floor("power"))
+
+
+def srt04_clicks(spark, sf):
     """Suppliers as a summary's rows: places of all of them after several clicks."""
     k = F.col("s_suppkey")
     rows = A.table(spark, sf, "supplier").select("s_name", (k % 7).alias("parity"), k)
@@ -518,7 +523,8 @@ QUERIES = {
     "snk07_finite": (snk07, f"WITH {SPK} SELECT event_id, CASE WHEN NOT isnan(power) THEN power END AS power FROM spikes"),
     "prs01_settings": (prs01, "SELECT event_id, CAST(event_id AS DOUBLE) AS k1, 10.0::DOUBLE AS low, CAST(event_id % 90 AS DOUBLE) AS high, 3.65::DOUBLE AS k2 FROM events"),
     "srt02_candidate_order": (srt01, f"WITH {OSC} SELECT event_id, lower(channel) AS channel, start, \"end\", detector, row_number() OVER (ORDER BY lower(channel), start, \"end\", detector, event_id) - 1 AS place FROM oscillations"),
-    "srt04_summary_sort": (srt04, SRT04),
+    "srt04_summary_sort": (srt04, f"WITH {SPK} SELECT event_id, CASE WHEN NOT isnan(power) THEN power END AS power, row_number() OVER (ORDER BY CASE WHEN NOT isnan(power) THEN power END NULLS FIRST, event_id) - 1 AS place FROM spikes"),
+    "srt04_summary_clicks": (srt04_clicks, SRT04),
     "srt05_heatmap_top": (srt05, SRT05),
     "srt06_grid_paging": (srt06, f"WITH {D}, r AS (SELECT channel, ord, row_number() OVER (PARTITION BY channel ORDER BY t, ord) - 1 AS r FROM detections) SELECT channel, ord, r // 24 AS page, r % 24 AS slot FROM r"),
     "srt07_review_order": (srt07, f"WITH {D} SELECT channel, CAST(floor(t) AS BIGINT) AS start, CAST(ord AS VARCHAR) AS num, row_number() OVER (ORDER BY floor(t), channel, CAST(ord AS VARCHAR)) - 1 AS by_time, row_number() OVER (ORDER BY channel, floor(t), CAST(ord AS VARCHAR)) - 1 AS by_channel FROM detections"),
