@@ -6,10 +6,12 @@ value, where a value is a chain of literals and of names; names known from earli
 for their literals, so constants are carried to the names they end up in. A literal is scored by the
 most sensitive name it reaches and by its own look; high scores add `named` spans at the literal.
 
-A pair's value is never built: the spelling of a chain (length and shares of its characters) is added up
-from its parts', and scores go back from names to literals once, so work grows with the text, however
-constants are chained. A name is a word of at most 128 characters right before its sign (quotes, a bracket
-and blanks may stand between); a value ends where no joint follows.
+A pair's value is never built: the spelling of a chain (length, kinds and shares of its characters, those
+beyond ASCII in 128 classes) is added up from its parts', for chains that a sensitive name is given and
+what they are made of, and is dropped behind its last use. Scores go back from names to literals once. So
+work and memory grow with the text, however constants are chained. A name is the word right before its sign
+(quotes, a bracket and blanks may stand between), of any length; a value ends where no joint follows. A
+literal that is a placeholder (of any length) has no strength, nor has a chain of placeholders only.
 
 Defined results: null text counts as empty; a document without secrets has zeros and empty strings;
 long texts are scanned whole; repeated rows give repeated results; other columns aren't read.
@@ -36,13 +38,13 @@ KINDS = ("assign", "access", "hex", "named")
 ASSIGN_MIN = 12
 
 OPERATOR = re.compile(r"[:=]")
-NAME_BEFORE = re.compile(r"""(?:^|[^\w$.\-])["'\[]?([A-Za-z_$][\w$.\-]{0,127})["']?\]?[ \t]*:?$""")
-REACH = 160
 STRING = re.compile(r"""[rbfuRBFU]{0,2}(?:'((?:[^'\\\n]|\\.)*)'|"((?:[^"\\\n]|\\.)*)"|`((?:[^`\\]|\\.)*)`)""")
 REFERENCE = re.compile(r"\$\{([A-Za-z_]\w*)\}|\$?([A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)*)(?=[ \t]*(?:[+.;,)\]}\n]|\|\||$))")
 BARE = re.compile(r"""[^\s"'`,;()\[\]{}<>]+""")
-#: A type between a name's colon and the sign before its literal.
-TYPE = re.compile(r"""[ \t]*(?:&[ \t]*(?:'\w+[ \t]+)?)?[A-Za-z_][\w.:]*(?:\[[^\]\n]{0,64}\]|<[^>\n]{0,64}>)?[?!]?(?:[ \t]*\|[ \t]*[A-Za-z_]\w*){0,4}[ \t]*=[ \t]*(?=[rbfuRBFU]{0,2}["'`])""")
+#: A type between a name's colon and the sign before its literal: its front, its word, what follows its brackets.
+TYPE_FRONT = re.compile(r"""[ \t]*(?:&[ \t]*(?:'\w+[ \t]+)?)?(?=[A-Za-z_])""")
+TYPE_WORD = re.compile(r"[\w.:]+")
+TYPE_BACK = re.compile(r"""[?!]?(?:[ \t]*\|[ \t]*[A-Za-z_]\w*)*[ \t]*=[ \t]*(?=[rbfuRBFU]{0,2}["'`])""")
 JOINER = re.compile(r"[ \t]*(?:\+|\.\.|&|\|\||\bor\b)[ \t]*\n?[ \t]*")
 
 #: Parts of names and how sensitive they are.
@@ -65,22 +67,26 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 class Spelling:
-    """What strength() needs of a value: its length (a float, so that sums never overflow), shares of its characters, and the value itself where it is short.
+    """What strength() needs of a value: its length (a float, so that sums never overflow), kinds of its characters, shares of their classes, and whether it is made of placeholders only.
 
-    Two spellings make that of their concatenation in the size of the alphabet, however long the values are.
+    Two spellings make that of their concatenation in the number of classes, however long the values are.
     """
 
-    __slots__ = ("size", "shares", "value")
-    SHORT = 256
+    __slots__ = ("size", "shares", "kinds", "placeholder")
 
     def __init__(self, value: str) -> None:
-        self.size, self.value = float(len(value)), value if len(value) <= self.SHORT else None
-        self.shares = {c: k / len(value) for c, k in Counter(value).items()}
+        counts = Counter(value)
+        self.size, self.placeholder = float(len(value)), PLACEHOLDER.match(value) is not None
+        self.kinds = frozenset(map(kind_of, counts))
+        self.shares: dict[int, float] = {}
+        for c, k in counts.items():
+            at = ord(c) if ord(c) < 128 else 128 + ord(c) % 128
+            self.shares[at] = self.shares.get(at, 0.0) + k / len(value)
 
     def __add__(self, other: "Spelling") -> "Spelling":
         out = Spelling.__new__(Spelling)
         out.size = min(self.size + other.size, 1e300)
-        out.value = None if self.value is None or other.value is None or out.size > self.SHORT else self.value + other.value
+        out.kinds, out.placeholder = self.kinds | other.kinds, self.placeholder and other.placeholder
         out.shares = {}
         for part in (self, other):
             for c, share in part.shares.items():
@@ -88,6 +94,10 @@ class Spelling:
         return out
 
 
+def kind_of(c: str) -> str:
+    return "space" if c.isspace() else "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "letter" if c.isalnum() else "sign"
+
+
 def entropy(shares) -> float:
     return -sum(p * math.log2(p) for p in shares if p > 0)
 
@@ -101,61 +111,101 @@ def sensitivity(name: str) -> float:
 def strength(value: "str | Spelling") -> float:
     """0 for placeholders and plain words, up to 1 for long strings of many kinds of characters."""
     x = value if isinstance(value, Spelling) else Spelling(value)
-    if x.size < 6 or len(x.shares) < 2 or (x.value is not None and PLACEHOLDER.match(x.value)) or any(c.isspace() for c in x.shares):
+    if x.size < 6 or len(x.shares) < 2 or x.placeholder or "space" in x.kinds:
         return 0.0
-    kinds = sum(any(map(f, x.shares)) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return min(1.0, 0.2 * kinds + 0.1 * entropy(x.shares.values()) + 0.01 * min(x.size, 40))
+    return min(1.0, 0.2 * len(x.kinds - {"letter"}) + 0.1 * entropy(x.shares.values()) + 0.01 * min(x.size, 40))
 
 
 class Pair:
-    """A name and its value: literals of its own, references to earlier pairs, and the spelling of all of it."""
+    """A name and its value: parts in order, literals (start, end, value) and earlier pairs, and how many literals that makes in all."""
 
-    __slots__ = ("name", "literals", "references", "count", "spelling")
+    __slots__ = ("name", "parts", "count")
 
     def __init__(self, name: str) -> None:
-        self.name, self.literals, self.references, self.count, self.spelling = name, [], [], 0.0, None
-
-    def literal(self, start: int, end: int, value: str) -> None:
-        self.literals.append((start, end, value))
-        self._join(1.0, Spelling(value) if value else None)
-
-    def reference(self, other: "Pair") -> None:
-        if not self.references or self.references[-1] is not other:
-            self.references.append(other)
-        self._join(other.count, other.spelling)
-
-    def _join(self, count: float, spelling: Spelling | None) -> None:
-        self.count = min(self.count + count, 1e300)
-        if spelling is not None:
-            self.spelling = spelling if self.spelling is None else self.spelling + spelling
+        self.name, self.parts, self.count = name, [], 0.0
+
+    def add(self, part: "tuple[int, int, str] | Pair") -> None:
+        self.parts.append(part)
+        self.count = min(self.count + (part.count if isinstance(part, Pair) else 1.0), 1e300)
+
+    def references(self) -> "list[Pair]":
+        return [p for p in self.parts if isinstance(p, Pair)]
+
+
+def name_before(text: str, i: int) -> str | None:
+    """The name that ends right before the sign at i; the sign's colon, blanks, a bracket and a quote may stand between."""
+    j = i - 1 if i and text[i - 1] == ":" else i
+    while j and text[j - 1] in " \t":
+        j -= 1
+    if j and text[j - 1] == "]":
+        j -= 1
+    if j and text[j - 1] in "\"'":
+        j -= 1
+    k = j
+    while k and ((c := text[k - 1]).isalnum() or c in "_$.-"):
+        k -= 1
+    return text[k:j] if k < j and (text[k] in "_$" or (text[k].isascii() and text[k].isalpha())) else None
+
+
+class Types:
+    """Where a type ends that begins behind a colon, if a literal follows it. Ends that were found once are known for all colons before them."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.word, self.ends = text, (0, 0), {}
+
+    def next(self, mark: str, at: int) -> int:
+        """The next place of the mark, the text's end where there is none."""
+        known = self.ends.get(mark, (0, -1))
+        if not known[0] <= at <= known[1]:
+            found = self.text.find(mark, at)
+            self.ends[mark] = known = (at, len(self.text) if found < 0 else found)
+        return known[1]
+
+    def end(self, at: int) -> int | None:
+        front = TYPE_FRONT.match(self.text, at)
+        if not front:
+            return None
+        at = front.end()
+        if not self.word[0] <= at < self.word[1]:
+            self.word = (at, TYPE_WORD.match(self.text, at).end())
+        at = self.word[1]
+        for opened, closed in (("[", "]"), ("<", ">")):
+            if self.text.startswith(opened, at):
+                at = self.next(closed, at)
+                if at == len(self.text) or self.next("\n", self.word[1]) < at:
+                    return None
+                at += 1
+                break
+        back = TYPE_BACK.match(self.text, at)
+        return back.end() if back else None
 
 
 def pairs(text: str) -> list[Pair]:
     """Name-literal pairs in order; a value that names an earlier pair refers to it, so that no literal is copied."""
     known: dict[str, Pair] = {}
-    out, after = [], 0
+    out, after, types = [], 0, Types(text)
     for m in OPERATOR.finditer(text):
         i = m.start()
         if i < after or text[i + 1 : i + 2] in ("=", "~") or text[max(0, i - 1) : i] in ("=", "!", "<", ">", "~", "+", "-", "*") or (text[i] == ":" and text[i + 1 : i + 2] in (":", "/", "=")):
             continue
-        name = NAME_BEFORE.search(text, max(0, i - REACH), i)
+        name = name_before(text, i)
         if not name:
             continue
         at, first = i + 1 + (text[i + 1 : i + 2] == ">"), True
-        pair = Pair(name[1])
-        if text[i] == ":" and (typed := TYPE.match(text, at)):  # the literal goes to the name before its type
-            at = typed.end()
+        pair = Pair(name)
+        if text[i] == ":" and (typed := types.end(at)) is not None:  # the literal goes to the name before its type
+            at = typed
         while at < len(text) and text[at] in " \t":
             at += 1
         while at < len(text):
             if s := STRING.match(text, at):
                 g = s.lastindex
                 if g:
-                    pair.literal(s.start(g), s.end(g), s[g])
+                    pair.add((s.start(g), s.end(g), s[g]))
             elif (s := REFERENCE.match(text, at)) and (ref := (s[1] or s[2])) in known:
-                pair.reference(known[ref])
+                pair.add(known[ref])
             elif first and (s := BARE.match(text, at)):
-                pair.literal(s.start(), s.end(), s[0])
+                pair.add((s.start(), s.end(), s[0]))
             else:
                 break
             at, first = s.end(), False
@@ -171,6 +221,37 @@ def pairs(text: str) -> list[Pair]:
     return out
 
 
+def strengths(found: list[Pair]) -> dict[int, float]:
+    """Strength of the whole value of each pair (by id) of several literals under a sensitive name.
+
+    Spellings are made for these and for what they are made of only, in order, and dropped behind their last use.
+    """
+    wanted = {id(p) for p in found if p.count > 1 and sensitivity(p.name)}
+    needed, last = set(wanted), {}
+    for at in range(len(found) - 1, -1, -1):
+        if id(found[at]) in needed:
+            for other in found[at].references():
+                needed.add(id(other))
+                last.setdefault(id(other), at)
+    out, held = {}, {}
+    for at, pair in enumerate(found):
+        if id(pair) not in needed:
+            continue
+        total = None
+        for part in pair.parts:
+            own = held.get(id(part)) if isinstance(part, Pair) else Spelling(part[2]) if part[2] else None
+            if own is not None:
+                total = own if total is None else total + own
+        for other in pair.references():
+            if last.get(id(other)) == at:
+                held.pop(id(other), None)
+        if id(pair) in last and total is not None:
+            held[id(pair)] = total
+        if id(pair) in wanted and total is not None:
+            out[id(pair)] = strength(total)
+    return out
+
+
 def named_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Literals that reach a sensitive name, unless a base span covers them already.
 
@@ -179,20 +260,23 @@ def named_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
     """
     if "=" not in text and ":" not in text:
         return []
+    found = pairs(text)
+    of_chain = strengths(found)
     best: dict[tuple[int, int], float] = {}
     whole: dict[int, float] = {}
     alone: dict[int, float] = {}
-    for pair in reversed(pairs(text)):
+    for pair in reversed(found):
         of_whole, of_one, weight = whole.pop(id(pair), 0.0), alone.pop(id(pair), 0.0), sensitivity(pair.name)
-        if weight and pair.count > 1 and pair.spelling is not None:
-            of_whole = max(of_whole, weight * 2 * strength(pair.spelling))
+        if weight and id(pair) in of_chain:
+            of_whole = max(of_whole, weight * 2 * of_chain[id(pair)])
         elif weight:
             of_one = max(of_one, weight)
-        for other in pair.references:
-            whole[id(other)] = max(whole.get(id(other), 0.0), of_whole)
-            alone[id(other)] = max(alone.get(id(other), 0.0), of_one)
-        if of_whole or of_one:
-            for start, end, value in pair.literals:
+        for part in pair.parts:
+            if isinstance(part, Pair):
+                whole[id(part)] = max(whole.get(id(part), 0.0), of_whole)
+                alone[id(part)] = max(alone.get(id(part), 0.0), of_one)
+            elif of_whole or of_one:
+                start, end, value = part
                 score = max(of_whole if value else 0.0, of_one * 2 * strength(value) if value and of_one else 0.0)
                 best[start, end] = max(best.get((start, end), 0.0), score)
     out, covered = [], 0
