@@ -15,7 +15,6 @@ from __future__ import annotations
 import html as _html
 import random
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from .common import bounded_batches, map_arrow, table
 #: Pages that the model is fitted on, and passes over them.
 TRAIN_PAGES, TRAIN_STEPS, SEED = 800, 160, 7
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
+TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Elements that hold text up to their end tag only; elements whose content is no text of the page if their end tag closes them; void elements; elements that don't end a block.
@@ -59,6 +58,49 @@ def raw_end(page: str, tag: str, attributes: str, at: int) -> int:
     return end.end() if end else len(page)
 
 
+class Nest:
+    """Open elements from the outermost in, and where those of each tag, those that end a block, and those of SCOPE are."""
+
+    def __init__(self) -> None:
+        self.items: list = []
+        self.tags: list[str] = []
+        self.where: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+
+    def push(self, tag: str, item) -> None:
+        at = len(self.tags)
+        self.tags.append(tag)
+        self.items.append(item)
+        self.where.setdefault(tag, []).append(at)
+        if tag not in INLINE:
+            self.blocks.append(at)
+        if tag in SCOPE:
+            self.scopes.append(at)
+
+    def cut(self, at: int) -> None:
+        """Close everything from there in."""
+        while len(self.tags) > at:
+            self.where[self.tags.pop()].pop()
+            self.items.pop()
+        for marks in (self.blocks, self.scopes):
+            while marks and marks[-1] >= at:
+                marks.pop()
+
+    def innermost(self, *tags: str) -> int:
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=-1)
+
+    def ended_by(self, tag: str) -> int:
+        """The element that an end tag closes, -1 for none: that of an inline element only if no block has begun since."""
+        at = self.innermost(tag)
+        return -1 if tag in INLINE and self.blocks and self.blocks[-1] > at else at
+
+    def in_scope(self, *tags: str) -> int:
+        """The innermost of the tags, -1 if there is none or one of SCOPE lies inside it."""
+        at = self.innermost(*tags)
+        return -1 if self.scopes and self.scopes[-1] > at else at
+
+
 def is_empty(tag: str, attributes: str) -> bool:
     """Self-closed elements of APART: HTML honours the slash in svg only."""
     return tag == "svg" and attributes.rstrip().endswith("/")
@@ -72,9 +114,7 @@ def apart(page: str) -> dict[int, int]:
     ends: dict[int, int] = {}
     if not APART_TAG.search(page):
         return ends
-    stack: list[tuple[str, int]] = []
-    n_open: Counter = Counter()
-    at = 0
+    nest, at = Nest(), 0
     while m := TOKEN.search(page, at):
         at = m.end()
         closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
@@ -85,17 +125,11 @@ def apart(page: str) -> dict[int, int]:
             if tag in RAW:
                 at = raw_end(page, tag, attributes, at)
             elif tag not in VOID and not is_empty(tag, attributes) and (tag in APART or not attributes.endswith("/")):
-                stack.append((tag, at))
-                n_open[tag] += 1
-        elif n_open[tag]:
-            i = len(stack) - 1
-            while stack[i][0] != tag and not (tag in INLINE and stack[i][0] not in INLINE):
-                i -= 1
-            if stack[i][0] == tag:
-                if tag in APART:
-                    ends[stack[i][1]] = at
-                n_open.subtract(t for t, _ in stack[i:])
-                del stack[i:]
+                nest.push(tag, at)
+        elif (i := nest.ended_by(tag)) >= 0:
+            if tag in APART:
+                ends[nest.items[i]] = at
+            nest.cut(i)
     return ends
 
 
@@ -132,8 +166,7 @@ def blocks_of(page: str | None) -> list[tuple[frozenset, str, int]]:
     ends = apart(page)
     out: list[tuple[frozenset, str, int]] = []
     root = Open(None, "", ())
-    stack: list[Open] = []
-    n_open: Counter = Counter()
+    nest = Nest()
     parts: list[str] = []
     links, at, n = 0, 0, len(page)
     block = root
@@ -149,16 +182,15 @@ def blocks_of(page: str | None) -> list[tuple[frozenset, str, int]]:
 
     def pop_to(i: int) -> None:
         nonlocal block
-        n_open.subtract(x.tag for x in stack[i:])
-        del stack[i:]
-        block = stack[-1] if stack else root
+        nest.cut(i)
+        block = nest.items[-1] if nest.items else root
 
     while at < n:
         m = TOKEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
         if text:
             parts.append(text)
-            if stack and stack[-1].link:
+            if nest.items and nest.items[-1].link:
                 links += len(text)
         if not m:
             break
@@ -175,13 +207,8 @@ def blocks_of(page: str | None) -> list[tuple[frozenset, str, int]]:
                 continue
             if tag not in INLINE:
                 flush()
-            if n_open[tag]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].tag == tag:
-                        pop_to(i)
-                        break
-                    if tag in INLINE and stack[i].tag not in INLINE:
-                        break
+            if (i := nest.ended_by(tag)) >= 0:
+                pop_to(i)
             continue
         if tag in RAW or tag in APART:
             at = raw_end(page, tag, attributes, at) if tag in RAW else ends.get(at, at)
@@ -191,26 +218,17 @@ def blocks_of(page: str | None) -> list[tuple[frozenset, str, int]]:
             parts.append(" ")
         if tag not in INLINE:
             flush()
-            if tag in CLOSES_P and n_open["p"]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i].tag == "p":
-                        pop_to(i)
-                        break
-                    if stack[i].tag in SCOPE:
-                        break
-            if tag == "body" and n_open["head"]:
-                pop_to(next(i for i, x in enumerate(stack) if x.tag == "head"))
-            for i in range(len(stack) - 1, -1, -1) if tag in SIBLINGS else ():
-                if stack[i].tag in SIBLINGS[tag]:
-                    pop_to(i)
-                elif stack[i].tag in SCOPE:
-                    break
+            if tag in CLOSES_P and (i := nest.in_scope("p")) >= 0:
+                pop_to(i)
+            if tag == "body" and nest.where.get("head"):
+                pop_to(nest.where["head"][0])
+            while tag in SIBLINGS and (i := nest.in_scope(*SIBLINGS[tag])) >= 0:
+                pop_to(i)
         if tag in VOID or attributes.endswith("/"):
             continue
-        stack.append(Open(stack[-1] if stack else root, tag, class_words(attributes) if tag not in INLINE else ()))
-        n_open[tag] += 1
+        nest.push(tag, Open(nest.items[-1] if nest.items else root, tag, class_words(attributes) if tag not in INLINE else ()))
         if tag not in INLINE:
-            block = stack[-1]
+            block = nest.items[-1]
     flush()
     return out
 
