@@ -43,7 +43,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed = docs.select("doc_id", "text", F.struct(F.lit(True).alias("_"), *(F.col(f"`{c}`") for c in others)).alias("others"))
-    out = substring_dedup.dedup(spark, packed, carry=("others",))
+    out = substring_dedup.dedup(spark, packed, batches=4, carry=("others",), runs=2)
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept")).otherwise(F.col("text")).alias("text")
     column = {"doc_id": F.col("doc_id"), "text": text} | {c: F.col(f"others.`{c}`").alias(c) for c in others}
