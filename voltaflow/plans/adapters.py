@@ -64,9 +64,9 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CONTACTS = "contacts AS (SELECT label, label = 'Brand13' AS is_bad FROM (SELECT DISTINCT replace(p_brand, '#', '') AS label FROM part UNION SELECT DISTINCT p_brand FROM part))"
-CORE = "regexp_replace(regexp_replace(regexp_replace(upper(regexp_replace(trim({0}), '\\s+', ' ', 'g')), '^EEG ', ''), '[-\\s]*G\\d+\\s*$', ''), '\\s+', '', 'g')"
-PREFIX = "nullif(regexp_extract(" + CORE + ", '([A-Z][A-Z0-9'']*?)\\s*0*([0-9]+)', 1), '')"
-CONTACT = "CAST(nullif(regexp_extract(" + CORE + ", '([A-Z][A-Z0-9'']*?)\\s*0*([0-9]+)', 2), '') AS BIGINT)"
+CORE = "regexp_replace(regexp_replace(regexp_replace(upper(regexp_replace(trim({0}), '\\s+', ' ', 'g')), '^EEG ', ''), '(-|\\s)*G[0-9]+\\s*$', ''), '\\s+', '', 'g')"
+PREFIX = "nullif(regexp_extract(" + CORE + ", '([A-Z][A-Z'']*)([0-9]+)', 1), '')"
+CONTACT = "CAST(nullif(regexp_extract(" + CORE + ", '([A-Z][A-Z'']*)([0-9]+)', 2), '') AS BIGINT)"
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:

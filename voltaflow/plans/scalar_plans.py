@@ -170,7 +170,7 @@ def str04(spark, sf):
 
 
 BARE = "regexp_replace(upper(regexp_replace(trim(label), '\\s+', ' ', 'g')), '^EEG ', '')"
-BIPOLAR = f"len(p) = 2 AND len(list_filter(p, lambda q: {A.PREFIX.format('q')} IS NOT NULL)) = 2 AND NOT regexp_matches({BARE}, '[-\\s]*G\\d+\\s*$')"
+BIPOLAR = f"len(p) = 2 AND len(list_filter(p, lambda q: {A.PREFIX.format('q')} IS NOT NULL)) = 2 AND NOT regexp_matches({BARE}, '(-|\\s)*G[0-9]+\\s*$')"
 
 
 def str05(spark, sf):

@@ -40,7 +40,7 @@ def src07(spark, sf):
     path = scratch(spark, "segments")
     results.write_csv(raw, path)
     rows = results.segments(results.read_csv(spark, path))
-    drop = results.exclusions(A.table(spark, sf, "nation").select(F.concat(F.lit("sub-"), F.col("n_nationkey").cast("string")).alias("patient_id"), F.col("n_name").alias("reason")))
+    drop = results.exclusions(A.table(spark, sf, "nation").select(F.concat(F.lit("sub-"), F.col("n_nationkey").cast("string")).alias("patient_id"), F.col("n_name").alias("reason"), "n_nationkey"), F.col("n_nationkey"))
     return results.batch_status(rows, drop).groupBy("status", "subject").agg(F.count("*").alias("n"))
 
 

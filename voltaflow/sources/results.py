@@ -39,13 +39,9 @@ def segments(raw: DataFrame, first: int = 0, last: int | None = None) -> DataFra
     return out
 
 
-def exclusions(raw: DataFrame, order: Column | None = None) -> DataFrame:
-    """patient_id, reason; rows without an id go, the last row of an id counts (SRC08).
-
-    Last by `order`; without one by place in the file, which holds for rows as they are read, not behind a shuffle.
-    """
-    row = F.monotonically_increasing_id() if order is None else order
-    numbered = raw.select(X.blank_to_null(F.col("patient_id")).alias("patient_id"), "reason", row.alias("row"))
+def exclusions(raw: DataFrame, order: Column) -> DataFrame:
+    """patient_id, reason; rows without an id go, the last row of an id by `order` counts (SRC08)."""
+    numbered = raw.select(X.blank_to_null(F.col("patient_id")).alias("patient_id"), "reason", order.alias("row"))
     return numbered.where("patient_id is not null").groupBy("patient_id").agg(F.max_by("reason", "row").alias("reason"))
 
 
