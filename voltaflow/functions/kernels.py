@@ -270,20 +270,25 @@ def stft_power(x: np.ndarray, fs: float, nperseg: int | None = None, hop: int |
 MORSE_GAIN, MORSE_RATE = 0.055219397200513345, 2000.0
 
 
+def _morse_gain(n: int, fs: float, f: float, gamma: float, bandwidth: float) -> np.ndarray:
+    """A wavelet's gains at the positive frequencies of n samples."""
+    omega = 2 * pi * np.fft.fftfreq(n)[1 : (n + 1) // 2]
+    beta = bandwidth / gamma
+    scale = (beta / gamma) ** (1 / gamma) * fs / (2 * pi * f)
+    shape = np.exp(beta * np.log(scale * omega) - (scale * omega) ** gamma)
+    energy = np.sqrt((shape**2).sum())
+    return shape * (np.sqrt(scale * MORSE_RATE / fs) * f * MORSE_GAIN / (energy or 1.0))
+
+
 def morse(x: np.ndarray, fs: float, freqs: np.ndarray, gamma: float = 3.0, bandwidth: float = 60.0) -> np.ndarray:
     """Generalised Morse wavelet transform by FFT (DSP21): unit-energy spectra, times sqrt(scale), frequency and a fixed gain."""
-    beta, n = bandwidth / gamma, len(x)
-    omega = 2 * pi * np.fft.fftfreq(n)
-    pos = np.flatnonzero(omega > 0)
-    spectrum = np.fft.fft(x)
+    n = len(x)
+    spectrum = np.fft.fft(x)[1 : (n + 1) // 2]
     out = np.empty((len(freqs), n), complex)
     for i, f in enumerate(freqs):
-        scale = (beta / gamma) ** (1 / gamma) * fs / (2 * pi * f)
-        shape = np.exp(beta * np.log(scale * omega[pos]) - (scale * omega[pos]) ** gamma)
-        energy = np.sqrt((shape**2).sum())
-        h = np.zeros(n)
-        h[pos] = shape * (np.sqrt(scale * MORSE_RATE / fs) * f * MORSE_GAIN / (energy or 1.0))
-        out[i] = np.fft.ifft(spectrum * h)
+        h = np.zeros(n, complex)
+        h[1 : (n + 1) // 2] = spectrum * _morse_gain(n, fs, f, gamma, bandwidth)
+        out[i] = np.fft.ifft(h)
     return out
 
 
@@ -292,28 +297,25 @@ def morse(x: np.ndarray, fs: float, freqs: np.ndarray, gamma: float = 3.0, bandw
 
 def find_peaks(x: np.ndarray) -> np.ndarray:
     """Strict local maxima; the middle of flat tops (rounded down)."""
-    out, i, n = [], 1, len(x)
-    while i < n - 1:
-        if x[i - 1] < x[i]:
-            j = i
-            while j < n - 1 and x[j + 1] == x[i]:
-                j += 1
-            if j < n - 1 and x[j + 1] < x[i]:
-                out.append((i + j) // 2)
-            i = j
-        i += 1
-    return np.array(out, int)
-
-
-def prominences(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
-    out = np.empty(len(peaks))
-    for k, p in enumerate(peaks):
-        left, right = x[: p + 1], x[p:]
-        higher = np.flatnonzero(left > x[p])
-        a = left[higher[-1] + 1 if len(higher) else 0 :].min()
-        higher = np.flatnonzero(right > x[p])
-        b = right[: higher[0] if len(higher) else len(right)].min()
-        out[k] = x[p] - max(a, b)
+    x = np.asarray(x)
+    starts = np.flatnonzero(x[1:] != x[:-1]) + 1  # of the stretches of equal values behind the first
+    first, behind = starts[:-1], starts[1:]
+    top = (x[first - 1] < x[first]) & (x[behind] < x[first])
+    return (first[top] + behind[top] - 1) // 2
+
+
+def prominences(x: np.ndarray, peaks: np.ndarray, size: int = 1 << 16) -> np.ndarray:
+    """Height of peaks over the higher of the two lowest points towards higher ground; compared in blocks of about `size` values."""
+    out, at = np.empty(len(peaks)), np.arange(len(x))
+    step = max(1, size // max(1, len(x)))
+    for k in range(0, len(peaks), step):
+        p = peaks[k : k + step, None]
+        higher = x > x[p]
+        a = np.where(higher & (at < p), at, -1).max(1, keepdims=True)
+        b = np.where(higher & (at > p), at, len(x)).min(1, keepdims=True)
+        left = np.where((at > a) & (at <= p), x, np.inf).min(1)
+        right = np.where((at >= p) & (at < b), x, np.inf).min(1)
+        out[k : k + step] = x[p[:, 0]] - np.where(right > left, right, left)
     return out
 
 
@@ -557,6 +559,15 @@ def spike_detector(x: np.ndarray, fs: float, **settings) -> np.ndarray:
     return np.clip(np.round(spike_times(x, fs, **settings) * fs).astype(int) - 1, 0, max(0, len(x) - 1))
 
 
+#: Levels of prominence, 0 to 50 by 2.
+LEVELS = np.arange(0, 52, 2)
+
+
+def boundary_reach(fs: float) -> int:
+    """How far from a spike the samples may be that its boundary is read from."""
+    return round(0.3 * fs) + 2 * floor(fs / 200 + 0.5) + 1
+
+
 def spike_boundary(x: np.ndarray, fs: float, at: int) -> tuple[int, int, int] | None:
     """DSP20: P1 (onset), N1 (peak) and N2 (end) of the spike near sample `at`, or None.
 
@@ -579,12 +590,16 @@ def spike_boundary(x: np.ndarray, fs: float, at: int) -> tuple[int, int, int] |
         found = find_peaks(sign * part)
         kinds[sign] = found, prominences(sign * part, found)
     found, depth = kinds[-1 if value > 0 else 1]
+    strong = depth >= LEVELS[:, None]
+    before, behind = found < peak, found > peak
+    nearest = [
+        (int(found[i]) if i >= 0 else None, int(found[j]) if j < len(found) else None)
+        for i, j in zip(np.where(strong & before, np.arange(len(found)), -1).max(1, initial=-1).tolist(), np.where(strong & behind, np.arange(len(found)), len(found)).min(1, initial=len(found)).tolist())
+    ]
     left = right = None
     level, jumps = 20, [50, 40, 30]
     while True:
-        strong = found[depth >= level]
-        before, behind = strong[strong < peak], strong[strong > peak]
-        left, right = (int(before[-1]) if len(before) else None), (int(behind[0]) if len(behind) else None)
+        left, right = nearest[level // 2]
         close = False
         if left is not None and right is not None:
             close = min(right - peak, peak - left) / fs < 0.01
@@ -599,15 +614,25 @@ def spike_boundary(x: np.ndarray, fs: float, at: int) -> tuple[int, int, int] |
     if left is None or right is None:
         return None
     found, depth = kinds[-1 if value < 0 else 1]
+    ends = np.where((depth >= LEVELS[2:, None]) & (found > right), np.arange(len(found)), len(found)).min(1, initial=len(found)).tolist()
     end = None
-    for level in range(4, 52, 2):
-        behind = found[(depth >= level) & (found > right)]
-        end = peak + int(behind[0]) - right if len(behind) else None
+    for j in ends:
+        end = peak + int(found[j]) - right if j < len(found) else None
         if end is not None and (end - right) / fs >= 0.01 and (end - left) / fs <= 0.15:
             break
     return lo + left, lo + peak, lo + (end if end is not None else left + round(0.15 * fs))
 
 
+#: Frequencies at which pre-spike gamma is looked for.
+GAMMA_HZ = 100 / 2 ** (np.arange(70) / 40)
+
+
+@lru_cache(maxsize=16)
+def _gamma_bank(n: int, fs: float) -> np.ndarray:
+    """Gains of all the wavelets, with a turn by one sample: the transform then begins at its lowest positive frequency."""
+    return np.array([_morse_gain(n, fs, f, 3.0, 60.0) for f in GAMMA_HZ])
+
+
 def gamma_measure(x: np.ndarray, fs: float, p1: int, n2: int) -> tuple[float, float, float]:
     """DSP22: power, frequency and duration (ms) of pre-spike gamma: zeros if there is none, NaN if it can't be measured.
 
@@ -622,14 +647,21 @@ def gamma_measure(x: np.ndarray, fs: float, p1: int, n2: int) -> tuple[float, fl
     base = search | ((n > n2) & (n < floor(n2 + 1 + half)))
     if 1000 * base.sum() / fs < 250 or not search.any():
         return (float("nan"),) * 3
-    freqs = 100 / 2 ** (np.arange(70) / 40)
-    mag = np.abs(morse(x, fs, freqs))
-    limit = mag[:, base].mean(1) + 2 * mag[:, base].std(1, ddof=1)
+    cut = min(len(x), p1 + 1)  # what is read: the stretch before P1, P1 itself, the baseline behind N2
+    first = int(np.argmax(search))
+    found = np.fft.ifft(np.fft.fft(x)[1 : (len(x) + 1) // 2] * _gamma_bank(len(x), fs), len(x))
+    before, behind = np.abs(found[:, first:cut]), np.abs(found[:, base & ~search])
+    level = np.concatenate([before[:, : int(search.sum())], behind], 1)
+    limit = level.mean(1) + 2 * level.std(1, ddof=1)
+    over = np.zeros((len(GAMMA_HZ), int(search.sum()) + 2), np.int8)
+    over[:, 1:-1] = before[:, : over.shape[1] - 2] > limit[:, None]
+    edge = np.diff(over, axis=1)
+    (row, start), (_, stop) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    long = (stop - start >= 3 * np.ceil(fs / GAMMA_HZ)[row]) & (p1 - first - stop <= 0.19 * fs)
     best = (0.0, 0.0, 0.0)
-    for i, f in enumerate(freqs):
-        for a, b in runs((mag[i] > limit[i]) & search).tolist():
-            if b - a >= 3 * ceil(fs / f) and p1 - b <= 0.19 * fs and (power := float(mag[i, a + 1 : b + 1].mean())) > best[0]:
-                best = (power, float(f), 1000.0 * (b - a) / fs)
+    for i, a, b in zip(row[long].tolist(), start[long].tolist(), stop[long].tolist()):
+        if (power := float(before[i, a + 1 : b + 1].mean())) > best[0]:
+            best = (power, float(GAMMA_HZ[i]), 1000.0 * (b - a) / fs)
     return best
 
 

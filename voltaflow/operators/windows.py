@@ -79,6 +79,23 @@ def run_peaks(samples: DataFrame, keys: tuple[str, ...] = ("channel",), flag: st
     return seen.where(turn | ((F.col("len") <= 3) & (F.col("sample") == F.col("best")))).select(*keys, "sample", "x")
 
 
+def local_maxima(samples: DataFrame, keys: tuple[str, ...] = ("channel",), block: int = BLOCK) -> DataFrame:
+    """keys, sample of the strict local maxima, the middle of flat tops (rounded down), however long these are.
+
+    A sample that differs from the one before begins a stretch of equal values; a stretch is a top if the signal rises into
+    it and falls behind it. A block's last stretch ends with the first change of a later block.
+    """
+    x, prev = F.coalesce("x", F.lit(float("nan"))), F.col("prev")
+    w = Window.partitionBy(*keys, "block_id").orderBy("sample")
+    seen = with_halo(samples.select(*keys, "sample", x.alias("x")), 1, 0, block).withColumn("prev", F.lag("x").over(w)).where("own and x != prev")
+    seen = seen.withColumns({"rises": (prev < F.col("x")) & ~F.isnan("x"), "falls": (F.col("x") < prev) & ~F.isnan("prev")})
+    ends = lambda over: {"end": F.lead("sample").over(over), "down": F.lead("falls").over(over)}
+    within = seen.withColumns({**ends(w), "first": F.lag("sample").over(w).isNull()})
+    across = within.where("first or end is null").withColumn("last", F.col("end").isNull()).withColumns(ends(Window.partitionBy(*keys).orderBy("sample")))
+    tops = within.where("end is not null").unionByName(across.where("last").drop("last"))
+    return tops.where("rises and down").select(*keys, F.floor((F.col("sample") + F.col("end") - 1) / 2).cast("long").alias("sample"))
+
+
 def poly_groups(peaks: DataFrame, reach: int, keys: tuple[str, ...] = ("channel",), block: int = BLOCK) -> DataFrame:
     """Groups of peaks whose next one is at most `reach` away: the peaks that stay (sample) and how many the group had (n).
 
