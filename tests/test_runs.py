@@ -207,3 +207,24 @@ def test_resampled_in_stretches(spark, tmp_path, target):
         assert len(y) == len(want) and np.allclose(y, want, atol=1e-9)
         assert {(b.fs, b.native_fs) for b in mine} == {(target if target not in (0.0, 100.0) else 100.0, 100.0)}
         assert [b.start_sample for b in mine] == list(np.cumsum([0, *[len(b.x) for b in mine]])[:-1])
+
+
+def test_batch_writes_files_by_task_and_computes_windows_once(spark, tmp_path, monkeypatch):
+    """Forty rows with the same windows: no folder a row, one computation, and a stopped run's output isn't counted twice."""
+    raw, excluded, recordings, signal = batch_case(spark)
+    many = raw.where("row = 0").crossJoin(spark.range(40)).withColumn("row", F.col("id")).drop("id")
+    seen, cut = [], batch.cut
+
+    def counted(ready, *rest):
+        seen.append(ready.count())
+        return cut(ready, *rest)
+
+    monkeypatch.setattr(batch, "cut", counted)
+    folder = f"{tmp_path}/out"
+    spark.range(1).write.parquet(f"{folder}/results/attempt=1")  # as a run leaves it that is stopped before its log
+    assert batch.run_batch(spark, folder, many, excluded, recordings, signal, last=19)["ok"] == 20
+    assert batch.run_batch(spark, folder, many, excluded, recordings, signal) == {"ok": 20, "skipped": 0, "error": 0, "done_before": 20}
+    assert seen == [1, 1] and len(storage.names(spark, f"{folder}/results")) == 2
+    out = spark.read.parquet(f"{folder}/results")
+    assert out.count() == 160 and out.select("row", "channel").distinct().count() == 160
+    assert out.select("channel", F.round("EI", 9), "EI_rank_desc", "channel_onset_sample_in_ictal_window").distinct().count() == 4

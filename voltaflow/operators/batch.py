@@ -1,9 +1,9 @@
 """Batch recruitment index: a table of segments to per-recording output, with a log and resume (SNK11, JON14, AGG12, FIL18-19).
 
 All rows of the table are one plan: what is wrong with a row is a status and a reason of that row, never a
-failed job. Results are partitioned by row and written with dynamic overwrite, the log behind them; a row
-counts as done once the log says ok, so a run that was stopped between the two does those rows again, and a
-run over a finished batch writes nothing.
+failed job. Results go to a folder of the attempt, as many files as there are tasks, the log behind them; a row
+counts as done once the log says ok, so a run that was stopped between the two has its number and its folder
+used again by the next one, and a run over a finished batch writes nothing.
 """
 
 from __future__ import annotations
@@ -92,7 +92,7 @@ def cut(ready: DataFrame, signal: DataFrame, block: int = BLOCK) -> DataFrame:
 def batch_results(ready: DataFrame, signal: DataFrame, exclude_channels: str | None = None, sigmas: float = 10.0) -> DataFrame:
     """One row for each channel of each ready row, as it is written; channels that the pattern finds are counted, not computed.
 
-    Recordings of one rate are one plan; there are as many plans as distinct rates, which the caller's resampling makes one.
+    Rows that name the same windows of one recording are computed once, under the least of them. Recordings of one rate are one plan; there are as many plans as distinct rates, which the caller's resampling makes one.
     """
     left = signal
     if exclude_channels:
@@ -104,8 +104,10 @@ def batch_results(ready: DataFrame, signal: DataFrame, exclude_channels: str | N
     parts = []
     for fs in sorted(r.fs for r in ready.select("fs").distinct().collect()):
         own = ready.where(F.col("fs") == fs)
-        scored = rei.batch_scores(cut(own, left), fs, sigmas)
-        parts.append(scored.join(own, "row").select(
+        windows = ("edf", "b0", "b1", "i0", "i1")
+        once = own.groupBy(*windows).agg(F.min("row").alias("once"))
+        scored = rei.batch_scores(cut(once.withColumnRenamed("once", "row"), left), fs, sigmas).withColumnRenamed("row", "once")
+        parts.append(own.join(once, list(windows)).join(scored, "once").select(
             "row", "channel", F.col("score").alias("EI"), F.col("batch_rank").alias("EI_rank_desc"), F.col("onset").alias("channel_onset_sample_in_ictal_window"),
             (F.col("onset") / F.lit(fs)).alias("channel_onset_sec_in_ictal_window"), "subject", "run", F.col("edf").alias("edf_file"), "native_fs", "fs",
             F.when(F.abs(F.col("native_fs") - F.col("fs")) > 1e-8 + 1e-5 * F.abs("fs"), F.col("fs")).alias("resampled_to_fs"), *REQUIRED, F.coalesce("excluded_channel_count", F.lit(0).cast("long")).alias("excluded_channel_count"),
@@ -148,19 +150,21 @@ def run_batch(
     attempt = (log.agg(F.max("attempt")).collect()[0][0] or 0) + 1
     before = last_status(log).select("row", F.col("status").alias("was"), F.col("reason").alias("was_reason"))
     rows = assess(raw, excluded, recordings, first, last)
-    done = before.where("was = 'ok'").select("row")
-    n_done = rows.join(done, "row", "left_semi").count()
+    done = before.where("was = 'ok'").select("row", F.lit(True).alias("done"))
     path = storage.shared_path(spark, "batch")
-    rows.join(done, "row", "left_anti").write.parquet(path)  # the plan of the run: fixed before anything is written
-    todo = spark.read.parquet(path)
+    rows.join(done, "row", "left").write.parquet(path)  # the plan of the run: fixed before anything is written
+    n_done = spark.read.parquet(path).where("done").count()
+    todo = spark.read.parquet(path).where("done is null").drop("done")
     ready = todo.where("status = 'ready'")
+    results = f"{folder}/results/attempt={attempt}"
+    storage.remove(spark, results)  # of a run that was stopped before its log
     if not ready.isEmpty():
         wanted = signal.join(ready.select(F.col("edf").alias("path")).distinct(), "path", "left_semi")
         out = batch_results(ready, wanted if prepare is None else prepare(wanted), exclude_channels)
-        out.repartition("row").sortWithinPartitions("row", "EI_rank_desc", "channel").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("row").parquet(f"{folder}/results")
-    # a row has results if its partition is there
-    made = spark.read.parquet(f"{folder}/results").withColumn("row", F.col("row").cast("long")) if storage.exists(spark, f"{folder}/results") else batch_results_empty(spark)
-    made = made.join(ready.select("row"), "row", "left_semi").groupBy("row").agg(F.count("*").alias("n_channels"), F.max("excluded_channel_count").alias("excluded_channel_count"))
+        out.repartition("row").sortWithinPartitions("row", "EI_rank_desc", "channel").write.mode("overwrite").parquet(results)
+    # a row has results if the attempt's folder has rows of it
+    made = spark.read.parquet(results) if storage.exists(spark, results) else batch_results_empty(spark)
+    made = made.groupBy("row").agg(F.count("*").alias("n_channels"), F.max("excluded_channel_count").alias("excluded_channel_count"))
     status = F.when(F.col("status") != "ready", F.col("status")).when(F.col("n_channels") > 0, "ok").otherwise("error")
     reason = F.when((F.col("status") == "ready") & F.col("n_channels").isNull(), "no channel has samples in both windows").otherwise(F.col("reason"))
     entries = todo.join(made, "row", "left").select(F.lit(attempt).cast("long").alias("attempt"), "row", status.alias("status"), reason.alias("reason"), "edf", "subject", "n_channels", "excluded_channel_count", "native_fs", "fs")

@@ -77,7 +77,8 @@ def batch_inputs(spark, sf):
     order = ["l_shipdate", "l_orderkey", "l_partkey"]
     li = A.table(spark, sf, "lineitem").select((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("key"), F.concat(F.lit("data/sub-"), F.col("l_suppkey").cast("string"), F.lit("/run1.edf")).alias("path"), F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("channel"), F.col("l_quantity").alias("x"), *order)
     signal = B.numbered(li, "key", F.trunc("l_shipdate", "month"), order).select("path", "channel", "sample", "x")
-    recordings = signal.groupBy("path").agg((F.max("sample") + 1).alias("n_samples")).withColumns({"native_fs": F.lit(RATE), "fs": F.lit(RATE)})
+    sizes = li.groupBy("path", "key").agg(F.count("*").alias("n"))
+    recordings = sizes.groupBy("path").agg(F.max("n").alias("n_samples")).withColumns({"native_fs": F.lit(RATE), "fs": F.lit(RATE)})
     return raw, excluded, recordings, signal
 
 
