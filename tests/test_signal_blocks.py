@@ -63,3 +63,15 @@ def test_measurements_by_block(spark, monkeypatch):
             assert np.allclose([np.nan if v is None else v for v in (r.power, r.freq, r.duration_ms)], want, equal_nan=True)
             measured += 1
     assert measured > 100
+
+
+def test_wavelet_power_needs_no_memory_a_scale():
+    """A prime number of samples; the arrays that live at once are few."""
+    import tracemalloc
+
+    x, freqs = np.random.default_rng(8).normal(size=20011), 100 / 2 ** (np.arange(70) / 40)
+    assert np.allclose(K.morse_power(x, 500.0, freqs), (np.abs(K.morse(x, 500.0, freqs)) ** 2).mean(1), rtol=1e-9)
+    tracemalloc.start()
+    K.morse_power(x, 500.0, freqs)
+    assert tracemalloc.get_traced_memory()[1] < 60 * len(x)
+    tracemalloc.stop()

@@ -292,6 +292,13 @@ def morse(x: np.ndarray, fs: float, freqs: np.ndarray, gamma: float = 3.0, bandw
     return out
 
 
+def morse_power(x: np.ndarray, fs: float, freqs: np.ndarray, gamma: float = 3.0, bandwidth: float = 60.0) -> np.ndarray:
+    """Mean squared magnitude of the transform at each frequency, by Parseval's theorem: the spectrum's energy, without going back."""
+    n = len(x)
+    energy = np.abs(np.fft.rfft(x)[1 : (n + 1) // 2]) ** 2
+    return np.array([(energy * _morse_gain(n, fs, f, gamma, bandwidth) ** 2).sum() for f in freqs]) / n**2
+
+
 # ---- peaks and splines ---------------------------------------------------------------------------
 
 
