@@ -90,3 +90,17 @@ def test_wavelet_power_needs_no_memory_a_scale():
     K.morse_power(x, 500.0, freqs)
     assert tracemalloc.get_traced_memory()[1] < 60 * len(x)
     tracemalloc.stop()
+
+
+def test_ranges_of_files_stay_few(tmp_path):
+    """Short ranges of a large file are made longer, up to the longest; they still cover each file once."""
+    from voltaflow.sources import edf_source
+
+    for name, size in (("a.edf", 3 << 20), ("b.edf", 5000), ("c.txt", 9)):
+        (tmp_path / name).write_bytes(bytes(size))
+    got = edf_source.EdfReader(str(tmp_path), 4096).partitions()
+    assert len(got) <= edf_source.TASKS + 2
+    for path, size in (("a.edf", 3 << 20), ("b.edf", 5000)):
+        own = [(r.lo, r.hi) for r in got if r.path.endswith(path)]
+        assert own[0][0] == 0 and own[-1][1] == size and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+    assert len(edf_source.EdfReader(str(tmp_path / "b.edf"), 1000).partitions()) == 5

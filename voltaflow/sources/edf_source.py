@@ -36,6 +36,8 @@ SUFFIXES = (".edf", ".bdf")
 ANNOTATIONS = ("EDF Annotations", "BDF Annotations")
 #: Bytes of a file for one task, and of records that a task holds at once.
 TASK_BYTES, HELD_BYTES = 64 << 20, 8 << 20
+#: Ranges are made longer, up to TASK_BYTES, where there would be more than about this many.
+TASKS = 256
 FIELDS = (("label", 16), ("transducer", 80), ("dimension", 8), ("phys_min", 8), ("phys_max", 8), ("dig_min", 8), ("dig_max", 8), ("prefilter", 80), ("samples", 8), ("reserved", 32))
 
 
@@ -122,11 +124,9 @@ class EdfReader(DataSourceReader):
         store, root = pafs.FileSystem.from_uri(self.path)
         info = store.get_file_info(root)
         found = store.get_file_info(pafs.FileSelector(root, recursive=True)) if info.type == pafs.FileType.Directory else [info]
-        out = []
-        for f in sorted(found, key=lambda f: f.path):
-            if f.is_file and f.path.lower().endswith(SUFFIXES) and not f.base_name.startswith(("_", ".")) and (self.recordings is None or f.base_name.rsplit(".", 1)[0] in self.recordings):
-                out += [FileRange(f.path, f.size, lo, min(lo + self.task_bytes, f.size)) for lo in range(0, f.size, self.task_bytes)]
-        return out
+        wanted = [f for f in found if f.is_file and f.path.lower().endswith(SUFFIXES) and not f.base_name.startswith(("_", ".")) and (self.recordings is None or f.base_name.rsplit(".", 1)[0] in self.recordings)]
+        step = max(self.task_bytes, min(TASK_BYTES, -(-sum(f.size for f in wanted) // TASKS)))  # short ranges of many bytes would be mostly overhead
+        return [FileRange(f.path, f.size, lo, min(lo + step, f.size)) for f in sorted(wanted, key=lambda f: f.path) for lo in range(0, f.size, step)]
 
     def read(self, partition: FileRange) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(self.path)
