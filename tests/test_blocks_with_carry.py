@@ -108,3 +108,22 @@ def test_one_channel_is_many_tasks(spark):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         windows = [line for line in plan.splitlines() if "Window [" in line]
         assert any("block" in line for line in windows)
+
+
+def test_no_task_scans_a_recording_without_gaps(spark):
+    """Events without a wide gap from end to end: anchors by definition, and no task sorts more than a share of them."""
+    rng = random.Random(7)
+    times = sorted({round(rng.uniform(0, 40.0), 4) for _ in range(6000)})
+    df = spark.createDataFrame([("r", i, t) for i, t in enumerate(times)], "recording string, ord long, t double")
+    out = E.anchored_clusters(df, 0.05, span=0.5)
+    want, anchor = {}, None
+    for i, t in enumerate(times):
+        anchor = t if anchor is None or t - anchor > 0.05 else anchor
+        want[i] = anchor
+    assert {r.ord: r.anchor for r in out.collect()} == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would be merged
+    try:
+        sizes = [n for n in E.anchored_clusters(df, 0.05, span=0.5).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < 0.6 * len(times)

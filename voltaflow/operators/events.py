@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from math import ceil
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,47 +30,88 @@ def burst_members(events: DataFrame, gap: float, channel: str = "channel", span:
     return marked.where("_bucket = _own").drop("_bucket", "_own")
 
 
-def stretches(events: DataFrame, tolerance: float, recording: str = "recording", span: float = SPAN) -> DataFrame:
-    """events with `_stretch`: the number of the recording's stretch without a gap wider than the tolerance.
-
-    Gaps are counted within buckets of time; what lies before a bucket, its last event and its gaps, comes from one row
-    a bucket. So a recording is many tasks.
-    """
-    placed = events.withColumn("_bucket", F.floor(F.col("t") / span))
-    w = Window.partitionBy(recording, "_bucket").orderBy("t", "ord")
-    apart = F.coalesce((F.col("t") - F.lag("t").over(w) > tolerance).cast("long"), F.lit(0))
-    counted = placed.withColumn("_gap", apart).withColumn("_within", F.sum("_gap").over(w))
-    ends = counted.groupBy(recording, "_bucket").agg(F.min("t").alias("_first"), F.max("t").alias("_last"), F.max("_within").alias("_gaps"))
-    b = Window.partitionBy(recording).orderBy("_bucket")
-    new = F.coalesce((F.col("_first") - F.lag("_last").over(b) > tolerance).cast("long"), F.lit(1))
-    shifts = ends.withColumn("_new", new).withColumn("_shift", F.sum(F.col("_new") + F.col("_gaps")).over(b) - F.col("_gaps"))
-    out = counted.join(shifts.select(recording, "_bucket", "_shift"), [recording, "_bucket"])
-    return out.withColumn("_stretch", F.col("_within") + F.col("_shift")).drop("_bucket", "_gap", "_within", "_shift")
+#: A wide bucket of time is at least so many tolerances long, so few events of it can be the first anchor there.
+REACH = 100
+
+
+def _later(t: np.ndarray, tolerance: float, since: np.ndarray) -> np.ndarray:
+    """For each value of `since` the place of the first of the rising times t that is later by more than the tolerance."""
+    at = np.searchsorted(t, since + tolerance, "right")
+    for step, wrong in ((-1, lambda i: (i > 0) & (t[np.maximum(i - 1, 0)] - since > tolerance)), (1, lambda i: (i < len(t)) & ~(t[np.minimum(i, len(t) - 1)] - since > tolerance))):
+        while (move := wrong(at)).any():  # where the sum was rounded
+            at[move] += step
+    return at
+
+
+def _times(table: pa.Table) -> np.ndarray:
+    t = np.unique(table["t"].to_numpy())
+    return t[~np.isnan(t)]
+
+
+def _last_anchors(key, table: pa.Table, tolerance: float) -> pa.Table:
+    """What a bucket makes of the last anchor before it: the bucket's own last anchor, by its first anchor (no later than `upto`)."""
+    t = _times(table)
+    following, last = _later(t, tolerance, t), t.copy()
+    for i in range(len(t) - 1, -1, -1):
+        if following[i] < len(t):
+            last[i] = last[following[i]]
+    first = np.flatnonzero(np.r_[True, t[:-1] - t[0] <= tolerance]) if len(t) else np.empty(0, int)  # the others aren't the first anchor, whatever came earlier
+    ends = first[np.r_[last[first][1:] != last[first][:-1], True]] if len(first) else first
+    cols = {"recording": pa.array([key[0].as_py()] * len(ends), table.schema[0].type), "wide": pa.array([key[1].as_py()] * len(ends), pa.int64())}
+    return pa.table({**cols, "upto": pa.array(t[ends], pa.float64()), "last": pa.array(last[ends], pa.float64())})
+
+
+def _handed_on(key, table: pa.Table, tolerance: float) -> pa.Table:
+    """The last anchor before each bucket, in the buckets' order (null before the first)."""
+    wide, upto, last = (table[c].to_numpy() for c in ("wide", "upto", "last"))
+    order = np.lexsort((upto, wide))
+    wide, upto, last = wide[order], upto[order], last[order]
+    buckets, starts = np.unique(wide, return_index=True)
+    before, anchor = [], None
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(wide)]):
+        before.append(anchor)
+        at = lo if anchor is None else lo + int(_later(upto[lo:hi], tolerance, np.array([anchor]))[0])
+        anchor = float(last[at]) if at < hi else anchor
+    return pa.table({"recording": pa.array([key[0].as_py()] * len(buckets), table.schema[0].type), "wide": pa.array(buckets, pa.int64()), "before": pa.array(before, pa.float64())})
+
+
+def _anchors(key, table: pa.Table, tolerance: float, span: float) -> pa.Table:
+    """The anchors of a wide bucket, each in its narrow one, and before these the last anchor of earlier ones."""
+    t, anchor = _times(table), table["before"][0].as_py()
+    following, i, own = _later(t, tolerance, t).tolist(), 0, []
+    if anchor is not None and len(t):
+        i = int(_later(t, tolerance, np.array([anchor]))[0])
+    while i < len(t):
+        own.append(i)
+        i = following[i]
+    own = t[own]
+    buckets, known = np.unique(np.floor(t / span)), np.r_[np.nan if anchor is None else anchor, own]
+    earlier = known[np.searchsorted(np.floor(own / span), buckets, "left")]
+    bucket, at, found = np.r_[buckets, np.floor(own / span)], np.r_[np.full(len(buckets), -np.inf), own], np.r_[earlier, own]
+    cols = {"recording": pa.array([key[0].as_py()] * len(at), table.schema[0].type), "bucket": pa.array(bucket.astype(np.int64)), "at": pa.array(at)}
+    return pa.table({**cols, "anchor": pa.array(found, pa.float64(), mask=np.isnan(found))})
 
 
 def anchored_clusters(events: DataFrame, tolerance: float, recording: str = "recording", span: float = SPAN) -> DataFrame:
     """events with the anchor of their cluster: an event later than its anchor by more than the tolerance is the next anchor.
 
-    Anchoring is a scan in time order, but an event that comes more than the tolerance after the one before it must be an
-    anchor, whatever came earlier. So each stretch between such gaps is scanned on its own, row by row, and a task
-    holds the last anchor only.
+    Anchoring is a scan in time order, but all that a bucket of time needs of the earlier ones is their last anchor. So wide
+    buckets first tell their own last anchor for each that may be their first (these lie within the tolerance of the bucket's
+    first event, a hundredth of its time at most, and lead to fewer last ones); that is handed on from bucket to bucket;
+    then each bucket finds its anchors. Only times go there; events meet the anchors in narrow buckets.
     """
-    placed = stretches(events, tolerance, recording, span).withColumn("anchor", F.col("t"))
-    schema = placed.schema
-    group, at = [placed.columns.index(c) for c in (recording, "_stretch")], placed.columns.index("t")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, anchor = None, 0.0
-        for batch in batches:
-            keys = zip(*(batch.column(i).to_pylist() for i in group))
-            out = []
-            for key, t in zip(keys, batch.column(at).to_pylist()):
-                if key != last or t - anchor > tolerance:
-                    last, anchor = key, t
-                out.append(anchor)
-            yield batch.set_column(batch.num_columns - 1, "anchor", pa.array(out, pa.float64()))
-
-    return placed.repartition(recording, "_stretch").sortWithinPartitions(recording, "_stretch", "t", "ord").mapInArrow(run, schema).drop("_stretch")
+    key, many = dict(events.dtypes)[recording], max(1, ceil(REACH * tolerance / span))
+    times = events.where(F.col("t").isNotNull()).select(F.col(recording).alias("recording"), F.floor(F.floor(F.col("t") / span) / many).alias("wide"), "t")
+    ends = times.groupBy("recording", "wide").applyInArrow(lambda k, t: _last_anchors(k, t, tolerance), f"recording {key}, wide long, upto double, last double")
+    before = ends.groupBy("recording").applyInArrow(lambda k, t: _handed_on(k, t, tolerance), f"recording {key}, wide long, before double")
+    before = before.select(F.col("recording").alias("_r"), F.col("wide").alias("_w"), "before")
+    known = times.join(before, F.col("recording").eqNullSafe(F.col("_r")) & (F.col("wide") == F.col("_w"))).select("recording", "wide", "t", "before")
+    found = known.groupBy("recording", "wide").applyInArrow(lambda k, t: _anchors(k, t, tolerance, span), f"recording {key}, bucket long, at double, anchor double")
+    found = found.select(F.col("recording").alias(recording), F.col("bucket").alias("_bucket"), F.col("at").alias("_at"), "anchor", F.lit(False).alias("_event"))
+    placed = events.withColumns({"_bucket": F.floor(F.col("t") / span), "_at": F.col("t"), "_event": F.lit(True)})
+    w = Window.partitionBy(recording, "_bucket").orderBy("_at", "_event").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = placed.unionByName(found, allowMissingColumns=True).withColumn("anchor", F.last("anchor", ignorenulls=True).over(w))
+    return both.where("_event").select(*events.columns, "anchor")
 
 
 def common_mode(clusters: DataFrame, n_channels: int, recording: str = "recording", channel: str = "channel") -> DataFrame:
