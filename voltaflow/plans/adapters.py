@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.blocks import numbered
+from ..operators.dsp import tasks
 
 FS = 100.0
 
@@ -14,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt evenly to many tasks: a file of keys is one task of a scan, however long the documents are that are made of them."""
+    return rows.repartition(tasks(rows))
+
+
 def seconds(ts):
     return F.unix_micros(ts.cast("timestamp")) / 1e6
 

@@ -143,7 +143,7 @@ SELECT project_path, CASE WHEN ful IN (SELECT p FROM f) THEN ful WHEN rel IN (SE
 
 
 def documents(spark, sf):
-    c, k = A.table(spark, sf, "customer"), F.col("c_custkey")
+    c, k = A.spread(A.table(spark, sf, "customer").select("c_custkey", "c_mktsegment")), F.col("c_custkey")
     q = lambda s: F.concat(F.lit('"'), s, F.lit('"'))
     version = F.when(k % 11 == 0, F.lit('"3"')).when(k % 13 == 0, F.lit("9")).otherwise((k % 8 + 1).cast("string"))
     flat = F.concat(F.lit('{"highpass_hz": '), (k % 50).cast("string"), F.lit(', "lowpass_hz": null}'))

@@ -53,7 +53,8 @@ def read_projects(documents: DataFrame, text: str = "document") -> DataFrame:
     macro and micro (filters; one flat filter of old documents goes to both), time_range_s, reference_mode, algorithm
     (its first name was `mean`), time (its first name was `mean` too) and computation (as it was, a variant).
     """
-    rows = documents.withColumn("_doc", F.try_parse_json(F.col(text)))
+    # a generated column: filters on what is read from it aren't pushed below, where a document would be parsed once more for each use
+    rows = documents.select("*", F.explode(F.array(F.try_parse_json(F.col(text)))).alias("_doc"))
     doc = F.col("_doc")
     grouped = (_kind(doc, "$.preprocessing.filters.macro") != "") | (_kind(doc, "$.preprocessing.filters.micro") != "")
     section = lambda name: F.when(grouped, filter_settings(doc, f"$.preprocessing.filters.{name}")).otherwise(filter_settings(doc, "$.preprocessing.filters"))
