@@ -52,7 +52,7 @@ SELECT *, round(candidate_count / 10.0, 6)::DOUBLE AS candidate_rate_per_min, ro
 
 def snk06(spark, sf):
     """Metadata documents of parts: what is written of them, and how many keys."""
-    p, k = A.table(spark, sf, "part"), F.col("p_partkey").cast("string")
+    p, k = A.spread(A.table(spark, sf, "part").select("p_partkey")), F.col("p_partkey").cast("string")
     n = F.col("p_partkey")
     doc = F.concat(
         F.lit('{"fs": '), F.when(n % 3 == 0, "NaN").when(n % 3 == 1, "-Infinity").otherwise(k), F.lit(', "input_fs": '), k, F.lit(', "notch_modes": '), F.when(n % 2 == 0, '["50 Hz", NaN]').otherwise("[]"), F.lit(', "total_events": '), F.when(n % 5 == 0, "null").otherwise(k),
