@@ -42,7 +42,7 @@ def agg19(spark, sf):
     rows = series(spark, sf)
     ends = rows.groupBy("channel", "k").agg(F.max("sample").alias("end")).groupBy("channel").agg(F.min("end").alias("end"))
     rows = rows.join(ends, "channel").where("sample <= end").drop("end")  # as long as the channel's shortest series
-    out = moments.range_moments(moments.prefix_sums(rows, block=256), moments.baseline_ranges(spikes, A.FS))
+    out = moments.range_moments(moments.prefix_sums(rows, block=256), moments.baseline_ranges(spikes, A.FS), ends=ends.select("channel", (F.col("end") + 1).alias("end")))
     return out.select("event_id", "k", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
