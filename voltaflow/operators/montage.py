@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import labels as L
+from .dsp import tasks
 
 
 def select_channels(signal: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -40,9 +41,12 @@ def montage_skips(contacts: DataFrame) -> DataFrame:
 
 
 def bipolar(signal: DataFrame, pairs: DataFrame) -> DataFrame:
-    """name, sample, x of every pair: x(ch1) - x(ch2). The pair table is small; Catalyst broadcasts it by its size."""
+    """name, sample, x of every pair: x(ch1) - x(ch2). The pair table is small; Catalyst broadcasts it by its size.
+
+    Legs are dealt to a given number of tasks: their samples compress so well that merged partitions would have too many to group.
+    """
     both = pairs.select("name", F.explode(F.array(F.struct(F.col("ch1").alias("channel"), F.lit(1.0).alias("w")), F.struct(F.col("ch2").alias("channel"), F.lit(-1.0).alias("w")))).alias("p"))
-    legs = signal.join(both.select("name", "p.channel", "p.w"), "channel")
+    legs = signal.join(both.select("name", "p.channel", "p.w"), "channel").select("name", "sample", "x", "w").repartition(tasks(signal), "name", "sample")
     grouped = legs.groupBy("name", "sample").agg(F.sum(F.col("w") * F.col("x")).alias("x"), F.count("*").alias("n"))
     return grouped.where("n = 2").select("name", "sample", "x")
 
