@@ -60,6 +60,20 @@ class _Memo(dict):
         return out
 
 
+class _Words(dict):
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.make(word)
+        if len(word) <= LEXICON_BYTES:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = out
+        return out
+
+
 class ByteBpe:
     """A byte-level BPE tokenizer read from a tokenizers JSON file's bytes."""
 
@@ -83,7 +97,7 @@ class ByteBpe:
         self.split = regex.compile(SPLIT)
         self.at_special = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.lexicon = Lexicon(lexicon) if lexicon else None
-        self.head, self.tail = _Memo(self._part, ""), _Memo(self._part, " ")
+        self.head, self.tail, self.words = _Memo(self._part, ""), _Memo(self._part, " "), _Words(self._word)
         self.at_space = regex.compile(r"(?<=\S) (?=\S)")
 
     def _compiled(self, model: dict, raw: dict[str, bytes]):
@@ -144,12 +158,13 @@ class ByteBpe:
                     heapq.heappush(heap, (v >> 20, x, v & 0xFFFFF, ids[x], ids[y]))
         return np.array([i for i in ids if i >= 0], "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        raw = word.encode()
+        return (self.lexicon and self.lexicon.lookup(raw)) or self.merge(raw)
+
     def _part(self, part: str) -> bytes:
-        out = []
-        for word in self.split.findall(part):
-            raw = word.encode()
-            out.append((self.lexicon and self.lexicon.lookup(raw)) or self.merge(raw))
-        return b"".join(out)
+        """Words have a memo of their own: parts longer than its limit, as in texts without single spaces, are made of them."""
+        return b"".join(map(self.words.__getitem__, self.split.findall(part)))
 
     def _plain(self, text: str) -> bytes:
         """Single spaces between two other characters always begin a word, so parts between them are independent."""
