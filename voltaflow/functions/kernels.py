@@ -195,6 +195,12 @@ def forward_reverse(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sosfilt(sos, sosfilt(sos, x)[..., ::-1])[..., ::-1]
 
 
+def reach(denominators, digits: float = 26.0) -> int:
+    """Samples after which nothing is left of a recursive filter's start, in so many decimal digits, forward and in reverse."""
+    radius = max(np.abs(np.roots(a)).max(initial=0.0) for a in denominators)
+    return 64 + (ceil(digits * np.log(10) / -np.log(radius)) if radius > 0 else 0)
+
+
 # ---- envelope, resampling, spectra ---------------------------------------------------------------
 
 
@@ -212,6 +218,76 @@ def envelope(x: np.ndarray) -> np.ndarray:
     return np.abs(analytic(x))
 
 
+#: Places of a block at which what comes from afar is known; 20 give all digits of a double.
+NODES = 20
+
+
+@lru_cache(maxsize=4)
+def _places(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Chebyshev places in a block, and at each of its samples the polynomials that are 1 at one of them."""
+    at, k = pi * (2 * np.arange(NODES) + 1) / (2 * NODES), np.arange(NODES)
+    angle = np.arccos((2 * np.arange(size) + 1) / size - 1)
+    return (np.cos(at) + 1) / 2 * size - 0.5, (np.cos(np.outer(angle, k)) * np.where(k, 2, 1) / NODES) @ np.cos(np.outer(k, at))
+
+
+def _hilbert(d: np.ndarray, odd: bool, n: int) -> np.ndarray:
+    """Share of a sample in the imaginary part of `analytic` d samples later, of n samples; d has the parity told, or lies between such ones."""
+    if n % 2 == 0:
+        return 2 / (n * np.tan(pi * d / n)) if odd else np.zeros(d.shape)
+    return 1 / (n * np.tan(pi * d / (2 * n))) if odd else -np.tan(pi * d / (2 * n)) / n
+
+
+def block_sums(x: np.ndarray, size: int) -> np.ndarray:
+    """A block's samples as weights of its places, those of even samples first; block sizes are even."""
+    base = _places(size)[1][: len(x)]
+    return np.concatenate([x[p::2] @ base[p::2] for p in (0, 1)])
+
+
+def is_near(i: int, j: int, count: int) -> bool:
+    """Blocks that touch, or have at most one between them over the ends of the channel (the last block may be short)."""
+    return abs(i - j) <= 1 or count - abs(i - j) <= 2
+
+
+def far_field(sums: np.ndarray, n: int, size: int) -> np.ndarray:
+    """What all blocks that aren't near add to the imaginary part at each block's places, for even samples, then for odd ones.
+
+    Between blocks that lie apart the kernel is smooth, so their places stand for all samples (anterpolation, interpolation).
+    """
+    at, count, out = _places(size)[0], len(sums), np.zeros(sums.shape)
+    gap, halves = at[:, None] - at, (slice(0, NODES), slice(NODES, 2 * NODES))
+    for step in range(1 - count, count):
+        if is_near(step, 0, count):
+            continue
+        source, target = sums[max(0, -step) : count - max(0, step)], out[max(0, step) : count + min(0, step)]
+        odd, even = (_hilbert(step * size + gap, o, n).T for o in (True, False))
+        for own, other in (halves, halves[::-1]):
+            target[:, own] += source[:, other] @ odd
+            if n % 2:
+                target[:, own] += source[:, own] @ even
+    return out
+
+
+def from_far(field: np.ndarray, length: int, size: int) -> np.ndarray:
+    """A block's samples of what is known at its places."""
+    base, out = _places(size)[1][:length], np.empty(length)
+    for p in (0, 1):
+        out[p::2] = base[p::2] @ field[p * NODES : (p + 1) * NODES]
+    return out
+
+
+def near_field(blocks: dict[int, np.ndarray], i: int, n: int, size: int) -> np.ndarray:
+    """What the blocks given, itself among them, add to the imaginary part of block i."""
+    total = np.zeros(size + 1, complex)
+    for j, x in blocks.items():
+        d = (i - j) * size + np.arange(1 - size, size)
+        odd, kernel = d % 2 != 0, np.zeros(len(d))
+        kernel[odd] = _hilbert(d[odd], True, n)
+        if n % 2:
+            kernel[~odd] = _hilbert(d[~odd], False, n)
+        total += np.fft.rfft(kernel, 2 * size) * np.fft.rfft(x, 2 * size)
+    return np.fft.irfft(total, 2 * size)[size - 1 :][: len(blocks[i])]
+
+
 def firwin(taps: int, cutoff: float, beta: float = 5.0) -> np.ndarray:
     """Low-pass FIR by a Kaiser window; cutoff as a share of the Nyquist rate."""
     m = np.arange(taps) - (taps - 1) / 2
