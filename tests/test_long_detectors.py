@@ -43,6 +43,7 @@ CHANNELS = {
     "b": oscillating(3000, 2, [(0, 60), (2950, 3000)]),
     "c": np.zeros(700),
     "d": oscillating(100, 3, []),
+    "e": oscillating(12000, 4, [(500, 540), (1010, 1050), (4080, 4125), (4133, 4165), (9000, 9060)]),
 }
 
 
@@ -58,3 +59,35 @@ def test_hilbert_by_block(spark):
     got = S.candidates(frame(spark, CHANNELS), fs, "HIL", 80, 300)
     assert sorted((r.channel, r.start, r.end) for r in got.collect()) == want
     assert all("block_id" in keys for keys in grouping(got))
+
+
+def test_short_term_energy_by_block(spark):
+    fs, sos = 1000.0, K.band_sos(80, 300, 1000.0)
+    want = whole(K.short_term_energy, fs, sos)
+    assert len(want) > 3
+    for block in (512, 64):
+        assert sorted(map(tuple, D.short_term_energy(frame(spark, CHANNELS), sos, fs, block=block).collect())) == want
+    got = S.candidates(frame(spark, CHANNELS), fs, "STE", 80, 300)
+    assert all("block_id" in keys for keys in grouping(got))
+
+
+@pytest.mark.parametrize("least", [5.0, 60.0])
+def test_mni_by_block(spark, least):
+    """Limits from the baseline and, where that is asked to be longer than the channel, from all values."""
+    fs, sos = 1000.0, K.band_sos(80, 300, 1000.0)
+    want = whole(lambda x, fs: K.mni_detector(x, fs, base_min=least), fs, sos)
+    assert len(want) > 3
+    assert sorted(map(tuple, D.mni(frame(spark, CHANNELS), sos, fs, base_min=least, block=512).collect())) == want
+    got = S.candidates(frame(spark, CHANNELS), fs, "MNI", 80, 300)
+    assert all("block_id" in keys for keys in grouping(got))
+
+
+def test_quantiles_by_bins(spark):
+    """Values that differ in their last digits, equal ones, a rank between two bins, one value."""
+    rng = np.random.default_rng(4)
+    x = {"a": rng.exponential(size=5000), "b": 1 + 1e-12 * rng.integers(0, 50, 3000), "c": np.zeros(700), "d": np.r_[np.zeros(50), np.full(50, 8.0)], "e": np.array([3.5])}
+    rows = [(c, i, v[k : k + 512].tolist()) for c, v in x.items() for i, k in enumerate(range(0, len(v), 512))]
+    for q in (0.95, 0.5, 0.999999):
+        ranks = spark.createDataFrame([(c, q, len(v)) for c, v in x.items()], "channel string, q double, n long")
+        got = D.quantiles(spark.createDataFrame(rows, "channel string, block_id long, v array<double>"), "v", ranks).collect()
+        assert {r.channel: r.limit for r in got} == {c: np.quantile(v, q) for c, v in x.items()}

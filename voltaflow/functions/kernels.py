@@ -380,11 +380,16 @@ def morse_power(x: np.ndarray, fs: float, freqs: np.ndarray, gamma: float = 3.0,
 
 def find_peaks(x: np.ndarray) -> np.ndarray:
     """Strict local maxima; the middle of flat tops (rounded down)."""
-    x = np.asarray(x)
+    first, last = tops(np.asarray(x))
+    return (first + last) // 2
+
+
+def tops(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last samples of the strict local maxima."""
     starts = np.flatnonzero(x[1:] != x[:-1]) + 1  # of the stretches of equal values behind the first
     first, behind = starts[:-1], starts[1:]
     top = (x[first - 1] < x[first]) & (x[behind] < x[first])
-    return (first[top] + behind[top] - 1) // 2
+    return first[top], behind[top] - 1
 
 
 def prominences(x: np.ndarray, peaks: np.ndarray, size: int = 1 << 16) -> np.ndarray:
@@ -462,13 +467,38 @@ def merge_runs(found: np.ndarray, gap: int) -> np.ndarray:
     return np.array(out, int).reshape(-1, 2)
 
 
+def moving_rms(x: np.ndarray, fs: float, rms_s: float = 0.003, least: int = 1) -> np.ndarray:
+    """Root mean square of a window around each sample; beyond the ends there are zeros (windows of two or more begin there at the first sample)."""
+    w = max(least, round(rms_s * fs))
+    total = np.cumsum(np.r_[0, x**2])
+    lo = np.arange(len(x)) - w // 2
+    hi = np.clip((lo if least == 1 else np.clip(lo, 0, None)) + w, None, len(x))
+    return np.sqrt((total[hi] - total[np.clip(lo, 0, None)]) / w)
+
+
+def quiet_windows(fs: float, base_s: float = 0.125) -> tuple[int, int]:
+    """Length and step of the windows in which a baseline is looked for."""
+    size = max(16, round(base_s * fs))
+    return size, max(1, size // 2)
+
+
+def quiet(x: np.ndarray, fs: float, base_s: float = 0.125, base_share: float = 0.67) -> np.ndarray:
+    """Whether each sample is in a window of high wavelet entropy."""
+    size, step = quiet_windows(fs, base_s)
+    out = np.zeros(len(x), bool)
+    for s in range(0, len(x) - size + 1, step):
+        part = x[s : s + size]
+        power = np.abs(np.fft.rfft(np.correlate(part, part, "full"))) ** 2
+        p = power / power.sum() if power.sum() > 0 else np.full(len(power), 1 / len(power))
+        entropy = -(p[p > 0] * np.log(p[p > 0])).sum() / np.log(len(p))
+        if entropy > base_share * 0.9:
+            out[s : s + size] = True
+    return out
+
+
 def short_term_energy(x: np.ndarray, fs: float, rms_s: float = 0.003, min_s: float = 0.006, gap_s: float = 0.010, oscillations: int = 6, rms_sd: float = 5.0, peak_sd: float = 3.0) -> np.ndarray:
     """Staba 2002: runs of moving RMS above mean + rms_sd sd, joined over short gaps, with enough rectified peaks above mean + peak_sd sd."""
-    w = max(1, round(rms_s * fs))
-    total = np.cumsum(np.r_[0, x**2])
-    half = w // 2
-    lo, hi = np.clip(np.arange(len(x)) - half, 0, None), np.clip(np.arange(len(x)) - half + w, None, len(x))
-    rms = np.sqrt((total[hi] - total[lo]) / w)
+    rms = moving_rms(x, fs, rms_s)
     found = runs(rms > rms.mean() + rms_sd * rms.std(ddof=1))
     found = found[found[:, 1] - found[:, 0] >= min_s * fs]
     found = merge_runs(found, round(gap_s * fs))
@@ -487,22 +517,9 @@ def hilbert_detector(x: np.ndarray, fs: float, sd: float = 5.0, min_s: float = 0
 
 def mni_detector(x: np.ndarray, fs: float, percentile: float = 0.999999, base_s: float = 0.125, base_share: float = 0.67, base_min: float = 5.0, chf: float = 0.95, min_s: float = 0.010, gap_s: float = 0.010) -> np.ndarray:
     """Zelmann 2010: baseline segments of high wavelet entropy set the threshold of the RMS; without enough of them, a percentile of all."""
-    w = max(2, round(0.002 * fs))
-    total = np.cumsum(np.r_[0, x**2])
-    lo = np.clip(np.arange(len(x)) - w // 2, 0, None)
-    hi = np.clip(lo + w, None, len(x))
-    rms = np.sqrt((total[hi] - total[lo]) / w)
-    size = max(16, round(base_s * fs))
-    quiet = np.zeros(len(x), bool)
-    for s in range(0, len(x) - size + 1, max(1, size // 2)):
-        part = x[s : s + size]
-        power = np.abs(np.fft.rfft(np.correlate(part, part, "full"))) ** 2
-        p = power / power.sum() if power.sum() > 0 else np.full(len(power), 1 / len(power))
-        entropy = -(p[p > 0] * np.log(p[p > 0])).sum() / np.log(len(p))
-        if entropy > base_share * 0.9:
-            quiet[s : s + size] = True
-    enough = quiet.sum() >= base_min / 60 * len(x)
-    limit = np.quantile(rms[quiet], percentile) if enough else np.quantile(rms, chf)
+    rms, calm = moving_rms(x, fs, 0.002, 2), quiet(x, fs, base_s, base_share)
+    enough = calm.sum() >= base_min / 60 * len(x)
+    limit = np.quantile(rms[calm], percentile) if enough else np.quantile(rms, chf)
     found = merge_runs(runs(rms > limit), round(gap_s * fs))
     return found[found[:, 1] - found[:, 0] >= min_s * fs] if len(found) else found
 
