@@ -91,3 +91,17 @@ def test_quantiles_by_bins(spark):
         ranks = spark.createDataFrame([(c, q, len(v)) for c, v in x.items()], "channel string, q double, n long")
         got = D.quantiles(spark.createDataFrame(rows, "channel string, block_id long, v array<double>"), "v", ranks).collect()
         assert {r.channel: r.limit for r in got} == {c: np.quantile(v, q) for c, v in x.items()}
+
+
+@pytest.mark.parametrize("fs", [100.0, 500.0, 200.0])
+def test_spikes_by_block(spark, fs):
+    """Heavy-tailed noise, slow changes of its size, silence, channels of one window and of fewer than 40 samples."""
+    rng = np.random.default_rng(9)
+    x = {"a": rng.standard_cauchy(round(130.7 * fs)), "b": rng.standard_t(3, round(61 * fs)) * np.repeat([1, 9], [round(30 * fs), round(31 * fs)])}
+    x |= {"c": rng.standard_cauchy(round(4.9 * fs)), "d": np.zeros(round(20 * fs)), "e": np.ones(10), "f": rng.standard_cauchy(round(9 * fs) + 1)}
+    want = sorted((c, min(len(v), max(1, round(t * fs))) - 1, t) for c, v in x.items() for t in K.spike_times(v, fs).tolist())
+    assert len(want) > 50
+    assert sorted(map(tuple, D.spikes(frame(spark, x), fs, block=1024).collect())) == want
+    got = S.spikes(frame(spark, x), fs)
+    assert sorted(map(tuple, got.collect())) == want
+    assert all("block_id" in keys for keys in grouping(got))

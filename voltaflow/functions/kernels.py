@@ -304,15 +304,14 @@ def resample(x: np.ndarray, up: int, down: int, half: int = 10) -> np.ndarray:
     reach = half * max(up, down)
     h = up * firwin(2 * reach + 1, 1 / max(up, down))
     n = x.shape[-1]
-    size = -(-n * up // down)
-    at = np.arange(size) * down
-    phase, first = (at + reach) % up, (at + reach) // up
-    count = -(-len(h) // up)
+    size, count = -(-n * up // down), -(-len(h) // up)
+    wide = np.concatenate([np.zeros(count - 1), x, np.zeros(reach // up + 1)])
+    windows = np.lib.stride_tricks.sliding_window_view(wide, count)  # the last sample of window i is sample i
     out = np.zeros(size)
-    for j in range(count):  # tap phase + j * up meets sample first - j
-        tap, pos = phase + j * up, first - j
-        ok = (tap < len(h)) & (pos >= 0) & (pos < n)
-        out[ok] += h[tap[ok]] * x[pos[ok]]
+    for k in range(min(up, size)):  # outputs k, k + up, ... meet the same taps, windows of `down` samples apart
+        at = k * down + reach
+        taps = np.pad(h[at % up :: up], (0, count))[count - 1 :: -1]
+        out[k::up] = windows[at // up :: down][: len(out[k::up])] @ taps
     return out
 
 
@@ -557,52 +556,78 @@ def prefilter(low: float, high: float, fs: float, transition: float = 0.5) -> np
 
 def detector_band(x: np.ndarray, fs: float, low: float = 10.0, high: float = 60.0, chebyshev: bool = True) -> np.ndarray:
     """DSP08: high-pass, then low-pass (none at Nyquist), zero phase, orders from 6 dB and 60 dB at edges 0.05 and 0.1 of Nyquist apart."""
+    for b, a in detector_filters(fs, low, high, chebyshev):
+        x = filtfilt(b, a, x, 3 * (max(len(a), len(b)) - 1))
+    return x
+
+
+@lru_cache(maxsize=16)
+def detector_filters(fs: float, low: float, high: float, chebyshev: bool) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """Coefficients of the filters of `detector_band`."""
+    out = []
     for edge, wide, kind in ((2 * low / fs, -0.05, "highpass"), (2 * high / fs, 0.1, "lowpass")):
         if kind == "lowpass" and high >= fs / 2:
             continue
         if chebyshev:
             stopped = min(1 - 1e-9, edge + wide) if wide > 0 else max(1e-5, edge + wide)
             order, at = cheby2_order(edge, stopped), stopped
-            b, a = to_ba(*design(order, at * fs / 2, fs, kind, "cheby2", 60.0))
+            out.append(to_ba(*design(order, at * fs / 2, fs, kind, "cheby2", 60.0)))
         else:
             order, at = butter_order(edge, min(1 - 1e-9, edge + wide) if wide > 0 else max(0.1, edge + wide))
-            b, a = to_ba(*design(order, at * fs / 2, fs, kind))
-        x = filtfilt(b, a, x, 3 * (max(len(a), len(b)) - 1))
-    return x
+            out.append(to_ba(*design(order, at * fs / 2, fs, kind)))
+    return tuple(out)
 
 
 def hum_free(x: np.ndarray, fs: float, hum: float = 50.0, high: float = 60.0) -> np.ndarray:
     """DSP07: all harmonics of the hum up to 1.1 times the band's upper edge and Nyquist."""
-    for k in range(1, int((min(fs / 2, 1.1 * high) + 1e-9) // hum) + 1):
-        b, a = hum_filter(k * hum, fs)
+    for b, a in hum_filters(fs, hum, high):
         x = filtfilt(b, a, x, 3 * (len(a) - 1))
     return x
 
 
+def hum_filters(fs: float, hum: float, high: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [hum_filter(k * hum, fs) for k in range(1, int((min(fs / 2, 1.1 * high) + 1e-9) // hum) + 1)]
+
+
 def detector_rate(x: np.ndarray, fs: float, rate: float = 200.0) -> np.ndarray:
     """DSP09: to the detector's rate, in one stage for each decade of the ratio, by long Kaiser filters."""
-    stages = max(1, ceil(np.log10(fs / rate)))
+    for exact in rate_stages(fs, rate):
+        x = resample(x, exact.numerator, exact.denominator, half=STAGE_TAPS)
+    return x
+
+
+#: Half of a stage's taps, in samples of the lower rate.
+STAGE_TAPS = 100
+
+
+def rate_stages(fs: float, rate: float) -> list[Fraction]:
+    """Ratios of the stages of `detector_rate`."""
+    stages, out = max(1, ceil(np.log10(fs / rate))), []
     share = (fs / rate) ** (1 / stages)
     for i in range(stages if fs != rate else 0):
         to = rate if i == stages - 1 else float(round(fs / share))
-        exact = Fraction(to).limit_denominator(10**6) / Fraction(fs).limit_denominator(10**6)
-        x, fs = resample(x, exact.numerator, exact.denominator, half=100), to
-    return x
+        out.append(Fraction(to).limit_denominator(10**6) / Fraction(fs).limit_denominator(10**6))
+        fs = to
+    return out
 
 
 def lognormal_windows(e: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of the windows, mean and deviation of the logarithms of their positive values (zeros where there are none)."""
     starts = np.arange(0, max(1, len(e) - size + 1), step)
-    out = np.zeros((len(starts), 2))
-    for i, s in enumerate(starts):
-        v = e[s : s + size]
-        v = np.log(v[v > 0])
-        if len(v):
-            out[i] = v.mean(), v.std(ddof=1) if len(v) > 1 else 0.0
-    smooth = round(size * len(starts) / max(1, len(e)))
-    if smooth > 1 and len(starts) > 3 * smooth:
-        out = filtfilt(np.full(smooth, 1 / smooth), [1.0], out.T).T
-    return starts, out[:, 0], out[:, 1]
+    out = np.array([lognormal(e[s : s + size]) for s in starts])
+    return starts, *smoothed(out.T, size, len(starts), len(e))
+
+
+def lognormal(v: np.ndarray) -> tuple[float, float]:
+    """Mean and deviation of the logarithms of positive values (zeros where there are none)."""
+    v = np.log(v[v > 0])
+    return (v.mean(), v.std(ddof=1) if len(v) > 1 else 0.0) if len(v) else (0.0, 0.0)
+
+
+def smoothed(v: np.ndarray, size: int, windows: int, n: int) -> np.ndarray:
+    """Rows of values of windows, averaged forward and in reverse over the windows that share a sample, of all windows of n samples."""
+    smooth = round(size * windows / max(1, n))
+    return filtfilt(np.full(smooth, 1 / smooth), [1.0], v) if smooth > 1 and windows > 3 * smooth else v
 
 
 def run_maxima(x: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -638,15 +663,7 @@ def spike_times(x: np.ndarray, fs: float, low: float = 10.0, high: float = 60.0,
     e = envelope(detector_band(hum_free(y, rate, hum, high), rate, low, high, rate == 200.0))
     size, step = round(win_s * rate), round(step_s * rate)
     starts, mu, sigma = lognormal_windows(e, min(size, len(e)), step)
-    at = np.arange(len(e))
-    mu, sigma = (spline(starts + round(size / 2), v, at) if len(starts) > 1 else np.full(len(e), v[0]) for v in (mu, sigma))
-    sigma = np.maximum(sigma, np.finfo(float).eps)
-    limit = k1 * (np.exp(mu - sigma**2) + np.exp(mu))
-    peaks = polyspikes(e, run_maxima(e, e > limit), ceil(union_s * rate))
-    mark = np.zeros(len(e))
-    mark[peaks] = 1
-    reach = np.ones(ceil(union_s * rate) | 1)
-    united = np.convolve(np.convolve(mark, reach, "same") < 0.5, reach, "same") < 0.5
+    united = near_spikes(e, np.arange(len(e)), starts + round(size / 2), mu, sigma, k1, ceil(union_s * rate))
     found = np.array([a + int(np.argmax(e[a:b])) for a, b in runs(united)], int)
     edge = round(rate) if len(e) > 2 * round(rate) else 0
     found = found[(found >= edge) & (found < len(e) - max(edge, ceil(0.005 * rate + 1)))]
@@ -654,6 +671,16 @@ def spike_times(x: np.ndarray, fs: float, low: float = 10.0, high: float = 60.0,
     return seconds[(seconds > 2) & (seconds < len(x) / fs - 2)]
 
 
+def near_spikes(e: np.ndarray, at: np.ndarray, knots: np.ndarray, mu: np.ndarray, sigma: np.ndarray, k1: float, union: int) -> np.ndarray:
+    """Which samples of an envelope (at places `at`) are in a stretch of spikes: over the limit that goes through the knots."""
+    mu, sigma = (spline(knots, v, at) if len(knots) > 1 else np.full(len(e), v[0]) for v in (mu, sigma))
+    sigma = np.maximum(sigma, np.finfo(float).eps)
+    limit = k1 * (np.exp(mu - sigma**2) + np.exp(mu))
+    mark, reach = np.zeros(len(e)), np.ones(union | 1)
+    mark[polyspikes(e, run_maxima(e, e > limit), union)] = 1
+    return np.convolve(np.convolve(mark, reach, "same") < 0.5, reach, "same") < 0.5
+
+
 def spike_detector(x: np.ndarray, fs: float, **settings) -> np.ndarray:
     """Samples of x nearest to the detector's spikes."""
     return np.clip(np.round(spike_times(x, fs, **settings) * fs).astype(int) - 1, 0, max(0, len(x) - 1))
