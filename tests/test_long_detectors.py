@@ -1,5 +1,7 @@
 """Detectors take a channel block by block and give what the kernels give for the whole channel."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -105,3 +107,29 @@ def test_spikes_by_block(spark, fs):
     got = S.spikes(frame(spark, x), fs)
     assert sorted(map(tuple, got.collect())) == want
     assert all("block_id" in keys for keys in grouping(got))
+
+
+@pytest.mark.parametrize("fs", [100.0, 333.0, 500.0])
+def test_boundaries_of_many_spikes(fs):
+    """The same as one at a time: noise, smooth noise, flat tops, values that aren't numbers, both ends; and in a fraction of the time."""
+    rng = np.random.default_rng(10)
+    smooth, flat, holes = np.convolve(rng.normal(size=900) * 60, np.hanning(9), "same"), np.repeat(np.round(rng.normal(size=200) * 9), 5), rng.normal(size=700) * 40
+    holes[[0, 50, 51, 600]] = np.nan
+    found = 0
+    for x in (rng.normal(size=900) * 50, smooth, flat, holes, np.ones(1), np.arange(40.0)):
+        want = [K.spike_boundary(x, fs, p) for p in range(len(x))]
+        assert K.spike_boundaries(x, fs, np.arange(len(x)), size=100).tolist() == [list(w or (-1, -1, -1)) for w in want]
+        found += sum(w is not None for w in want)
+    assert found > 100
+
+
+def test_many_boundaries_take_little_time():
+    x = np.random.default_rng(11).normal(size=8192) * 500
+    at = K.find_peaks(x)
+    start = time.perf_counter()
+    K.spike_boundaries(x, 500.0, at)
+    many = time.perf_counter() - start
+    start = time.perf_counter()
+    for p in at[:400].tolist():
+        K.spike_boundary(x, 500.0, p)
+    assert many / len(at) < (time.perf_counter() - start) / 400 / 3

@@ -750,6 +750,107 @@ def spike_boundary(x: np.ndarray, fs: float, at: int) -> tuple[int, int, int] |
     return lo + left, lo + peak, lo + (end if end is not None else left + round(0.15 * fs))
 
 
+class Extrema:
+    """Strict maxima of sign * x, and their prominences in stretches of at most `width` samples."""
+
+    def __init__(self, x: np.ndarray, sign: int, width: int):
+        y = sign * x
+        self.first, self.last = tops(y)
+        self.at = (self.first + self.last) // 2
+        self.y, self.higher, self.least = y, [], [y]
+        for step in (-1, 1):  # the nearest higher sample on each side
+            found, pending = np.full(len(self.at), -width - len(y) if step < 0 else width + 2 * len(y)), np.arange(len(self.at))
+            for d in range(1, width + 1):
+                place = self.at[pending] + step * d
+                inside = (place >= 0) & (place < len(y))
+                pending, place = pending[inside], place[inside]
+                hit = y[place] > y[self.at[pending]]
+                found[pending[hit]] = place[hit]
+                pending = pending[~hit]
+                if not len(pending):
+                    break
+            self.higher.append(found)
+        while 2 ** len(self.least) <= width:  # least values of 1, 2, 4, ... samples from each on
+            half, t = 2 ** (len(self.least) - 1), self.least[-1]
+            self.least.append(np.r_[np.minimum(t[:-half], t[half:]), t[max(0, len(t) - half) :]] if len(t) > half else t)
+        self.least = np.array(self.least)
+
+    def minimum(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Least values of the stretches from a to b, both included."""
+        k = np.frexp(b - a + 1)[1] - 1
+        return np.minimum(self.least[k, a], self.least[k, b - (1 << k) + 1])
+
+    def depths(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and prominences of the maxima in each stretch [lo, hi), a row each; -1 behind a row's last one."""
+        begin = np.searchsorted(self.first, lo, "right")
+        count = np.maximum(np.searchsorted(self.last, hi - 1, "left") - begin, 0)
+        column = np.arange(count.max(initial=0))
+        row, i = np.nonzero(column < count[:, None])
+        k = begin[row] + i
+        p = self.at[k]
+        left = self.minimum(np.maximum(self.higher[0][k] + 1, lo[row]), p)
+        right = self.minimum(p, np.minimum(self.higher[1][k], hi[row]) - 1)
+        place, depth = np.full((len(lo), len(column)), -1), np.full((len(lo), len(column)), np.nan)
+        place[row, i], depth[row, i] = p, self.y[p] - np.where(right > left, right, left)
+        return place, depth
+
+
+def spike_boundaries(x: np.ndarray, fs: float, at: np.ndarray, size: int = 512) -> np.ndarray:
+    """`spike_boundary` of many spikes at once: rows of P1, N1 and N2, or of -1."""
+    at, width, reach = np.asarray(at, int), round(0.3 * fs), 2 * floor(fs / 200 + 0.5)
+    out = np.full((len(at), 3), -1)
+    if not len(at) or width < 1:
+        return out
+    kinds = {sign: Extrema(x, sign, width) for sign in (1, -1)}
+    for k in range(0, len(at), size):
+        own = at[k : k + size]
+        lo = own - floor(0.3 * fs / 4 + 0.5)
+        lo, hi = np.maximum(0, lo), np.minimum(len(x), lo + width)
+        near = np.maximum(lo, own - reach)[:, None] + np.arange(2 * reach)
+        inside = near < np.minimum(hi, own + reach)[:, None]
+        some = inside.any(1)
+        high = np.where(inside, np.abs(x[np.minimum(near, len(x) - 1)]), -np.inf)
+        peak = near[np.arange(len(own)), high.argmax(1)] if reach else own
+        value = x[np.minimum(peak, len(x) - 1)]
+        for sign, other, chosen in ((-1, 1, value > 0), (1, -1, value < 0), (1, 1, ~((value > 0) | (value < 0)))):
+            which = np.flatnonzero(chosen & some)
+            if len(which):
+                out[k + which] = _boundaries(fs, peak[which], *kinds[sign].depths(lo[which], hi[which]), *kinds[other].depths(lo[which], hi[which]))
+    return out
+
+
+def _boundaries(fs: float, peak: np.ndarray, found: np.ndarray, depth: np.ndarray, others: np.ndarray, other_depth: np.ndarray) -> np.ndarray:
+    n, rows = len(peak), np.arange(len(peak))
+    sides = np.full((2, len(LEVELS), n), -1)  # of each level, the nearest extremum on each side
+    before, behind = (found >= 0) & (found < peak[:, None]), found > peak[:, None]
+    for i, level in enumerate(LEVELS.tolist()):
+        strong = depth >= level
+        sides[0, i] = np.where(before & strong, found, -1).max(1, initial=-1)
+        least = np.where(behind & strong, found, np.iinfo(int).max).min(1, initial=np.iinfo(int).max)
+        sides[1, i] = np.where(least == np.iinfo(int).max, -1, least)
+    level, used, active = np.full(n, 20), np.zeros(n, int), rows
+    while len(active):
+        left, right = sides[:, level[active] // 2, active]
+        both, mid = (left >= 0) & (right >= 0), peak[active]
+        close = both & (np.minimum(right - mid, mid - left) / fs < 0.01)
+        fits = both & ~close & (0.02 <= (right - left) / fs) & ((right - left) / fs <= 0.07)
+        jump = close & (used[active] < 3)
+        stop = fits | (~jump & (level[active] == 0))
+        level[active] = np.where(stop, level[active], np.where(jump, 30 + 10 * used[active], level[active] - 2))
+        used[active] += jump & ~stop
+        active = active[~stop]
+    left, right = sides[:, level // 2, rows]
+    end, open_, last = np.full(n, -1), np.ones(n, bool), np.full(n, -1)
+    for least in LEVELS[2:].tolist():
+        first = np.where((other_depth >= least) & (others > right[:, None]), others, np.iinfo(int).max).min(1, initial=np.iinfo(int).max)
+        known = first < np.iinfo(int).max
+        last = np.where(known, peak + np.where(known, first, 0) - right, -1)
+        fits = open_ & known & ((last - right) / fs >= 0.01) & ((last - left) / fs <= 0.15)
+        end[fits], open_ = last[fits], open_ & ~fits
+    end = np.where(open_, np.where(last >= 0, last, left + round(0.15 * fs)), end)
+    return np.where(((left >= 0) & (right >= 0))[:, None], np.stack([left, peak, end], 1), -1)
+
+
 #: Frequencies at which pre-spike gamma is looked for.
 GAMMA_HZ = 100 / 2 ** (np.arange(70) / 40)
 
