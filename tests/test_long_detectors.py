@@ -8,6 +8,7 @@ import pytest
 from voltaflow.functions import kernels as K
 from voltaflow.operators import detectors as D
 from voltaflow.operators import dsp as S
+from voltaflow.operators import pipelines as R
 
 
 def frame(spark, channels):
@@ -133,3 +134,10 @@ def test_many_boundaries_take_little_time():
     for p in at[:400].tolist():
         K.spike_boundary(x, 500.0, p)
     assert many / len(at) < (time.perf_counter() - start) / 400 / 3
+
+
+def test_gamma_run_detects_once(spark):
+    """What follows the detection reads its spikes, so no chunk is searched again for each of its uses."""
+    x = {c: np.random.default_rng(i).standard_cauchy(3000) for i, c in enumerate("abcdef")}
+    got = R.gamma_spikes(frame(spark, x), 100.0, 1000, 500)
+    assert got.count() > 0 and "pos_s" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import classes as C
 from . import dsp, events, montage, summaries
 from .blocks import with_halo
+from .detectors import stored
 
 #: Bands by preset, in Hz (fixed values).
 BANDS = {"Default": (80.0, 500.0), "Ripples": (80.0, 250.0), "Fast ripples": (250.0, 500.0)}
@@ -86,9 +87,9 @@ def gamma_spikes(signal: DataFrame, fs: float, chunk: int, context: int, recordi
     found = dsp.spikes(local, fs, ("channel", "block_id"))
     offset = F.greatest(F.col("block_id") * chunk - context, F.lit(0))
     found = found.withColumn("sample", F.col("sample") + offset).where(F.floor(F.col("sample") / chunk) == F.col("block_id"))
-    rows = found.select(F.lit(recording).alias("recording"), "channel", (F.col("sample") / fs).alias("t"), F.col("sample").alias("ord"))
+    rows = stored(found.select(F.lit(recording).alias("recording"), "channel", (F.col("sample") / fs).alias("t"), F.col("sample").alias("ord")), "spikes")  # read several times below
     n_channels = signal.select("channel").distinct().count()
-    clusters = events.anchored_clusters(rows, 0.010)
+    clusters = stored(events.anchored_clusters(rows, 0.010), "clusters")
     common = events.common_mode(clusters, n_channels).where("common").select("recording", "anchor")
     kept = events.burst_members(clusters.join(common, ["recording", "anchor"], "left_anti"), 0.3)
     return kept.where("not burst").select("channel", F.col("ord").alias("sample"), "t")
