@@ -4,8 +4,10 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voltaflow.functions import kernels as K
+from voltaflow.operators import blocks as B
 from voltaflow.operators import detectors as D
 from voltaflow.operators import dsp as S
 from voltaflow.operators import pipelines as R
@@ -141,3 +143,34 @@ def test_gamma_run_detects_once(spark):
     x = {c: np.random.default_rng(i).standard_cauchy(3000) for i, c in enumerate("abcdef")}
     got = R.gamma_spikes(frame(spark, x), 100.0, 1000, 500)
     assert got.count() > 0 and "pos_s" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_numbering_shuffles_rows_once(spark):
+    """Places of rows with null keys, spans and order values; no join, by which rows were broadcast or shuffled a second time."""
+    rows = [(k, d, i * 7919 % 1009) for i, (k, d) in enumerate((k, d) for k in ("a", "b", None) for d in (3, None, 1, 2) for _ in range(5 if d else 2))] + [("a", 2, None)]
+    got = B.numbered(spark.createDataFrame(rows, "k string, d int, v int").withColumn("d2", F.col("d")), "k", F.col("d"), ["d2", "v"], "place")
+    assert got.columns == ["k", "d", "v", "d2", "place"] and dict(got.dtypes)["place"] == "bigint"
+    nulls_first = lambda r: [(v is not None, v or 0) for v in r[1:]]
+    want = [(*r, i) for k in ("a", "b", None) for i, r in enumerate(sorted((r for r in rows if r[0] == k), key=nulls_first))]
+    assert sorted(((r.k, r.d, r.v, r.place) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_gamma_events_number_samples_once(spark):
+    """Samples are numbered for the detection only, and are read again, in blocks of its size, around its spikes; as on the whole channel."""
+    fs, x = 500.0, np.random.default_rng(12).standard_cauchy(D.BLOCK + 9000)
+    rows = spark.createDataFrame([(int(i % 2), i // 2, float(v)) for i, v in enumerate(np.r_[x, x[::-1]].reshape(2, -1).T.ravel())], "channel long, t long, x double")
+    got = S.gamma_events(B.numbered(rows, "channel", F.floor(F.col("t") / 10000), ["t"]).select("channel", "sample", "x"), fs)
+    assert "_span" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want, found = {}, 0
+    for c, y in enumerate((x, x[::-1])):
+        at = [min(len(y), max(1, round(t * fs))) - 1 for t in K.spike_times(y, fs).tolist()]
+        for p, (p1, n1, n2) in zip(at, K.spike_boundaries(y, fs, at).tolist()):
+            lo = max(0, n1 - round(fs))
+            want[c, p] = (p1, n1, n2, *K.gamma_measure(y[lo : n1 + round(fs)], fs, p1 - lo, n2 - lo)) if p1 >= 0 else None
+    for r in got.collect():
+        edges = want.pop((r.channel, r.sample))
+        assert (r.p1, r.n1, r.n2) == (edges[:3] if edges else (None,) * 3)
+        assert r.error or np.allclose((r.power, r.freq, r.duration_ms), edges[3:], rtol=1e-9)
+        found += r.error is None
+    assert not want and found > 50

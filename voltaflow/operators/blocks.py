@@ -60,13 +60,13 @@ def numbered(rows: DataFrame, key: str, span: Column, order: list, name: str = "
     """rows with their place (from 0) in each key's order, without one task for each key.
 
     span is a value that grows with the order (a day, a month): places are ranks within (key, span), shifted by the rows
-    of the spans before, which are counted map-side. Null spans come first, as null order values do.
+    of the spans before, which are counted map-side. Null spans come first, as null order values do. A span's shift is a
+    row before its own ones, so the rows are shuffled once and never joined.
     """
     spanned = rows.withColumn("_span", span)
     before = Window.partitionBy(key).orderBy(F.col("_span").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    shifts = spanned.groupBy(key, "_span").agg(F.count("*").alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    shifts = shifts.select(F.col(key).alias("_key"), F.col("_span").alias("_of"), "_shift")
-    within = Window.partitionBy(key, "_span").orderBy(*order)
-    ranked = spanned.withColumn("_rank", F.row_number().over(within) - 1)
-    out = ranked.join(shifts, F.col(key).eqNullSafe(F.col("_key")) & F.col("_span").eqNullSafe(F.col("_of")))
-    return out.withColumn(name, (F.col("_rank") + F.col("_shift")).cast("long")).drop("_span", "_key", "_of", "_shift", "_rank")
+    shifts = spanned.groupBy(key, "_span").agg(F.count("*").alias("_n")).select(key, "_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    within = Window.partitionBy(key, "_span").orderBy(F.col("_shift").isNull(), *order).rowsBetween(Window.unboundedPreceding, 0)
+    both = spanned.unionByName(shifts, allowMissingColumns=True)
+    placed = both.withColumn(name, (F.count("*").over(within) - 2 + F.first("_shift").over(within)).cast("long"))
+    return placed.where("_shift is null").drop("_span", "_shift")
