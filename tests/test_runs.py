@@ -1,5 +1,7 @@
 """Saved states, batch output and the EDF source: crashes, broken rows, resume, ranges and pushed filters."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -228,3 +230,26 @@ def test_batch_writes_files_by_task_and_computes_windows_once(spark, tmp_path, m
     out = spark.read.parquet(f"{folder}/results")
     assert out.count() == 160 and out.select("row", "channel").distinct().count() == 160
     assert out.select("channel", F.round("EI", 9), "EI_rank_desc", "channel_onset_sample_in_ictal_window").distinct().count() == 4
+
+
+def joins_since(spark, known=()):
+    """Ids of the executions that aren't known, and of each the kinds and left keys of its joins."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    ran = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = {ran.apply(i).executionId(): ran.apply(i).physicalPlanDescription() for i in range(ran.size())}
+    found = {k: re.findall(r"\) (\w+Join)\b.*\nLeft keys \[\d+\]: \[(.*)\]", p) for k, p in plans.items() if k not in known}
+    return {k: {(kind, re.sub(r"#\d+L?", "", keys)) for kind, keys in v} for k, v in found.items()}
+
+
+def test_batch_broadcasts_no_table_of_its_rows(spark, tmp_path):
+    """Tables that grow with the batch's rows are joined by shuffles, in a first run and in one that resumes it, though these are small enough to be broadcast."""
+    raw, excluded, recordings, signal = batch_case(spark)
+    known, folder = joins_since(spark), f"{tmp_path}/out"
+    assert batch.run_batch(spark, folder, raw, excluded, recordings, signal, last=5) == {"ok": 2, "skipped": 0, "error": 4, "done_before": 0}
+    assert batch.run_batch(spark, folder, raw, excluded, recordings, signal) == {"ok": 1, "skipped": 4, "error": 4, "done_before": 2}
+    assert batch.read_log(spark, folder).count() == 11  # rows 2 to 5 are as before
+    ran = joins_since(spark, known).values()
+    scored = [j for j in ran if any(keys == "once" for _, keys in j)]  # the index itself has joins by row too, of the windows that it computes
+    rows = {"row", "once", "edf, b0, b1, i0, i1"}
+    kinds = {j for one in ran for j in one if j[1] in (rows - {"row"} if one in scored else rows)}
+    assert kinds == {("SortMergeJoin", keys) for keys in rows}

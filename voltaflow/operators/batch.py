@@ -107,7 +107,7 @@ def batch_results(ready: DataFrame, signal: DataFrame, exclude_channels: str | N
         windows = ("edf", "b0", "b1", "i0", "i1")
         once = own.groupBy(*windows).agg(F.min("row").alias("once"))
         scored = rei.batch_scores(cut(once.withColumnRenamed("once", "row"), left), fs, sigmas).withColumnRenamed("row", "once")
-        parts.append(own.join(once, list(windows)).join(scored, "once").select(
+        parts.append(own.join(once.hint("merge"), list(windows)).join(scored.hint("merge"), "once").select(
             "row", "channel", F.col("score").alias("EI"), F.col("batch_rank").alias("EI_rank_desc"), F.col("onset").alias("channel_onset_sample_in_ictal_window"),
             (F.col("onset") / F.lit(fs)).alias("channel_onset_sec_in_ictal_window"), "subject", "run", F.col("edf").alias("edf_file"), "native_fs", "fs",
             F.when(F.abs(F.col("native_fs") - F.col("fs")) > 1e-8 + 1e-5 * F.abs("fs"), F.col("fs")).alias("resampled_to_fs"), *REQUIRED, F.coalesce("excluded_channel_count", F.lit(0).cast("long")).alias("excluded_channel_count"),
@@ -127,7 +127,7 @@ def batch_results_empty(spark: SparkSession) -> DataFrame:
 def read_log(spark: SparkSession, folder: str) -> DataFrame:
     """The log of all runs; of a row, the last attempt counts."""
     if not storage.exists(spark, f"{folder}/log"):
-        return spark.createDataFrame([], LOG)
+        return spark.createDataFrame([], LOG).limit(0)  # known to be empty when it is planned, so joins with it go
     return spark.read.schema(LOG).option("header", True).csv(f"{folder}/log")
 
 
@@ -145,6 +145,7 @@ def run_batch(
 
     prepare is given the signal of the recordings that are wanted (path, channel, sample, x) and filters it. Rows whose
     channels are all excluded, or whose signal has no samples in a window, are errors too. Only changed entries are logged.
+    Tables with a row for each row of raw are joined by shuffles: their files are small for their number, so Spark would broadcast them.
     """
     log = read_log(spark, folder)
     attempt = (log.agg(F.max("attempt")).collect()[0][0] or 0) + 1
@@ -152,7 +153,7 @@ def run_batch(
     rows = assess(raw, excluded, recordings, first, last)
     done = before.where("was = 'ok'").select("row", F.lit(True).alias("done"))
     path = storage.shared_path(spark, "batch")
-    rows.join(done, "row", "left").write.parquet(path)  # the plan of the run: fixed before anything is written
+    rows.join(done.hint("merge"), "row", "left").write.parquet(path)  # the plan of the run: fixed before anything is written
     n_done = spark.read.parquet(path).where("done").count()
     todo = spark.read.parquet(path).where("done is null").drop("done")
     ready = todo.where("status = 'ready'")
@@ -167,14 +168,17 @@ def run_batch(
     made = made.groupBy("row").agg(F.count("*").alias("n_channels"), F.max("excluded_channel_count").alias("excluded_channel_count"))
     status = F.when(F.col("status") != "ready", F.col("status")).when(F.col("n_channels") > 0, "ok").otherwise("error")
     reason = F.when((F.col("status") == "ready") & F.col("n_channels").isNull(), "no channel has samples in both windows").otherwise(F.col("reason"))
-    entries = todo.join(made, "row", "left").select(F.lit(attempt).cast("long").alias("attempt"), "row", status.alias("status"), reason.alias("reason"), "edf", "subject", "n_channels", "excluded_channel_count", "native_fs", "fs")
-    entries = entries.join(before, "row", "left").where(~(F.col("was").eqNullSafe(F.col("status")) & F.coalesce("was_reason", F.lit("")).eqNullSafe(F.col("reason")))).select(*[part.split()[0] for part in LOG.split(", ")])
+    entries = todo.join(made.hint("merge"), "row", "left").select(F.lit(attempt).cast("long").alias("attempt"), "row", status.alias("status"), reason.alias("reason"), "edf", "subject", "n_channels", "excluded_channel_count", "native_fs", "fs")
+    same = F.col("was").eqNullSafe(F.col("status")) & F.coalesce("was_reason", F.lit("")).eqNullSafe(F.col("reason"))
     kept = storage.shared_path(spark, "entries")
-    entries.write.parquet(kept)
+    entries.join(before.hint("merge"), "row", "left").withColumn("changed", ~same).write.parquet(kept)
     entries = spark.read.parquet(kept)
-    if not entries.isEmpty():
-        entries.write.mode("append").option("header", True).csv(f"{folder}/log")
-    counts = {r.status: r["count"] for r in last_status(read_log(spark, folder)).join(todo.select("row"), "row", "left_semi").groupBy("status").count().collect()}
+    changed = entries.where("changed").select(*[part.split()[0] for part in LOG.split(", ")])
+    if not changed.isEmpty():
+        changed.write.mode("append").option("header", True).csv(f"{folder}/log")
+    # what isn't logged is in the log already with this status, so the log isn't read again
+    last = entries.groupBy("row").agg(F.max_by("status", "changed").alias("status"))
+    counts = {r.status: r["count"] for r in last.groupBy("status").count().collect()}
     for p in (path, kept):
         storage.remove(spark, p)
     return {"ok": counts.get("ok", 0), "skipped": counts.get("skipped", 0), "error": counts.get("error", 0), "done_before": n_done}
