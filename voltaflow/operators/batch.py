@@ -89,24 +89,30 @@ def cut(ready: DataFrame, signal: DataFrame, block: int = BLOCK) -> DataFrame:
     return wanted.join(placed, ["path", "block"]).where("sample >= lo and sample < hi").select("row", "channel", "segment", (F.col("sample") - F.col("lo")).alias("n"), "x")
 
 
-def batch_results(ready: DataFrame, signal: DataFrame, exclude_channels: str | None = None, sigmas: float = 10.0) -> DataFrame:
+def batch_results(ready: DataFrame, signal: DataFrame, exclude_channels: str | None = None, sigmas: float = 10.0, scratch: str | None = None) -> DataFrame:
     """One row for each channel of each ready row, as it is written; channels that the pattern finds are counted, not computed.
 
     Rows that name the same windows of one recording are computed once, under the least of them. Recordings of one rate are one plan; there are as many plans as distinct rates, which the caller's resampling makes one.
+    With a scratch folder, which must outlast the result, the windows' samples are written there: the index reads them several times, and the signal would be made anew for each.
     """
     left = signal
     if exclude_channels:
         dropped = signal.where(F.col("channel").rlike(exclude_channels)).select("path", "channel").distinct().groupBy("path").agg(F.count("*").alias("excluded_channel_count"))
         left = signal.where(~F.col("channel").rlike(exclude_channels))
-        ready = ready.join(dropped.withColumnRenamed("path", "edf"), "edf", "left")
+        told = ready.join(dropped.withColumnRenamed("path", "edf"), "edf", "left")
     else:
-        ready = ready.withColumn("excluded_channel_count", F.lit(0).cast("long"))
+        told = ready.withColumn("excluded_channel_count", F.lit(0).cast("long"))
     parts = []
     for fs in sorted(r.fs for r in ready.select("fs").distinct().collect()):
-        own = ready.where(F.col("fs") == fs)
+        own = told.where(F.col("fs") == fs)
         windows = ("edf", "b0", "b1", "i0", "i1")
-        once = own.groupBy(*windows).agg(F.min("row").alias("once"))
-        scored = rei.batch_scores(cut(once.withColumnRenamed("once", "row"), left), fs, sigmas).withColumnRenamed("row", "once")
+        once = ready.where(F.col("fs") == fs).groupBy(*windows).agg(F.min("row").alias("once"))
+        segments = cut(once.withColumnRenamed("once", "row"), left)
+        if scratch:
+            path = f"{scratch}/{len(parts)}"
+            segments.write.parquet(path)
+            segments = ready.sparkSession.read.parquet(path).hint("merge")  # as with the batch's rows: its files say little about how many there are
+        scored = rei.batch_scores(segments, fs, sigmas).withColumnRenamed("row", "once")
         parts.append(own.join(once.hint("merge"), list(windows)).join(scored.hint("merge"), "once").select(
             "row", "channel", F.col("score").alias("EI"), F.col("batch_rank").alias("EI_rank_desc"), F.col("onset").alias("channel_onset_sample_in_ictal_window"),
             (F.col("onset") / F.lit(fs)).alias("channel_onset_sec_in_ictal_window"), "subject", "run", F.col("edf").alias("edf_file"), "native_fs", "fs",
@@ -161,8 +167,10 @@ def run_batch(
     storage.remove(spark, results)  # of a run that was stopped before its log
     if not ready.isEmpty():
         wanted = signal.join(ready.select(F.col("edf").alias("path")).distinct(), "path", "left_semi")
-        out = batch_results(ready, wanted if prepare is None else prepare(wanted), exclude_channels)
+        scratch = storage.shared_path(spark, "segments")
+        out = batch_results(ready, wanted if prepare is None else prepare(wanted), exclude_channels, scratch=scratch)
         out.repartition("row").sortWithinPartitions("row", "EI_rank_desc", "channel").write.mode("overwrite").parquet(results)
+        storage.remove(spark, scratch)
     # a row has results if the attempt's folder has rows of it
     made = spark.read.parquet(results) if storage.exists(spark, results) else batch_results_empty(spark)
     made = made.groupBy("row").agg(F.count("*").alias("n_channels"), F.max("excluded_channel_count").alias("excluded_channel_count"))

@@ -25,7 +25,8 @@ def recruitment(hfer: DataFrame, onset: DataFrame, fs: float, keys: tuple[str, .
     """
     recording = list(keys[:-1])
     first = onset.groupBy(*recording).agg(F.min("onset").alias("first"))
-    spans = onset.join(first, recording) if recording else onset.join(F.broadcast(first))  # one row without a recording
+    # one row without a recording; with many, spans are no small table, and neither they nor the samples are broadcast
+    spans = onset.join(first, recording).hint("merge") if recording else onset.join(F.broadcast(first))
     spans = spans.withColumn("lo", F.least("first", F.col("length") - 1))
     spans = spans.withColumn("hi", F.least("length", F.col("lo") + max(1, round(0.25 * fs))))
     return hfer.join(spans, list(keys)).where("n >= lo and n < hi").groupBy(*keys).agg(F.avg("hfer").alias("magnitude"))
